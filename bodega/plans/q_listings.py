@@ -1 +1,259 @@
-"""Registered queries."""
+"""Registered listings and lookups.
+
+Lookups are asked for every key that another table refers to (every order
+with lines, every product sold, every client with orders, ...), so the
+work grows with the data and unknown keys are exercised too.
+"""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bodega.operators import listings as L
+from bodega.plans.fixture_sql import with_tables
+from bodega.plans.registry import register
+
+# ---- L1-L4 ----------------------------------------------------------------
+ORDER_LIST_SQL = with_tables("""
+SELECT tp.ID_TomaPedido AS id, 'client' AS order_type, tp.ID_Cliente AS client_id,
+  c.Nombre || ' ' || coalesce(c.Apellido, '') AS client_name,
+  rtrim(c.Direccion) AS client_direccion, rtrim(c.Numero) AS client_numero, rtrim(c.Telefono) AS client_telefono,
+  tp.Fecha AS created_at, tp.FechaEntrega AS delivery_date, CAST(tp.Total AS DOUBLE) AS total_amount,
+  tp.Estado AS status, CAST(tp.Dto AS DOUBLE) AS discount, tp.Observaciones AS notes,
+  CASE WHEN tp.bDeposito = 1 THEN 'deposito' ELSE 'por reparto' END AS delivery_type,
+  tp.ID_Repartidor AS repartidor_id,
+  rtrim(r.Nombre) || ' ' || rtrim(coalesce(r.Apellido, '')) AS repartidor_name
+FROM pedidos tp
+LEFT JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
+LEFT JOIN repartidores r ON tp.ID_Repartidor = r.ID_Repartidor
+ORDER BY tp.Fecha DESC, id""", "pedidos", "clientes", "repartidores")
+
+
+@register("order_list", ORDER_LIST_SQL)
+def order_list(fx):
+    return L.order_list(fx.tables("pedidos", "clientes", "repartidores"))
+
+
+def _ordered_ids(fx):
+    return fx.detalle.select("ID_TomaPedido")
+
+
+ORDER_HEADER_SQL = with_tables("""
+SELECT tp.ID_TomaPedido AS id, 'client' AS order_type, tp.ID_Cliente AS client_id,
+  c.Nombre || ' ' || coalesce(c.Apellido, '') AS client_name,
+  tp.Fecha AS created_at, CAST(tp.Total AS DOUBLE) AS total_amount, tp.Estado AS status
+FROM pedidos tp LEFT JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
+WHERE tp.ID_TomaPedido IN (SELECT ID_TomaPedido FROM detalle)""", "pedidos", "clientes", "detalle")
+
+
+@register("order_header", ORDER_HEADER_SQL)
+def order_header(fx):
+    return L.order_header(fx.tables("pedidos", "clientes"), _ordered_ids(fx))
+
+
+ORDER_ITEMS_SQL = with_tables("""
+SELECT dt.ID_TomaPedido AS order_id, dt.ID_Producto AS product_id, p.Descripcion AS name, p.Pr_Ean13 AS sku,
+  CAST(dt.Cantidad AS DOUBLE) AS quantity, CAST(dt.PrecioUnitario AS DOUBLE) AS unit_price
+FROM detalle dt LEFT JOIN productos p ON dt.ID_Producto = p.ID_Producto
+WHERE dt.ID_TomaPedido IN (SELECT ID_TomaPedido FROM pedidos WHERE Estado = 'O')""",
+                              "detalle", "productos", "pedidos")
+
+
+@register("order_items", ORDER_ITEMS_SQL)
+def order_items(fx):
+    open_orders = fx.pedidos.where(F.col("Estado") == "O").select("ID_TomaPedido")
+    return L.order_items(fx.tables("detalle", "productos"), open_orders)
+
+
+@register("order_document")
+def order_document(fx):
+    open_orders = fx.pedidos.where(F.col("Estado") == "O").select("ID_TomaPedido")
+    return L.order_document(fx.tables("pedidos", "clientes", "detalle", "productos"), open_orders)
+
+
+# ---- L5-L6 ----------------------------------------------------------------
+PRODUCT_LIST_SQL = with_tables("""
+SELECT p.ID_Producto AS id, p.Descripcion AS name, p.Pr_Ean13 AS sku, CAST(p.PrecioFinalUni AS DOUBLE) AS price,
+  p.Stock AS stock, p.ID_Proveedor AS provider_id, prov.RazonSocial AS provider_name,
+  p.ID_Rubro AS rubro_id, r.Descripcion AS rubro_name, p.idMarca AS marca_id, m.Mrc_Descripcion AS marca_name,
+  p.IdAlicIva AS alicuota_id, p.AlicIva_desc AS alicuota_desc,
+  CAST(p.Costo AS DOUBLE) AS Costo, CAST(p.CostoUnit AS DOUBLE) AS CostoUnit, CAST(p.margen AS DOUBLE) AS margen,
+  CAST(p.PrecioFinalPack AS DOUBLE) AS PrecioFinalPack, CAST(p.PrecioNetoPack AS DOUBLE) AS PrecioNetoPack,
+  CAST(p.PrecioNetoUni AS DOUBLE) AS PrecioNetoUni, CAST(p.MontoIVA AS DOUBLE) AS MontoIVA,
+  p.PMR, p.Pr_Pack, p.Pr_UniXPack, p.Estado, p.OcultarApp, p.SinStockApp, p.PermiteDescuento AS permite_descuento
+FROM productos p
+LEFT JOIN proveedores prov ON p.ID_Proveedor = prov.ID_Proveedor
+LEFT JOIN rubros r ON p.ID_Rubro = r.ID_Rubro
+LEFT JOIN marca m ON p.idMarca = m.Id_Marca
+ORDER BY p.ID_Producto""", "productos", "proveedores", "rubros", "marca")
+
+
+@register("product_list", PRODUCT_LIST_SQL)
+def product_list(fx):
+    return L.product_list(fx.tables("productos", "proveedores", "rubros", "marca"))
+
+
+PRODUCT_GET_SQL = with_tables("""
+SELECT p.ID_Producto AS id, p.Descripcion AS name, p.Pr_Ean13 AS sku, CAST(p.PrecioFinalUni AS DOUBLE) AS price,
+  p.Stock AS stock, p.ID_Proveedor AS provider_id, p.ID_Rubro AS rubro_id, p.idMarca AS marca_id,
+  p.IdAlicIva AS alicuota_id,
+  p.ID_Producto, p.Descripcion, p.Pr_Ean13, CAST(p.PrecioFinalUni AS DOUBLE) AS PrecioFinalUni,
+  p.ID_Proveedor, p.ID_Rubro, p.idMarca, p.IdAlicIva, p.AlicIva_desc,
+  CAST(p.Costo AS DOUBLE) AS Costo, CAST(p.CostoUnit AS DOUBLE) AS CostoUnit, CAST(p.margen AS DOUBLE) AS margen,
+  CAST(p.PrecioFinalPack AS DOUBLE) AS PrecioFinalPack, CAST(p.PrecioNetoPack AS DOUBLE) AS PrecioNetoPack,
+  CAST(p.PrecioNetoUni AS DOUBLE) AS PrecioNetoUni, CAST(p.MontoIVA AS DOUBLE) AS MontoIVA,
+  p.PMR, p.Pr_Pack, p.Pr_UniXPack, p.Estado, p.OcultarApp, p.SinStockApp, p.PermiteDescuento
+FROM productos p
+WHERE p.ID_Producto IN (SELECT ID_Producto FROM detalle)""", "productos", "detalle")
+
+
+@register("product_get", PRODUCT_GET_SQL)
+def product_get(fx):
+    return L.product_get(fx.tables("productos"), fx.detalle.select("ID_Producto"))
+
+
+# ---- L7-L10 ---------------------------------------------------------------
+CLIENT_LIST_SQL = with_tables("""
+SELECT c.ID_Cliente AS id, rtrim(c.RazonSocial) AS razon_social, rtrim(c.Apellido) AS apellido,
+  rtrim(c.Nombre) AS nombre, rtrim(c.Direccion) AS direccion, rtrim(c.Numero) AS numero,
+  rtrim(c.Telefono) AS telefono, rtrim(c.CUIT) AS cuit, rtrim(c.correo) AS correo,
+  c.ID_Barrio AS id_barrio, rtrim(b.Nombre) AS barrio_nombre,
+  c.ID_Localidad AS id_localidad, rtrim(l.Nombre) AS localidad_nombre,
+  c.ID_Zona AS id_zona, rtrim(z.Descripcion) AS zona_nombre,
+  c.id_condicion, rtrim(cp.Descripcion) AS condicion_pago, rtrim(c.Estado) AS estado
+FROM clientes c
+LEFT JOIN barrios b ON c.ID_Barrio = b.ID_Barrio
+LEFT JOIN localidad l ON c.ID_Localidad = l.ID_Localidad
+LEFT JOIN zona z ON c.ID_Zona = z.ID_Zona
+LEFT JOIN condicion_pago cp ON c.id_condicion = cp.ID_CondicionPago
+ORDER BY c.ID_Cliente DESC""", "clientes", "barrios", "localidad", "zona", "condicion_pago")
+
+CLIENT_DIMS = ("clientes", "barrios", "localidad", "zona", "condicion_pago")
+
+
+@register("client_list", CLIENT_LIST_SQL)
+def client_list(fx):
+    return L.client_list(fx.tables(*CLIENT_DIMS))
+
+
+CLIENT_GET_SQL = with_tables("""
+SELECT c.*, rtrim(b.Nombre) AS barrio_nombre, rtrim(l.Nombre) AS localidad_nombre,
+  rtrim(z.Descripcion) AS zona_nombre, rtrim(cp.Descripcion) AS condicion_pago
+FROM clientes c
+LEFT JOIN barrios b ON c.ID_Barrio = b.ID_Barrio
+LEFT JOIN localidad l ON c.ID_Localidad = l.ID_Localidad
+LEFT JOIN zona z ON c.ID_Zona = z.ID_Zona
+LEFT JOIN condicion_pago cp ON c.id_condicion = cp.ID_CondicionPago
+WHERE c.ID_Cliente IN (SELECT ID_Cliente FROM pedidos)""", *CLIENT_DIMS, "pedidos")
+
+
+@register("client_get", CLIENT_GET_SQL)
+def client_get(fx):
+    return L.client_get(fx.tables(*CLIENT_DIMS), fx.pedidos.select("ID_Cliente"))
+
+
+PROVIDER_DIMS = ("proveedores", "condicion_pago", "barrios", "localidad")
+
+PROVIDER_LIST_SQL = with_tables("""
+SELECT p.ID_Proveedor AS id, rtrim(p.RazonSocial) AS razon_social, rtrim(p.Direccion) AS direccion,
+  rtrim(p.Numero) AS numero, rtrim(p.Telefono) AS telefono, rtrim(p.CUIT) AS cuit, rtrim(p.Correo) AS correo,
+  p.ID_Condicion AS id_condicion, rtrim(cp.Descripcion) AS condicion_pago,
+  p.Barrio AS id_barrio, rtrim(b.Nombre) AS barrio_nombre,
+  p.Localidad AS id_localidad, rtrim(l.Nombre) AS localidad_nombre, rtrim(p.Estado) AS estado
+FROM proveedores p
+LEFT JOIN condicion_pago cp ON p.ID_Condicion = cp.ID_CondicionPago
+LEFT JOIN barrios b ON p.Barrio = b.ID_Barrio
+LEFT JOIN localidad l ON p.Localidad = l.ID_Localidad
+ORDER BY p.ID_Proveedor DESC""", *PROVIDER_DIMS)
+
+
+@register("provider_list", PROVIDER_LIST_SQL)
+def provider_list(fx):
+    return L.provider_list(fx.tables(*PROVIDER_DIMS))
+
+
+PROVIDER_GET_SQL = with_tables("""
+SELECT p.*, rtrim(cp.Descripcion) AS condicion_pago, rtrim(b.Nombre) AS barrio_nombre,
+  rtrim(l.Nombre) AS localidad_nombre
+FROM proveedores p
+LEFT JOIN condicion_pago cp ON p.ID_Condicion = cp.ID_CondicionPago
+LEFT JOIN barrios b ON p.Barrio = b.ID_Barrio
+LEFT JOIN localidad l ON p.Localidad = l.ID_Localidad
+WHERE p.ID_Proveedor IN (SELECT ID_Proveedor FROM productos)""", *PROVIDER_DIMS, "productos")
+
+
+@register("provider_get", PROVIDER_GET_SQL)
+def provider_get(fx):
+    return L.provider_get(fx.tables(*PROVIDER_DIMS), fx.productos.select("ID_Proveedor"))
+
+
+# ---- L11-L20 --------------------------------------------------------------
+@register("brand_list", with_tables(
+    "SELECT Id_Marca AS id_marca, rtrim(Mrc_Descripcion) AS descripcion FROM marca "
+    "ORDER BY Mrc_Descripcion, id_marca", "marca"))
+def brand_list(fx):
+    return L.brand_list(fx.tables("marca"))
+
+
+@register("brands_by_category", with_tables("""
+SELECT DISTINCT p.ID_Rubro AS rubro_id, m.Id_Marca AS id_marca, rtrim(m.Mrc_Descripcion) AS descripcion
+FROM marca m JOIN productos p ON m.Id_Marca = p.idMarca
+ORDER BY rubro_id, descripcion, id_marca""", "marca", "productos"))
+def brands_by_category(fx):
+    return L.brands_by_category(fx.tables("productos", "marca"))
+
+
+@register("category_list", with_tables(
+    "SELECT ID_Rubro AS id_rubro, rtrim(Descripcion) AS descripcion FROM rubros ORDER BY ID_Rubro", "rubros"))
+def category_list(fx):
+    return L.category_list(fx.tables("rubros"))
+
+
+@register("category_get", with_tables(
+    "SELECT ID_Rubro AS id_rubro, rtrim(Descripcion) AS descripcion FROM rubros "
+    "WHERE ID_Rubro IN (SELECT ID_Rubro FROM productos)", "rubros", "productos"))
+def category_get(fx):
+    return L.category_get(fx.tables("rubros"), fx.productos.select("ID_Rubro"))
+
+
+@register("town_list", with_tables(
+    "SELECT ID_Localidad AS id, rtrim(Nombre) AS nombre FROM localidad ORDER BY Nombre, id", "localidad"))
+def town_list(fx):
+    return L.town_list(fx.tables("localidad"))
+
+
+@register("zone_list", with_tables(
+    "SELECT ID_Zona AS id, rtrim(Descripcion) AS descripcion FROM zona ORDER BY Descripcion, id", "zona"))
+def zone_list(fx):
+    return L.zone_list(fx.tables("zona"))
+
+
+@register("district_list", with_tables(
+    "SELECT ID_Barrio AS id, rtrim(Nombre) AS nombre FROM barrios ORDER BY Nombre, id", "barrios"))
+def district_list(fx):
+    return L.district_list(fx.tables("barrios"))
+
+
+@register("payment_terms_list", with_tables(
+    "SELECT ID_CondicionPago AS id, rtrim(Descripcion) AS descripcion FROM condicion_pago "
+    "ORDER BY Descripcion, id", "condicion_pago"))
+def payment_terms_list(fx):
+    return L.payment_terms_list(fx.tables("condicion_pago"))
+
+
+DRIVER_COLS_SQL = """ID_Repartidor AS id, rtrim(Nombre) AS nombre, rtrim(Apellido) AS apellido, rtrim(DNI) AS dni,
+  rtrim(Telefono) AS telefono, rtrim(Direccion) AS direccion, rtrim(Email) AS email, FechaIngreso AS fecha_ingreso,
+  rtrim(Estado) AS estado, rtrim(Observaciones) AS observaciones, rtrim(LicenciaConducir) AS licencia_conducir,
+  VencimientoLicencia AS vencimiento_licencia, CreatedAt AS created_at, UpdatedAt AS updated_at"""
+
+
+@register("driver_list", with_tables(f"SELECT {DRIVER_COLS_SQL} FROM repartidores ORDER BY ID_Repartidor DESC",
+                                     "repartidores"))
+def driver_list(fx):
+    return L.driver_list(fx.tables("repartidores"))
+
+
+@register("driver_get", with_tables(
+    f"SELECT {DRIVER_COLS_SQL} FROM repartidores WHERE ID_Repartidor IN (SELECT ID_Repartidor FROM pedidos)",
+    "repartidores", "pedidos"))
+def driver_get(fx):
+    return L.driver_get(fx.tables("repartidores"), fx.pedidos.select("ID_Repartidor"))

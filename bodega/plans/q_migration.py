@@ -1 +1,164 @@
-"""Registered queries."""
+"""Registered migration and load queries.
+
+Source side: products, orders and lines of the "other database" (the
+fixture's dirty variants, with broken references). Destination side: the
+clean dimension tables.
+"""
+from __future__ import annotations
+
+from bodega.operators import constraints as C
+from bodega.operators import migration as M
+from bodega.operators.listings import decimals_to_double
+from bodega.plans.fixture_sql import with_tables
+from bodega.plans.registry import register
+from bodega.sources import schemas as S
+
+DST = ("proveedores", "rubros", "marca", "alicuotas", "clientes", "condicion_pago")
+
+PRODUCT_COLS = [c.split(" ")[0] for c in S.DDL["productos"].split(", ")]
+MONEY = {"PrecioFinalUni", "Costo", "CostoUnit", "margen", "PrecioFinalPack", "PrecioNetoPack",
+         "PrecioNetoUni", "MontoIVA", "Total", "Apagar", "Dto", "CtaCte"}
+
+
+def _sel(cols, alias="p", override=None):
+    override = override or {}
+    out = []
+    for c in cols:
+        if c in override:
+            out.append(f"{override[c]} AS {c}")
+        elif c in MONEY:
+            out.append(f"CAST({alias}.{c} AS DOUBLE) AS {c}")
+        else:
+            out.append(f"{alias}.{c}")
+    return ", ".join(out)
+
+
+def _src(fx):
+    return {"productos": fx.productos_src, "pedidos": fx.pedidos_src, "detalle": fx.detalle_items,
+            "marca": fx.marca, "alicuotas": fx.alicuotas}
+
+
+@register("copy_brands", with_tables("SELECT Id_Marca, Mrc_Descripcion FROM marca", "marca"))
+def copy_brands(fx):
+    return M.copy_table(fx.marca)
+
+
+REPAIR_OVERRIDE = {
+    "ID_Proveedor": "CASE WHEN pr.ID_Proveedor IS NOT NULL THEN p.ID_Proveedor ELSE 1 END",
+    "ID_Rubro": "CASE WHEN r.ID_Rubro IS NOT NULL THEN p.ID_Rubro ELSE 1 END",
+    "idMarca": "CASE WHEN m.Id_Marca IS NOT NULL THEN p.idMarca ELSE NULL END",
+    "IdAlicIva": "CASE WHEN a.id_alicuota IS NOT NULL THEN p.IdAlicIva ELSE NULL END",
+}
+REPAIR_FROM = """FROM productos_src p
+LEFT JOIN proveedores pr ON p.ID_Proveedor = pr.ID_Proveedor
+LEFT JOIN rubros r ON p.ID_Rubro = r.ID_Rubro
+LEFT JOIN marca m ON p.idMarca = m.Id_Marca
+LEFT JOIN alicuotas a ON p.IdAlicIva = a.id_alicuota"""
+
+
+@register("repair_references", with_tables(
+    f"SELECT {_sel(PRODUCT_COLS, 'p', REPAIR_OVERRIDE)}\n{REPAIR_FROM}",
+    "productos_src", "proveedores", "rubros", "marca", "alicuotas"))
+def repair_references(fx):
+    rules = {fk: (getattr(fx, t), k, fb) for fk, (t, k, fb) in M.FALLBACKS.items()}
+    return decimals_to_double(M.repair_references(fx.productos_src, rules))
+
+
+@register("load_products")
+def load_products(fx):
+    """E2 + E5 (the hash-based stock has no DuckDB twin: row check only)."""
+    return decimals_to_double(M.load_products(fx.productos_src, fx.tables(*DST)))
+
+
+RECENT_SQL = with_tables(f"""
+SELECT {_sel(M.ORDER_COLS, 'tp', {"ID_Condicion":
+        "CASE WHEN cp.ID_CondicionPago IS NOT NULL THEN tp.ID_Condicion ELSE NULL END"})}
+FROM pedidos_src tp
+JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
+LEFT JOIN condicion_pago cp ON tp.ID_Condicion = cp.ID_CondicionPago
+ORDER BY tp.ID_TomaPedido DESC
+LIMIT 1000""", "pedidos_src", "clientes", "condicion_pago")
+
+
+@register("load_recent_orders", RECENT_SQL)
+def load_recent_orders(fx):
+    return decimals_to_double(M.load_recent_orders(fx.pedidos_src, fx.clientes, fx.condicion_pago))
+
+
+LINE_COLS = [c.split(" ")[0] for c in S.DDL["detalle"].split(", ")]
+LINES_SQL = with_tables(f"""
+SELECT {", ".join(f"CAST(d.{c} AS DOUBLE) AS {c}" if c in ("Cantidad", "PrecioUnitario", "ImporteconDto",
+                  "IVA", "RestoIVA", "Dto") else f"d.{c}" for c in LINE_COLS)}
+FROM detalle_items d
+JOIN (SELECT tp.ID_TomaPedido FROM pedidos_src tp JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
+      ORDER BY tp.ID_TomaPedido DESC LIMIT 1000) o ON d.ID_TomaPedido = o.ID_TomaPedido
+JOIN productos_src p ON d.ID_Producto = p.ID_Producto""",
+                        "detalle_items", "pedidos_src", "clientes", "productos_src")
+
+
+@register("load_order_lines", LINES_SQL)
+def load_order_lines(fx):
+    loaded = M.migrate(_src(fx), fx.tables(*DST))
+    return decimals_to_double(loaded["detalle"])
+
+
+REPORT_SQL = with_tables("""
+SELECT 'marca' AS table_name, count(*) AS rows_loaded FROM marca
+UNION ALL SELECT 'alicuotas', count(*) FROM alicuotas
+UNION ALL SELECT 'productos', count(*) FROM productos_src
+UNION ALL SELECT 'pedidos', count(*) FROM (SELECT 1 FROM pedidos_src tp JOIN clientes c
+  ON tp.ID_Cliente = c.ID_Cliente ORDER BY tp.ID_TomaPedido DESC LIMIT 1000)
+UNION ALL SELECT 'detalle', count(*) FROM detalle_items d
+  JOIN (SELECT tp.ID_TomaPedido FROM pedidos_src tp JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
+        ORDER BY tp.ID_TomaPedido DESC LIMIT 1000) o ON d.ID_TomaPedido = o.ID_TomaPedido
+  JOIN productos_src p ON d.ID_Producto = p.ID_Producto""",
+                         "marca", "alicuotas", "productos_src", "pedidos_src", "clientes", "detalle_items")
+
+
+@register("load_report", REPORT_SQL)
+def load_report(fx):
+    return M.load_report(M.migrate(_src(fx), fx.tables(*DST)))
+
+
+@register("ensure_column", with_tables(
+    f"SELECT {_sel(PRODUCT_COLS, 'p', {'PermiteDescuento': 'true'})} FROM productos p", "productos"))
+def ensure_column(fx):
+    bare = fx.productos.drop("PermiteDescuento")
+    once = M.ensure_column(bare, "PermiteDescuento", "boolean", True)
+    return decimals_to_double(M.ensure_column(once, "PermiteDescuento", "boolean", True))
+
+
+# ---- E9 -------------------------------------------------------------------
+CHECKED = {"productos": "productos_src", "pedidos": "pedidos_src", "detalle": "detalle_items",
+           "marca": "marca", "alicuotas": "alicuotas", "rubros": "rubros", "repartidores": "repartidores",
+           "clientes": "clientes", "proveedores": "proveedores", "condicion_pago": "condicion_pago"}
+
+
+def _constraints_sql() -> str:
+    parts = []
+    for name, cte in CHECKED.items():
+        cols = [c.split(" ")[0] for c in S.DDL[name].split(", ")]
+        rules = [("not_null", c, f"{c} IS NULL") for c in S.NOT_NULL.get(name, []) if c in cols]
+        rules += [(f"max_length_{n}", c, f"length({c}) > {n}") for c, n in S.MAX_LENGTH.get(name, {}).items()
+                  if c in cols]
+        for rule, col, cond in rules:
+            parts.append(f"SELECT '{name}' AS table_name, '{rule}' AS rule, '{col}' AS columns, "
+                         f"count(*) FILTER (WHERE {cond}) AS violations FROM {cte}")
+        if name in S.PRIMARY_KEY:
+            key = S.PRIMARY_KEY[name]
+            nullk = " OR ".join(f"{k} IS NULL" for k in key)
+            parts.append(
+                f"SELECT '{name}', 'primary_key', '{','.join(key)}', CAST(coalesce(sum(CASE WHEN {nullk} THEN n "
+                f"WHEN n > 1 THEN n - 1 ELSE 0 END), 0) AS BIGINT) "
+                f"FROM (SELECT {', '.join(key)}, count(*) AS n FROM {cte} GROUP BY {', '.join(key)})")
+    for t, c, rt, rc in S.FOREIGN_KEYS:
+        if t in CHECKED and rt in CHECKED:
+            parts.append(f"SELECT '{t}', 'foreign_key:{rt}.{rc}', '{c}', count(*) FROM {CHECKED[t]} x "
+                         f"WHERE x.{c} IS NOT NULL AND x.{c} NOT IN (SELECT {rc} FROM {CHECKED[rt]} "
+                         f"WHERE {rc} IS NOT NULL)")
+    return with_tables("\nUNION ALL ".join(parts), *CHECKED.values())
+
+
+@register("check_constraints", _constraints_sql())
+def check_constraints(fx):
+    return C.check_constraints({k: getattr(fx, v) for k, v in CHECKED.items()})

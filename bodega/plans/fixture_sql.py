@@ -228,3 +228,35 @@ def with_tables(body: str, *names: str, extra: list[tuple[str, str]] | None = No
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# ---- change tables (shared expression text, see bodega.sources.change_fixtures) ----
+KEY_SQL_TYPE = {"productos": "BIGINT", "clientes": "BIGINT", "proveedores": "BIGINT",
+                "marca": "INTEGER", "rubros": "INTEGER", "repartidores": "INTEGER"}
+
+
+def _change_cte(table: str) -> str:
+    from bodega.sources.change_fixtures import ALTER, FIELDS, KEYS
+    key = KEYS[table]
+    cols = ",\n  ".join(f"{ALTER[table].get(c, c)} AS {c}" for c in FIELDS[table])
+    return f"""
+SELECT CAST(CASE WHEN _v = 3 THEN _k + (SELECT max({key}) FROM {table}) + 1 ELSE _k END AS {KEY_SQL_TYPE[table]})
+    AS {key},
+  CAST(_k * 10 + _v AS BIGINT) AS change_seq,
+  {cols}
+FROM (SELECT b.*, b.{key} AS _k, v._v FROM {table} b CROSS JOIN (VALUES (1), (2), (3)) v(_v)
+      WHERE v._v = 1 OR (v._v = 2 AND b.{key} % 7 = 0)
+         OR (v._v = 3 AND (b.{key} % 50 = 0 OR b.{key} = (SELECT max({key}) FROM {table}))))"""
+
+
+for _t in KEY_SQL_TYPE:
+    _cte(f"{_t}_changes", (_t,), _change_cte(_t))
+
+
+def _roster_cte() -> str:
+    from bodega.sources.change_fixtures import ROSTER_SQL
+    cols = ",\n  ".join(f"{e.replace('TIMESTAMP_NTZ', 'TIMESTAMP')} AS {c}" for c, e in ROSTER_SQL.items())
+    return f"SELECT {cols} FROM nation"
+
+
+_cte("driver_roster", (), _roster_cte())

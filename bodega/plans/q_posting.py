@@ -1 +1,250 @@
-"""Registered queries."""
+"""Registered order-posting queries (P1-P8) over the derived order requests."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bodega.operators import posting as P
+from bodega.operators.listings import decimals_to_double
+from bodega.plans.fixture_sql import AS_OF_SQL, with_tables
+from bodega.plans.registry import register
+
+REQ = ("request_headers", "request_items", "productos")
+
+# The validation / pricing / decision chain in DuckDB (opening stock, per line).
+CHAIN = [
+    ("cnt", "SELECT request_id, count(*) AS n_items FROM request_items GROUP BY request_id"),
+    ("v", """SELECT h.*, coalesce(c.n_items, 0) AS n_items,
+  CASE WHEN h.client_id IS NULL OR h.client_id = 0 OR coalesce(c.n_items, 0) = 0 THEN 'missing_data'
+       WHEN h.delivery_type = 'por reparto' AND (h.repartidor_id IS NULL OR h.repartidor_id = 0) THEN 'missing_driver'
+       WHEN coalesce(c.n_items, 0) > 99 THEN 'too_many_items' END AS reject_reason
+FROM request_headers h LEFT JOIN cnt c ON h.request_id = c.request_id"""),
+    ("pl", """SELECT i.request_id, i.pos, i.product_id, i.quantity,
+  CASE WHEN i.unit_price IS NULL OR i.unit_price = 0 THEN CAST(p.PrecioFinalUni AS DECIMAL(18,2))
+       ELSE i.unit_price END AS unit_price,
+  p.Stock AS stock_open, p.ID_Producto IS NOT NULL AS found
+FROM request_items i LEFT JOIN productos p ON i.product_id = p.ID_Producto"""),
+    ("lines", """SELECT *, CAST(unit_price * quantity AS DECIMAL(18,4)) AS amount,
+  CAST(unit_price * quantity AS DECIMAL(18,4)) * 0.21 AS vat, printf('%02d', pos) AS Item,
+  (quantity IS NULL OR unit_price IS NULL) AS bad_number, quantity AS need FROM pl"""),
+    ("fails", """SELECT *, CASE WHEN NOT found THEN 'unknown_product' WHEN stock_open < need THEN 'insufficient_stock' END
+  AS fail FROM lines"""),
+    ("per", """SELECT request_id, arg_min(fail, pos) FILTER (WHERE fail IS NOT NULL) AS line_reason,
+  max(CAST(bad_number AS INTEGER)) AS bad, sum(amount) AS total FROM fails GROUP BY request_id"""),
+    ("dec", """SELECT v.*, per.total,
+  coalesce(v.reject_reason, per.line_reason, CASE WHEN per.bad = 1 THEN 'bad_number' END) AS reason
+FROM v LEFT JOIN per ON v.request_id = per.request_id"""),
+    ("acc", "SELECT * FROM dec WHERE reason IS NULL"),
+    ("ids", """SELECT (SELECT max(ID_TomaPedido) FROM pedidos) + row_number() OVER (ORDER BY request_id) AS ID_TomaPedido,
+  * FROM acc"""),
+    ("moves", """SELECT product_id, sum(ceil(quantity)) AS t FROM lines
+WHERE request_id IN (SELECT request_id FROM acc) GROUP BY product_id"""),
+]
+
+
+def _chain_sql(body: str, upto: str, *tables: str) -> str:
+    names = [n for n, _ in CHAIN]
+    extra = CHAIN[:names.index(upto) + 1]
+    return with_tables(body, *REQ, *tables, extra=extra)
+
+
+def _fx_tables(fx):
+    return fx.tables("productos", "pedidos", "detalle")
+
+
+@register("validate_requests", _chain_sql("SELECT request_id, n_items, reject_reason FROM v", "v"))
+def validate_requests(fx):
+    v = P.validate_requests(fx.request_headers, fx.request_items)
+    return v.select("request_id", "n_items", "reject_reason")
+
+
+@register("price_lines", _chain_sql("""
+SELECT request_id, pos, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+  CAST(amount AS DOUBLE) AS amount, CAST(vat AS DOUBLE) AS vat, Item, found, bad_number FROM lines""", "lines"))
+def price_lines(fx):
+    return decimals_to_double(P.price_lines(fx.request_items, fx.productos).drop("stock_open"))
+
+
+@register("check_stock", _chain_sql(
+    "SELECT request_id, reason IS NULL AS accepted, reason FROM dec", "dec"))
+def check_stock(fx):
+    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos)
+    return dec.select("request_id", "accepted", "reason")
+
+
+@register("order_totals", _chain_sql(
+    "SELECT request_id, CAST(sum(amount) AS DOUBLE) AS total FROM lines GROUP BY request_id", "lines"))
+def order_totals(fx):
+    return decimals_to_double(P.order_totals(P.price_lines(fx.request_items, fx.productos)))
+
+
+@register("stock_movements", _chain_sql(
+    "SELECT product_id, CAST(-t AS BIGINT) AS delta FROM moves", "moves", "pedidos"))
+def stock_movements(fx):
+    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos)
+    acc = dec.where(F.col("accepted")).select("request_id")
+    lines = P.price_lines(fx.request_items, fx.productos).join(acc, "request_id", "left_semi")
+    return P.stock_movements(lines)
+
+
+# ---- P6 (opening stock: SQL oracle) -----------------------------------------
+ORDERS_OUT = f"""SELECT ID_TomaPedido, request_id, 'A' AS Letra, 1 AS ID_Comprobante, client_id AS ID_Cliente,
+  {AS_OF_SQL} AS Fecha, coalesce(delivery_date, {AS_OF_SQL} + INTERVAL 7 DAY) AS FechaEntrega,
+  CAST(0 AS DOUBLE) AS Dto, CAST(total AS DOUBLE) AS Total, CAST(total AS DOUBLE) AS Apagar,
+  CAST(0 AS DOUBLE) AS CtaCte, 'Pendiente' AS Estado,
+  CAST(CASE WHEN delivery_type = 'deposito' THEN 1 ELSE 0 END AS SMALLINT) AS bDeposito,
+  CASE WHEN repartidor_id IS NULL OR repartidor_id = 0 THEN NULL ELSE repartidor_id END AS ID_Repartidor
+FROM ids"""
+
+LINES_OUT = """SELECT ids.ID_TomaPedido, l.request_id, l.product_id AS ID_Producto, CAST(l.vat AS DOUBLE) AS IVA,
+  CAST(l.unit_price AS DOUBLE) AS PrecioUnitario, CAST(l.quantity AS DOUBLE) AS Cantidad,
+  CAST(0 AS DOUBLE) AS RestoIVA, CAST(0 AS DOUBLE) AS Dto, CAST(l.amount AS DOUBLE) AS ImporteconDto, l.Item
+FROM lines l JOIN ids ON l.request_id = ids.request_id"""
+
+STOCK_OUT = """SELECT p.ID_Producto, CAST(p.Stock - coalesce(m.t, 0) AS INTEGER) AS Stock
+FROM productos p LEFT JOIN moves m ON p.ID_Producto = m.product_id"""
+
+
+def _post(fx, mode):
+    return P.post_orders(_fx_tables(fx), fx.request_headers, fx.request_items, fx.as_of, mode=mode)
+
+
+@register("post_orders", _chain_sql(ORDERS_OUT, "ids", "pedidos"))
+def post_orders(fx):
+    return decimals_to_double(_post(fx, "opening_stock")["orders"])
+
+
+@register("post_orders_lines", _chain_sql(LINES_OUT, "ids", "pedidos"))
+def post_orders_lines(fx):
+    return decimals_to_double(_post(fx, "opening_stock")["lines"])
+
+
+@register("post_orders_stock", _chain_sql(STOCK_OUT, "moves", "pedidos"))
+def post_orders_stock(fx):
+    return _post(fx, "opening_stock")["products"].select("ID_Producto", "Stock")
+
+
+@register("post_orders_rejects", _chain_sql("SELECT request_id, reason FROM dec WHERE reason IS NOT NULL", "dec"))
+def post_orders_rejects(fx):
+    return _post(fx, "opening_stock")["rejects"]
+
+
+# ---- P6 sequential (row check; tested against a one-by-one simulation) -------
+@register("post_orders_sequential")
+def post_orders_sequential(fx):
+    return decimals_to_double(_post(fx, "sequential")["orders"])
+
+
+@register("post_orders_sequential_stock")
+def post_orders_sequential_stock(fx):
+    return _post(fx, "sequential")["products"].select("ID_Producto", "Stock")
+
+
+@register("post_orders_sequential_rejects")
+def post_orders_sequential_rejects(fx):
+    return _post(fx, "sequential")["rejects"]
+
+
+# ---- P7 ----------------------------------------------------------------------
+EDIT_CHAIN = [
+    ("latest", "SELECT order_id, max(request_id) AS request_id FROM edit_headers WHERE order_id IS NOT NULL "
+               "GROUP BY order_id"),
+    ("eh", "SELECT h.* FROM edit_headers h JOIN latest l ON h.order_id = l.order_id AND h.request_id = l.request_id"),
+    ("ei", "SELECT * FROM edit_items WHERE request_id IN (SELECT request_id FROM eh)"),
+    ("cnt", "SELECT request_id, count(*) AS n_items FROM ei GROUP BY request_id"),
+    ("v", """SELECT h.*, coalesce(c.n_items, 0) AS n_items,
+  CASE WHEN h.client_id IS NULL OR h.client_id = 0 OR coalesce(c.n_items, 0) = 0 THEN 'missing_data'
+       WHEN h.delivery_type = 'por reparto' AND (h.repartidor_id IS NULL OR h.repartidor_id = 0) THEN 'missing_driver'
+       WHEN coalesce(c.n_items, 0) > 99 THEN 'too_many_items' END AS reject_reason,
+  CASE WHEN h.order_id NOT IN (SELECT ID_TomaPedido FROM pedidos) THEN 'not_found' END AS late_reason
+FROM eh h LEFT JOIN cnt c ON h.request_id = c.request_id"""),
+    ("back", """SELECT h.request_id, d.ID_Producto AS product_id, sum(floor(d.Cantidad)) AS back
+FROM detalle d JOIN eh h ON d.ID_TomaPedido = h.order_id GROUP BY h.request_id, d.ID_Producto"""),
+    ("pl", """SELECT i.request_id, i.pos, i.product_id, i.quantity,
+  CASE WHEN i.unit_price IS NULL OR i.unit_price = 0 THEN CAST(p.PrecioFinalUni AS DECIMAL(18,2))
+       ELSE i.unit_price END AS unit_price,
+  p.Stock AS stock_open, p.ID_Producto IS NOT NULL AS found
+FROM ei i LEFT JOIN productos p ON i.product_id = p.ID_Producto"""),
+    ("lines", """SELECT pl.*, CAST(unit_price * quantity AS DECIMAL(18,4)) AS amount, quantity AS need,
+  (quantity IS NULL OR unit_price IS NULL) AS bad_number, coalesce(b.back, 0) AS back
+FROM pl LEFT JOIN back b ON pl.request_id = b.request_id AND pl.product_id = b.product_id"""),
+    ("fails", """SELECT *, CASE WHEN NOT found THEN 'unknown_product'
+  WHEN stock_open + back < need THEN 'insufficient_stock' END AS fail FROM lines"""),
+    ("per", """SELECT request_id, arg_min(fail, pos) FILTER (WHERE fail IS NOT NULL) AS line_reason,
+  max(CAST(bad_number AS INTEGER)) AS bad, sum(amount) AS total FROM fails GROUP BY request_id"""),
+    ("dec", """SELECT v.*, per.total,
+  coalesce(v.reject_reason, per.line_reason, v.late_reason, CASE WHEN per.bad = 1 THEN 'bad_number' END) AS reason
+FROM v LEFT JOIN per ON v.request_id = per.request_id"""),
+    ("acc", "SELECT * FROM dec WHERE reason IS NULL"),
+    ("gave", "SELECT product_id, sum(back) AS b FROM back WHERE request_id IN (SELECT request_id FROM acc) "
+             "GROUP BY product_id"),
+    ("took", "SELECT product_id, sum(ceil(quantity)) AS t FROM lines WHERE request_id IN (SELECT request_id FROM acc) "
+             "GROUP BY product_id"),
+]
+EDIT_TABLES = ("edit_headers", "edit_items", "productos", "pedidos", "detalle")
+
+
+def _edit(fx):
+    return P.replace_orders(_fx_tables(fx), fx.edit_headers, fx.edit_items, fx.as_of)
+
+
+@register("replace_orders", with_tables(f"""
+SELECT o.ID_TomaPedido,
+  CASE WHEN a.order_id IS NOT NULL THEN a.client_id ELSE o.ID_Cliente END AS ID_Cliente,
+  o.Fecha,
+  CASE WHEN a.order_id IS NOT NULL THEN coalesce(a.delivery_date, {AS_OF_SQL} + INTERVAL 7 DAY)
+       ELSE o.FechaEntrega END AS FechaEntrega,
+  o.ID_Condicion,
+  CAST(CASE WHEN a.order_id IS NOT NULL THEN CAST(a.total AS DECIMAL(18,2)) ELSE o.Total END AS DOUBLE) AS Total,
+  CAST(CASE WHEN a.order_id IS NOT NULL THEN CAST(a.total AS DECIMAL(18,2)) ELSE o.Apagar END AS DOUBLE) AS Apagar,
+  CAST(o.Dto AS DOUBLE) AS Dto, CAST(o.CtaCte AS DOUBLE) AS CtaCte, o.Estado, o.Observaciones,
+  CASE WHEN a.order_id IS NOT NULL THEN CAST(CASE WHEN a.delivery_type = 'deposito' THEN 1 ELSE 0 END AS SMALLINT)
+       ELSE o.bDeposito END AS bDeposito,
+  CASE WHEN a.order_id IS NOT NULL THEN
+         CASE WHEN a.repartidor_id IS NULL OR a.repartidor_id = 0 THEN NULL ELSE a.repartidor_id END
+       ELSE o.ID_Repartidor END AS ID_Repartidor,
+  o.Letra, o.ID_Comprobante
+FROM pedidos o LEFT JOIN acc a ON o.ID_TomaPedido = a.order_id""", *EDIT_TABLES, extra=EDIT_CHAIN))
+def replace_orders(fx):
+    return decimals_to_double(_edit(fx)["orders"])
+
+
+@register("replace_orders_stock", with_tables("""
+SELECT p.ID_Producto, CAST(p.Stock + coalesce(g.b, 0) - coalesce(t.t, 0) AS INTEGER) AS Stock
+FROM productos p LEFT JOIN gave g ON p.ID_Producto = g.product_id LEFT JOIN took t ON p.ID_Producto = t.product_id""",
+    *EDIT_TABLES, extra=EDIT_CHAIN))
+def replace_orders_stock(fx):
+    return _edit(fx)["products"].select("ID_Producto", "Stock")
+
+
+@register("replace_orders_rejects", with_tables(
+    "SELECT request_id, order_id, reason FROM dec WHERE reason IS NOT NULL", *EDIT_TABLES, extra=EDIT_CHAIN))
+def replace_orders_rejects(fx):
+    return _edit(fx)["rejects"]
+
+
+# ---- P8 ----------------------------------------------------------------------
+STATUS_CHANGES_SQL = """
+SELECT ID_TomaPedido AS order_id, 'Entregado' AS status, ID_TomaPedido * 10 + 2 AS change_seq
+FROM pedidos WHERE Estado IN ('O', 'P')
+UNION ALL
+SELECT ID_TomaPedido, 'En camino', ID_TomaPedido * 10 + 1 FROM pedidos WHERE Estado = 'P'"""
+
+
+def status_changes(pedidos):
+    k = F.col("ID_TomaPedido")
+    done = pedidos.where(F.col("Estado").isin("O", "P")).select(
+        k.alias("order_id"), F.lit("Entregado").alias("status"), (k * 10 + 2).alias("change_seq"))
+    moving = pedidos.where(F.col("Estado") == "P").select(
+        k.alias("order_id"), F.lit("En camino").alias("status"), (k * 10 + 1).alias("change_seq"))
+    return done.unionByName(moving)
+
+
+@register("set_order_status", with_tables("""
+SELECT o.ID_TomaPedido, o.ID_Cliente, o.Fecha, o.FechaEntrega, o.ID_Condicion, CAST(o.Total AS DOUBLE) AS Total,
+  CAST(o.Apagar AS DOUBLE) AS Apagar, CAST(o.Dto AS DOUBLE) AS Dto, CAST(o.CtaCte AS DOUBLE) AS CtaCte,
+  coalesce(l.status, o.Estado) AS Estado, o.Observaciones, o.bDeposito, o.ID_Repartidor, o.Letra, o.ID_Comprobante
+FROM pedidos o LEFT JOIN (SELECT order_id, arg_max(status, change_seq) AS status FROM ch GROUP BY order_id) l
+  ON o.ID_TomaPedido = l.order_id""", "pedidos", extra=[("ch", STATUS_CHANGES_SQL)]))
+def set_order_status(fx):
+    snap, _ = P.set_order_status(fx.pedidos, status_changes(fx.pedidos))
+    return decimals_to_double(snap)

@@ -35,7 +35,8 @@ def _falsy(df: DataFrame, c: str) -> Column:
     """JavaScript falsiness of a field, by its type."""
     t = df.schema[c].dataType
     if isinstance(t, StringType):
-        return F.col(c).isNull() | (F.col(c) == "")
+        # a JSON number read as text: 0 is missing, as the number 0 is in JS
+        return F.col(c).isNull() | (F.col(c) == "") | F.coalesce(F.col(c).try_cast("double") == 0, F.lit(False))
     if isinstance(t, NumericType):
         return falsy_number(F.col(c))
     return F.col(c).isNull()

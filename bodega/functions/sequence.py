@@ -32,28 +32,30 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                values: dict[str, Column], *, inclusive: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
-    """Add, per name in ``values``, the running sum of that value within the
-    group in ``order_cols`` order (current row included unless
-    ``inclusive=False``). ``order_cols`` must order rows totally within a
-    group, or tied rows must be interchangeable."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def stage_ranges(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Range-partition on (group, order), tag each row with its partition and
+    checkpoint, so the assignment survives retries and can be reused."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = df.repartitionByRange(n, *_cols(group_cols), *_cols(order_cols)).withColumn(_PID, F.spark_partition_id())
+    return reliable_checkpoint(staged)
+
+
+def prefix_sums_staged(staged: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
+                       values: dict[str, Column], *, inclusive: bool = True) -> DataFrame:
+    """``prefix_sums`` over rows already tagged by ``stage_ranges`` (the tag
+    column is dropped from the result)."""
     group = list(group_cols)
     order = _cols(order_cols)
     vnames = list(values)
-
-    staged = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
-    staged = staged.repartitionByRange(n, *_cols(group), *order).withColumn(_PID, F.spark_partition_id())
-    staged = reliable_checkpoint(staged)
+    base_cols = [c for c in staged.columns if c != _PID]
+    rows = staged.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
 
     local_w = (Window.partitionBy(*group, _PID).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = staged.select("*", *[F.sum(f"_v_{k}").over(local_w).alias(f"_l_{k}") for k in vnames])
+    local = rows.select("*", *[F.sum(f"_v_{k}").over(local_w).alias(f"_l_{k}") for k in vnames])
 
-    totals = staged.groupBy(*group, _PID).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in vnames])
+    totals = rows.groupBy(*group, _PID).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in vnames])
     off_w = Window.partitionBy(*group).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, _PID, *[
         F.coalesce(F.sum(f"_t_{k}").over(off_w), F.lit(0)).alias(f"_o_{k}") for k in vnames])
@@ -69,8 +71,18 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
         if not inclusive:
             run = run - F.col(f"_v_{k}")
         outs.append(run.alias(k))
-    keep = [local[c] for c in df.columns]
-    return joined.select(*keep, *outs)
+    return joined.select(*[local[c] for c in base_cols], *outs)
+
+
+def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
+                values: dict[str, Column], *, inclusive: bool = True,
+                num_partitions: int | None = None) -> DataFrame:
+    """Add, per name in ``values``, the running sum of that value within the
+    group in ``order_cols`` order (current row included unless
+    ``inclusive=False``). ``order_cols`` must order rows totally within a
+    group, or tied rows must be interchangeable."""
+    staged = stage_ranges(df, group_cols, order_cols, num_partitions)
+    return prefix_sums_staged(staged, group_cols, order_cols, values, inclusive=inclusive)
 
 
 def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,

@@ -25,7 +25,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from bodega.functions.exprs import (DEFAULT_DELIVERY_DAYS, DELIVERY_ROUTE, MAX_ITEMS, STATE_PENDING, VAT_RATE,
                                     deposit_flag, falsy_number, item_number, shift_days, ts)
-from bodega.functions.sequence import prefix_sums, reliable_checkpoint
+from bodega.functions.sequence import prefix_sums, prefix_sums_staged, reliable_checkpoint, stage_ranges
 from bodega.operators.changes import assign_ids
 
 MONEY = "decimal(18,2)"
@@ -171,11 +171,12 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
     checkpointed to the shared folder."""
     status = cand.select("request_id").distinct().withColumn("st", F.lit("U"))
     status = reliable_checkpoint(status)
+    staged = stage_ranges(cand, ["product_id"], ["request_id"])  # once: rows never move between ranges
     while True:
-        rows = cand.join(status.where(F.col("st") != "R"), "request_id")
+        rows = staged.join(status.where(F.col("st") != "R"), "request_id")
         is_a, is_u = F.col("st") == "A", F.col("st") == "U"
         zero = F.lit(0).cast("long")
-        run = prefix_sums(rows, ["product_id"], ["request_id"], {
+        run = prefix_sums_staged(rows, ["product_id"], ["request_id"], {
             "acc": F.when(is_a, F.col("take")).otherwise(zero),
             "up": F.when(is_u, F.greatest(F.col("take"), zero)).otherwise(zero),
             "down": F.when(is_u, F.least(F.col("take"), zero)).otherwise(zero),
@@ -217,6 +218,9 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
     products = d["productos"]
     v = validate_requests(headers, items)
     lines = _need(price_lines(items, products), check)
+    if mode == "sequential":
+        # read by five steps of the sequential path: priced once
+        lines = reliable_checkpoint(lines)
     if mode == "opening_stock":
         dec = decide(v, lines, F.col("stock_open"))
     elif mode == "sequential":

@@ -2,10 +2,11 @@
 
 A window ``partitionBy(g).orderBy(o)`` puts a whole group into one task; if
 one group holds a third of all rows, that task holds a third of the data.
-Here the rows are range-partitioned on ``(g, o)`` instead, so a hot group is
-cut across many partitions. Each partition computes its own running sums,
-the per-(group, partition) totals (at most groups + partitions rows) give
-each slice its offset, and a join adds the offset back.
+For such groups the rows are range-partitioned on ``(g, o)`` instead, so a
+hot group is cut across many partitions. Each partition computes its own
+running sums, the per-(group, partition) totals (at most groups +
+partitions rows) give each slice its offset, and a join adds the offset
+back. Ordinary groups keep the plain window.
 
 The range assignment is written to the session's checkpoint folder once,
 so a retried task sees the same partitions as the first attempt.
@@ -74,21 +75,51 @@ def prefix_sums_staged(staged: DataFrame, group_cols: Sequence[str], order_cols:
     return joined.select(*[local[c] for c in base_cols], *outs)
 
 
+HOT_GROUP_ROWS = 1_000_000  # a group above this many rows is split across tasks
+
+
+def _hot_rows(spark) -> int:
+    return int(spark.conf.get("bodega.hotGroupRows", str(HOT_GROUP_ROWS)))
+
+
+def _window_sums(df: DataFrame, group: list[str], order, values: dict[str, Column], inclusive: bool) -> DataFrame:
+    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(*frame)
+    return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(k) for k, v in values.items()])
+
+
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                 values: dict[str, Column], *, inclusive: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add, per name in ``values``, the running sum of that value within the
     group in ``order_cols`` order (current row included unless
     ``inclusive=False``). ``order_cols`` must order rows totally within a
-    group, or tied rows must be interchangeable."""
-    staged = stage_ranges(df, group_cols, order_cols, num_partitions)
-    return prefix_sums_staged(staged, group_cols, order_cols, values, inclusive=inclusive)
+    group, or tied rows must be interchangeable.
+
+    Groups up to ``hot_rows`` rows (conf ``bodega.hotGroupRows``) use a
+    plain window; larger ones are range-split across tasks. Finding them is
+    one grouped count with map-side combining; there are at most
+    rows / hot_rows of them, which bounds the broadcast of their keys."""
+    group = list(group_cols)
+    if not group:
+        staged = stage_ranges(df, group, order_cols, num_partitions)
+        return prefix_sums_staged(staged, group, order_cols, values, inclusive=inclusive)
+    limit = hot_rows or _hot_rows(df.sparkSession)
+    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*group))
+    hot = reliable_checkpoint(hot)
+    if hot.limit(1).count() == 0:
+        return _window_sums(df, group, _cols(order_cols), values, inclusive)
+    keys = F.broadcast(hot)
+    cold = _window_sums(df.join(keys, group, "left_anti"), group, _cols(order_cols), values, inclusive)
+    staged = stage_ranges(df.join(keys, group, "left_semi"), group, order_cols, num_partitions)
+    warm = prefix_sums_staged(staged, group, order_cols, values, inclusive=inclusive)
+    return cold.select(*df.columns, *values).unionByName(warm.select(*df.columns, *values))
 
 
 def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                name: str = "rn", start: int = 1) -> DataFrame:
+                name: str = "rn", start: int = 1, hot_rows: int | None = None) -> DataFrame:
     """``row_number()`` within each group, skew-safe."""
-    out = prefix_sums(df, group_cols, order_cols, {name: F.lit(1).cast("long")})
+    out = prefix_sums(df, group_cols, order_cols, {name: F.lit(1).cast("long")}, hot_rows=hot_rows)
     if start != 1:
         out = out.withColumn(name, F.col(name) + F.lit(start - 1))
     return out

@@ -11,7 +11,7 @@ def test_prefix_sums_match_window_with_hot_group(spark):
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 17).alias("g"),  # group 0 holds a third
         F.col("id").alias("o"),
         (F.col("id") % 7 - 3).alias("v"))
-    got = prefix_sums(df, ["g"], ["o"], {"s": F.col("v")}, inclusive=False, num_partitions=6)
+    got = prefix_sums(df, ["g"], ["o"], {"s": F.col("v")}, inclusive=False, num_partitions=6, hot_rows=1000)
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("g", "o", "v", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"))
     assert sorted(got.collect()) == sorted(want.collect())
@@ -25,7 +25,13 @@ def test_number_rows_global_and_grouped(spark):
     glob = number_rows(df, [], ["k"], "rn").collect()
     assert sorted(r.rn for r in glob) == list(range(1, 1001))
     assert all(r.rn == r.k + 1 for r in glob)
-    grp = number_rows(df, ["g"], ["k"], "rn")
+    grp = number_rows(df, ["g"], ["k"], "rn", hot_rows=100)
     w = Window.partitionBy("g").orderBy("k")
     want = df.select("k", "g", F.row_number().over(w).alias("rn"))
     assert sorted(grp.collect()) == sorted(want.collect())
+
+
+def test_plain_window_path_when_no_group_is_hot(spark):
+    df = spark.range(300).select((F.col("id") % 10).alias("g"), F.col("id").alias("o"))
+    got = number_rows(df, ["g"], ["o"], "rn")
+    assert all(r.rn == r.o // 10 + 1 for r in got.collect())

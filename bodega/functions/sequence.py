@@ -82,12 +82,23 @@ def _hot_rows(spark) -> int:
     return int(spark.conf.get("bodega.hotGroupRows", str(HOT_GROUP_ROWS)))
 
 
-def _window_sums(df: DataFrame, group: list[str], order, values: dict[str, Column], inclusive: bool) -> DataFrame:
+def window_sums(df: DataFrame, group: Sequence[str], order_cols: Sequence, values: dict[str, Column],
+                inclusive: bool = True) -> DataFrame:
+    """Running sums with a plain window: for groups known not to be hot."""
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(*frame)
+    w = Window.partitionBy(*group).orderBy(*_cols(order_cols)).rowsBetween(*frame)
     return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(k) for k, v in values.items()])
 
 
+def hot_keys(df: DataFrame, group: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Keys of the groups above the hot-row limit (checkpointed), or None if
+    there are none. At most rows / limit keys, so they may be broadcast."""
+    limit = hot_rows or _hot_rows(df.sparkSession)
+    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*group)
+    hot = reliable_checkpoint(hot)
+    return None if hot.limit(1).count() == 0 else hot
+
+
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                 values: dict[str, Column], *, inclusive: bool = True,
                 num_partitions: int | None = None, hot_rows: int | None = None) -> DataFrame:
@@ -104,13 +115,11 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     if not group:
         staged = stage_ranges(df, group, order_cols, num_partitions)
         return prefix_sums_staged(staged, group, order_cols, values, inclusive=inclusive)
-    limit = hot_rows or _hot_rows(df.sparkSession)
-    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*group))
-    hot = reliable_checkpoint(hot)
-    if hot.limit(1).count() == 0:
-        return _window_sums(df, group, _cols(order_cols), values, inclusive)
+    hot = hot_keys(df, group, hot_rows)
+    if hot is None:
+        return window_sums(df, group, order_cols, values, inclusive)
     keys = F.broadcast(hot)
-    cold = _window_sums(df.join(keys, group, "left_anti"), group, _cols(order_cols), values, inclusive)
+    cold = window_sums(df.join(keys, group, "left_anti"), group, order_cols, values, inclusive)
     staged = stage_ranges(df.join(keys, group, "left_semi"), group, order_cols, num_partitions)
     warm = prefix_sums_staged(staged, group, order_cols, values, inclusive=inclusive)
     return cold.select(*df.columns, *values).unionByName(warm.select(*df.columns, *values))

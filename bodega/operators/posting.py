@@ -25,7 +25,8 @@ from pyspark.sql.types import NumericType, StringType
 
 from bodega.functions.exprs import (DEFAULT_DELIVERY_DAYS, DELIVERY_ROUTE, MAX_ITEMS, STATE_PENDING, VAT_RATE,
                                     deposit_flag, falsy_number, item_number, shift_days, ts)
-from bodega.functions.sequence import prefix_sums, prefix_sums_staged, reliable_checkpoint, stage_ranges
+from bodega.functions.sequence import (hot_keys, prefix_sums, prefix_sums_staged, reliable_checkpoint, stage_ranges,
+                                       window_sums)
 from bodega.operators.changes import assign_ids
 
 MONEY = "decimal(18,2)"
@@ -171,16 +172,26 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
     checkpointed to the shared folder."""
     status = cand.select("request_id").distinct().withColumn("st", F.lit("U"))
     status = reliable_checkpoint(status)
-    staged = stage_ranges(cand, ["product_id"], ["request_id"])  # once: rows never move between ranges
+    # products with very many candidate orders are range-split once (rows never
+    # move between ranges); the others use a plain window per product
+    hot = hot_keys(cand, ["product_id"])
+    cold = cand if hot is None else cand.join(F.broadcast(hot), "product_id", "left_anti")
+    staged = None if hot is None else stage_ranges(cand.join(F.broadcast(hot), "product_id", "left_semi"),
+                                                   ["product_id"], ["request_id"])
+    is_a, is_u = F.col("st") == "A", F.col("st") == "U"
+    zero = F.lit(0).cast("long")
+    sums = {
+        "acc": F.when(is_a, F.col("take")).otherwise(zero),
+        "up": F.when(is_u, F.greatest(F.col("take"), zero)).otherwise(zero),
+        "down": F.when(is_u, F.least(F.col("take"), zero)).otherwise(zero),
+    }
     while True:
-        rows = staged.join(status.where(F.col("st") != "R"), "request_id")
-        is_a, is_u = F.col("st") == "A", F.col("st") == "U"
-        zero = F.lit(0).cast("long")
-        run = prefix_sums_staged(rows, ["product_id"], ["request_id"], {
-            "acc": F.when(is_a, F.col("take")).otherwise(zero),
-            "up": F.when(is_u, F.greatest(F.col("take"), zero)).otherwise(zero),
-            "down": F.when(is_u, F.least(F.col("take"), zero)).otherwise(zero),
-        }, inclusive=False)
+        live = status.where(F.col("st") != "R")
+        run = window_sums(cold.join(live, "request_id"), ["product_id"], ["request_id"], sums, inclusive=False)
+        if staged is not None:
+            warm = prefix_sums_staged(staged.join(live, "request_id"), ["product_id"], ["request_id"], sums,
+                                      inclusive=False)
+            run = run.unionByName(warm.select(*run.columns))
         und = run.where(F.col("st") == "U")
         worst = F.col("stock_open") - (F.col("acc") + F.col("up"))
         best = F.col("stock_open") - (F.col("acc") + F.col("down"))

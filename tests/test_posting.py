@@ -54,8 +54,13 @@ def _rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_sequential_equals_one_by_one(spark, sf):
+@pytest.mark.parametrize("sf,hot_rows", [("/root/testdata/sf0.001", None), ("/root/testdata/sf0.01", None),
+                                         ("/root/testdata/sf0.001", "3")])
+def test_sequential_equals_one_by_one(spark, sf, hot_rows):
+    if hot_rows:  # force the range-split path for every product with more than 3 orders
+        spark.conf.set("bodega.hotGroupRows", hot_rows)
+    else:
+        spark.conf.unset("bodega.hotGroupRows")
     fx = Fixture(spark, sf)
     d = fx.tables("productos", "pedidos", "detalle")
     out = P.post_orders(d, fx.request_headers, fx.request_items, AS_OF, mode="sequential")
@@ -71,6 +76,7 @@ def test_sequential_equals_one_by_one(spark, sf):
     base = fx.pedidos.agg(F.max("ID_TomaPedido")).first()[0]
     ids = sorted((r.request_id, r.ID_TomaPedido) for r in out["orders"].collect())
     assert [i for _, i in ids] == list(range(base + 1, base + 1 + len(ids)))
+    spark.conf.unset("bodega.hotGroupRows")
 
 
 def test_opening_stock_invariants(spark, fx):

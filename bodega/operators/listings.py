@@ -202,11 +202,9 @@ def provider_get(d: dict, ids: DataFrame | None) -> DataFrame:
 
 
 # ---- small catalogs -------------------------------------------------------
-def brand_list(d: dict) -> DataFrame:
+def brand_list(d: dict, collation: str | None = None) -> DataFrame:
     """Brands, trimmed, by name."""
-    m = d["marca"]
-    return m.select(F.col("Id_Marca").alias("id_marca"), F.rtrim("Mrc_Descripcion").alias("descripcion"),
-                    F.col("Mrc_Descripcion").alias("_o")).orderBy("_o", "id_marca").drop("_o")
+    return _catalog(d["marca"], "Id_Marca", "Mrc_Descripcion", "id_marca", "descripcion", collation)
 
 
 def brands_by_category(d: dict, rubro_ids: DataFrame | None = None) -> DataFrame:
@@ -236,29 +234,37 @@ def category_get(d: dict, ids: DataFrame | None) -> DataFrame:
     return category_list({"rubros": _semi(d["rubros"], ids, "ID_Rubro")})
 
 
-def _catalog(df: DataFrame, key: str, text: str, out_key: str, out_text: str) -> DataFrame:
+def sort_text(c: Column, collation: str | None = None) -> Column:
+    """Sort key for text. Default binary order; ``collation`` (e.g.
+    'UNICODE_CI_RTRIM', case-insensitive and ignoring trailing blanks, like
+    the usual database default) makes the sort follow it."""
+    return F.collate(c, collation) if collation else c
+
+
+def _catalog(df: DataFrame, key: str, text: str, out_key: str, out_text: str,
+             collation: str | None = None) -> DataFrame:
     return df.select(F.col(key).alias(out_key), F.rtrim(text).alias(out_text),
-                     F.col(text).alias("_o")).orderBy("_o", out_key).drop("_o")
+                     sort_text(F.col(text), collation).alias("_o")).orderBy("_o", out_key).drop("_o")
 
 
-def town_list(d: dict) -> DataFrame:
+def town_list(d: dict, collation: str | None = None) -> DataFrame:
     """L15."""
-    return _catalog(d["localidad"], "ID_Localidad", "Nombre", "id", "nombre")
+    return _catalog(d["localidad"], "ID_Localidad", "Nombre", "id", "nombre", collation)
 
 
-def zone_list(d: dict) -> DataFrame:
+def zone_list(d: dict, collation: str | None = None) -> DataFrame:
     """L16."""
-    return _catalog(d["zona"], "ID_Zona", "Descripcion", "id", "descripcion")
+    return _catalog(d["zona"], "ID_Zona", "Descripcion", "id", "descripcion", collation)
 
 
-def district_list(d: dict) -> DataFrame:
+def district_list(d: dict, collation: str | None = None) -> DataFrame:
     """L17."""
-    return _catalog(d["barrios"], "ID_Barrio", "Nombre", "id", "nombre")
+    return _catalog(d["barrios"], "ID_Barrio", "Nombre", "id", "nombre", collation)
 
 
-def payment_terms_list(d: dict) -> DataFrame:
+def payment_terms_list(d: dict, collation: str | None = None) -> DataFrame:
     """L18."""
-    return _catalog(d["condicion_pago"], "ID_CondicionPago", "Descripcion", "id", "descripcion")
+    return _catalog(d["condicion_pago"], "ID_CondicionPago", "Descripcion", "id", "descripcion", collation)
 
 
 DRIVER_TEXT = ["Nombre", "Apellido", "DNI", "Telefono", "Direccion", "Email"]

@@ -162,3 +162,11 @@ def _constraints_sql() -> str:
 @register("check_constraints", _constraints_sql())
 def check_constraints(fx):
     return C.check_constraints({k: getattr(fx, v) for k, v in CHECKED.items()})
+
+
+@register("orphan_products", with_tables(
+    f"SELECT {_sel(PRODUCT_COLS, 'p')} FROM productos_src p "
+    "WHERE p.ID_Proveedor NOT IN (SELECT ID_Proveedor FROM proveedores)", "productos_src", "proveedores"))
+def orphan_products(fx):
+    """E9 detail: the source products whose provider does not exist."""
+    return decimals_to_double(C.orphans(fx.productos_src, "ID_Proveedor", fx.proveedores, "ID_Proveedor"))

@@ -248,3 +248,17 @@ FROM pedidos o LEFT JOIN (SELECT order_id, arg_max(status, change_seq) AS status
 def set_order_status(fx):
     snap, _ = P.set_order_status(fx.pedidos, status_changes(fx.pedidos))
     return decimals_to_double(snap)
+
+
+# ---- exact stock check: an order's lines of one product checked together ------
+PER_PRODUCT_CHAIN = [(n, b.replace("quantity AS need FROM pl",
+                                   "sum(quantity) OVER (PARTITION BY request_id, product_id) AS need FROM pl"))
+                     for n, b in CHAIN]
+
+
+@register("check_stock_per_product", with_tables(
+    "SELECT request_id, reason IS NULL AS accepted, reason FROM dec", *REQ,
+    extra=PER_PRODUCT_CHAIN[:[n for n, _ in PER_PRODUCT_CHAIN].index("dec") + 1]))
+def check_stock_per_product(fx):
+    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos, check="per_product")
+    return dec.select("request_id", "accepted", "reason")

@@ -36,3 +36,16 @@ def top_clients_exact(fx):
 def client_products(fx):
     d = _d(fx, "pedidos", "detalle", "productos", "clientes")
     return reports.client_products(d, d["clientes"].select("ID_Cliente"), fx.as_of)
+
+
+@register("top_products_top10", S.TOP_PRODUCTS.replace("ORDER BY total_quantity DESC, id",
+                                                        "ORDER BY total_quantity DESC, id LIMIT 10"))
+def top_products_top10(fx):
+    """R1 with a row limit: the ten best sellers (ties broken by id)."""
+    return reports.top_products(_d(fx, "pedidos", "detalle", "productos"), fx.as_of, n=10)
+
+
+@register("top_clients_top10", S.TOP_CLIENTS.replace("ORDER BY total_amount DESC, id",
+                                                      "ORDER BY total_amount DESC, id LIMIT 10"))
+def top_clients_top10(fx):
+    return reports.top_clients(_d(fx, "pedidos", "detalle", "clientes"), fx.as_of, n=10)

@@ -134,3 +134,12 @@ def test_migration_repairs_and_loads_without_orphans(spark, fx):
     twice = M.ensure_column(M.ensure_column(fx.productos, "PermiteDescuento", "boolean", True),
                             "PermiteDescuento", "boolean", True)
     assert twice.columns == fx.productos.columns
+
+
+def test_catalog_sort_with_collation(spark):
+    from bodega.operators import listings as L
+    zona = spark.createDataFrame([(1, "beta"), (2, "Alfa  "), (3, "alfa")], "ID_Zona int, Descripcion string")
+    binary = [r.id for r in L.zone_list({"zona": zona}).collect()]
+    assert binary == [2, 3, 1]                                    # 'A' < 'a' < 'b' in binary order
+    ci = [r.descripcion for r in L.zone_list({"zona": zona}, collation="UNICODE_CI_RTRIM").collect()]
+    assert ci[2] == "beta" and sorted(ci[:2]) == ["Alfa", "alfa"]

@@ -157,6 +157,34 @@ def apply_stock(products: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 # ---- P6 -------------------------------------------------------------------
+EXACT_FINISH_ORDERS = 10_000  # undecided orders settled in one exact pass (<= 99 rows each)
+
+
+def _finish_exactly(und: DataFrame) -> DataFrame:
+    """Settle the last undecided orders exactly, walking them in arrival order.
+
+    ``und`` holds the (request, product) rows of the undecided orders with
+    ``acc``, the stock already taken before each by accepted orders. Only the
+    undecided orders still interact; they are at most EXACT_FINISH_ORDERS
+    orders of at most 99 items, a proven bound for the single group."""
+    def walk(pdf):
+        import pandas as pd
+        taken: dict = {}
+        out = []
+        for rid, g in pdf.sort_values(["request_id", "product_id"]).groupby("request_id", sort=True):
+            ok = all(s - a - taken.get(p, 0) >= n
+                     for p, s, a, n in zip(g["product_id"], g["stock_open"], g["acc"], g["need"]))
+            if ok:
+                for p, t in zip(g["product_id"], g["take"]):
+                    taken[p] = taken.get(p, 0) + int(t)
+            out.append((int(rid), "A" if ok else "R"))
+        return pd.DataFrame(out, columns=["request_id", "nst"])
+
+    rows = und.select("request_id", "product_id", F.col("stock_open").cast("long"), F.col("acc").cast("long"),
+                      F.col("need").cast("double"), F.col("take").cast("long"))
+    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(walk, "request_id long, nst string")
+
+
 def _sequential_status(cand: DataFrame) -> DataFrame:
     """Accept/reject each candidate order as one-by-one posting would.
 
@@ -169,7 +197,9 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
     undecided order has no undecided predecessor, so each round settles at
     least one order; in practice a handful of rounds settle all. Running
     sums are skew-safe (``prefix_sums``) and each round's state is
-    checkpointed to the shared folder."""
+    checkpointed to the shared folder. Once at most EXACT_FINISH_ORDERS
+    (conf ``bodega.exactFinishOrders``) remain undecided, one exact pass in
+    arrival order settles them all."""
     status = cand.select("request_id").distinct().withColumn("st", F.lit("U"))
     status = reliable_checkpoint(status)
     # products with very many candidate orders are range-split once (rows never
@@ -185,6 +215,8 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
         "up": F.when(is_u, F.greatest(F.col("take"), zero)).otherwise(zero),
         "down": F.when(is_u, F.least(F.col("take"), zero)).otherwise(zero),
     }
+    limit = int(cand.sparkSession.conf.get("bodega.exactFinishOrders", str(EXACT_FINISH_ORDERS)))
+    undecided = status.count()
     while True:
         live = status.where(F.col("st") != "R")
         run = window_sums(cold.join(live, "request_id"), ["product_id"], ["request_id"], sums, inclusive=False)
@@ -193,6 +225,11 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
                                       inclusive=False)
             run = run.unionByName(warm.select(*run.columns))
         und = run.where(F.col("st") == "U")
+        if undecided <= limit:
+            new = _finish_exactly(und)
+            status = status.join(new, "request_id", "left").select(
+                "request_id", F.coalesce("nst", "st").alias("st"))
+            return reliable_checkpoint(status)
         worst = F.col("stock_open") - (F.col("acc") + F.col("up"))
         best = F.col("stock_open") - (F.col("acc") + F.col("down"))
         verdict = und.groupBy("request_id").agg(
@@ -203,7 +240,8 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
         status = status.join(new, "request_id", "left").select(
             "request_id", F.coalesce("nst", "st").alias("st"))
         status = reliable_checkpoint(status)
-        if status.where(F.col("st") == "U").limit(1).count() == 0:
+        undecided = status.where(F.col("st") == "U").count()
+        if undecided == 0:
             return status
 
 

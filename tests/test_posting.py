@@ -54,13 +54,19 @@ def _rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize("sf,hot_rows", [("/root/testdata/sf0.001", None), ("/root/testdata/sf0.01", None),
-                                         ("/root/testdata/sf0.001", "3")])
-def test_sequential_equals_one_by_one(spark, sf, hot_rows):
-    if hot_rows:  # force the range-split path for every product with more than 3 orders
-        spark.conf.set("bodega.hotGroupRows", hot_rows)
-    else:
-        spark.conf.unset("bodega.hotGroupRows")
+@pytest.mark.parametrize("sf,hot_rows,exact", [
+    ("/root/testdata/sf0.001", None, "0"),       # rounds only
+    ("/root/testdata/sf0.01", None, "0"),
+    ("/root/testdata/sf0.001", "3", "0"),        # every product with more than 3 orders range-split
+    ("/root/testdata/sf0.01", None, "200"),      # rounds, then the exact pass for the last 200
+    ("/root/testdata/sf0.01", None, None),       # default: small batch settled by the exact pass
+])
+def test_sequential_equals_one_by_one(spark, sf, hot_rows, exact):
+    for key, value in (("bodega.hotGroupRows", hot_rows), ("bodega.exactFinishOrders", exact)):
+        if value:
+            spark.conf.set(key, value)
+        else:
+            spark.conf.unset(key)
     fx = Fixture(spark, sf)
     d = fx.tables("productos", "pedidos", "detalle")
     out = P.post_orders(d, fx.request_headers, fx.request_items, AS_OF, mode="sequential")
@@ -77,6 +83,7 @@ def test_sequential_equals_one_by_one(spark, sf, hot_rows):
     ids = sorted((r.request_id, r.ID_TomaPedido) for r in out["orders"].collect())
     assert [i for _, i in ids] == list(range(base + 1, base + 1 + len(ids)))
     spark.conf.unset("bodega.hotGroupRows")
+    spark.conf.unset("bodega.exactFinishOrders")
 
 
 def test_opening_stock_invariants(spark, fx):

@@ -92,8 +92,10 @@ def product_update_rejects(fx):
 
 
 def _insert_sql(table, key, fields, norm, extra_cols=()):
+    from bodega.plans.fixture_sql import KEY_SQL_TYPE
     sel = ", ".join(_out(c, c) for c in [*fields, *extra_cols])
-    return (f"SELECT (SELECT max({key}) FROM {table}) + row_number() OVER (ORDER BY change_seq) AS {key}, "
+    return (f"SELECT CAST((SELECT max({key}) FROM {table}) + row_number() OVER (ORDER BY change_seq) "
+            f"AS {KEY_SQL_TYPE[table]}) AS {key}, "
             f"change_seq, {sel} FROM {norm} WHERE {key} NOT IN (SELECT {key} FROM {table})")
 
 
@@ -228,7 +230,8 @@ DRIVER_INSERT_COLS = [*W.DRIVER_FIELDS, "CreatedAt", "UpdatedAt"]
 
 
 @register("driver_insert_if_absent", with_tables(f"""
-SELECT (SELECT max(ID_Repartidor) FROM repartidores) + row_number() OVER (ORDER BY change_seq) AS ID_Repartidor,
+SELECT CAST((SELECT max(ID_Repartidor) FROM repartidores) + row_number() OVER (ORDER BY change_seq) AS INTEGER)
+  AS ID_Repartidor,
   change_seq, {', '.join(DRIVER_INSERT_COLS)}
 FROM (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY DNI ORDER BY change_seq) = 1) f
 WHERE DNI NOT IN (SELECT DNI FROM repartidores WHERE DNI IS NOT NULL)""",

@@ -9,6 +9,8 @@ Store layout under ``root`` (shared storage):
   pedidos/batch=N, detalle/batch=N  append-only: rows added by batch N
   productos/version=N               product snapshot after batch N
   rejects/batch=N                   rejected requests of batch N
+  last_id/batch=N                   one row: the highest order id after batch N,
+                                    so a batch never scans all orders for it
 Batch 0 / version 0 is the initial load (``init_store``). A retried batch
 rewrites only its own folders with the same content, so the sink is
 idempotent; the stream's own checkpoint lives in the shared folder too.
@@ -38,6 +40,7 @@ def init_store(d: dict[str, DataFrame], root: str) -> None:
     _write(_conform(d["pedidos"], "pedidos"), f"{root}/pedidos/batch=0")
     _write(_conform(d["detalle"], "detalle"), f"{root}/detalle/batch=0")
     _write(d["productos"], f"{root}/productos/version=0")
+    _write(d["pedidos"].agg(F.max("ID_TomaPedido").alias("ID_TomaPedido")), f"{root}/last_id/batch=0")
 
 
 def _fields(table: str) -> list[tuple[str, str]]:
@@ -57,7 +60,8 @@ def state_before(spark: SparkSession, root: str, n: int) -> dict[str, DataFrame]
         return (spark.read.schema(DDL[t] + ", batch INT").parquet(f"{root}/{t}")
                 .where(F.col("batch") < n).drop("batch"))
     return {"pedidos": appended("pedidos"), "detalle": appended("detalle"),
-            "productos": spark.read.parquet(f"{root}/productos/version={n - 1}")}
+            "productos": spark.read.parquet(f"{root}/productos/version={n - 1}"),
+            "last_id": spark.read.parquet(f"{root}/last_id/batch={n - 1}")}
 
 
 def current_state(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -77,11 +81,14 @@ def post_batch(batch: DataFrame, batch_id: int, root: str, clock: Callable[[], d
     malformed = batch.where(F.col("_corrupt_record").isNotNull()).select(
         F.col("request_id"), F.lit("malformed").alias("reason"))
     headers, items = flatten_requests(good)
-    out = post_orders(state, headers, items, clock(), mode=mode)
+    # new ids continue from the one-row last-id table, not from a scan of every order
+    out = post_orders(dict(state, pedidos=state["last_id"]), headers, items, clock(), mode=mode)
     _write(_conform(out["orders"], "pedidos"), f"{root}/pedidos/batch={n}")
     _write(_conform(out["lines"], "detalle"), f"{root}/detalle/batch={n}")
     _write(out["products"], f"{root}/productos/version={n}")
     _write(out["rejects"].unionByName(malformed), f"{root}/rejects/batch={n}")
+    _write(state["last_id"].unionByName(out["orders"].select("ID_TomaPedido"))
+           .agg(F.max("ID_TomaPedido").alias("ID_TomaPedido")), f"{root}/last_id/batch={n}")
 
 
 def start_order_intake(spark: SparkSession, requests_dir: str, root: str,

@@ -18,7 +18,11 @@ FALLBACKS = {  # foreign key -> (dimension, its key, value when the target is mi
 }
 RECENT_ORDERS = 1000
 STOCK_RANGE = 500
-STOCK_SEED = 42
+# One step of the classic linear congruential generator, applied to the key:
+# repeatable, cheap, and expressible in plain SQL.
+LCG_MULTIPLIER = 1103515245
+LCG_INCREMENT = 12345
+LCG_MODULUS = 2 ** 31
 
 ORDER_COLS = ["ID_TomaPedido", "Letra", "ID_Comprobante", "ID_Cliente", "Fecha", "FechaEntrega",
               "ID_Condicion", "Dto", "Total", "Apagar", "CtaCte", "Estado", "Observaciones", "bDeposito"]
@@ -45,12 +49,14 @@ def repair_references(df: DataFrame, rules: dict[str, tuple[DataFrame, str, obje
     return out.select(*df.columns)
 
 
-def synthetic_stock(df: DataFrame, key: str = "ID_Producto", seed: int = STOCK_SEED,
-                    upper: int = STOCK_RANGE) -> DataFrame:
-    """E5: a stock in [0, upper) per row, from a hash of the key.
+def synthetic_stock(df: DataFrame, key: str = "ID_Producto", upper: int = STOCK_RANGE) -> DataFrame:
+    """E5: a stock in [0, upper) per row, a pseudo-random function of the key.
 
-    Repeatable: a recomputed partition gets the same values, unlike rand()."""
-    return df.withColumn("Stock", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(upper)).cast("int"))
+    Repeatable: a recomputed partition gets the same values, unlike rand().
+    The key is reduced below 2^31 first, so the product stays inside BIGINT."""
+    k = F.pmod(F.col(key).cast("long"), F.lit(LCG_MODULUS))
+    mixed = F.pmod(k * F.lit(LCG_MULTIPLIER) + F.lit(LCG_INCREMENT), F.lit(LCG_MODULUS))
+    return df.withColumn("Stock", F.pmod(mixed, F.lit(upper)).cast("int"))
 
 
 def load_recent_orders(orders: DataFrame, clients: DataFrame, terms: DataFrame,

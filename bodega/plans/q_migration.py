@@ -64,9 +64,14 @@ def repair_references(fx):
     return decimals_to_double(M.repair_references(fx.productos_src, rules))
 
 
-@register("load_products")
+LCG_STOCK = ("CAST(((p.ID_Producto % 2147483648) * 1103515245 + 12345) % 2147483648 % 500 AS INTEGER)")
+
+
+@register("load_products", with_tables(
+    f"SELECT {_sel(PRODUCT_COLS, 'p', dict(REPAIR_OVERRIDE, Stock=LCG_STOCK))}\n{REPAIR_FROM}",
+    "productos_src", "proveedores", "rubros", "marca", "alicuotas"))
 def load_products(fx):
-    """E2 + E5 (the hash-based stock has no DuckDB twin: row check only)."""
+    """E2 + E5: repaired references and the synthetic stock."""
     return decimals_to_double(M.load_products(fx.productos_src, fx.tables(*DST)))
 
 

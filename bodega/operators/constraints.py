@@ -2,8 +2,9 @@
 
 One pass per table computes every NOT NULL and length rule together (a
 single aggregate, then unpivoted); each primary key is one grouped count
-(partial aggregation combines duplicates before the shuffle); each foreign
-key is one anti-join. Output: (table_name, rule, columns, violations).
+(partial aggregation combines duplicates before the shuffle); a table's
+foreign keys are checked in one chain of left joins and one aggregate.
+Output: (table_name, rule, columns, violations).
 """
 from __future__ import annotations
 
@@ -41,12 +42,20 @@ def _pk_rule(name: str, df: DataFrame, key: list[str]) -> DataFrame:
         F.lit(",".join(key)).alias("columns"), "violations")
 
 
-def _fk_rule(name: str, df: DataFrame, col: str, ref: DataFrame, ref_col: str, ref_name: str) -> DataFrame:
-    keys = ref.select(F.col(ref_col).alias("_ref")).distinct()
-    orphans = df.where(F.col(col).isNotNull()).join(keys, F.col(col) == F.col("_ref"), "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(name).alias("table_name"), F.lit(f"foreign_key:{ref_name}.{ref_col}").alias("rule"),
-        F.lit(col).alias("columns"), "violations")
+def _fk_rules(name: str, df: DataFrame, fks: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """All foreign keys of one table in one pass: each referenced table is
+    reduced to its distinct keys and left-joined in turn (small ones are
+    broadcast once measured), then one aggregate counts the misses."""
+    cols = sorted({c for c, _, _, _ in fks})
+    x = df.select(*cols)
+    for i, (col, ref, ref_col, _) in enumerate(fks):
+        keys = ref.select(F.col(ref_col).alias(f"_ref{i}")).distinct().withColumn(f"_hit{i}", F.lit(True))
+        x = x.join(keys, x[col] == keys[f"_ref{i}"], "left").drop(f"_ref{i}")
+    agg = x.agg(*[F.count(F.when(F.col(c).isNotNull() & F.col(f"_hit{i}").isNull(), 1)).alias(f"r{i}")
+                  for i, (c, _, _, _) in enumerate(fks)])
+    stack = ", ".join(f"'foreign_key:{rn}.{rc}', '{c}', r{i}" for i, (c, _, rc, rn) in enumerate(fks))
+    return agg.select(F.lit(name).alias("table_name"),
+                      F.expr(f"stack({len(fks)}, {stack}) AS (rule, columns, violations)"))
 
 
 def check_constraints(d: dict[str, DataFrame]) -> DataFrame:
@@ -58,9 +67,12 @@ def check_constraints(d: dict[str, DataFrame]) -> DataFrame:
             parts.append(r)
         if name in S.PRIMARY_KEY and all(k in df.columns for k in S.PRIMARY_KEY[name]):
             parts.append(_pk_rule(name, df, S.PRIMARY_KEY[name]))
+    by_table: dict[str, list] = {}
     for t, c, rt, rc in S.FOREIGN_KEYS:
         if t in d and rt in d and c in d[t].columns:
-            parts.append(_fk_rule(t, d[t], c, d[rt], rc, rt))
+            by_table.setdefault(t, []).append((c, d[rt], rc, rt))
+    for t, fks in by_table.items():
+        parts.append(_fk_rules(t, d[t], fks))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

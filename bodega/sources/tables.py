@@ -75,6 +75,23 @@ def flatten_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return headers, items
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def ensure_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> bool:
+    """``CREATE TABLE IF NOT EXISTS``: write an empty table with the declared
+    schema when ``root/name`` is absent; leave an existing one alone.
+    Returns True when it created the table."""
+    path = f"{root.rstrip('/')}/{name}"
+    if _exists(spark, path):
+        return False
+    spark.createDataFrame([], DDL[name]).write.format(fmt).save(path)
+    return True
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
     """Write a result as JSON lines (the reply format) or Parquet."""
     df.write.mode(mode).format(fmt).save(path)

@@ -29,6 +29,15 @@ def test_open_tables_round_trip(spark, fx):
         assert sorted(df.collect()) == sorted(getattr(fx, name).collect())
 
 
+def test_ensure_table_creates_once(spark, fx):
+    root = _tmp()
+    assert T.ensure_table(spark, root, "marca") is True
+    assert T.open_tables(spark, root, ["marca"])["marca"].count() == 0
+    T.write_result(fx.marca, f"{root}/marca", fmt="parquet", mode="overwrite")
+    assert T.ensure_table(spark, root, "marca") is False          # an existing table is left alone
+    assert T.open_tables(spark, root, ["marca"])["marca"].count() == fx.marca.count()
+
+
 def test_snapshots_and_latest_version(spark, fx):
     root = _tmp()
     assert T.latest_version(spark, root, "marca") is None

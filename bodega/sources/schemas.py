@@ -5,6 +5,7 @@ exact and results leave as DOUBLE.
 """
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
 
 DDL: dict[str, str] = {
@@ -98,5 +99,11 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
 ]
 
 
-def schema(name: str) -> StructType:
-    return StructType.fromDDL(DDL[name])
+def schema(spark: SparkSession, name: str) -> StructType:
+    """The declared schema as a StructType (parsed by Spark itself)."""
+    return spark.createDataFrame([], DDL[name]).schema
+
+
+def columns(name: str) -> list[str]:
+    """Column names of a table, in declared order."""
+    return [c.split(" ", 1)[0] for c in DDL[name].split(", ")]

@@ -25,25 +25,8 @@ def open_jdbc_table(spark: SparkSession, url: str, table: str, name: str, key: s
     one connection per partition, then cast to the declared schema."""
     df = spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper,
                          numPartitions=partitions, properties=properties or {})
-    fields = [f.split(" ", 1) for f in _split_ddl(DDL[name])]
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in fields])
-
-
-def _split_ddl(ddl: str) -> list[str]:
-    parts, depth, cur = [], 0, ""
-    for ch in ddl:
-        if ch == "<" or ch == "(":
-            depth += 1
-        elif ch == ">" or ch == ")":
-            depth -= 1
-        if ch == "," and depth == 0:
-            parts.append(cur.strip())
-            cur = ""
-        else:
-            cur += ch
-    if cur.strip():
-        parts.append(cur.strip())
-    return parts
+    declared = spark.createDataFrame([], DDL[name]).schema
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared.fields])
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

@@ -263,7 +263,10 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
 
     Returns ``orders`` (new headers with new ids), ``lines`` (their lines),
     ``products`` (the snapshot with stock taken), ``rejects`` (request_id,
-    reason) and ``decisions`` (every request with accepted/reason/total)."""
+    reason), ``decisions`` (every request with accepted/reason/total),
+    ``moves`` (net stock change per product) and ``overdrafts`` (products
+    left below zero, where fractional quantities can make the reference's
+    per-line truncation differ from ``ceil``)."""
     products = d["productos"]
     v = validate_requests(headers, items)
     lines = _need(price_lines(items, products), check)
@@ -314,8 +317,14 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
         F.col("amount").alias("ImporteconDto"), "Item")
     moves = stock_movements(lines.join(acc.select("request_id"), "request_id", "left_semi"))
     rejects = dec.where(~F.col("accepted")).select("request_id", "reason")
-    return {"orders": orders, "lines": new_lines, "products": apply_stock(products, moves),
-            "rejects": rejects, "decisions": dec, "moves": moves}
+    new_products = apply_stock(products, moves)
+    # below zero the reference truncates each line's REAL result toward zero,
+    # which ceil(q) matches only for whole quantities: flag those products
+    overdrafts = new_products.join(moves.where(F.col("delta") != 0).select(
+        F.col("product_id").alias("ID_Producto")), "ID_Producto", "left_semi").where(F.col("Stock") < 0)
+    return {"orders": orders, "lines": new_lines, "products": new_products,
+            "rejects": rejects, "decisions": dec, "moves": moves,
+            "overdrafts": overdrafts.select("ID_Producto", "Stock")}
 
 
 # ---- P7 -------------------------------------------------------------------

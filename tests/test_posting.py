@@ -145,6 +145,7 @@ def test_reference_semantics_on_hand_made_rows(spark):
     assert lines[(1, "01")].IVA == Decimal("8.400000")
     stock = {r.ID_Producto: r.Stock for r in out["products"].collect()}
     assert stock == {1: 5 - 8, 2: 100 - 2 + 2 - 2, 3: 9}
+    assert [(r.ID_Producto, r.Stock) for r in out["overdrafts"].collect()] == [(1, -3)]
     orders = {r.request_id: r for r in out["orders"].collect()}
     assert orders[1].ID_TomaPedido == 101 and orders[9].ID_TomaPedido == 104
     assert orders[1].FechaEntrega == AS_OF + dt.timedelta(days=7)

@@ -90,8 +90,9 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: int) -> str:
     return path
 
 
-def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
-    """Highest complete version of ``table`` under ``root`` (None if none)."""
+def latest_version(spark: SparkSession, root: str, table: str, upto: int | None = None) -> int | None:
+    """Highest complete version of ``table`` under ``root`` (at most ``upto``
+    when given; None if none)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     base = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
@@ -103,5 +104,7 @@ def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
         name = st.getPath().getName()
         if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             v = int(name.split("=", 1)[1])
+            if upto is not None and v > upto:
+                continue
             best = v if best is None or v > best else best
     return best

@@ -89,7 +89,8 @@ def test_intake_stream_equals_one_shot_sequential(spark, fx):
     d = fx.tables("productos", "pedidos", "detalle")
     intake.init_store(d, root)
     q = intake.start_order_intake(spark, src, root, clock=lambda: AS_OF, available_now=True,
-                                  max_files_per_trigger=1, checkpoint_location=f"{_tmp()}/ckpt")
+                                  max_files_per_trigger=1, checkpoint_location=f"{_tmp()}/ckpt",
+                                  compact_every=2)   # batch 2 also folds the moves into a new version
     q.awaitTermination(600)
     assert q.exception() is None
     state = intake.current_state(spark, root)
@@ -101,6 +102,10 @@ def test_intake_stream_equals_one_shot_sequential(spark, fx):
     got_stock = {r.ID_Producto: r.Stock for r in state["productos"].collect()}
     want_stock = {r.ID_Producto: r.Stock for r in want["products"].collect()}
     assert got_stock == want_stock
+    assert T.latest_version(spark, root, "productos") == 2
+    assert T.latest_version(spark, root, "productos", upto=1) == 0
+    folded = {r.ID_Producto: r.Stock for r in spark.read.parquet(f"{root}/productos/version=2").collect()}
+    assert folded == want_stock
     rej = spark.read.parquet(f"{root}/rejects")
     assert rej.count() == want["rejects"].count()
     lines = state["detalle"].where(F.col("ID_TomaPedido") > base)

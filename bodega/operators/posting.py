@@ -379,10 +379,21 @@ def replace_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, check:
         "product_id", (F.coalesce("b", F.lit(0)) - F.coalesce("t", F.lit(0))).alias("delta"))
     rejects = dec.where(~F.col("accepted")).select("request_id", "order_id", "reason")
     return {"orders": new_orders, "kept_lines": kept_lines, "added_lines": added,
-            "products": apply_stock(products, moves), "rejects": rejects, "decisions": dec}
+            "products": apply_stock(products, moves), "rejects": rejects, "decisions": dec,
+            # for stores that rewrite only what changed (a partition overwrite, or MERGE
+            # on a catalog with row-level operations): the orders whose lines were replaced
+            "replaced": edited.select("ID_TomaPedido"), "moves": moves}
 
 
 # ---- P8 -------------------------------------------------------------------
+def status_updates(orders: DataFrame, changes: DataFrame) -> DataFrame:
+    """P8 as row changes only: (ID_TomaPedido, Estado) for the orders whose
+    state the batch sets, for a MERGE or a partition rewrite."""
+    latest = changes.groupBy(F.col("order_id").alias("ID_TomaPedido")).agg(
+        F.max_by("status", "change_seq").alias("Estado"))
+    return latest.join(orders.select("ID_TomaPedido"), "ID_TomaPedido", "left_semi")
+
+
 def set_order_status(orders: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """State-only change (any text). The latest change per order wins;
     changes for unknown orders are returned as rejects."""

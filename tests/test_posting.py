@@ -166,6 +166,7 @@ def test_set_order_status_latest_wins_and_unknown_rejected(spark):
     snap, rej = P.set_order_status(orders, ch)
     assert {r.ID_TomaPedido: r.Estado for r in snap.collect()} == {1: "Entregado", 2: "Pendiente"}
     assert [r.order_id for r in rej.collect()] == [9]
+    assert [(r.ID_TomaPedido, r.Estado) for r in P.status_updates(orders, ch).collect()] == [(1, "Entregado")]
 
 
 def test_replace_checks_against_own_give_back(spark):
@@ -185,3 +186,4 @@ def test_replace_checks_against_own_give_back(spark):
     o = out["orders"].first()
     assert o.ID_Cliente == 8 and o.Fecha == dt.datetime(2001, 1, 1) and o.Estado == "Pendiente"
     assert {r.ID_Producto: r.Stock for r in out["products"].collect()} == {1: 0, 2: 0}
+    assert [r.ID_TomaPedido for r in out["replaced"].collect()] == [10]

@@ -90,11 +90,23 @@ def window_sums(df: DataFrame, group: Sequence[str], order_cols: Sequence, value
     return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(k) for k, v in values.items()])
 
 
+SAMPLED_ROWS_PER_HOT_GROUP = 100
+
+
 def hot_keys(df: DataFrame, group: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Keys of the groups above the hot-row limit (checkpointed), or None if
-    there are none. At most rows / limit keys, so they may be broadcast."""
+    """Keys of the groups above about the hot-row limit (checkpointed), or
+    None if there are none.
+
+    Counted on a sample in which a group of ``limit`` rows appears about 100
+    times, so only a sample's keys are aggregated. The split only picks the
+    strategy (both paths are exact): a group near the limit may land on
+    either side. At most 2 x rows / limit keys qualify, so they may be
+    broadcast."""
     limit = hot_rows or _hot_rows(df.sparkSession)
-    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*group)
+    fraction = min(1.0, SAMPLED_ROWS_PER_HOT_GROUP / limit)
+    rows = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=17)
+    cut = limit * fraction if fraction >= 1.0 else SAMPLED_ROWS_PER_HOT_GROUP / 2
+    hot = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cut).select(*group)
     hot = reliable_checkpoint(hot)
     return None if hot.limit(1).count() == 0 else hot
 

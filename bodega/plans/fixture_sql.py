@@ -244,9 +244,12 @@ SELECT CAST(CASE WHEN _v = 3 THEN _k + (SELECT max({key}) FROM {table}) + 1 ELSE
     AS {key},
   CAST(_k * 10 + _v AS BIGINT) AS change_seq,
   {cols}
-FROM (SELECT b.*, b.{key} AS _k, v._v FROM {table} b CROSS JOIN (VALUES (1), (2), (3)) v(_v)
-      WHERE v._v = 1 OR (v._v = 2 AND b.{key} % 7 = 0)
-         OR (v._v = 3 AND (b.{key} % 50 = 0 OR b.{key} = (SELECT max({key}) FROM {table}))))"""
+FROM (SELECT b.*, b.{key} AS _k, 1 AS _v FROM {table} b
+      UNION ALL
+      SELECT b.*, b.{key} AS _k, 2 AS _v FROM {table} b WHERE b.{key} % 7 = 0
+      UNION ALL
+      SELECT b.*, b.{key} AS _k, 3 AS _v FROM {table} b
+      WHERE b.{key} % 50 = 0 OR b.{key} = (SELECT max({key}) FROM {table}))"""
 
 
 for _t in KEY_SQL_TYPE:

@@ -128,18 +128,72 @@ def post_orders_rejects(fx):
     return _post(fx, "opening_stock")["rejects"]
 
 
-# ---- P6 sequential (row check; tested against a one-by-one simulation) -------
-@register("post_orders_sequential")
+# ---- P6 sequential -------------------------------------------------------------
+# The oracle walks the requests one by one in a recursive query, carrying a map
+# product -> stock taken so far: the reference's own order of events, written
+# independently of the Spark rounds (one step per request, so it suits the
+# small check scales; the Spark side is also tested against a Python walk).
+SEQ_CHAIN = CHAIN[:4] + [
+    ("sl", """SELECT request_id,
+  list({'pos': pos, 'product_id': product_id, 'found': found, 'q': quantity, 'stock_open': stock_open}
+       ORDER BY pos) AS lines,
+  bool_or(bad_number) AS bad, sum(amount) AS total
+FROM lines GROUP BY request_id"""),
+    ("sp", """SELECT request_id, list({'product_id': product_id, 'take': take}) AS per
+FROM (SELECT request_id, product_id, CAST(sum(ceil(quantity)) AS BIGINT) AS take FROM lines
+      WHERE found AND quantity IS NOT NULL GROUP BY request_id, product_id)
+GROUP BY request_id"""),
+    ("seqreq", """SELECT row_number() OVER (ORDER BY v.request_id) AS i, v.request_id, v.reject_reason,
+  sl.lines, sl.bad, sl.total, sp.per
+FROM v LEFT JOIN sl ON v.request_id = sl.request_id LEFT JOIN sp ON v.request_id = sp.request_id"""),
+    ("walk", """SELECT 0 AS i, MAP {}::MAP(BIGINT, BIGINT) AS m, CAST(NULL AS BIGINT) AS request_id,
+  CAST(NULL AS VARCHAR) AS reason
+UNION ALL
+SELECT x.i,
+  CASE WHEN x.reason IS NULL THEN map_concat(x.m, map_from_entries(list_transform(x.per,
+         lambda e: {'key': e.product_id, 'value': coalesce(x.m[e.product_id], 0) + e.take})))
+       ELSE x.m END,
+  x.request_id, x.reason
+FROM (
+  SELECT s.i, w.m, s.request_id, s.per,
+    coalesce(s.reject_reason,
+      CASE WHEN NOT list_filter(s.lines, lambda l: NOT l.found OR
+                  (l.q IS NOT NULL AND l.stock_open - coalesce(w.m[l.product_id], 0) < l.q))[1].found
+           THEN 'unknown_product'
+           WHEN list_filter(s.lines, lambda l: NOT l.found OR
+                  (l.q IS NOT NULL AND l.stock_open - coalesce(w.m[l.product_id], 0) < l.q))[1].found
+           THEN 'insufficient_stock' END,
+      CASE WHEN s.bad THEN 'bad_number' END) AS reason
+  FROM walk w JOIN seqreq s ON s.i = w.i + 1
+) x"""),
+    ("acc", """SELECT v.*, s.total FROM v JOIN walk w ON v.request_id = w.request_id AND w.reason IS NULL
+JOIN seqreq s ON v.request_id = s.request_id"""),
+    ("ids", """SELECT (SELECT max(ID_TomaPedido) FROM pedidos) + row_number() OVER (ORDER BY request_id) AS ID_TomaPedido,
+  * FROM acc"""),
+    # (walk is read through a join: filtering it directly is much slower in DuckDB)
+    ("taken", "SELECT w.m FROM walk w JOIN (SELECT max(i) AS i FROM seqreq) z ON w.i = z.i"),
+]
+
+
+def _seq_sql(body: str) -> str:
+    return "WITH RECURSIVE" + with_tables(body, *REQ, "pedidos", extra=SEQ_CHAIN)[len("WITH"):]
+
+
+@register("post_orders_sequential", _seq_sql(ORDERS_OUT))
 def post_orders_sequential(fx):
     return decimals_to_double(_post(fx, "sequential")["orders"])
 
 
-@register("post_orders_sequential_stock")
+@register("post_orders_sequential_stock", _seq_sql("""
+SELECT p.ID_Producto, CAST(p.Stock - coalesce((SELECT m FROM taken)[p.ID_Producto], 0) AS INTEGER) AS Stock
+FROM productos p"""))
 def post_orders_sequential_stock(fx):
     return _post(fx, "sequential")["products"].select("ID_Producto", "Stock")
 
 
-@register("post_orders_sequential_rejects")
+@register("post_orders_sequential_rejects", _seq_sql(
+    "SELECT w.request_id, w.reason FROM walk w JOIN seqreq s ON w.request_id = s.request_id "
+    "AND w.reason IS NOT NULL"))
 def post_orders_sequential_rejects(fx):
     return _post(fx, "sequential")["rejects"]
 

@@ -57,6 +57,9 @@ class Fixture:
         return {n: getattr(self, n) for n in names}
 
     # ---- dimensions -------------------------------------------------------
+    # The two ranked catalogs below number the *distinct* values of a category
+    # column (a handful of rows, bounded by the domain, not by the data), so
+    # their unpartitioned window sees only that small set.
     @cached_property
     def rubros(self) -> DataFrame:
         types = self.raw("part").select(F.col("p_type").alias("Descripcion")).distinct()

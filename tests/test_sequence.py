@@ -35,3 +35,11 @@ def test_plain_window_path_when_no_group_is_hot(spark):
     df = spark.range(300).select((F.col("id") % 10).alias("g"), F.col("id").alias("o"))
     got = number_rows(df, ["g"], ["o"], "rn")
     assert all(r.rn == r.o // 10 + 1 for r in got.collect())
+
+
+def test_scale_conf_sizes_partitions():
+    from bodega.session import scale_conf
+    conf = scale_conf(100 * 2 ** 40, executors_cores=8000)           # 100 TiB on 8,000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(scale_conf(10 << 20, executors_cores=8)["spark.sql.shuffle.partitions"]) == 16

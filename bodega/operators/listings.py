@@ -102,6 +102,16 @@ def order_document(d: dict, ids: DataFrame | None) -> DataFrame:
     return doc.withColumn("items", F.coalesce(F.col("items"), empty))
 
 
+def order_document_json(d: dict, ids: DataFrame | None) -> DataFrame:
+    """L4 as the reply body: one JSON document per order (``id``, ``document``),
+    NULL fields kept, times as 'yyyy-MM-dd HH:mm:ss'."""
+    doc = order_document(d, ids)
+    body = F.struct("id", "order_type", "client_id", "client_name",
+                    F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                    "total_amount", "status", "items")
+    return doc.select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+
+
 # ---- products ---------------------------------------------------------------
 PRODUCT_TAIL = ["Costo", "CostoUnit", "margen", "PrecioFinalPack", "PrecioNetoPack", "PrecioNetoUni",
                 "MontoIVA", "PMR", "Pr_Pack", "Pr_UniXPack", "Estado", "OcultarApp", "SinStockApp"]

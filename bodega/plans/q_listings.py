@@ -70,6 +70,24 @@ def order_document(fx):
     return L.order_document(fx.tables("pedidos", "clientes", "detalle", "productos"), open_orders)
 
 
+@register("order_document_json", with_tables("""
+SELECT tp.ID_TomaPedido AS id, to_json({'id': tp.ID_TomaPedido, 'order_type': 'client', 'client_id': tp.ID_Cliente,
+  'client_name': c.Nombre || ' ' || coalesce(c.Apellido, ''), 'created_at': strftime(tp.Fecha, '%Y-%m-%d %H:%M:%S'),
+  'total_amount': CAST(tp.Total AS DOUBLE), 'status': tp.Estado,
+  'items': coalesce(it.items, [])})::VARCHAR AS document
+FROM pedidos tp LEFT JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
+LEFT JOIN (SELECT dt.ID_TomaPedido, list({'product_id': dt.ID_Producto, 'name': p.Descripcion, 'sku': p.Pr_Ean13,
+     'quantity': CAST(dt.Cantidad AS DOUBLE), 'unit_price': CAST(dt.PrecioUnitario AS DOUBLE)}
+     ORDER BY dt.ID_Producto, p.Descripcion, p.Pr_Ean13, dt.Cantidad, dt.PrecioUnitario) AS items
+   FROM detalle dt LEFT JOIN productos p ON dt.ID_Producto = p.ID_Producto GROUP BY dt.ID_TomaPedido) it
+  ON tp.ID_TomaPedido = it.ID_TomaPedido
+WHERE tp.Estado = 'O'""", "pedidos", "clientes", "detalle", "productos"))
+def order_document_json(fx):
+    """L4 + E12: the order document as the JSON reply body."""
+    open_orders = fx.pedidos.where(F.col("Estado") == "O").select("ID_TomaPedido")
+    return L.order_document_json(fx.tables("pedidos", "clientes", "detalle", "productos"), open_orders)
+
+
 # ---- L5-L6 ----------------------------------------------------------------
 PRODUCT_LIST_SQL = with_tables("""
 SELECT p.ID_Producto AS id, p.Descripcion AS name, p.Pr_Ean13 AS sku, CAST(p.PrecioFinalUni AS DOUBLE) AS price,

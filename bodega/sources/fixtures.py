@@ -1,6 +1,6 @@
 """Derive the distributor's tables from the generated star-schema test data.
 
-Every derivation here has a twin in DuckDB SQL (``bodega.plans.oracle``);
+Every derivation here has a twin in DuckDB SQL (``bodega.plans.fixture_sql``);
 both use only expressions the two engines share. Tables are built lazily,
 so a query scans only the Parquet files and columns it needs.
 """

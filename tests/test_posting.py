@@ -13,8 +13,9 @@ from bodega.sources.fixtures import Fixture
 AS_OF = dt.datetime(2001, 8, 1)
 
 
-def simulate(headers, items, products):
-    """Post requests one at a time in request_id order, as the reference does."""
+def simulate(headers, items, products, per_product=False):
+    """Post requests one at a time in request_id order, as the reference does
+    (``per_product``: an order's lines of one product are checked together)."""
     stock = {p["ID_Producto"]: p["Stock"] for p in products}
     by_req = defaultdict(list)
     for it in items:
@@ -32,11 +33,16 @@ def simulate(headers, items, products):
             reasons[h["request_id"]] = "too_many_items"
             continue
         fail = None
+        need = defaultdict(Decimal)
+        for it in its:
+            if it["quantity"] is not None:
+                need[it["product_id"]] += it["quantity"]
         for it in its:
             if it["product_id"] not in stock:
                 fail = "unknown_product"
                 break
-            if it["quantity"] is not None and stock[it["product_id"]] < it["quantity"]:
+            q = need[it["product_id"]] if per_product else it["quantity"]
+            if it["quantity"] is not None and stock[it["product_id"]] < q:
                 fail = "insufficient_stock"
                 break
         if fail is None and any(it["quantity"] is None for it in its):
@@ -187,3 +193,18 @@ def test_replace_checks_against_own_give_back(spark):
     assert o.ID_Cliente == 8 and o.Fecha == dt.datetime(2001, 1, 1) and o.Estado == "Pendiente"
     assert {r.ID_Producto: r.Stock for r in out["products"].collect()} == {1: 0, 2: 0}
     assert [r.ID_TomaPedido for r in out["replaced"].collect()] == [10]
+
+
+@pytest.mark.parametrize("exact", ["0", None])
+def test_sequential_per_product_check_equals_one_by_one(spark, exact):
+    if exact:
+        spark.conf.set("bodega.exactFinishOrders", exact)
+    fx = Fixture(spark, "/root/testdata/sf0.01")
+    out = P.post_orders(fx.tables("productos", "pedidos", "detalle"), fx.request_headers, fx.request_items, AS_OF,
+                        mode="sequential", check="per_product")
+    spark.conf.unset("bodega.exactFinishOrders")
+    acc, reasons, stock = simulate(_rows(fx.request_headers), _rows(fx.request_items),
+                                   _rows(fx.productos.select("ID_Producto", "Stock")), per_product=True)
+    assert sorted(r.request_id for r in out["orders"].select("request_id").collect()) == sorted(acc)
+    assert {r.request_id: r.reason for r in out["rejects"].collect()} == reasons
+    assert {r.ID_Producto: r.Stock for r in out["products"].select("ID_Producto", "Stock").collect()} == stock

@@ -1,20 +1,19 @@
 """The DDL's constraints checked as queries, reported as a table.
 
-One pass per table computes every NOT NULL and length rule together (a
-single aggregate, then unpivoted); each primary key is one grouped count
-(partial aggregation combines duplicates before the shuffle); a table's
+One scan per table computes its NOT NULL, length and primary-key rules
+together (a grouped count per key, then one total, unpivoted); a table's
 foreign keys are checked in one chain of left joins and one aggregate.
 Output: (table_name, rule, columns, violations).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bodega.sources import schemas as S
 
 
-def _row_rules(name: str, df: DataFrame) -> DataFrame | None:
+def _row_checks(name: str, df: DataFrame) -> list[tuple[str, str, Column]]:
     checks = []
     for c in S.NOT_NULL.get(name, []):
         if c in df.columns:
@@ -22,24 +21,38 @@ def _row_rules(name: str, df: DataFrame) -> DataFrame | None:
     for c, n in S.MAX_LENGTH.get(name, {}).items():
         if c in df.columns:
             checks.append((f"max_length_{n}", c, F.length(c) > n))
-    if not checks:
-        return None
-    agg = df.agg(*[F.count(F.when(cond, 1)).alias(f"r{i}") for i, (_, _, cond) in enumerate(checks)])
-    stack = ", ".join(f"'{rule}', '{col}', r{i}" for i, (rule, col, _) in enumerate(checks))
-    return agg.select(F.lit(name).alias("table_name"),
-                      F.expr(f"stack({len(checks)}, {stack}) AS (rule, columns, violations)"))
+    return checks
+
 
+def _table_rules(name: str, df: DataFrame) -> DataFrame | None:
+    """NOT NULL, length and primary-key rules of one table in one scan.
 
-def _pk_rule(name: str, df: DataFrame, key: list[str]) -> DataFrame:
-    """Rows beyond the first per key value, plus rows with a NULL key part."""
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    null_key = F.lit(False)
-    for k in key:
-        null_key = null_key | F.col(k).isNull()
-    bad = F.when(null_key, F.col("n")).when(F.col("n") > 1, F.col("n") - 1).otherwise(0)
-    return counts.agg(F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("violations")).select(
-        F.lit(name).alias("table_name"), F.lit("primary_key").alias("rule"),
-        F.lit(",".join(key)).alias("columns"), "violations")
+    With a key, rows are first counted per key value (map-side combining,
+    so a repeated key costs one partial row per task) together with the
+    per-key counts of each row rule; a second, global aggregate adds them
+    up. Without a key, one global aggregate."""
+    checks = _row_checks(name, df)
+    key = S.PRIMARY_KEY.get(name)
+    if key and not all(k in df.columns for k in key):
+        key = None
+    if not checks and not key:
+        return None
+    rule_cols = [F.count(F.when(cond, 1)).alias(f"r{i}") for i, (_, _, cond) in enumerate(checks)]
+    out = [(rule, col, f"r{i}") for i, (rule, col, _) in enumerate(checks)]
+    if key:
+        per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *rule_cols)
+        null_key = F.lit(False)
+        for k in key:
+            null_key = null_key | F.col(k).isNull()
+        dup = F.when(null_key, F.col("_n")).when(F.col("_n") > 1, F.col("_n") - 1).otherwise(0)
+        agg = per_key.agg(F.coalesce(F.sum(dup), F.lit(0)).alias("pk"),
+                          *[F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}") for i in range(len(checks))])
+        out.append(("primary_key", ",".join(key), "pk"))
+    else:
+        agg = df.agg(*rule_cols)
+    stack = ", ".join(f"'{rule}', '{col}', CAST({ref} AS BIGINT)" for rule, col, ref in out)
+    return agg.select(F.lit(name).alias("table_name"),
+                      F.expr(f"stack({len(out)}, {stack}) AS (rule, columns, violations)"))
 
 
 def _fk_rules(name: str, df: DataFrame, fks: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -62,11 +75,9 @@ def check_constraints(d: dict[str, DataFrame]) -> DataFrame:
     """Every rule of ``bodega.sources.schemas`` whose tables are in ``d``."""
     parts = []
     for name, df in d.items():
-        r = _row_rules(name, df)
+        r = _table_rules(name, df)
         if r is not None:
             parts.append(r)
-        if name in S.PRIMARY_KEY and all(k in df.columns for k in S.PRIMARY_KEY[name]):
-            parts.append(_pk_rule(name, df, S.PRIMARY_KEY[name]))
     by_table: dict[str, list] = {}
     for t, c, rt, rc in S.FOREIGN_KEYS:
         if t in d and rt in d and c in d[t].columns:

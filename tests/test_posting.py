@@ -208,3 +208,16 @@ def test_sequential_per_product_check_equals_one_by_one(spark, exact):
     assert sorted(r.request_id for r in out["orders"].select("request_id").collect()) == sorted(acc)
     assert {r.request_id: r.reason for r in out["rejects"].collect()} == reasons
     assert {r.ID_Producto: r.Stock for r in out["products"].select("ID_Producto", "Stock").collect()} == stock
+
+
+@pytest.mark.parametrize("mode", ["sequential", "opening_stock"])
+def test_empty_and_fully_rejected_batches(spark, mode):
+    prods = _products(spark, [(1, Decimal("10.00"), 5)])
+    base = {"productos": prods, "pedidos": spark.createDataFrame([(100,)], "ID_TomaPedido long")}
+    cases = [([(1, None, None, "deposito", None, None, None)], [(1, 1, 1, "1", None)], 0, 5),
+             ([], [], 0, 5),
+             ([(1, None, 7, "deposito", None, None, None)], [(1, 1, 1, "2", None)], 1, 3)]
+    for heads, items, n_orders, stock in cases:
+        out = P.post_orders(base, _headers(spark, heads), _items(spark, items), AS_OF, mode=mode)
+        assert out["orders"].count() == n_orders
+        assert [r.Stock for r in out["products"].collect()] == [stock]

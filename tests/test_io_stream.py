@@ -111,3 +111,23 @@ def test_intake_stream_equals_one_shot_sequential(spark, fx):
     lines = state["detalle"].where(F.col("ID_TomaPedido") > base)
     assert lines.count() == want["lines"].count()
     assert lines.agg(F.sum("Cantidad")).first()[0] == Decimal(want["lines"].agg(F.sum("Cantidad")).first()[0])
+
+
+def test_restricted_stock_read_equals_full_read(spark, fx):
+    root = _tmp()
+    d = fx.tables("productos", "pedidos", "detalle")
+    intake.init_store(d, root)
+    moves = spark.createDataFrame([(int(r.ID_Producto), -2) for r in fx.productos.limit(20).collect()],
+                                  "ID_Producto BIGINT, delta BIGINT")
+    moves.write.parquet(f"{root}/stock_moves/batch=1")
+    intake.compact(spark, root, 1)                                   # version 1 folds batch 1
+    moves.limit(5).write.parquet(f"{root}/stock_moves/batch=2")
+    wanted = fx.productos.limit(30).select("ID_Producto")
+    full = {r.ID_Producto: r.Stock for r in intake.stock_state(spark, root, 3).collect()}
+    part = {r.ID_Producto: r.Stock for r in intake.stock_state(spark, root, 3, wanted).collect()}
+    assert set(part) == {r.ID_Producto for r in wanted.collect()}
+    assert all(full[k] == v for k, v in part.items())
+    base = {r.ID_Producto: r.Stock for r in fx.productos.collect()}
+    hit_twice = {int(r.ID_Producto) for r in moves.limit(5).collect()}
+    for k in hit_twice:
+        assert full[k] == base[k] - 4

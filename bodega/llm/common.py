@@ -12,6 +12,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,29 @@ def write_file(path: str, data: bytes) -> None:
     os.replace(tmp, path)
 
 
+def mapped(path: str, kind: str) -> np.ndarray:
+    """An array file, mapped: pages are read as they are touched and shared by workers."""
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays behind their lengths: 64-bit numbers, their bytes dealt into
+    planes, so that small ones cost little once compressed."""
+    head = np.array([len(arrays), *map(len, arrays)], "<i8")
+    planes = [np.ascontiguousarray(np.asarray(a).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *planes]))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    k = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes, at, out = np.frombuffer(raw, "<i8", k, 8).tolist(), 8 + 8 * k, []
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel())
+        at += 8 * n
+    return out
+
+
 def id_residue(col: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus

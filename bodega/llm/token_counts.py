@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bodega.llm.common import stored, text_columns
+from bodega.llm.common import pack, stored, text_columns, unpack
 from bodega.llm.tokens import UnitPool, byte_alphabet, cut, groups_by_bytes, load_tokenizer, special_strings
 
 BLOCK_BYTES = 8 << 20
@@ -42,18 +42,6 @@ _LATIN_END = "ɏ"
 BLOCK_SCHEMA = "kind int, block long, bucket int, doc_id array<long>, n_bytes array<long>, extra array<long>, payload binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """int32 arrays behind their lengths, compressed."""
-    head = np.array([len(arrays), *map(len, arrays)], "<i4")
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.astype("<i4").tobytes() for a in arrays)]))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    all_ = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
-    ends = np.cumsum([1 + all_[0], *all_[1:1 + all_[0]]])
-    return [all_[a:b] for a, b in zip(ends[:-1], ends[1:])]
-
-
 def pack_texts(texts: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, texts), "<i4", len(texts))
     return zstandard.ZstdCompressor(level=3).compress(np.array([len(texts)], "<i4").tobytes() + lens.tobytes() + b"".join(texts))

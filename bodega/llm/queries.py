@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bodega.llm import (bpe, decontamination, lang_id, quality_rules, simhash, substring_dedup, token_counts, token_ids, toxicity)
+from bodega.llm import (bpe, decontamination, lang_id, ngram_lm, quality_rules, simhash, substring_dedup, token_counts, token_ids, toxicity)
 from bodega.llm.common import id_residue, scratch
 
 
@@ -56,6 +56,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_residue("doc_id", 7) == 2
+    model = ngram_lm.train_on(docs.where(~held_out))
+    return ngram_lm.score_texts(docs, model).withColumn("held_out", held_out)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -63,5 +70,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_token_ids, op5_bpe, op6_toxicity,
-                                    op7_quality_rules, op8_simhash, op10_decontamination)}
+                                    op7_quality_rules, op8_simhash, op9_ngram_lm,
+                                    op10_decontamination)}
 ORACLE: dict[str, str] = {}

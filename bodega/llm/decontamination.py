@@ -187,3 +187,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
             .join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
             .select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The rows of ``docs``, as they are, without a word in an item's window."""
+    bad = find_contamination(docs, items, window, k).where("n_hit > 0").select("key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"))
+    return rows.join(bad, "key", "left_anti").select("row.*")

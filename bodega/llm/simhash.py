@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bodega.llm.common import stored, text_columns
+from bodega.llm.common import doc_key, stored, text_columns
 from bodega.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -72,13 +72,13 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp (the 64 bits as a signed long)."""
+    """Per row of ``docs``: doc_id, key (of the row), fp (the 64 bits as a signed long)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), k) for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return text_columns(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_columns(docs.select("doc_id", "text", doc_key().alias("key")), "key").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 @dataclass
@@ -207,7 +207,7 @@ def fingerprint_links(distinct: DataFrame, r: int = MAX_BITS, leaf: int = LEAF)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, r: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the
+    """Per row of ``docs``: doc_id, key, fingerprint (16 hex digits), component_id (the
     smallest doc_id reachable over links of at most ``r`` bits)."""
     prints = stored(fingerprints(docs, k), "fingerprints")
     groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-groups")
@@ -217,4 +217,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, r: int = MAX_BITS,
     final = linked.join(lowest, "component").select("fp", "lowest")
     answer = groups.join(final, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return (prints.join(answer, "fp", "left")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+            .select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, r: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the
+    smallest doc_id stays (one of them, should several share it). Where no row of a
+    component has an id, one row per fingerprint stays."""
+    found = near_duplicates(docs, k, r).where("component_id IS NULL OR doc_id = component_id")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
+    keep = found.groupBy(group.alias("g")).agg(F.min("key").alias("key")).select("key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"))
+    kept = rows.join(keep, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select("row.*")

@@ -200,7 +200,7 @@ def _second_pass(rows: DataFrame, folder: str, window: int, bits: int) -> DataFr
     return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, a long, b long")
 
 
-def _cut(rows: DataFrame, window: int) -> DataFrame:
+def _cut(rows: DataFrame, window: int, unchanged_as_is: bool) -> DataFrame:
     """text and the places of the windows to remove -> counts and kept text; place -1
     removes everything."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -223,16 +223,17 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                     left = words
                 n_words.append(n)
                 n_removed.append(n - len(left))
-                kept.append(b" ".join(left))
+                kept.append(x.as_py() if unchanged_as_is and len(left) == n else b" ".join(left))
             texts = pc.cast(pa.array(kept, pa.binary()), pa.string(), safe=False)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), texts], schema=arrow)
 
     return rows.select("rest", "text", "places").mapInArrow(run, out)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, unchanged_as_is: bool = False) -> DataFrame:
     """Per row of ``docs``: rest (a struct of all columns but the text), n_words,
-    n_removed, kept (the words left, joined by one space)."""
+    n_removed, kept (the words left, joined by one space; with ``unchanged_as_is`` a
+    text that loses nothing stays as it was)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"),
                        F.col("text").cast("string").cast("binary").alias("text"),
@@ -256,4 +257,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = later.unionByName(copies.withColumn("place", F.lit(-1))).groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
     found = rows.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "places"),
                       (F.col("doc_id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
-    return _cut(found.select("rest", "text", "places"), window)
+    return _cut(found.select("rest", "text", "places"), window, unchanged_as_is)

@@ -217,3 +217,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], schema=schema)
 
     return text_columns(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score stays below ``threshold``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            yield b.filter(pa.array([score(x.encode("utf-8", "replace") if isinstance(x, str) else x) < threshold for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

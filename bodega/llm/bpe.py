@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from bodega.llm.common import text_columns
-from bodega.llm.tokens import (UnitPool, byte_alphabet, cut, groups_by_bytes, load_tokenizer, special_strings,
+from bodega.llm.tokens import (UnitPool, byte_alphabet, groups_by_bytes, load_tokenizer, ragged, special_strings,
                                tokenizer_json)
 
 SHORT = 96
@@ -176,7 +176,7 @@ def unit_encoder(name: str):
     bpe, split, special = load_bpe(name), word_splitter(name), special_strings(name)
     marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-    def make(units: list[str]) -> list[list[int]]:
+    def make(units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         cuts, words = [], {}
         for u in units:
             row: list = []
@@ -189,7 +189,7 @@ def unit_encoder(name: str):
                         row.append(w)
             cuts.append(row)
         ids = dict(zip(words, bpe.encode_words(list(words))))
-        return [[i for w in row for i in ((w,) if isinstance(w, int) else ids[w])] for row in cuts]
+        return units, *ragged([[i for w in row for i in ((w,) if isinstance(w, int) else ids[w])] for row in cuts])
 
     return make
 
@@ -208,8 +208,7 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
         for b in batches:
             raw = b.column(1).to_pylist()
             for i, j in groups_by_bytes(raw, GROUP_BYTES):
-                texts = [cut((x or b"").decode("utf-8", "replace")) for x in raw[i:j]]
-                pool.add(texts)
+                texts = pool.cut_all([(x or b"").decode("utf-8", "replace") for x in raw[i:j]])
                 rows = [pool.run(t) for t in texts]
                 ends = np.cumsum([0, *map(len, rows)])
                 values = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int32())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bodega.llm.common import pack, stored, text_columns, unpack
-from bodega.llm.tokens import UnitPool, byte_alphabet, cut, groups_by_bytes, load_tokenizer, special_strings
+from bodega.llm.tokens import UnitPool, byte_alphabet, groups_by_bytes, load_tokenizer, ragged, special_strings
 
 BLOCK_BYTES = 8 << 20
 MAX_BUCKETS = 1024
@@ -70,9 +70,9 @@ class PreTokens:
             return self.pattern.findall(unit)
         return [p.translate(self.back).encode("latin-1").decode() for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
 
-    def make(self, units: list[str]) -> list[list[int]]:
+    def make(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         number = self.number
-        return [[number.setdefault(p, len(number)) for p in self.pieces(u)] for u in units]
+        return units, *ragged([[number.setdefault(p, len(number)) for p in self.pieces(u)] for u in units])
 
 
 def blocks_of(docs: DataFrame, tokenizer: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -94,15 +94,11 @@ def blocks_of(docs: DataFrame, tokenizer: str, buckets: int, block_bytes: int =
                 pool = UnitPool(pre.make, limit=1 << 62)
                 extra, ends, steps, counts = [], [0], [], []
                 for a in range(i, j, 1000):
-                    segments = []
-                    for x in raw[a:min(a + 1000, j)]:
-                        text = (x or b"").decode("utf-8", "replace")
-                        if marks and marks.search(text):
-                            segments.append([cut(s) for s in marks.split(text)])
-                        else:
-                            segments.append([cut(text)])
-                    pool.add([s for parts in segments for s in parts])
+                    texts = [(x or b"").decode("utf-8", "replace") for x in raw[a:min(a + 1000, j)]]
+                    segments = [marks.split(t) if marks else [t] for t in texts]
+                    units = iter(pool.cut_all([s for parts in segments for s in parts]))
                     for parts in segments:
+                        parts = [next(units) for _ in parts]
                         run_ = pool.run(parts[0]) if len(parts) == 1 else np.concatenate([pool.run(s) for s in parts])
                         number, count = np.unique(run_, return_counts=True)
                         extra.append(len(parts) - 1)

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bodega.llm.common import text_columns
-from bodega.llm.tokens import UnitPool, cut, groups_by_bytes, load_tokenizer
+from bodega.llm.tokens import UnitPool, groups_by_bytes, load_tokenizer, ragged
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20     # a shard is closed at the first document end after so many ids
-GROUP_BYTES = 4 << 20      # texts encoded at a time
+GROUP_BYTES = 8 << 20      # texts encoded at a time
 SAMPLE = 256               # one select sample per so many numbers
 
 
@@ -103,41 +103,29 @@ class EliasFano:
 
 
 def encode_units(name: str):
-    """units -> ids by the tokenizers library. Units without inner space are joined
-    into longer texts (they tokenize alone) and the ids dealt back by their bytes;
-    a full stop or comma after a letter is a pre-token of its own, so it is cut off
-    first and fewer different words remain."""
+    """units -> ids by the tokenizers library. Units without white space inside are
+    joined into longer texts (they tokenize alone) and the ids dealt back by their
+    bytes."""
     tok = load_tokenizer(name)
     vocab = tok.get_vocab(with_added_tokens=True)
     size = np.zeros(max(vocab.values()) + 1, np.int64)
     for text, i in vocab.items():
         size[i] = len(text)  # one character per byte; special strings are ASCII
 
-    def encode_all(units: list[str]) -> list:
-        runs: list = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if u[0] == " " and len(u) > 1 and len(u.split()) == 1 and u[1:].strip() == u[1:]]
-        for a in range(0, len(plain), 1000):
-            part = plain[a:a + 1000]
-            text = "".join([units[i] for i in part])
-            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(size[ids])
-            want = np.cumsum([len(units[i].encode()) for i in part])
-            at = np.searchsorted(ends, want) + 1
-            for i, j, k in zip(part, [0, *at[:-1]], at):
-                runs[i] = ids[j:k].tolist()
-        rest = [i for i, r in enumerate(runs) if r is None]
-        for i, e in zip(rest, tok.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
-            runs[i] = e.ids
-        return runs
-
-    tails = {mark: tok.encode(mark, add_special_tokens=False).ids for mark in ".,"}
-
-    def make(units: list[str]) -> list:
-        cut_off = [u[-1] if u[-1] in ".," and u[-2:-1].isalpha() else "" for u in units]
-        stems = [u[:-1] if c else u for u, c in zip(units, cut_off)]
-        new = sorted(set(stems))
-        runs = dict(zip(new, encode_all(new)))
-        return [runs[s] + tails[c] if c else runs[s] for s, c in zip(stems, cut_off)]
+    def make(units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        plain = [u for u in units if u[0] == " " and u.isprintable() and len(u) > 1 and " " not in u[1:]]
+        lens, flats = [], []
+        for a in range(0, len(plain), 2000):
+            part = plain[a:a + 2000]
+            ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            want = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in part])
+            at = np.searchsorted(np.cumsum(size[ids]), want) + 1
+            lens.append(np.diff(at, prepend=0))
+            flats.append(ids)
+        kept = set(plain)
+        rest = [u for u in units if u not in kept]
+        more, flat = ragged([e.ids for e in tok.encode_batch_fast(rest, add_special_tokens=False)])
+        return plain + rest, np.concatenate([*lens, more]), np.concatenate([*flats, flat])
 
     return make
 
@@ -148,7 +136,8 @@ _POOLS: dict = {}
 def _pool(name: str) -> UnitPool:
     """One pool per worker process, kept between tasks."""
     if name not in _POOLS:
-        _POOLS[name] = UnitPool(encode_units(name))
+        tok = load_tokenizer(name)
+        _POOLS[name] = UnitPool(encode_units(name), marks={m: tok.encode(m, add_special_tokens=False).ids[0] for m in ".,"})
     return _POOLS[name]
 
 
@@ -189,8 +178,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50
             raw = b.column(1)
             keys = b.column(0).to_pylist()
             for i, j in groups_by_bytes([x.as_py() for x in raw], GROUP_BYTES):
-                texts = [cut((raw[k].as_py() or b"").decode("utf-8", "replace")) for k in range(i, j)]
-                pool.add(texts)
+                texts = pool.cut_all([(raw[k].as_py() or b"").decode("utf-8", "replace") for k in range(i, j)])
                 for key, units in zip(keys[i:j], texts):
                     ids = np.concatenate([pool.run(units), end])
                     doc_ids.append(key)

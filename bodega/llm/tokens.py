@@ -12,17 +12,17 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
 
-_WIDE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def cut(text: str) -> list[str]:
     """The text's units. All but the first stand for a leading space and themselves."""
-    return text.split(" ") if _WIDE.search(text) is None else _CUT.split(text)
+    return _CUT.split(text)
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,62 +58,95 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def ragged(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of lists of integers, and all of them in one array."""
+    lens = np.fromiter(map(len, runs), np.int64, len(runs))
+    return lens, np.fromiter(chain.from_iterable(runs), np.int32, int(lens.sum()))
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start + len], one after another."""
+    ends = np.cumsum(lens)
+    if not len(ends):
+        return np.empty(0, flat.dtype)
+    return flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
+
+
 class UnitPool:
     """Numbers the units seen by a worker and keeps, for each, a run of integers
-    (ids, or pre-token numbers). ``make(units)`` gives the runs of new units; the
-    pool starts anew when it holds ``limit`` units, which bounds its memory."""
+    (ids, or pre-token numbers). ``make(units)`` gives (units, lengths, flat runs) of
+    new units, in any order. ``marks`` maps a sign that is a pre-token of its own
+    behind a letter to its run: such a unit is put together from the one without the
+    sign. The pool starts anew when it holds ``limit`` units, which bounds its memory."""
 
-    def __init__(self, make, limit: int = 1_200_000):
-        self.make, self.limit = make, limit
+    def __init__(self, make, limit: int = 1_200_000, marks: dict[str, int] | None = None):
+        self.make, self.limit, self.marks = make, limit, marks or {}
         self.clear()
 
     def clear(self) -> None:
         self.first: dict[str, int] = {}   # units at the beginning of a text
         self.later: dict[str, int] = {}   # units after a space
-        self.lens, self.n = np.empty(1024, np.int32), 0
-        self.flat, self.used = np.empty(4096, np.int32), 0
-
-    def _grow(self, new: list[str]) -> None:
-        runs = self.make(new)
-        lens = np.fromiter(map(len, runs), np.int32, len(runs))
-        flat = np.concatenate([np.asarray(r, np.int32) for r in runs]) if len(runs) < 64 else \
-            np.fromiter((x for r in runs for x in r), np.int32, int(lens.sum()))
-        while self.n + len(lens) > len(self.lens):
-            self.lens = np.resize(self.lens, 2 * len(self.lens))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.lens[self.n:self.n + len(lens)] = lens
-        self.flat[self.used:self.used + len(flat)] = flat
-        self.n, self.used = self.n + len(lens), self.used + len(flat)
-
-    def add(self, texts: list[list[str]]) -> None:
-        """Make every unit of the given cut texts known."""
+        self.n = self.used = 0
+        self.starts, self.lens, self.flat = np.empty(1024, np.int64), np.empty(1024, np.int64), np.empty(4096, np.int32)
+
+    def _store(self, lens: np.ndarray, flat: np.ndarray) -> range:
+        def fit(x: np.ndarray, n: int) -> np.ndarray:
+            return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
+        n, used = self.n + len(lens), self.used + len(flat)
+        self.starts, self.lens, self.flat = fit(self.starts, n), fit(self.lens, n), fit(self.flat, used)
+        self.lens[self.n:n] = lens
+        self.starts[self.n:n] = self.used + np.cumsum(lens) - lens
+        self.flat[self.used:used] = flat
+        numbers = range(self.n, n)
+        self.n, self.used = n, used
+        return numbers
+
+    def _learn(self, heads: set[str], tails: set[str]) -> None:
+        marked = [u for u in tails if u[-1] in self.marks and "A" <= u[-2:-1] <= "ɏ" and u[-2].isalpha()] if self.marks else []
+        plain = (tails - set(marked)) | ({u[:-1] for u in marked} - self.later.keys())
+        if heads:
+            units, lens, flat = self.make(sorted(heads))
+            self.first.update(zip(units, self._store(lens, flat)))
+        if plain:
+            units, lens, flat = self.make([" " + u for u in sorted(plain)])
+            self.later.update(zip((u[1:] for u in units), self._store(lens, flat)))
+        if marked:
+            stem = np.fromiter((self.later[u[:-1]] for u in marked), np.int64, len(marked))
+            lens = self.lens[stem]
+            flat = np.empty(int(lens.sum()) + len(stem), np.int32)
+            at = np.cumsum(lens + 1) - 1
+            body = np.ones(len(flat), bool)
+            body[at] = False
+            flat[body] = gather(self.flat, self.starts[stem], lens)
+            flat[at] = [self.marks[u[-1]] for u in marked]
+            self.later.update(zip(marked, self._store(lens + 1, flat)))
+
+    def cut_all(self, texts: list[str]) -> list[list[str]]:
+        """Cut the texts and make every unit known. Cutting at every space is right
+        unless a piece is empty or begins or ends with white space; such pieces are
+        never stored, so they show up here and their text is cut with care."""
         if self.n > self.limit:
             self.clear()
-        heads = {t[0] for t in texts if t and t[0]} - self.first.keys()
-        tails = set().union(*(t[1:] for t in texts)) - self.later.keys() if texts else set()
-        heads_l, tails_l = sorted(heads), sorted(tails)
-        at = self.n
-        if heads_l or tails_l:
-            self._grow(heads_l + [" " + t for t in tails_l])
-        self.first.update(zip(heads_l, range(at, at + len(heads_l))))
-        self.later.update(zip(tails_l, range(at + len(heads_l), at + len(heads_l) + len(tails_l))))
-        self.starts = np.concatenate([[0], np.cumsum(self.lens[:self.n], dtype=np.int64)])
+        known, out, heads, tails = self.later.__contains__, [], set(), set()
+        for t in texts:
+            units = t.split(" ")
+            new = set(filterfalse(known, units[1:]))
+            if len(units) > 1 and units[0][-1:].isspace() or any(not u or u[0].isspace() or u[-1].isspace() for u in new - tails):
+                units = cut(t)
+                new = set(filterfalse(known, units[1:]))
+            tails |= new
+            if units[0] and units[0] not in self.first:
+                heads.add(units[0])
+            out.append(units)
+        self._learn(heads, tails)
+        return out
 
     def run(self, units: list[str]) -> np.ndarray:
         """The runs of a cut text's units, in order, as one array."""
-        if not units:
-            return np.empty(0, np.int32)
-        later = self.later
-        u = np.fromiter(map(later.__getitem__, units[1:]), np.int64, len(units) - 1)
+        u = np.fromiter(map(self.later.__getitem__, units[1:]), np.int64, len(units) - 1)
         if units[0]:
             u = np.concatenate([[self.first[units[0]]], u])
-        lens = self.lens[u]
-        ends = np.cumsum(lens)
-        if not len(ends):
-            return np.empty(0, np.int32)
-        at = np.repeat(self.starts[u] - (ends - lens), lens) + np.arange(ends[-1])
-        return self.flat[at]
+        return gather(self.flat, self.starts[u], self.lens[u])
 
 
 def groups_by_bytes(column, limit: int):

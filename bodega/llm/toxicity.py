@@ -1,8 +1,8 @@
 """Operator 6: a toxicity classifier regularised by counterfactuals.
 
 Features of a text: its different words (lower case) and their first four,
-five and six letters, which catch inflected forms. Those that tell the labels
-apart best form the model's vocabulary, and a logistic regression over their
+five and six letters, which catch inflected forms. Those that speak most clearly
+for toxicity form the model's vocabulary, and a logistic regression over their
 number (none, one, two or more) is fitted with two penalties: the usual one on
 the weights, and one on the change of a sentence's score when an identity term
 in it is swapped for another term of its group. The score is linear before the last step, so that
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bodega.llm.common import text_columns
+from bodega.llm.common import stored, text_columns
 
 SAMPLE_ROWS = 6_000        # labelled rows per label that may be fetched (their features, not their texts)
 VOCABULARY = 4_000
 LEAST_DOCS = 5             # a feature must occur in so many sampled documents
+LEAST_CHI = 20.0           # and in more toxic ones than chance explains
 THRESHOLD = 0.7
 L2 = 2e-5
 COUNTERFACTUAL = 1.0
@@ -100,62 +101,77 @@ def _sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.where(keep)
 
 
-def collect_features(labelled: DataFrame, groups=IDENTITY_GROUPS) -> list:
-    """Per labelled text: label, its feature numbers (twice if it holds them twice), and how many of its sentences
-    hold each identity term."""
-    terms = {t.encode() for g in groups for t in g}
+def _text_features(raw: bytes | None) -> tuple[Counter, Counter]:
+    """The text's words, and its features with their numbers."""
+    words = Counter((raw or b"").translate(_FOLD).split())
+    count: Counter = Counter()
+    for w, n in words.items():
+        for f in word_features(w):
+            count[f] += n
+    return words, count
+
+
+def choose_features(sampled: DataFrame, n: int, n_pos: int, groups=IDENTITY_GROUPS, vocabulary: int = VOCABULARY) -> list[int]:
+    """The ``vocabulary`` features that speak most for toxicity (chi square), and those
+    of the identity terms; counted by Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, labels = [], []
+            for x, y in zip(b.column(0), b.column(1).to_pylist()):
+                count = _text_features(x.as_py())[1]
+                parts.append(np.fromiter(count, np.int64, len(count)))
+                labels.append(np.full(len(count), y, np.int64))
+            if parts:
+                f, at = np.unique(np.concatenate(parts), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.bincount(at, np.concatenate(labels), len(f)).astype(np.int64)),
+                                                  pa.array(np.bincount(at, minlength=len(f)))], names=["f", "pos", "docs"])
+
+    wanted = sorted({f for g in groups for t in g for f in word_features(t.encode())})
+    expected = F.col("docs") * (n_pos / n)
+    counted = (sampled.select("text", "toxic").mapInArrow(run, "f long, pos long, docs long")
+               .groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+               .withColumn("chi", (F.col("pos") - expected) ** 2 / F.greatest(expected * (1 - F.col("docs") / n * 0.999), F.lit(1e-9))))
+    best = counted.where((F.col("chi") >= LEAST_CHI) & (F.col("pos") > expected)).orderBy(F.desc("chi"), "f").limit(vocabulary).select("f")
+    return sorted({r["f"] for r in best.unionByName(counted.where(F.col("f").isin(wanted)).select("f")).collect()})
+
+
+def collect_features(sampled: DataFrame, chosen: list[int], groups=IDENTITY_GROUPS) -> list:
+    """Per sampled text: label, its chosen features (twice if it holds them twice), and
+    how many of its sentences hold each identity term."""
+    terms, known = {t.encode() for g in groups for t in g}, set(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             features, counts = [], []
-            for x in b.column(1).to_pylist():
-                raw = x or b""
-                words = Counter(raw.translate(_FOLD).split())
-                count: Counter = Counter()
-                for w, n in words.items():
-                    for f in word_features(w):
-                        count[f] += n
-                features.append(np.array([f for f, n in count.items() for _ in range(min(n, MOST))], np.int64))
+            for x in b.column(0).to_pylist():
+                words, count = _text_features(x)
+                features.append([f for f, n in count.items() if f in known for _ in range(min(n, MOST))])
                 hits: Counter = Counter()
                 if words.keys() & terms:
-                    for s in _SENTENCE.split(raw):
+                    for s in _SENTENCE.split(x):
                         hits.update(set(s.translate(_FOLD).split()) & terms)
                 counts.append([{"term": t.decode(), "n": n} for t, n in sorted(hits.items())])
             yield pa.RecordBatch.from_arrays(
-                [b.column(2), pa.array(features, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))],
+                [b.column(1), pa.array(features, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))],
                 names=["toxic", "features", "terms"])
 
-    return (labelled.select("doc_id", F.col("text").cast("binary").alias("text"), "toxic")
-            .mapInArrow(run, "toxic int, features array<long>, terms array<struct<term:string,n:long>>").collect())
+    return sampled.select("text", "toxic").mapInArrow(run, "toxic int, features array<long>, terms array<struct<term:string,n:long>>").collect()
 
 
-def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = COUNTERFACTUAL, vocabulary: int = VOCABULARY) -> ToxicityModel:
-    """Logistic regression by full-batch Adam on the selected features; deterministic."""
+def fit(rows: list, chosen: list[int], groups=IDENTITY_GROUPS, strength: float = COUNTERFACTUAL) -> ToxicityModel:
+    """Logistic regression by full-batch Adam on the chosen features; deterministic."""
     y = np.array([r["toxic"] for r in rows], np.float64)
     n, n_pos = len(rows), y.sum() if len(rows) else 0
     if not n or not 0 < n_pos < n:
         return ToxicityModel()
-    order = sorted(range(n), key=lambda i: (y[i], len(rows[i]["features"]), sorted(rows[i]["features"])[:3]))
+    features = [sorted(r["features"]) for r in rows]
+    order = sorted(range(n), key=lambda i: (y[i], features[i]))
     y = y[order]
-    lens = np.array([len(rows[i]["features"]) for i in order])
-    flat = np.concatenate([np.array(sorted(rows[i]["features"]), np.int64) for i in order])
-    row = np.repeat(np.arange(n), lens)
-    ids, col = np.unique(flat, return_inverse=True)
-    first = np.append(True, (col[1:] != col[:-1]) | (row[1:] != row[:-1]))  # a text's numbers stand in order
-    pos = np.bincount(col[first], weights=y[row[first]], minlength=len(ids))
-    all_ = np.bincount(col[first], minlength=len(ids))
-    expected = all_ * n_pos / n
-    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - all_ / n * 0.999), 1e-9)
-    chi[all_ < LEAST_DOCS] = -1
+    row = np.repeat(np.arange(n), [len(features[i]) for i in order])
+    ids, k = np.array(chosen, np.int64), len(chosen)
+    col = np.searchsorted(ids, np.array([f for i in order for f in features[i]], np.int64))
+    at = {f: i for i, f in enumerate(chosen)}
     term_features = {t: set(word_features(t.encode())) for g in groups for t in g}
-    wanted = set().union(*term_features.values()) if term_features else set()
-    chosen = np.flatnonzero((chi > 0) & ((chi >= np.sort(chi)[-min(vocabulary, len(chi))]) | np.isin(ids, list(wanted))))
-    number = np.full(len(ids), -1)
-    number[chosen] = np.arange(len(chosen))
-    use = number[col] >= 0
-    row, col = row[use], number[col[use]]
-    k = len(chosen)
-    at = {int(f): i for i, f in enumerate(ids[chosen])}
 
     # one line per (term, alternative): difference of their features, weighed by the sentences that hold the term
     sentences: Counter = Counter()
@@ -193,7 +209,7 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = COUNTERFACTUAL, vo
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         w, bias = w - move[:-1], bias - move[-1]
-    return ToxicityModel({int(f): float(x) for f, x in zip(ids[chosen], w)}, float(bias), True)
+    return ToxicityModel({int(f): float(x) for f, x in zip(ids, w)}, float(bias), True)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, groups=IDENTITY_GROUPS,
@@ -202,8 +218,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, gr
     ``sample_rows`` per label) are broadcast to the texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     sample = _sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return fit(collect_features(texts.join(F.broadcast(sample), "doc_id"), groups), groups, strength)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    sampled = stored(texts.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")
+    counts = {r["toxic"]: r["n"] for r in sampled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return ToxicityModel()
+    chosen = choose_features(sampled, sum(counts.values()), counts[1], groups)
+    return fit(collect_features(sampled, chosen, groups), chosen, groups, strength)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -33,8 +33,8 @@ from bodega.llm.tokens import (UnitPool, byte_alphabet, groups_by_bytes, load_to
                                tokenizer_json)
 
 SHORT = 96
-GROUP_BYTES = 2 << 20
-OUT_IDS = 1 << 21
+GROUP_BYTES = 1 << 20
+POOL_UNITS = 400_000       # units a worker remembers; bounds its memory only
 NONE = np.int32(2**31 - 1)
 _LATIN_END = "ɏ"      # up to here all Unicode versions agree on letters and cases
 
@@ -197,25 +197,37 @@ def unit_encoder(name: str):
 _POOLS: dict = {}
 
 
-def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    """Per row of ``docs``: doc_id, ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _names(tokenizer: str) -> list[str]:
+    vocab = load_tokenizer(tokenizer).get_vocab(with_added_tokens=True)
+    name = [""] * (max(vocab.values()) + 1)
+    for s, i in vocab.items():
+        name[i] = s
+    return name
+
+
+def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", decoded: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, ids; with ``decoded`` also the text that the ids
+    decode to, in the same pass."""
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * decoded
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _POOLS:
-            _POOLS[tokenizer] = UnitPool(unit_encoder(tokenizer))
-        pool = _POOLS[tokenizer]
+            _POOLS[tokenizer] = UnitPool(unit_encoder(tokenizer), limit=POOL_UNITS)
+        pool, name = _POOLS[tokenizer], _names(tokenizer) if decoded else []
         for b in batches:
-            raw = b.column(1).to_pylist()
-            for i, j in groups_by_bytes(raw, GROUP_BYTES):
-                texts = pool.cut_all([(x or b"").decode("utf-8", "replace") for x in raw[i:j]])
-                rows = [pool.run(t) for t in texts]
-                ends = np.cumsum([0, *map(len, rows)])
-                values = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i),
-                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], schema=schema)
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
+                raw = part.column(1).to_pylist()
+                for i, j in groups_by_bytes(raw, GROUP_BYTES):
+                    rows = [pool.run(t) for t in pool.cut_all([(x or b"").decode("utf-8", "replace") for x in raw[i:j]])]
+                    ends = np.cumsum([0, *map(len, rows)])
+                    cols = [part.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))]
+                    if decoded:
+                        cols.append(pa.array([" ".join(map(name.__getitem__, r.tolist())) for r in rows], pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return text_columns(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return text_columns(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -224,10 +236,7 @@ def decode(encoded: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load_tokenizer(tokenizer).get_vocab(with_added_tokens=True)
-        name = [""] * (max(vocab.values()) + 1)
-        for s, i in vocab.items():
-            name[i] = s
+        name = _names(tokenizer)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)

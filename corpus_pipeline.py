@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests of the ids and of the text decoded from them."""
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.encode(docs, decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("text", 256).alias("decoded_sha256"))

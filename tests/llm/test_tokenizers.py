@@ -97,6 +97,7 @@ def test_elias_fano():
 def test_bpe_round(spark, docs):
     tok = library("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(docs)).collect()
+    assert sorted(map(str, bpe.encode(docs, decoded=True).collect())) == sorted(map(str, coded))
     want = []
     for r in docs.select("doc_id", "text").collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids

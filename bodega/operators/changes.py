@@ -88,6 +88,7 @@ def partial_update(base: DataFrame, changes: DataFrame, key: str, columns: Seque
     for c in columns:
         supplied = supplied | F.col(c).isNotNull()
     empty = changes.where(~supplied)
+    nulls = changes.where(supplied & F.col(key).isNull())
     usable = changes.where(supplied & F.col(key).isNotNull())
     latest = usable.groupBy(key).agg(
         F.lit(True).alias("_hit"),
@@ -96,7 +97,8 @@ def partial_update(base: DataFrame, changes: DataFrame, key: str, columns: Seque
     snapshot = j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).cast(base.schema[c].dataType).alias(c)
                           if c in columns else F.col(c) for c in base.columns])
     missing = usable.join(base.select(key), key, "left_anti")
-    rejects = _reject(empty, key, "nothing_to_update").unionByName(_reject(missing, key, "not_found"))
+    rejects = (_reject(empty, key, "nothing_to_update").unionByName(_reject(missing, key, "not_found"))
+               .unionByName(_reject(nulls, key, "missing_key")))
     return snapshot, rejects
 
 
@@ -129,12 +131,18 @@ def cascade_delete(orders: DataFrame, lines: DataFrame, keys: DataFrame, key: st
 def insert_if_absent(base: DataFrame, new: DataFrame, natural_key: Sequence[str], key: str,
                      order_by: Sequence = (SEQ,)) -> tuple[DataFrame, DataFrame]:
     """Add rows whose natural key is not there yet (first of each key
-    in ``order_by`` order); idempotent. -> (snapshot, inserted)."""
+    in ``order_by`` order); idempotent. A NULL equals nothing, so rows whose
+    key holds one are all added. -> (snapshot, inserted)."""
     nk = list(natural_key)
+    whole = F.lit(True)
+    for c in nk:
+        whole = whole & F.col(c).isNotNull()
+    loose, new = new.where(~whole), new.where(whole)
     cols = [c for c in new.columns if c not in nk]
     first = new.groupBy(*nk).agg(F.min_by(F.struct(*cols), F.struct(*[F.col(c) for c in order_by])).alias("_r"))
     first = first.select(*nk, *[F.col(f"_r.{c}").alias(c) for c in cols])
     absent = first.join(base.select(*nk).where(F.col(nk[0]).isNotNull()).distinct(), nk, "left_anti")
+    absent = absent.unionByName(loose.select(*absent.columns))
     return insert_rows(base, absent, key, order_by)
 
 

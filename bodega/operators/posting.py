@@ -86,8 +86,9 @@ def price_lines(items: DataFrame, products: DataFrame) -> DataFrame:
 
 # ---- P3 -------------------------------------------------------------------
 def _line_failure(stock: Column, need: Column) -> Column:
+    """A product without a stock figure has none to sell."""
     return (F.when(~F.col("found"), F.lit("unknown_product"))
-            .when(stock < need, F.lit("insufficient_stock")))
+            .when(F.coalesce(stock, F.lit(0)) < need, F.lit("insufficient_stock")))
 
 
 def _need(lines: DataFrame, check: str) -> DataFrame:
@@ -157,34 +158,6 @@ def apply_stock(products: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 # ---- P6 -------------------------------------------------------------------
-EXACT_FINISH_ORDERS = 10_000  # undecided orders settled in one exact pass (<= 99 rows each)
-
-
-def _finish_exactly(und: DataFrame) -> DataFrame:
-    """Settle the last undecided orders exactly, walking them in arrival order.
-
-    ``und`` holds the (request, product) rows of the undecided orders with
-    ``acc``, the stock already taken before each by accepted orders. Only the
-    undecided orders still interact; they are at most EXACT_FINISH_ORDERS
-    orders of at most 99 items, a proven bound for the single group."""
-    def walk(pdf):
-        import pandas as pd
-        taken: dict = {}
-        out = []
-        for rid, g in pdf.sort_values(["request_id", "product_id"]).groupby("request_id", sort=True):
-            ok = all(s - a - taken.get(p, 0) >= n
-                     for p, s, a, n in zip(g["product_id"], g["stock_open"], g["acc"], g["need"]))
-            if ok:
-                for p, t in zip(g["product_id"], g["take"]):
-                    taken[p] = taken.get(p, 0) + int(t)
-            out.append((int(rid), "A" if ok else "R"))
-        return pd.DataFrame(out, columns=["request_id", "nst"])
-
-    rows = und.select("request_id", "product_id", F.col("stock_open").cast("long"), F.col("acc").cast("long"),
-                      F.col("need").cast("double"), F.col("take").cast("long"))
-    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(walk, "request_id long, nst string")
-
-
 def _sequential_status(cand: DataFrame) -> DataFrame:
     """Accept/reject each candidate order as one-by-one posting would.
 
@@ -195,11 +168,10 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
     (worst case) or as not taking (best case): an order passing in the worst
     case is accepted, one failing in the best case rejected. The earliest
     undecided order has no undecided predecessor, so each round settles at
-    least one order; in practice a handful of rounds settle all. Running
+    least one order; in practice a handful of rounds settle all. A stock that
+    is not known counts as 0, so every comparison has an answer. Running
     sums are skew-safe (``prefix_sums``) and each round's state is
-    checkpointed to the shared folder. Once at most EXACT_FINISH_ORDERS
-    (conf ``bodega.exactFinishOrders``) remain undecided, one exact pass in
-    arrival order settles them all."""
+    checkpointed to the shared folder."""
     status = cand.select("request_id").distinct().withColumn("st", F.lit("U"))
     status = reliable_checkpoint(status)
     # products with very many candidate orders are range-split once (rows never
@@ -215,9 +187,8 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
         "up": F.when(is_u, F.greatest(F.col("take"), zero)).otherwise(zero),
         "down": F.when(is_u, F.least(F.col("take"), zero)).otherwise(zero),
     }
-    limit = int(cand.sparkSession.conf.get("bodega.exactFinishOrders", str(EXACT_FINISH_ORDERS)))
     undecided = status.count()
-    while True:
+    while undecided:
         live = status.where(F.col("st") != "R")
         run = window_sums(cold.join(live, "request_id"), ["product_id"], ["request_id"], sums, inclusive=False)
         if staged is not None:
@@ -225,13 +196,9 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
                                       inclusive=False)
             run = run.unionByName(warm.select(*run.columns))
         und = run.where(F.col("st") == "U")
-        if undecided <= limit:
-            new = _finish_exactly(und)
-            status = status.join(new, "request_id", "left").select(
-                "request_id", F.coalesce("nst", "st").alias("st"))
-            return reliable_checkpoint(status)
-        worst = F.col("stock_open") - (F.col("acc") + F.col("up"))
-        best = F.col("stock_open") - (F.col("acc") + F.col("down"))
+        opening = F.coalesce(F.col("stock_open"), F.lit(0))
+        worst = opening - (F.col("acc") + F.col("up"))
+        best = opening - (F.col("acc") + F.col("down"))
         verdict = und.groupBy("request_id").agg(
             F.bool_and(worst >= F.col("need")).alias("ok"),
             F.bool_or(best < F.col("need")).alias("bad"))
@@ -241,8 +208,7 @@ def _sequential_status(cand: DataFrame) -> DataFrame:
             "request_id", F.coalesce("nst", "st").alias("st"))
         status = reliable_checkpoint(status)
         undecided = status.where(F.col("st") == "U").count()
-        if undecided == 0:
-            return status
+    return status
 
 
 def _stock_before_sequential(lines: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -253,7 +219,7 @@ def _stock_before_sequential(lines: DataFrame, accepted: DataFrame) -> DataFrame
     per = per.join(accepted.select("request_id", F.lit(True).alias("_acc")), "request_id", "left")
     run = prefix_sums(per, ["product_id"], ["request_id"], {
         "acc": F.when(F.col("_acc"), F.col("take")).otherwise(F.lit(0).cast("long"))}, inclusive=False)
-    before = run.select("request_id", "product_id", (F.col("stock_open") - F.col("acc")).alias("stock_before"))
+    before = run.select("request_id", "product_id", (F.coalesce(F.col("stock_open"), F.lit(0)) - F.col("acc")).alias("stock_before"))
     return lines.join(before, ["request_id", "product_id"], "left")
 
 
@@ -276,7 +242,7 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
     if mode == "opening_stock":
         dec = decide(v, lines, F.col("stock_open"))
     elif mode == "sequential":
-        static = decide(v, lines, F.lit(None).cast("long"))  # every stock-independent reason
+        static = decide(v, lines, F.col("need"))  # enough of everything: the reasons that do not depend on stock
         static = reliable_checkpoint(static.select("request_id", "reason"))
         ok = static.where(F.col("reason").isNull()).select("request_id")
         cand = (lines.join(ok, "request_id", "left_semi").groupBy("request_id", "product_id")

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bodega.operators.posting import apply_stock, post_orders
-from bodega.session import ensure_checkpoint_dir
 from bodega.sources.schemas import DDL, REQUEST_DDL
 from bodega.sources.tables import flatten_requests, latest_version
 
@@ -136,13 +135,15 @@ def post_batch(batch: DataFrame, batch_id: int, root: str, clock: Callable[[], d
 
 
 def start_order_intake(spark: SparkSession, requests_dir: str, root: str,
+                       checkpoint_location: str,
                        clock: Callable[[], dt.datetime] | None = None, mode: str = "sequential",
-                       checkpoint_location: str | None = None, available_now: bool = False,
+                       available_now: bool = False,
                        max_files_per_trigger: int | None = None,
                        compact_every: int = COMPACT_EVERY) -> StreamingQuery:
-    """Start the intake stream; returns the running query."""
+    """Start the intake stream; returns the running query. ``checkpoint_location`` is
+    the stream's own folder in the shared store: a restart with the same one goes on
+    after the last complete batch."""
     clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0))
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/order-intake"
     reader = (spark.readStream.schema(REQUEST_DDL + ", _corrupt_record STRING")
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
               .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSS]"))
@@ -151,7 +152,7 @@ def start_order_intake(spark: SparkSession, requests_dir: str, root: str,
     stream = reader.json(requests_dir)
     writer = (stream.writeStream
               .foreachBatch(lambda df, i: post_batch(df, i, root, clock, mode, compact_every))
-              .option("checkpointLocation", ckpt))
+              .option("checkpointLocation", checkpoint_location))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -60,19 +60,16 @@ def _rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize("sf,hot_rows,exact", [
-    ("/root/testdata/sf0.001", None, "0"),       # rounds only
-    ("/root/testdata/sf0.01", None, "0"),
-    ("/root/testdata/sf0.001", "3", "0"),        # every product with more than 3 orders range-split
-    ("/root/testdata/sf0.01", None, "200"),      # rounds, then the exact pass for the last 200
-    ("/root/testdata/sf0.01", None, None),       # default: small batch settled by the exact pass
+@pytest.mark.parametrize("sf,hot_rows", [
+    ("/root/testdata/sf0.001", None),
+    ("/root/testdata/sf0.01", None),
+    ("/root/testdata/sf0.001", "3"),        # every product with more than 3 orders range-split
 ])
-def test_sequential_equals_one_by_one(spark, sf, hot_rows, exact):
-    for key, value in (("bodega.hotGroupRows", hot_rows), ("bodega.exactFinishOrders", exact)):
-        if value:
-            spark.conf.set(key, value)
-        else:
-            spark.conf.unset(key)
+def test_sequential_equals_one_by_one(spark, sf, hot_rows):
+    if hot_rows:
+        spark.conf.set("bodega.hotGroupRows", hot_rows)
+    else:
+        spark.conf.unset("bodega.hotGroupRows")
     fx = Fixture(spark, sf)
     d = fx.tables("productos", "pedidos", "detalle")
     out = P.post_orders(d, fx.request_headers, fx.request_items, AS_OF, mode="sequential")
@@ -89,7 +86,6 @@ def test_sequential_equals_one_by_one(spark, sf, hot_rows, exact):
     ids = sorted((r.request_id, r.ID_TomaPedido) for r in out["orders"].collect())
     assert [i for _, i in ids] == list(range(base + 1, base + 1 + len(ids)))
     spark.conf.unset("bodega.hotGroupRows")
-    spark.conf.unset("bodega.exactFinishOrders")
 
 
 def test_opening_stock_invariants(spark, fx):
@@ -195,14 +191,10 @@ def test_replace_checks_against_own_give_back(spark):
     assert [r.ID_TomaPedido for r in out["replaced"].collect()] == [10]
 
 
-@pytest.mark.parametrize("exact", ["0", None])
-def test_sequential_per_product_check_equals_one_by_one(spark, exact):
-    if exact:
-        spark.conf.set("bodega.exactFinishOrders", exact)
+def test_sequential_per_product_check_equals_one_by_one(spark):
     fx = Fixture(spark, "/root/testdata/sf0.01")
     out = P.post_orders(fx.tables("productos", "pedidos", "detalle"), fx.request_headers, fx.request_items, AS_OF,
                         mode="sequential", check="per_product")
-    spark.conf.unset("bodega.exactFinishOrders")
     acc, reasons, stock = simulate(_rows(fx.request_headers), _rows(fx.request_items),
                                    _rows(fx.productos.select("ID_Producto", "Stock")), per_product=True)
     assert sorted(r.request_id for r in out["orders"].select("request_id").collect()) == sorted(acc)
@@ -221,3 +213,12 @@ def test_empty_and_fully_rejected_batches(spark, mode):
         out = P.post_orders(base, _headers(spark, heads), _items(spark, items), AS_OF, mode=mode)
         assert out["orders"].count() == n_orders
         assert [r.Stock for r in out["products"].collect()] == [stock]
+
+
+@pytest.mark.parametrize("mode", ["sequential", "opening_stock"])
+def test_unknown_stock_sells_nothing(spark, fx, mode):
+    d = fx.tables("productos", "pedidos", "detalle")
+    blank = d | {"productos": d["productos"].withColumn("Stock", F.lit(None).cast("int"))}
+    out = P.post_orders(blank, fx.request_headers, fx.request_items, AS_OF, mode=mode)
+    assert out["orders"].count() == 0
+    assert "insufficient_stock" in {r.reason for r in out["rejects"].collect()}

@@ -143,3 +143,15 @@ def test_catalog_sort_with_collation(spark):
     assert binary == [2, 3, 1]                                    # 'A' < 'a' < 'b' in binary order
     ci = [r.descripcion for r in L.zone_list({"zona": zona}, collation="UNICODE_CI_RTRIM").collect()]
     assert ci[2] == "beta" and sorted(ci[:2]) == ["Alfa", "alfa"]
+
+
+def test_rows_without_a_key_are_answered(spark):
+    from bodega.operators import changes as W
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "id int, name string, dni int")
+    edits = spark.createDataFrame([(1, "x", 1), (None, "lost", 2), (9, "y", 3)], "id int, name string, _seq int").withColumnRenamed("_seq", W.SEQ)
+    snapshot, rejects = W.partial_update(base, edits, "id", ["name"])
+    assert {r.id: r.name for r in snapshot.collect()} == {1: "x", 2: "b"}
+    assert sorted(r.reason for r in rejects.collect()) == ["missing_key", "not_found"]
+    new = spark.createDataFrame([("n1", None, 1), ("n2", None, 2), ("n3", 5, 3), ("n4", 6, 4), ("n5", 6, 5)], "name string, dni int, _seq int").withColumnRenamed("_seq", W.SEQ)
+    _, inserted = W.insert_if_absent(base, new, ["dni"], "id")
+    assert sorted(r.name for r in inserted.collect()) == ["n1", "n2", "n4"]

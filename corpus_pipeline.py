@@ -55,7 +55,7 @@ STAGES = [
     ("bpe_encode_decode", encode),
 ]
 
-#: The classifier's weights cannot be stated in SQL; tests/llm hold the rows against a plain version.
+#: The classifier's weights cannot be stated in SQL.
 ORACLE_SQL = None
 
 

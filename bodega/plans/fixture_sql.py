@@ -54,7 +54,7 @@ SELECT rid AS ID_Repartidor,
   CASE WHEN rid % 2 = 1 THEN NULL ELSE TIMESTAMP '2026-12-31 00:00:00' END AS VencimientoLicencia,
   TIMESTAMP '2020-01-01 00:00:00' AS CreatedAt,
   TIMESTAMP '2020-01-01 00:00:00' AS UpdatedAt
-FROM (SELECT CAST(n_nationkey + 1 AS INTEGER) AS rid, n_name FROM nation WHERE n_nationkey < 10)""")
+FROM (SELECT CAST(n_nationkey + 1 AS INTEGER) AS rid, n_name FROM nation)""")
 
 _cte("clientes", (), """
 SELECT c_custkey AS ID_Cliente,
@@ -139,7 +139,7 @@ SELECT o_orderkey AS ID_TomaPedido, {client} AS ID_Cliente, o_orderdate AS Fecha
   o_orderstatus AS Estado,
   CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS Observaciones,
   CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 0 END AS SMALLINT) AS bDeposito,
-  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 12 + 1 AS INTEGER) END AS ID_Repartidor,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 27 + 1 AS INTEGER) END AS ID_Repartidor,
   'A' AS Letra, 1 AS ID_Comprobante
 FROM orders"""
 

@@ -255,6 +255,13 @@ def delete_unsold_products(fx):
     return decimals_to_double(W.delete_rows(fx.productos, unsold, "ID_Producto"))
 
 
+@register("delete_out_of_stock_products", with_tables(
+    f"SELECT {PRODUCT_OUT} FROM productos p WHERE NOT p.SinStockApp", "productos"))
+def delete_out_of_stock_products(fx):
+    """Drop every product marked as out of stock."""
+    return decimals_to_double(W.delete_rows(fx.productos, fx.productos.where("SinStockApp").select("ID_Producto"), "ID_Producto"))
+
+
 DRIVER_OUT = ", ".join(_cols("repartidores"))
 
 

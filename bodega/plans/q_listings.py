@@ -1,31 +1,31 @@
 """Registered listings and lookups.
 
-Lookups are asked for every key that another table refers to (every order
-with lines, every product sold, every client with orders, ...), so the
+Lookups are asked for every order, and otherwise for every key that another
+table refers to (every product sold, every client with orders, ...), so the
 work grows with the data and unknown keys are exercised too.
 """
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from bodega.operators import listings as L
 from bodega.plans.fixture_sql import with_tables
 from bodega.plans.registry import register
 
 # ---- L1-L4 ----------------------------------------------------------------
+# The list oracles look names up per key: one small lookup per dimension, keyed by
+# the list's own key column, joined with USING.
 ORDER_LIST_SQL = with_tables("""
-SELECT tp.ID_TomaPedido AS id, 'client' AS order_type, tp.ID_Cliente AS client_id,
-  c.Nombre || ' ' || coalesce(c.Apellido, '') AS client_name,
-  rtrim(c.Direccion) AS client_direccion, rtrim(c.Numero) AS client_numero, rtrim(c.Telefono) AS client_telefono,
-  tp.Fecha AS created_at, tp.FechaEntrega AS delivery_date, CAST(tp.Total AS DOUBLE) AS total_amount,
-  tp.Estado AS status, CAST(tp.Dto AS DOUBLE) AS discount, tp.Observaciones AS notes,
-  CASE WHEN tp.bDeposito = 1 THEN 'deposito' ELSE 'por reparto' END AS delivery_type,
-  tp.ID_Repartidor AS repartidor_id,
-  rtrim(r.Nombre) || ' ' || rtrim(coalesce(r.Apellido, '')) AS repartidor_name
-FROM pedidos tp
-LEFT JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
-LEFT JOIN repartidores r ON tp.ID_Repartidor = r.ID_Repartidor
-ORDER BY tp.Fecha DESC, id""", "pedidos", "clientes", "repartidores")
+SELECT id, order_type, client_id, client_name, client_direccion, client_numero, client_telefono, created_at,
+  delivery_date, total_amount, status, discount, notes, delivery_type, repartidor_id, repartidor_name
+FROM head LEFT JOIN who USING (client_id) LEFT JOIN driver USING (repartidor_id)
+ORDER BY created_at DESC, id""", "pedidos", "clientes", "repartidores", extra=[
+    ("who", """SELECT ID_Cliente AS client_id, concat(Nombre || ' ', Apellido) AS client_name,
+  rtrim(Telefono) AS client_telefono, rtrim(Direccion) AS client_direccion, rtrim(Numero) AS client_numero FROM clientes"""),
+    ("driver", """SELECT ID_Repartidor AS repartidor_id,
+  concat(rtrim(Nombre) || ' ', rtrim(Apellido)) AS repartidor_name FROM repartidores"""),
+    ("head", """SELECT ID_TomaPedido AS id, 'client' AS order_type, ID_Cliente AS client_id,
+  ID_Repartidor AS repartidor_id, if(coalesce(bDeposito, 0) = 1, 'deposito', 'por reparto') AS delivery_type,
+  Fecha AS created_at, FechaEntrega AS delivery_date, Estado AS status, Observaciones AS notes,
+  CAST(Total AS DOUBLE) AS total_amount, CAST(Dto AS DOUBLE) AS discount FROM pedidos""")])
 
 
 @register("order_list", ORDER_LIST_SQL)
@@ -33,41 +33,37 @@ def order_list(fx):
     return L.order_list(fx.tables("pedidos", "clientes", "repartidores"))
 
 
-def _ordered_ids(fx):
-    return fx.detalle.select("ID_TomaPedido")
+def _order_ids(fx):
+    return fx.pedidos.select("ID_TomaPedido")
 
 
 ORDER_HEADER_SQL = with_tables("""
 SELECT tp.ID_TomaPedido AS id, 'client' AS order_type, tp.ID_Cliente AS client_id,
   c.Nombre || ' ' || coalesce(c.Apellido, '') AS client_name,
   tp.Fecha AS created_at, CAST(tp.Total AS DOUBLE) AS total_amount, tp.Estado AS status
-FROM pedidos tp LEFT JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
-WHERE tp.ID_TomaPedido IN (SELECT ID_TomaPedido FROM detalle)""", "pedidos", "clientes", "detalle")
+FROM pedidos tp LEFT JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente""", "pedidos", "clientes")
 
 
 @register("order_header", ORDER_HEADER_SQL)
 def order_header(fx):
-    return L.order_header(fx.tables("pedidos", "clientes"), _ordered_ids(fx))
+    return L.order_header(fx.tables("pedidos", "clientes"), _order_ids(fx))
 
 
 ORDER_ITEMS_SQL = with_tables("""
 SELECT dt.ID_TomaPedido AS order_id, dt.ID_Producto AS product_id, p.Descripcion AS name, p.Pr_Ean13 AS sku,
   CAST(dt.Cantidad AS DOUBLE) AS quantity, CAST(dt.PrecioUnitario AS DOUBLE) AS unit_price
 FROM detalle dt LEFT JOIN productos p ON dt.ID_Producto = p.ID_Producto
-WHERE dt.ID_TomaPedido IN (SELECT ID_TomaPedido FROM pedidos WHERE Estado = 'O')""",
-                              "detalle", "productos", "pedidos")
+WHERE dt.ID_TomaPedido IN (SELECT ID_TomaPedido FROM pedidos)""", "detalle", "productos", "pedidos")
 
 
 @register("order_items", ORDER_ITEMS_SQL)
 def order_items(fx):
-    open_orders = fx.pedidos.where(F.col("Estado") == "O").select("ID_TomaPedido")
-    return L.order_items(fx.tables("detalle", "productos"), open_orders)
+    return L.order_items(fx.tables("detalle", "productos"), _order_ids(fx))
 
 
 @register("order_document")
 def order_document(fx):
-    open_orders = fx.pedidos.where(F.col("Estado") == "O").select("ID_TomaPedido")
-    return L.order_document(fx.tables("pedidos", "clientes", "detalle", "productos"), open_orders)
+    return L.order_document(fx.tables("pedidos", "clientes", "detalle", "productos"), _order_ids(fx))
 
 
 @register("order_document_json", with_tables("""
@@ -80,29 +76,25 @@ LEFT JOIN (SELECT dt.ID_TomaPedido, list({'product_id': dt.ID_Producto, 'name':
      'quantity': CAST(dt.Cantidad AS DOUBLE), 'unit_price': CAST(dt.PrecioUnitario AS DOUBLE)}
      ORDER BY dt.ID_Producto, p.Descripcion, p.Pr_Ean13, dt.Cantidad, dt.PrecioUnitario) AS items
    FROM detalle dt LEFT JOIN productos p ON dt.ID_Producto = p.ID_Producto GROUP BY dt.ID_TomaPedido) it
-  ON tp.ID_TomaPedido = it.ID_TomaPedido
-WHERE tp.Estado = 'O'""", "pedidos", "clientes", "detalle", "productos"))
+  ON tp.ID_TomaPedido = it.ID_TomaPedido""", "pedidos", "clientes", "detalle", "productos"))
 def order_document_json(fx):
     """L4 + E12: the order document as the JSON reply body."""
-    open_orders = fx.pedidos.where(F.col("Estado") == "O").select("ID_TomaPedido")
-    return L.order_document_json(fx.tables("pedidos", "clientes", "detalle", "productos"), open_orders)
+    return L.order_document_json(fx.tables("pedidos", "clientes", "detalle", "productos"), _order_ids(fx))
 
 
 # ---- L5-L6 ----------------------------------------------------------------
 PRODUCT_LIST_SQL = with_tables("""
-SELECT p.ID_Producto AS id, p.Descripcion AS name, p.Pr_Ean13 AS sku, CAST(p.PrecioFinalUni AS DOUBLE) AS price,
-  p.Stock AS stock, p.ID_Proveedor AS provider_id, prov.RazonSocial AS provider_name,
-  p.ID_Rubro AS rubro_id, r.Descripcion AS rubro_name, p.idMarca AS marca_id, m.Mrc_Descripcion AS marca_name,
-  p.IdAlicIva AS alicuota_id, p.AlicIva_desc AS alicuota_desc,
-  CAST(p.Costo AS DOUBLE) AS Costo, CAST(p.CostoUnit AS DOUBLE) AS CostoUnit, CAST(p.margen AS DOUBLE) AS margen,
-  CAST(p.PrecioFinalPack AS DOUBLE) AS PrecioFinalPack, CAST(p.PrecioNetoPack AS DOUBLE) AS PrecioNetoPack,
-  CAST(p.PrecioNetoUni AS DOUBLE) AS PrecioNetoUni, CAST(p.MontoIVA AS DOUBLE) AS MontoIVA,
-  p.PMR, p.Pr_Pack, p.Pr_UniXPack, p.Estado, p.OcultarApp, p.SinStockApp, p.PermiteDescuento AS permite_descuento
-FROM productos p
-LEFT JOIN proveedores prov ON p.ID_Proveedor = prov.ID_Proveedor
-LEFT JOIN rubros r ON p.ID_Rubro = r.ID_Rubro
-LEFT JOIN marca m ON p.idMarca = m.Id_Marca
-ORDER BY p.ID_Producto""", "productos", "proveedores", "rubros", "marca")
+SELECT ID_Producto AS id, Descripcion AS name, Pr_Ean13 AS sku, CAST(PrecioFinalUni AS DOUBLE) AS price, Stock AS stock,
+  provider_id, provider_name, rubro_id, rubro_name, marca_id, marca_name,
+  IdAlicIva AS alicuota_id, AlicIva_desc AS alicuota_desc,
+  COLUMNS(['Costo', 'CostoUnit', 'margen', 'PrecioFinalPack', 'PrecioNetoPack', 'PrecioNetoUni', 'MontoIVA'])::DOUBLE,
+  PMR, Pr_Pack, Pr_UniXPack, Estado, OcultarApp, SinStockApp, PermiteDescuento AS permite_descuento
+FROM (SELECT *, ID_Proveedor AS provider_id, ID_Rubro AS rubro_id, idMarca AS marca_id FROM productos)
+  LEFT JOIN brand USING (marca_id) LEFT JOIN category USING (rubro_id) LEFT JOIN provider USING (provider_id)
+ORDER BY id""", "productos", "proveedores", "rubros", "marca", extra=[
+    ("provider", "SELECT ID_Proveedor AS provider_id, RazonSocial AS provider_name FROM proveedores"),
+    ("category", "SELECT ID_Rubro AS rubro_id, Descripcion AS rubro_name FROM rubros"),
+    ("brand", "SELECT Id_Marca AS marca_id, Mrc_Descripcion AS marca_name FROM marca")])
 
 
 @register("product_list", PRODUCT_LIST_SQL)
@@ -130,20 +122,23 @@ def product_get(fx):
 
 
 # ---- L7-L10 ---------------------------------------------------------------
+PLACE_NAMES = [
+    ("district", "SELECT ID_Barrio AS id_barrio, rtrim(Nombre) AS barrio_nombre FROM barrios"),
+    ("town", "SELECT ID_Localidad AS id_localidad, rtrim(Nombre) AS localidad_nombre FROM localidad"),
+    ("terms", "SELECT ID_CondicionPago AS id_condicion, rtrim(Descripcion) AS condicion_pago FROM condicion_pago"),
+]
+
 CLIENT_LIST_SQL = with_tables("""
-SELECT c.ID_Cliente AS id, rtrim(c.RazonSocial) AS razon_social, rtrim(c.Apellido) AS apellido,
-  rtrim(c.Nombre) AS nombre, rtrim(c.Direccion) AS direccion, rtrim(c.Numero) AS numero,
-  rtrim(c.Telefono) AS telefono, rtrim(c.CUIT) AS cuit, rtrim(c.correo) AS correo,
-  c.ID_Barrio AS id_barrio, rtrim(b.Nombre) AS barrio_nombre,
-  c.ID_Localidad AS id_localidad, rtrim(l.Nombre) AS localidad_nombre,
-  c.ID_Zona AS id_zona, rtrim(z.Descripcion) AS zona_nombre,
-  c.id_condicion, rtrim(cp.Descripcion) AS condicion_pago, rtrim(c.Estado) AS estado
-FROM clientes c
-LEFT JOIN barrios b ON c.ID_Barrio = b.ID_Barrio
-LEFT JOIN localidad l ON c.ID_Localidad = l.ID_Localidad
-LEFT JOIN zona z ON c.ID_Zona = z.ID_Zona
-LEFT JOIN condicion_pago cp ON c.id_condicion = cp.ID_CondicionPago
-ORDER BY c.ID_Cliente DESC""", "clientes", "barrios", "localidad", "zona", "condicion_pago")
+SELECT id, razon_social, apellido, nombre, direccion, numero, telefono, cuit, correo, id_barrio, barrio_nombre,
+  id_localidad, localidad_nombre, id_zona, zona_nombre, id_condicion, condicion_pago, estado
+FROM own LEFT JOIN terms USING (id_condicion) LEFT JOIN zone USING (id_zona)
+  LEFT JOIN town USING (id_localidad) LEFT JOIN district USING (id_barrio)
+ORDER BY id DESC""", "clientes", "barrios", "localidad", "zona", "condicion_pago", extra=PLACE_NAMES + [
+    ("zone", "SELECT ID_Zona AS id_zona, rtrim(Descripcion) AS zona_nombre FROM zona"),
+    ("own", """SELECT ID_Cliente AS id, ID_Barrio AS id_barrio, ID_Localidad AS id_localidad, ID_Zona AS id_zona, id_condicion,
+  rtrim(Nombre) AS nombre, rtrim(Apellido) AS apellido, rtrim(RazonSocial) AS razon_social, rtrim(CUIT) AS cuit,
+  rtrim(correo) AS correo, rtrim(Telefono) AS telefono, rtrim(Direccion) AS direccion, rtrim(Numero) AS numero,
+  rtrim(Estado) AS estado FROM clientes""")])
 
 CLIENT_DIMS = ("clientes", "barrios", "localidad", "zona", "condicion_pago")
 
@@ -172,16 +167,13 @@ def client_get(fx):
 PROVIDER_DIMS = ("proveedores", "condicion_pago", "barrios", "localidad")
 
 PROVIDER_LIST_SQL = with_tables("""
-SELECT p.ID_Proveedor AS id, rtrim(p.RazonSocial) AS razon_social, rtrim(p.Direccion) AS direccion,
-  rtrim(p.Numero) AS numero, rtrim(p.Telefono) AS telefono, rtrim(p.CUIT) AS cuit, rtrim(p.Correo) AS correo,
-  p.ID_Condicion AS id_condicion, rtrim(cp.Descripcion) AS condicion_pago,
-  p.Barrio AS id_barrio, rtrim(b.Nombre) AS barrio_nombre,
-  p.Localidad AS id_localidad, rtrim(l.Nombre) AS localidad_nombre, rtrim(p.Estado) AS estado
-FROM proveedores p
-LEFT JOIN condicion_pago cp ON p.ID_Condicion = cp.ID_CondicionPago
-LEFT JOIN barrios b ON p.Barrio = b.ID_Barrio
-LEFT JOIN localidad l ON p.Localidad = l.ID_Localidad
-ORDER BY p.ID_Proveedor DESC""", *PROVIDER_DIMS)
+SELECT id, razon_social, direccion, numero, telefono, cuit, correo, id_condicion, condicion_pago, id_barrio,
+  barrio_nombre, id_localidad, localidad_nombre, estado
+FROM own LEFT JOIN town USING (id_localidad) LEFT JOIN district USING (id_barrio) LEFT JOIN terms USING (id_condicion)
+ORDER BY id DESC""", *PROVIDER_DIMS, extra=PLACE_NAMES + [
+    ("own", """SELECT ID_Proveedor AS id, Barrio AS id_barrio, Localidad AS id_localidad, ID_Condicion AS id_condicion,
+  rtrim(RazonSocial) AS razon_social, rtrim(CUIT) AS cuit, rtrim(Correo) AS correo, rtrim(Telefono) AS telefono,
+  rtrim(Direccion) AS direccion, rtrim(Numero) AS numero, rtrim(Estado) AS estado FROM proveedores""")])
 
 
 @register("provider_list", PROVIDER_LIST_SQL)

@@ -43,17 +43,19 @@ def copy_brands(fx):
     return M.copy_table(fx.marca)
 
 
+# A reference survives if its key is among the known ones; each scalar subquery finds
+# the known key, or nothing.
+def _known(fk: str, table: str, key: str) -> str:
+    return f"(SELECT max(t.{key}) FROM {table} t WHERE t.{key} = p.{fk})"
+
+
 REPAIR_OVERRIDE = {
-    "ID_Proveedor": "CASE WHEN pr.ID_Proveedor IS NOT NULL THEN p.ID_Proveedor ELSE 1 END",
-    "ID_Rubro": "CASE WHEN r.ID_Rubro IS NOT NULL THEN p.ID_Rubro ELSE 1 END",
-    "idMarca": "CASE WHEN m.Id_Marca IS NOT NULL THEN p.idMarca ELSE NULL END",
-    "IdAlicIva": "CASE WHEN a.id_alicuota IS NOT NULL THEN p.IdAlicIva ELSE NULL END",
+    "ID_Proveedor": f"coalesce({_known('ID_Proveedor', 'proveedores', 'ID_Proveedor')}, 1)",
+    "ID_Rubro": f"coalesce({_known('ID_Rubro', 'rubros', 'ID_Rubro')}, 1)",
+    "idMarca": _known("idMarca", "marca", "Id_Marca"),
+    "IdAlicIva": _known("IdAlicIva", "alicuotas", "id_alicuota"),
 }
-REPAIR_FROM = """FROM productos_src p
-LEFT JOIN proveedores pr ON p.ID_Proveedor = pr.ID_Proveedor
-LEFT JOIN rubros r ON p.ID_Rubro = r.ID_Rubro
-LEFT JOIN marca m ON p.idMarca = m.Id_Marca
-LEFT JOIN alicuotas a ON p.IdAlicIva = a.id_alicuota"""
+REPAIR_FROM = "FROM productos_src p"
 
 
 @register("repair_references", with_tables(
@@ -75,14 +77,12 @@ def load_products(fx):
     return decimals_to_double(M.load_products(fx.productos_src, fx.tables(*DST)))
 
 
+NEWEST = ("newest", """SELECT *, row_number() OVER (ORDER BY ID_TomaPedido DESC) AS nth
+FROM pedidos_src SEMI JOIN clientes USING (ID_Cliente)""")
+
 RECENT_SQL = with_tables(f"""
-SELECT {_sel(M.ORDER_COLS, 'tp', {"ID_Condicion":
-        "CASE WHEN cp.ID_CondicionPago IS NOT NULL THEN tp.ID_Condicion ELSE NULL END"})}
-FROM pedidos_src tp
-JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
-LEFT JOIN condicion_pago cp ON tp.ID_Condicion = cp.ID_CondicionPago
-ORDER BY tp.ID_TomaPedido DESC
-LIMIT 1000""", "pedidos_src", "clientes", "condicion_pago")
+SELECT {_sel(M.ORDER_COLS, 'p', {"ID_Condicion": _known("ID_Condicion", "condicion_pago", "ID_CondicionPago")})}
+FROM newest p WHERE nth <= 1000""", "pedidos_src", "clientes", "condicion_pago", extra=[NEWEST])
 
 
 @register("load_recent_orders", RECENT_SQL)
@@ -94,11 +94,9 @@ LINE_COLS = [c.split(" ")[0] for c in S.DDL["detalle"].split(", ")]
 LINES_SQL = with_tables(f"""
 SELECT {", ".join(f"CAST(d.{c} AS DOUBLE) AS {c}" if c in ("Cantidad", "PrecioUnitario", "ImporteconDto",
                   "IVA", "RestoIVA", "Dto") else f"d.{c}" for c in LINE_COLS)}
-FROM detalle_items d
-JOIN (SELECT tp.ID_TomaPedido FROM pedidos_src tp JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
-      ORDER BY tp.ID_TomaPedido DESC LIMIT 1000) o ON d.ID_TomaPedido = o.ID_TomaPedido
-JOIN productos_src p ON d.ID_Producto = p.ID_Producto""",
-                        "detalle_items", "pedidos_src", "clientes", "productos_src")
+FROM detalle_items d SEMI JOIN (SELECT ID_TomaPedido FROM newest WHERE nth <= 1000) USING (ID_TomaPedido)
+  SEMI JOIN productos_src USING (ID_Producto)""",
+                        "detalle_items", "pedidos_src", "clientes", "productos_src", extra=[NEWEST])
 
 
 @register("load_order_lines", LINES_SQL)
@@ -111,13 +109,11 @@ REPORT_SQL = with_tables("""
 SELECT 'marca' AS table_name, count(*) AS rows_loaded FROM marca
 UNION ALL SELECT 'alicuotas', count(*) FROM alicuotas
 UNION ALL SELECT 'productos', count(*) FROM productos_src
-UNION ALL SELECT 'pedidos', count(*) FROM (SELECT 1 FROM pedidos_src tp JOIN clientes c
-  ON tp.ID_Cliente = c.ID_Cliente ORDER BY tp.ID_TomaPedido DESC LIMIT 1000)
-UNION ALL SELECT 'detalle', count(*) FROM detalle_items d
-  JOIN (SELECT tp.ID_TomaPedido FROM pedidos_src tp JOIN clientes c ON tp.ID_Cliente = c.ID_Cliente
-        ORDER BY tp.ID_TomaPedido DESC LIMIT 1000) o ON d.ID_TomaPedido = o.ID_TomaPedido
-  JOIN productos_src p ON d.ID_Producto = p.ID_Producto""",
-                         "marca", "alicuotas", "productos_src", "pedidos_src", "clientes", "detalle_items")
+UNION ALL SELECT 'pedidos', count(*) FROM newest WHERE nth <= 1000
+UNION ALL SELECT 'detalle', count(*) FROM detalle_items
+  SEMI JOIN (SELECT ID_TomaPedido FROM newest WHERE nth <= 1000) USING (ID_TomaPedido)
+  SEMI JOIN productos_src USING (ID_Producto)""",
+                         "marca", "alicuotas", "productos_src", "pedidos_src", "clientes", "detalle_items", extra=[NEWEST])
 
 
 @register("load_report", REPORT_SQL)

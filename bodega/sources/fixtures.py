@@ -101,7 +101,7 @@ class Fixture:
 
     @cached_property
     def repartidores(self) -> DataFrame:
-        n = self.raw("nation").where(F.col("n_nationkey") < 10)
+        n = self.raw("nation")
         rid = (F.col("n_nationkey") + 1).cast("int")
         odd = rid % 2 == 1
         return n.select(
@@ -239,7 +239,7 @@ class Fixture:
             F.col("o_orderstatus").alias("Estado"),
             _null_when(k % 2 == 0, F.col("o_orderpriority")).alias("Observaciones"),
             dep.alias("bDeposito"),
-            F.when(dep == 1, F.lit(None)).otherwise((k % 12 + 1).cast("int")).cast("int").alias("ID_Repartidor"),
+            F.when(dep == 1, F.lit(None)).otherwise((k % 27 + 1).cast("int")).cast("int").alias("ID_Repartidor"),
             F.lit("A").alias("Letra"),
             F.lit(1).alias("ID_Comprobante"),
         )

@@ -253,6 +253,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, unchanged_as_is: bool
     windows = stored(_second_pass(rows, folder, window, bits), "substring-windows")
     repeated = (windows.groupBy("a", "b").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"))
                 .where("smallest < largest").select("a", "b", "smallest"))
+    # written first: a join that reuses the grouping's partitions could not split a hot window
+    repeated = stored(repeated, "substring-repeated")
     later = windows.join(repeated, ["a", "b"]).where("doc_id > smallest").select("doc_id", "key", "place")
     gone = later.unionByName(copies.withColumn("place", F.lit(-1))).groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
     found = rows.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "places"),

@@ -216,6 +216,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, r: int = MAX_BITS,
     lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
     final = linked.join(lowest, "component").select("fp", "lowest")
     answer = groups.join(final, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
+    # written first: a join that reuses the groups' partitions could not split a large group of copies
+    answer = stored(answer, "fingerprint-components")
     return (prints.join(answer, "fp", "left")
             .select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 

@@ -25,7 +25,7 @@ LCG_INCREMENT = 12345
 LCG_MODULUS = 2 ** 31
 
 ORDER_COLS = ["ID_TomaPedido", "Letra", "ID_Comprobante", "ID_Cliente", "Fecha", "FechaEntrega",
-              "ID_Condicion", "Dto", "Total", "Apagar", "CtaCte", "Estado", "Observaciones", "bDeposito"]
+              "ID_Condicion", "ID_Empleado", "PorcentajeDto", "Dto", "Total", "Apagar", "CtaCte", "Estado", "Observaciones", "bDeposito"]
 
 
 def copy_table(src: DataFrame, columns: list[str] | None = None) -> DataFrame:

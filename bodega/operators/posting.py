@@ -47,14 +47,38 @@ def _falsy(df: DataFrame, c: str) -> Column:
 def validate_requests(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Headers with ``n_items`` and ``reject_reason`` (first failing rule, or NULL).
 
-    Needs a client and at least one item; 'por reparto' needs a driver.
+    Requests that share a ``request_id`` are all rejected: their items cannot be
+    told apart. Needs a client and at least one item; 'por reparto' needs a driver.
     More than 99 items cannot be numbered in the two-character ``Item``."""
     counts = items.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_items"))
-    h = headers.join(counts, "request_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
-    reason = (F.when(_falsy(h, "client_id") | (F.col("n_items") == 0), F.lit("missing_data"))
+    again = (headers.groupBy("request_id").agg(F.count(F.lit(1)).alias("_sent")).where("_sent > 1")
+             .select("request_id", F.lit(True).alias("_again")))
+    h = headers.join(counts, "request_id", "left").join(again, "request_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    reason = (F.when(F.col("_again"), F.lit("duplicate_request"))
+              .when(_falsy(h, "client_id") | (F.col("n_items") == 0), F.lit("missing_data"))
               .when((F.col("delivery_type") == DELIVERY_ROUTE) & _falsy(h, "repartidor_id"), F.lit("missing_driver"))
               .when(F.col("n_items") > MAX_ITEMS, F.lit("too_many_items")))
-    return h.withColumn("reject_reason", reason)
+    return h.withColumn("reject_reason", reason).drop("_again")
+
+
+def check_parties(v: DataFrame, headers: DataFrame, parties: dict | None) -> DataFrame:
+    """``late_reason``: a client or driver that does not exist, the foreign keys a
+    header meets when it is written. ``parties``: the tables ``clientes`` and
+    ``repartidores``; the key of a table that is not given is not checked.
+
+    The keys a header names are made distinct first (with map-side combining), so a
+    client with very many orders crosses the shuffle once."""
+    missing = F.lit(None).cast("string")
+    for table, key, col, why in (("repartidores", "ID_Repartidor", "repartidor_id", "unknown_driver"),
+                                 ("clientes", "ID_Cliente", "client_id", "unknown_client")):
+        if parties is None or table not in parties:
+            continue
+        named = headers.where(~_falsy(headers, col)).select(F.col(col).alias("_named")).distinct()
+        known = parties[table].select(F.col(key).alias("_named"))
+        bad = named.join(known, "_named", "left_anti").withColumn(f"_no_{col}", F.lit(True))
+        v = v.join(bad, v[col] == bad["_named"], "left").drop("_named")
+        missing = F.when(F.col(f"_no_{col}"), F.lit(why)).otherwise(missing)
+    return v.withColumn("late_reason", missing).drop("_no_repartidor_id", "_no_client_id")
 
 
 # ---- P2 -------------------------------------------------------------------
@@ -118,12 +142,13 @@ def decide(headers: DataFrame, lines: DataFrame, stock_before: Column, late: str
     return out.withColumn("reason", reason).withColumn("accepted", reason.isNull()).drop("_bad", "line_reason")
 
 
-def check_stock(headers: DataFrame, items: DataFrame, products: DataFrame, check: str = "per_line") -> DataFrame:
+def check_stock(headers: DataFrame, items: DataFrame, products: DataFrame, check: str = "per_line",
+                parties: dict | None = None) -> DataFrame:
     """P3 against the opening stock: one row per request with ``accepted``,
-    ``reason`` and ``total``."""
-    v = validate_requests(headers, items)
+    ``reason`` and ``total`` (``parties``: see ``check_parties``)."""
+    v = check_parties(validate_requests(headers, items), headers, parties)
     lines = _need(price_lines(items, products), check)
-    return decide(v, lines, F.col("stock_open"))
+    return decide(v, lines, F.col("stock_open"), late="late_reason")
 
 
 # ---- P4 / P5 ----------------------------------------------------------------
@@ -234,15 +259,15 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
     left below zero, where fractional quantities can make the reference's
     per-line truncation differ from ``ceil``)."""
     products = d["productos"]
-    v = validate_requests(headers, items)
+    v = check_parties(validate_requests(headers, items), headers, d)
     lines = _need(price_lines(items, products), check)
     if mode == "sequential":
         # read by five steps of the sequential path: priced once
         lines = reliable_checkpoint(lines)
     if mode == "opening_stock":
-        dec = decide(v, lines, F.col("stock_open"))
+        dec = decide(v, lines, F.col("stock_open"), late="late_reason")
     elif mode == "sequential":
-        static = decide(v, lines, F.col("need"))  # enough of everything: the reasons that do not depend on stock
+        static = decide(v, lines, F.col("need"), late="late_reason")  # enough of everything: the reasons that do not depend on stock
         static = reliable_checkpoint(static.select("request_id", "reason"))
         ok = static.where(F.col("reason").isNull()).select("request_id")
         cand = (lines.join(ok, "request_id", "left_semi").groupBy("request_id", "product_id")
@@ -251,7 +276,7 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
         cand = reliable_checkpoint(cand)
         status = _sequential_status(cand)
         accepted = status.where(F.col("st") == "A").select("request_id")
-        dec = decide(v, _stock_before_sequential(lines, accepted), F.col("stock_before"))
+        dec = decide(v, _stock_before_sequential(lines, accepted), F.col("stock_before"), late="late_reason")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     dec = reliable_checkpoint(dec)
@@ -297,7 +322,8 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
 def replace_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, check: str = "per_line") -> dict[str, DataFrame]:
     """Full edit of existing orders.
 
-    One edit per order (the latest request). Old lines give their stock
+    One edit per order: the latest request; earlier ones for the same order are
+    rejected as ``superseded``, requests without an order id as ``not_found``. Old lines give their stock
     back, new lines are priced and checked against the opening stock plus
     the order's own give-back; an accepted edit replaces the lines and
     updates client, delivery date, totals, delivery type and driver, keeping
@@ -310,14 +336,17 @@ def replace_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, check:
     it = items.join(h.select("request_id"), "request_id", "left_semi")
     v = validate_requests(h, it)
     known = orders.select(F.col("ID_TomaPedido").alias("order_id"), F.lit(True).alias("_known"))
-    v = v.join(known, "order_id", "left").withColumn(
-        "late_reason", F.when(F.col("_known").isNull(), F.lit("not_found"))).drop("_known")
+    v = check_parties(v, h, d).join(known, "order_id", "left").withColumn(
+        "late_reason", F.when(F.col("_known").isNull(), F.lit("not_found")).otherwise(F.col("late_reason"))).drop("_known")
     back = (old_lines.join(h.select(F.col("order_id").alias("ID_TomaPedido"), "request_id"), "ID_TomaPedido")
             .groupBy("request_id", F.col("ID_Producto").alias("product_id"))
             .agg(F.sum(give_back(F.col("Cantidad"))).alias("back")))
     lines = _need(price_lines(it, products), check).join(back, ["request_id", "product_id"], "left")
-    dec = decide(v, lines, F.col("stock_open") + F.coalesce(F.col("back"), F.lit(0)), late="late_reason")
-    dec = reliable_checkpoint(dec)
+    dec = decide(v, lines, F.coalesce(F.col("stock_open"), F.lit(0)) + F.coalesce(F.col("back"), F.lit(0)), late="late_reason")
+    passed_over = headers.join(latest, ["order_id", "request_id"], "left_anti").select(
+        "request_id", "order_id", F.lit(False).alias("accepted"),
+        F.when(F.col("order_id").isNull(), F.lit("not_found")).otherwise(F.lit("superseded")).alias("reason"))
+    dec = reliable_checkpoint(dec.unionByName(passed_over, allowMissingColumns=True))
     acc = dec.where(F.col("accepted")).select("request_id", "order_id", "client_id", "delivery_type",
                                               "delivery_date", "repartidor_id", "total")
     upd = acc.select(

@@ -12,6 +12,10 @@ LINE_ORDER_SQL = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpri
 
 UNIT_PRICE_SQL = "CAST(floor(round(l_extendedprice * 100) / l_quantity) / 100 AS DECIMAL(18,2))"
 
+LINE_EXTRAS = f"""CAST(l_linenumber AS INTEGER) AS Hoja,
+  CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 0 END AS Rechazo, CAST(l_extendedprice AS DECIMAL(18,2)) AS Monto,
+  CAST({UNIT_PRICE_SQL} * 0.6 AS DECIMAL(18,2)) AS CostoUnit, l_orderkey AS NroPedido"""
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -70,7 +74,11 @@ SELECT c_custkey AS ID_Cliente,
   c_nationkey AS ID_Localidad,
   CAST(c_nationkey % 5 AS INTEGER) AS ID_Zona,
   CAST(c_custkey % 7 + 1 AS INTEGER) AS id_condicion,
-  'ACTIVO' AS Estado
+  'ACTIVO' AS Estado,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'IB-' || CAST(c_custkey AS VARCHAR) END AS IngresosBrutos,
+  CAST(c_custkey % 900 + 5000 AS VARCHAR) AS CodigoPostal,
+  CASE WHEN c_custkey % 2 = 1 THEN NULL ELSE 'www.cliente' || CAST(c_custkey AS VARCHAR) || '.test' END AS sitioweb,
+  TIMESTAMP '2019-02-01 00:00:00' AS FechaAlta
 FROM customer""")
 
 _cte("proveedores", (), """
@@ -85,7 +93,12 @@ SELECT s_suppkey AS ID_Proveedor,
   CAST(s_suppkey % 7 + 1 AS INTEGER) AS ID_Condicion,
   s_nationkey AS Barrio,
   s_nationkey AS Localidad,
-  'ACTIVO' AS Estado
+  'ACTIVO' AS Estado,
+  CAST(s_suppkey % 900 + 5000 AS VARCHAR) AS CodigoPostal,
+  CASE WHEN s_suppkey % 2 = 1 THEN NULL ELSE 'www.proveedor' || CAST(s_suppkey AS VARCHAR) || '.test' END AS SitioWeb,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '351-9' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS Fax,
+  'IB-' || CAST(s_suppkey AS VARCHAR) AS IB,
+  CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE lpad(CAST(s_suppkey AS VARCHAR), 12, '0') END AS NroCuenta
 FROM supplier""")
 
 
@@ -107,18 +120,21 @@ SELECT ID_Producto, Descripcion, Pr_Ean13, PrecioFinalUni, Stock, ID_Proveedor,
   CAST(PrecioFinalUni * 0.8 AS DECIMAL(18,2)) AS PrecioNetoUni,
   CAST(PrecioFinalUni * 0.2 AS DECIMAL(18,2)) AS MontoIVA,
   1 AS PMR, 'UN' AS Pr_Pack, Pr_UniXPack, 'Activo' AS Estado, false AS OcultarApp,
-  p_size < 5 AS SinStockApp, p_partkey % 5 <> 0 AS PermiteDescuento
+  p_size < 5 AS SinStockApp, p_partkey % 5 <> 0 AS PermiteDescuento,
+  CASE WHEN idMarca IS NOT NULL THEN p_brand END AS MarcaDesc,
+  CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'OR-' || CAST(p_partkey AS VARCHAR) END AS Pr_CodOrigen,
+  CAST(p_size % 4 + 0.5 AS DECIMAL(18,2)) AS Pr_UnidMinVenta, CAST(p_partkey % 2 AS BIGINT) AS Enviado
 FROM (
   SELECT p.p_partkey AS ID_Producto, p.p_name AS Descripcion,
     lpad(CAST(p.p_partkey AS VARCHAR), 13, '0') AS Pr_Ean13,
     CAST(p.p_retailprice AS DECIMAL(18,2)) AS PrecioFinalUni,
-    p.p_size * 3 AS Stock,
+    CASE WHEN p.p_partkey % 101 = 0 THEN NULL ELSE p.p_size * 3 END AS Stock,
     p.p_partkey % {nsup} AS ID_Proveedor,
     {rubro} AS ID_Rubro,
     CASE WHEN p.p_size % 7 = 0 THEN NULL ELSE {brand} END AS idMarca,
     CASE WHEN p.p_partkey % 11 = 0 THEN NULL ELSE {vat} END AS IdAlicIva,
     CAST(p.p_size % 12 + 1 AS INTEGER) AS Pr_UniXPack,
-    p.p_size, p.p_partkey
+    p.p_size, p.p_partkey, p.p_brand
   FROM {src}
 )"""
 
@@ -140,7 +156,9 @@ SELECT o_orderkey AS ID_TomaPedido, {client} AS ID_Cliente, o_orderdate AS Fecha
   CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS Observaciones,
   CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 0 END AS SMALLINT) AS bDeposito,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 27 + 1 AS INTEGER) END AS ID_Repartidor,
-  'A' AS Letra, 1 AS ID_Comprobante
+  'A' AS Letra, 1 AS ID_Comprobante,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 40 + 1 AS INTEGER) END AS ID_Empleado,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS DOUBLE) / 4 END AS PorcentajeDto
 FROM orders"""
 
 
@@ -158,7 +176,8 @@ SELECT l_orderkey AS ID_TomaPedido, l_partkey AS ID_Producto,
   {UNIT_PRICE_SQL} AS PrecioUnitario,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS ImporteconDto,
   CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.21 AS DECIMAL(18,4)) AS IVA,
-  CAST(0 AS DECIMAL(18,2)) AS RestoIVA, CAST(0 AS DECIMAL(18,2)) AS Dto
+  CAST(0 AS DECIMAL(18,2)) AS RestoIVA, CAST(0 AS DECIMAL(18,2)) AS Dto,
+  {LINE_EXTRAS}
 FROM lineitem"""
 
 
@@ -172,22 +191,22 @@ SELECT l_orderkey AS ID_TomaPedido, l_partkey AS ID_Producto,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS ImporteconDto,
   CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.21 AS DECIMAL(18,4)) AS IVA,
   CAST(0 AS DECIMAL(18,2)) AS RestoIVA, CAST(0 AS DECIMAL(18,2)) AS Dto,
-  printf('%02d', CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) AS INTEGER)) AS Item
+  printf('%02d', CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) AS INTEGER)) AS Item,
+  {LINE_EXTRAS}
 FROM lineitem""")
 
-_cte("request_headers", (), f"""
+_cte("request_headers", (), """
 SELECT o_orderkey AS request_id,
   CAST(NULL AS BIGINT) AS order_id,
-  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_custkey END AS client_id,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS client_id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'deposito' ELSE 'por reparto' END AS delivery_type,
   CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderdate + INTERVAL 3 DAY END AS delivery_date,
-  CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 10 + 1 AS INTEGER) END
-    AS repartidor_id,
+  CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 9999
+    ELSE CAST(o_orderkey % 10 + 1 AS INTEGER) END AS repartidor_id,
   CAST(NULL AS VARCHAR) AS status
-FROM orders
-WHERE o_orderdate >= {AS_OF_SQL} - INTERVAL 365 DAY""")
+FROM orders, unnest(CASE WHEN o_orderkey % 37 = 0 THEN [1, 2] ELSE [1] END)""")
 
-_cte("request_items", ("request_headers",), f"""
+_cte("request_items", (), f"""
 SELECT request_id, pos,
   CASE WHEN request_id % 23 = 0 AND pos = 1 THEN l_partkey + 1000000000 ELSE l_partkey END AS product_id,
   CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
@@ -197,12 +216,14 @@ FROM (
   SELECT l.*, l.l_orderkey AS request_id,
     row_number() OVER (PARTITION BY l.l_orderkey ORDER BY {LINE_ORDER_SQL}) AS pos
   FROM lineitem l
-  WHERE l.l_orderkey IN (SELECT request_id FROM request_headers WHERE request_id % 19 <> 0)
+  WHERE l.l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 19 <> 0)
 )""")
 
 _cte("edit_headers", ("request_headers",),
-     "SELECT request_id, request_id AS order_id, client_id, delivery_type, delivery_date, repartidor_id, status "
-     "FROM request_headers")
+     """
+SELECT sign * request_id AS request_id, CASE WHEN sign = -1 AND request_id % 41 <> 0 THEN NULL ELSE request_id END AS order_id,
+  client_id, delivery_type, delivery_date, repartidor_id, status
+FROM request_headers, unnest(CASE WHEN request_id % 41 = 0 OR request_id % 43 = 0 THEN [1, -1] ELSE [1] END) AS s(sign)""")
 _cte("edit_items", ("request_items",), "SELECT * FROM request_items")
 
 

@@ -12,7 +12,7 @@ from bodega.sources.change_fixtures import change_table, driver_roster
 
 MONEY = {"PrecioFinalUni", "Costo", "CostoUnit", "margen", "PrecioFinalPack", "PrecioNetoPack",
          "PrecioNetoUni", "MontoIVA", "Total", "Apagar", "Dto", "CtaCte", "Cantidad", "PrecioUnitario",
-         "ImporteconDto", "IVA", "RestoIVA"}
+         "ImporteconDto", "IVA", "RestoIVA", "Monto", "Pr_UnidMinVenta"}
 
 
 def _cols(table):

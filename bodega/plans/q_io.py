@@ -26,7 +26,8 @@ SELECT ID_Producto, Descripcion, Pr_Ean13, CAST(PrecioFinalUni AS DOUBLE) AS Pre
   ID_Rubro, idMarca, IdAlicIva, AlicIva_desc, CAST(Costo AS DOUBLE) AS Costo, CAST(CostoUnit AS DOUBLE) AS CostoUnit,
   CAST(margen AS DOUBLE) AS margen, CAST(PrecioFinalPack AS DOUBLE) AS PrecioFinalPack,
   CAST(PrecioNetoPack AS DOUBLE) AS PrecioNetoPack, CAST(PrecioNetoUni AS DOUBLE) AS PrecioNetoUni,
-  CAST(MontoIVA AS DOUBLE) AS MontoIVA, PMR, Pr_Pack, Pr_UniXPack, Estado, OcultarApp, SinStockApp, PermiteDescuento
+  CAST(MontoIVA AS DOUBLE) AS MontoIVA, PMR, Pr_Pack, Pr_UniXPack, Estado, OcultarApp, SinStockApp, PermiteDescuento,
+  MarcaDesc, Pr_CodOrigen, CAST(Pr_UnidMinVenta AS DOUBLE) AS Pr_UnidMinVenta, Enviado
 FROM productos""", "productos")
 
 
@@ -40,9 +41,10 @@ def typed_scan_roundtrip(fx):
 
 @register("json_requests_roundtrip", with_tables("""
 SELECT request_id, pos, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price
-FROM request_items""", "request_items"))
+FROM request_items JOIN request_headers USING (request_id)""", "request_items", "request_headers"))
 def json_requests_roundtrip(fx):
-    """E12 JSON sink of nested order requests, then E11 read and flatten."""
+    """E12 JSON sink of nested order requests, then E11 read and flatten (a request sent
+    twice carries its items twice)."""
     items = fx.request_items.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
         "pos", "product_id", F.col("quantity").cast("string").alias("quantity"),
         F.col("unit_price").cast("string").alias("unit_price")))).alias("items"))

@@ -17,7 +17,7 @@ DST = ("proveedores", "rubros", "marca", "alicuotas", "clientes", "condicion_pag
 
 PRODUCT_COLS = [c.split(" ")[0] for c in S.DDL["productos"].split(", ")]
 MONEY = {"PrecioFinalUni", "Costo", "CostoUnit", "margen", "PrecioFinalPack", "PrecioNetoPack",
-         "PrecioNetoUni", "MontoIVA", "Total", "Apagar", "Dto", "CtaCte"}
+         "PrecioNetoUni", "MontoIVA", "Total", "Apagar", "Dto", "CtaCte", "Pr_UnidMinVenta"}
 
 
 def _sel(cols, alias="p", override=None):
@@ -43,6 +43,11 @@ def copy_brands(fx):
     return M.copy_table(fx.marca)
 
 
+@register("copy_vat_rates", with_tables("SELECT id_alicuota, Alic_descripcion, CAST(Alicuota AS DOUBLE) AS Alicuota FROM alicuotas", "alicuotas"))
+def copy_vat_rates(fx):
+    return M.copy_table(fx.alicuotas).withColumn("Alicuota", fx.alicuotas["Alicuota"].cast("double"))
+
+
 # A reference survives if its key is among the known ones; each scalar subquery finds
 # the known key, or nothing.
 def _known(fk: str, table: str, key: str) -> str:
@@ -93,7 +98,7 @@ def load_recent_orders(fx):
 LINE_COLS = [c.split(" ")[0] for c in S.DDL["detalle"].split(", ")]
 LINES_SQL = with_tables(f"""
 SELECT {", ".join(f"CAST(d.{c} AS DOUBLE) AS {c}" if c in ("Cantidad", "PrecioUnitario", "ImporteconDto",
-                  "IVA", "RestoIVA", "Dto") else f"d.{c}" for c in LINE_COLS)}
+                  "IVA", "RestoIVA", "Dto", "Monto", "CostoUnit") else f"d.{c}" for c in LINE_COLS)}
 FROM detalle_items d SEMI JOIN (SELECT ID_TomaPedido FROM newest WHERE nth <= 1000) USING (ID_TomaPedido)
   SEMI JOIN productos_src USING (ID_Producto)""",
                         "detalle_items", "pedidos_src", "clientes", "productos_src", extra=[NEWEST])

@@ -8,15 +8,19 @@ from bodega.operators.listings import decimals_to_double
 from bodega.plans.fixture_sql import AS_OF_SQL, with_tables
 from bodega.plans.registry import register
 
-REQ = ("request_headers", "request_items", "productos")
+REQ = ("request_headers", "request_items", "productos", "clientes", "repartidores")
 
 # The validation / pricing / decision chain in DuckDB (opening stock, per line).
 CHAIN = [
     ("cnt", "SELECT request_id, count(*) AS n_items FROM request_items GROUP BY request_id"),
     ("v", """SELECT h.*, coalesce(c.n_items, 0) AS n_items,
-  CASE WHEN h.client_id IS NULL OR h.client_id = 0 OR coalesce(c.n_items, 0) = 0 THEN 'missing_data'
+  CASE WHEN count(*) OVER (PARTITION BY h.request_id) > 1 THEN 'duplicate_request'
+       WHEN h.client_id IS NULL OR h.client_id = 0 OR coalesce(c.n_items, 0) = 0 THEN 'missing_data'
        WHEN h.delivery_type = 'por reparto' AND (h.repartidor_id IS NULL OR h.repartidor_id = 0) THEN 'missing_driver'
-       WHEN coalesce(c.n_items, 0) > 99 THEN 'too_many_items' END AS reject_reason
+       WHEN coalesce(c.n_items, 0) > 99 THEN 'too_many_items' END AS reject_reason,
+  CASE WHEN h.client_id NOT IN (SELECT ID_Cliente FROM clientes) THEN 'unknown_client'
+       WHEN h.repartidor_id <> 0 AND h.repartidor_id NOT IN (SELECT ID_Repartidor FROM repartidores) THEN 'unknown_driver'
+  END AS late_reason
 FROM request_headers h LEFT JOIN cnt c ON h.request_id = c.request_id"""),
     ("pl", """SELECT i.request_id, i.pos, i.product_id, i.quantity,
   CASE WHEN i.unit_price IS NULL OR i.unit_price = 0 THEN CAST(p.PrecioFinalUni AS DECIMAL(18,2))
@@ -26,12 +30,12 @@ FROM request_items i LEFT JOIN productos p ON i.product_id = p.ID_Producto"""),
     ("lines", """SELECT *, CAST(unit_price * quantity AS DECIMAL(18,4)) AS amount,
   CAST(unit_price * quantity AS DECIMAL(18,4)) * 0.21 AS vat, printf('%02d', pos) AS Item,
   (quantity IS NULL OR unit_price IS NULL) AS bad_number, quantity AS need FROM pl"""),
-    ("fails", """SELECT *, CASE WHEN NOT found THEN 'unknown_product' WHEN stock_open < need THEN 'insufficient_stock' END
+    ("fails", """SELECT *, CASE WHEN NOT found THEN 'unknown_product' WHEN coalesce(stock_open, 0) < need THEN 'insufficient_stock' END
   AS fail FROM lines"""),
     ("per", """SELECT request_id, arg_min(fail, pos) FILTER (WHERE fail IS NOT NULL) AS line_reason,
   max(CAST(bad_number AS INTEGER)) AS bad, sum(amount) AS total FROM fails GROUP BY request_id"""),
     ("dec", """SELECT v.*, per.total,
-  coalesce(v.reject_reason, per.line_reason, CASE WHEN per.bad = 1 THEN 'bad_number' END) AS reason
+  coalesce(v.reject_reason, per.line_reason, v.late_reason, CASE WHEN per.bad = 1 THEN 'bad_number' END) AS reason
 FROM v LEFT JOIN per ON v.request_id = per.request_id"""),
     ("acc", "SELECT * FROM dec WHERE reason IS NULL"),
     ("ids", """SELECT (SELECT max(ID_TomaPedido) FROM pedidos) + row_number() OVER (ORDER BY request_id) AS ID_TomaPedido,
@@ -47,8 +51,12 @@ def _chain_sql(body: str, upto: str, *tables: str) -> str:
     return with_tables(body, *REQ, *tables, extra=extra)
 
 
+def _parties(fx):
+    return fx.tables("clientes", "repartidores")
+
+
 def _fx_tables(fx):
-    return fx.tables("productos", "pedidos", "detalle")
+    return fx.tables("productos", "pedidos", "detalle", "clientes", "repartidores")
 
 
 @register("validate_requests", _chain_sql("SELECT request_id, n_items, reject_reason FROM v", "v"))
@@ -67,7 +75,7 @@ def price_lines(fx):
 @register("check_stock", _chain_sql(
     "SELECT request_id, reason IS NULL AS accepted, reason FROM dec", "dec"))
 def check_stock(fx):
-    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos)
+    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos, parties=_parties(fx))
     return dec.select("request_id", "accepted", "reason")
 
 
@@ -80,7 +88,7 @@ def order_totals(fx):
 @register("stock_movements", _chain_sql(
     "SELECT product_id, CAST(-t AS BIGINT) AS delta FROM moves", "moves", "pedidos"))
 def stock_movements(fx):
-    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos)
+    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos, parties=_parties(fx))
     acc = dec.where(F.col("accepted")).select("request_id")
     lines = P.price_lines(fx.request_items, fx.productos).join(acc, "request_id", "left_semi")
     return P.stock_movements(lines)
@@ -143,7 +151,7 @@ FROM lines GROUP BY request_id"""),
 FROM (SELECT request_id, product_id, CAST(sum(ceil(quantity)) AS BIGINT) AS take FROM lines
       WHERE found AND quantity IS NOT NULL GROUP BY request_id, product_id)
 GROUP BY request_id"""),
-    ("seqreq", """SELECT row_number() OVER (ORDER BY v.request_id) AS i, v.request_id, v.reject_reason,
+    ("seqreq", """SELECT row_number() OVER (ORDER BY v.request_id) AS i, v.request_id, v.reject_reason, v.late_reason,
   sl.lines, sl.bad, sl.total, sp.per
 FROM v LEFT JOIN sl ON v.request_id = sl.request_id LEFT JOIN sp ON v.request_id = sp.request_id"""),
     ("walk", """SELECT 0 AS i, MAP {}::MAP(BIGINT, BIGINT) AS m, CAST(NULL AS BIGINT) AS request_id,
@@ -158,12 +166,12 @@ FROM (
   SELECT s.i, w.m, s.request_id, s.per,
     coalesce(s.reject_reason,
       CASE WHEN NOT list_filter(s.lines, lambda l: NOT l.found OR
-                  (l.q IS NOT NULL AND l.stock_open - coalesce(w.m[l.product_id], 0) < l.q))[1].found
+                  (l.q IS NOT NULL AND coalesce(l.stock_open, 0) - coalesce(w.m[l.product_id], 0) < l.q))[1].found
            THEN 'unknown_product'
            WHEN list_filter(s.lines, lambda l: NOT l.found OR
-                  (l.q IS NOT NULL AND l.stock_open - coalesce(w.m[l.product_id], 0) < l.q))[1].found
+                  (l.q IS NOT NULL AND coalesce(l.stock_open, 0) - coalesce(w.m[l.product_id], 0) < l.q))[1].found
            THEN 'insufficient_stock' END,
-      CASE WHEN s.bad THEN 'bad_number' END) AS reason
+      s.late_reason, CASE WHEN s.bad THEN 'bad_number' END) AS reason
   FROM walk w JOIN seqreq s ON s.i = w.i + 1
 ) x"""),
     ("acc", """SELECT v.*, s.total FROM v JOIN walk w ON v.request_id = w.request_id AND w.reason IS NULL
@@ -192,7 +200,7 @@ def post_orders_sequential_stock(fx):
 
 
 @register("post_orders_sequential_rejects", _seq_sql(
-    "SELECT w.request_id, w.reason FROM walk w JOIN seqreq s ON w.request_id = s.request_id "
+    "SELECT w.request_id, w.reason FROM walk w JOIN seqreq s ON w.i = s.i "
     "AND w.reason IS NOT NULL"))
 def post_orders_sequential_rejects(fx):
     return _post(fx, "sequential")["rejects"]
@@ -206,10 +214,14 @@ EDIT_CHAIN = [
     ("ei", "SELECT * FROM edit_items WHERE request_id IN (SELECT request_id FROM eh)"),
     ("cnt", "SELECT request_id, count(*) AS n_items FROM ei GROUP BY request_id"),
     ("v", """SELECT h.*, coalesce(c.n_items, 0) AS n_items,
-  CASE WHEN h.client_id IS NULL OR h.client_id = 0 OR coalesce(c.n_items, 0) = 0 THEN 'missing_data'
+  CASE WHEN count(*) OVER (PARTITION BY h.request_id) > 1 THEN 'duplicate_request'
+       WHEN h.client_id IS NULL OR h.client_id = 0 OR coalesce(c.n_items, 0) = 0 THEN 'missing_data'
        WHEN h.delivery_type = 'por reparto' AND (h.repartidor_id IS NULL OR h.repartidor_id = 0) THEN 'missing_driver'
        WHEN coalesce(c.n_items, 0) > 99 THEN 'too_many_items' END AS reject_reason,
-  CASE WHEN h.order_id NOT IN (SELECT ID_TomaPedido FROM pedidos) THEN 'not_found' END AS late_reason
+  CASE WHEN h.order_id NOT IN (SELECT ID_TomaPedido FROM pedidos) THEN 'not_found'
+       WHEN h.client_id NOT IN (SELECT ID_Cliente FROM clientes) THEN 'unknown_client'
+       WHEN h.repartidor_id <> 0 AND h.repartidor_id NOT IN (SELECT ID_Repartidor FROM repartidores) THEN 'unknown_driver'
+  END AS late_reason
 FROM eh h LEFT JOIN cnt c ON h.request_id = c.request_id"""),
     ("back", """SELECT h.request_id, d.ID_Producto AS product_id, sum(floor(d.Cantidad)) AS back
 FROM detalle d JOIN eh h ON d.ID_TomaPedido = h.order_id GROUP BY h.request_id, d.ID_Producto"""),
@@ -222,7 +234,7 @@ FROM ei i LEFT JOIN productos p ON i.product_id = p.ID_Producto"""),
   (quantity IS NULL OR unit_price IS NULL) AS bad_number, coalesce(b.back, 0) AS back
 FROM pl LEFT JOIN back b ON pl.request_id = b.request_id AND pl.product_id = b.product_id"""),
     ("fails", """SELECT *, CASE WHEN NOT found THEN 'unknown_product'
-  WHEN stock_open + back < need THEN 'insufficient_stock' END AS fail FROM lines"""),
+  WHEN coalesce(stock_open, 0) + back < need THEN 'insufficient_stock' END AS fail FROM lines"""),
     ("per", """SELECT request_id, arg_min(fail, pos) FILTER (WHERE fail IS NOT NULL) AS line_reason,
   max(CAST(bad_number AS INTEGER)) AS bad, sum(amount) AS total FROM fails GROUP BY request_id"""),
     ("dec", """SELECT v.*, per.total,
@@ -234,7 +246,7 @@ FROM v LEFT JOIN per ON v.request_id = per.request_id"""),
     ("took", "SELECT product_id, sum(ceil(quantity)) AS t FROM lines WHERE request_id IN (SELECT request_id FROM acc) "
              "GROUP BY product_id"),
 ]
-EDIT_TABLES = ("edit_headers", "edit_items", "productos", "pedidos", "detalle")
+EDIT_TABLES = ("edit_headers", "edit_items", "productos", "pedidos", "detalle", "clientes", "repartidores")
 
 
 def _edit(fx):
@@ -256,7 +268,7 @@ SELECT o.ID_TomaPedido,
   CASE WHEN a.order_id IS NOT NULL THEN
          CASE WHEN a.repartidor_id IS NULL OR a.repartidor_id = 0 THEN NULL ELSE a.repartidor_id END
        ELSE o.ID_Repartidor END AS ID_Repartidor,
-  o.Letra, o.ID_Comprobante
+  o.Letra, o.ID_Comprobante, o.ID_Empleado, o.PorcentajeDto
 FROM pedidos o LEFT JOIN acc a ON o.ID_TomaPedido = a.order_id""", *EDIT_TABLES, extra=EDIT_CHAIN))
 def replace_orders(fx):
     return decimals_to_double(_edit(fx)["orders"])
@@ -270,8 +282,26 @@ def replace_orders_stock(fx):
     return _edit(fx)["products"].select("ID_Producto", "Stock")
 
 
+@register("replace_orders_lines", with_tables("""
+SELECT ID_TomaPedido, ID_Producto, CAST(Cantidad AS DOUBLE) AS Cantidad, CAST(PrecioUnitario AS DOUBLE) AS PrecioUnitario,
+  CAST(ImporteconDto AS DOUBLE) AS ImporteconDto, CAST(IVA AS DOUBLE) AS IVA, false AS added
+FROM detalle ANTI JOIN (SELECT order_id AS ID_TomaPedido FROM acc) USING (ID_TomaPedido)
+UNION ALL
+SELECT order_id, product_id, CAST(quantity AS DOUBLE), CAST(unit_price AS DOUBLE), CAST(amount AS DOUBLE),
+  CAST(amount * 0.21 AS DOUBLE), true
+FROM lines JOIN acc USING (request_id)""", *EDIT_TABLES, extra=EDIT_CHAIN))
+def replace_orders_lines(fx):
+    """The lines kept and the lines the accepted edits put in their place."""
+    out, cols = _edit(fx), ["ID_TomaPedido", "ID_Producto", "Cantidad", "PrecioUnitario", "ImporteconDto", "IVA"]
+    kept = decimals_to_double(out["kept_lines"].select(*cols)).withColumn("added", F.lit(False))
+    return kept.unionByName(decimals_to_double(out["added_lines"].select(*cols)).withColumn("added", F.lit(True)))
+
+
 @register("replace_orders_rejects", with_tables(
-    "SELECT request_id, order_id, reason FROM dec WHERE reason IS NOT NULL", *EDIT_TABLES, extra=EDIT_CHAIN))
+    """SELECT request_id, order_id, reason FROM dec WHERE reason IS NOT NULL
+UNION ALL
+SELECT request_id, order_id, CASE WHEN order_id IS NULL THEN 'not_found' ELSE 'superseded' END
+FROM edit_headers ANTI JOIN latest USING (order_id, request_id)""", *EDIT_TABLES, extra=EDIT_CHAIN))
 def replace_orders_rejects(fx):
     return _edit(fx)["rejects"]
 
@@ -296,7 +326,8 @@ def status_changes(pedidos):
 @register("set_order_status", with_tables("""
 SELECT o.ID_TomaPedido, o.ID_Cliente, o.Fecha, o.FechaEntrega, o.ID_Condicion, CAST(o.Total AS DOUBLE) AS Total,
   CAST(o.Apagar AS DOUBLE) AS Apagar, CAST(o.Dto AS DOUBLE) AS Dto, CAST(o.CtaCte AS DOUBLE) AS CtaCte,
-  coalesce(l.status, o.Estado) AS Estado, o.Observaciones, o.bDeposito, o.ID_Repartidor, o.Letra, o.ID_Comprobante
+  coalesce(l.status, o.Estado) AS Estado, o.Observaciones, o.bDeposito, o.ID_Repartidor, o.Letra, o.ID_Comprobante,
+  o.ID_Empleado, o.PorcentajeDto
 FROM pedidos o LEFT JOIN (SELECT order_id, arg_max(status, change_seq) AS status FROM ch GROUP BY order_id) l
   ON o.ID_TomaPedido = l.order_id""", "pedidos", extra=[("ch", STATUS_CHANGES_SQL)]))
 def set_order_status(fx):
@@ -314,5 +345,5 @@ PER_PRODUCT_CHAIN = [(n, b.replace("quantity AS need FROM pl",
     "SELECT request_id, reason IS NULL AS accepted, reason FROM dec", *REQ,
     extra=PER_PRODUCT_CHAIN[:[n for n, _ in PER_PRODUCT_CHAIN].index("dec") + 1]))
 def check_stock_per_product(fx):
-    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos, check="per_product")
+    dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos, parties=_parties(fx), check="per_product")
     return dec.select("request_id", "accepted", "reason")

@@ -13,12 +13,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bodega.functions.exprs import add_days, shift_days
+from bodega.functions.exprs import add_days
 from bodega.functions.sequence import number_rows
 
 # Fixed values of the test fixtures.
 AS_OF = dt.datetime(2001, 8, 1, 0, 0, 0)
-REQUEST_WINDOW_DAYS = 365
+UNKNOWN_CLIENT_OFFSET = 1_000_000_000
+UNKNOWN_DRIVER = 9999
 UNKNOWN_PRODUCT_OFFSET = 1_000_000_000
 VAT_ROWS = [(1, "IVA 21%", 0.21), (2, "IVA 10,5%", 0.105), (3, "IVA 27%", 0.27)]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -42,6 +43,16 @@ def unit_price_recipe():
     return (F.floor(F.round(F.col("l_extendedprice") * 100) / F.col("l_quantity")) / 100).cast("decimal(18,2)")
 
 
+def _line_extras():
+    """The optional columns of an order line."""
+    flag = F.col("l_returnflag")
+    return [F.col("l_linenumber").cast("int").alias("Hoja"),
+            F.when(flag == "R", F.lit(1)).when(flag == "N", F.lit(0)).alias("Rechazo"),
+            F.col("l_extendedprice").cast("decimal(18,2)").alias("Monto"),
+            (unit_price_recipe() * F.lit(Decimal("0.6"))).cast("decimal(18,2)").alias("CostoUnit"),
+            F.col("l_orderkey").alias("NroPedido")]
+
+
 class Fixture:
     """The model tables over one scale-factor folder."""
 
@@ -141,6 +152,10 @@ class Fixture:
             (F.col("c_nationkey") % 5).cast("int").alias("ID_Zona"),
             (F.col("c_custkey") % 7 + 1).cast("int").alias("id_condicion"),
             F.lit("ACTIVO").alias("Estado"),
+            _null_when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("IB-"), k)).alias("IngresosBrutos"),
+            (F.col("c_custkey") % 900 + 5000).cast("string").alias("CodigoPostal"),
+            _null_when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("www.cliente"), k, F.lit(".test"))).alias("sitioweb"),
+            add_days(F.lit("2019-01-01 00:00:00").cast("timestamp_ntz"), 31).alias("FechaAlta"),
         )
 
     @cached_property
@@ -160,6 +175,11 @@ class Fixture:
             F.col("s_nationkey").alias("Barrio"),
             F.col("s_nationkey").alias("Localidad"),
             F.lit("ACTIVO").alias("Estado"),
+            (F.col("s_suppkey") % 900 + 5000).cast("string").alias("CodigoPostal"),
+            _null_when(F.col("s_suppkey") % 2 == 1, F.concat(F.lit("www.proveedor"), k, F.lit(".test"))).alias("SitioWeb"),
+            _null_when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("351-9"), F.lpad(k, 6, "0"))).alias("Fax"),
+            F.concat(F.lit("IB-"), k).alias("IB"),
+            _null_when(F.col("s_suppkey") % 5 == 0, F.lpad(k, 12, "0")).alias("NroCuenta"),
         )
 
     def _productos(self, dirty: bool) -> DataFrame:
@@ -182,13 +202,13 @@ class Fixture:
             F.col("p_name").alias("Descripcion"),
             F.lpad(_s("p_partkey"), 13, "0").alias("Pr_Ean13"),
             price.alias("PrecioFinalUni"),
-            (F.col("p_size") * 3).alias("Stock"),
+            _null_when(F.col("p_partkey") % 101 == 0, F.col("p_size") * 3).alias("Stock"),
             (F.col("p_partkey") % n_sup).alias("ID_Proveedor"),
             rubro.alias("ID_Rubro"),
             _null_when(F.col("p_size") % 7 == 0, brand).alias("idMarca"),
             _null_when(F.col("p_partkey") % 11 == 0, vat).alias("IdAlicIva"),
             F.col("p_size"), price.alias("_price"), uxp.alias("Pr_UniXPack"),
-            F.col("p_partkey"),
+            F.col("p_partkey"), F.col("p_brand"),
         )
         rate = (F.when(F.col("IdAlicIva") == 1, F.lit(0.21)).when(F.col("IdAlicIva") == 2, F.lit(0.105))
                 .when(F.col("IdAlicIva") == 3, F.lit(0.27)))
@@ -210,6 +230,10 @@ class Fixture:
             F.lit(False).alias("OcultarApp"),
             (F.col("p_size") < 5).alias("SinStockApp"),
             (F.col("p_partkey") % 5 != 0).alias("PermiteDescuento"),
+            F.when(F.col("idMarca").isNotNull(), F.col("p_brand")).alias("MarcaDesc"),
+            _null_when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("OR-"), _s("p_partkey"))).alias("Pr_CodOrigen"),
+            (F.col("p_size") % 4 + F.lit(Decimal("0.5"))).cast("decimal(18,2)").alias("Pr_UnidMinVenta"),
+            (F.col("p_partkey") % 2).cast("long").alias("Enviado"),
         )
 
     @cached_property
@@ -242,6 +266,8 @@ class Fixture:
             F.when(dep == 1, F.lit(None)).otherwise((k % 27 + 1).cast("int")).cast("int").alias("ID_Repartidor"),
             F.lit("A").alias("Letra"),
             F.lit(1).alias("ID_Comprobante"),
+            _null_when(k % 5 == 0, (k % 40 + 1).cast("int")).alias("ID_Empleado"),
+            _null_when(k % 9 == 0, (k % 4).cast("double") / 4).alias("PorcentajeDto"),
         )
 
     @cached_property
@@ -268,6 +294,7 @@ class Fixture:
             (amount * F.lit(Decimal("0.21"))).cast("decimal(18,4)").alias("IVA"),
             F.lit(0).cast("decimal(18,2)").alias("RestoIVA"),
             F.lit(0).cast("decimal(18,2)").alias("Dto"),
+            *_line_extras(),
         )
 
     @cached_property
@@ -295,28 +322,32 @@ class Fixture:
             F.lit(0).cast("decimal(18,2)").alias("RestoIVA"),
             F.lit(0).cast("decimal(18,2)").alias("Dto"),
             F.format_string("%02d", F.col("_rn").cast("int")).alias("Item"),
+            *_line_extras(),
         )
 
     # ---- order requests (flat: headers + items) ----------------------------
     @cached_property
     def request_headers(self) -> DataFrame:
-        o = self.raw("orders").where(F.col("o_orderdate") >= shift_days(self.as_of, -REQUEST_WINDOW_DAYS))
+        """One request per order; some name an unknown client or driver, some arrive
+        twice under one id."""
+        o = self.raw("orders")
         k = F.col("o_orderkey")
+        o = o.withColumn("_copy", F.explode(F.when(k % 37 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        client = F.when(k % 29 == 0, F.col("o_custkey") + UNKNOWN_CLIENT_OFFSET).otherwise(F.col("o_custkey"))
         return o.select(
             k.alias("request_id"),
             F.lit(None).cast("long").alias("order_id"),
-            _null_when(k % 17 == 0, F.col("o_custkey")).alias("client_id"),
+            _null_when(k % 17 == 0, client).alias("client_id"),
             F.when(k % 3 == 0, F.lit("deposito")).otherwise(F.lit("por reparto")).alias("delivery_type"),
             _null_when(k % 2 == 0, add_days(F.col("o_orderdate"), 3)).alias("delivery_date"),
-            F.when((k % 13 == 0) | (k % 3 == 0), F.lit(None)).otherwise((k % 10 + 1).cast("int"))
-             .cast("int").alias("repartidor_id"),
+            F.when((k % 13 == 0) | (k % 3 == 0), F.lit(None)).when(k % 31 == 0, F.lit(UNKNOWN_DRIVER))
+             .otherwise((k % 10 + 1).cast("int")).cast("int").alias("repartidor_id"),
             F.lit(None).cast("string").alias("status"),
         )
 
     @cached_property
     def request_items(self) -> DataFrame:
-        heads = self.request_headers.where(F.col("request_id") % 19 != 0).select(
-            F.col("request_id").alias("l_orderkey"))
+        heads = self.raw("orders").where(F.col("o_orderkey") % 19 != 0).select(F.col("o_orderkey").alias("l_orderkey"))
         li = self.raw("lineitem").join(heads, "l_orderkey", "left_semi")
         numbered = number_rows(li, ["l_orderkey"], LINE_ORDER, "pos")
         pos = F.col("pos")
@@ -332,8 +363,14 @@ class Fixture:
 
     @cached_property
     def edit_headers(self) -> DataFrame:
-        """Full edits: every recent order is re-sent with its own id."""
-        return self.request_headers.withColumn("order_id", F.col("request_id"))
+        """Full edits: every order is re-sent with its own id; some were sent before with
+        nothing in them, some without their order's id."""
+        k = F.col("request_id")
+        full = self.request_headers.withColumn("order_id", k)
+        early = full.where(k % 41 == 0).withColumn("request_id", -k)
+        lost = full.where((k % 43 == 0) & (k % 41 != 0)).withColumn("request_id", -k).withColumn(
+            "order_id", F.lit(None).cast("long"))
+        return full.unionByName(early).unionByName(lost)
 
     @cached_property
     def edit_items(self) -> DataFrame:

@@ -15,22 +15,26 @@ DDL: dict[str, str] = {
         "Costo DECIMAL(18,2), CostoUnit DECIMAL(18,2), margen DECIMAL(18,2), PrecioFinalPack DECIMAL(18,2), "
         "PrecioNetoPack DECIMAL(18,2), PrecioNetoUni DECIMAL(18,2), MontoIVA DECIMAL(18,2), PMR INT, "
         "Pr_Pack STRING, Pr_UniXPack INT, Estado STRING, OcultarApp BOOLEAN, SinStockApp BOOLEAN, "
-        "PermiteDescuento BOOLEAN"),
+        "PermiteDescuento BOOLEAN, MarcaDesc STRING, Pr_CodOrigen STRING, Pr_UnidMinVenta DECIMAL(18,2), "
+        "Enviado BIGINT"),
     "pedidos": (
         "ID_TomaPedido BIGINT, ID_Cliente BIGINT, Fecha TIMESTAMP_NTZ, FechaEntrega TIMESTAMP_NTZ, "
         "ID_Condicion INT, Total DECIMAL(18,2), Apagar DECIMAL(18,2), Dto DECIMAL(18,2), CtaCte DECIMAL(18,2), "
         "Estado STRING, Observaciones STRING, bDeposito SMALLINT, ID_Repartidor INT, Letra STRING, "
-        "ID_Comprobante INT"),
+        "ID_Comprobante INT, ID_Empleado INT, PorcentajeDto DOUBLE"),
     "detalle": (
         "ID_TomaPedido BIGINT, ID_Producto BIGINT, Cantidad DECIMAL(18,2), PrecioUnitario DECIMAL(18,2), "
-        "ImporteconDto DECIMAL(18,2), IVA DECIMAL(18,4), RestoIVA DECIMAL(18,2), Dto DECIMAL(18,2), Item STRING"),
+        "ImporteconDto DECIMAL(18,2), IVA DECIMAL(18,4), RestoIVA DECIMAL(18,2), Dto DECIMAL(18,2), Item STRING, "
+        "Hoja INT, Rechazo INT, Monto DECIMAL(18,2), CostoUnit DECIMAL(18,2), NroPedido BIGINT"),
     "clientes": (
         "ID_Cliente BIGINT, Nombre STRING, Apellido STRING, RazonSocial STRING, Direccion STRING, Numero STRING, "
         "Telefono STRING, CUIT STRING, correo STRING, ID_Barrio INT, ID_Localidad INT, ID_Zona INT, "
-        "id_condicion INT, Estado STRING"),
+        "id_condicion INT, Estado STRING, IngresosBrutos STRING, CodigoPostal STRING, sitioweb STRING, "
+        "FechaAlta TIMESTAMP_NTZ"),
     "proveedores": (
         "ID_Proveedor BIGINT, RazonSocial STRING, Contacto STRING, Telefono STRING, CUIT STRING, Correo STRING, "
-        "Direccion STRING, Numero STRING, ID_Condicion INT, Barrio INT, Localidad INT, Estado STRING"),
+        "Direccion STRING, Numero STRING, ID_Condicion INT, Barrio INT, Localidad INT, Estado STRING, "
+        "CodigoPostal STRING, SitioWeb STRING, Fax STRING, IB STRING, NroCuenta STRING"),
     "localidad": "ID_Localidad INT, Nombre STRING",
     "barrios": "ID_Barrio INT, Nombre STRING",
     "zona": "ID_Zona INT, Descripcion STRING",
@@ -65,7 +69,7 @@ PRIMARY_KEY: dict[str, list[str]] = {
 NOT_NULL: dict[str, list[str]] = {
     "productos": ["Descripcion", "ID_Proveedor", "PMR", "Costo", "PrecioFinalPack", "ID_Rubro",
                   "PrecioNetoPack", "MontoIVA", "Estado", "PermiteDescuento"],
-    "pedidos": ["ID_Cliente", "Fecha", "FechaEntrega", "Dto", "Total", "Apagar", "CtaCte", "Estado"],
+    "pedidos": ["Letra", "ID_Comprobante", "ID_Cliente", "Fecha", "FechaEntrega", "Dto", "Total", "Apagar", "CtaCte", "Estado"],
     "detalle": ["ID_TomaPedido", "ID_Producto", "IVA", "PrecioUnitario", "Cantidad", "RestoIVA", "Dto",
                 "ImporteconDto", "Item"],
     "marca": ["Mrc_Descripcion"],
@@ -75,7 +79,7 @@ NOT_NULL: dict[str, list[str]] = {
 }
 
 MAX_LENGTH: dict[str, dict[str, int]] = {
-    "productos": {"Descripcion": 999, "Pr_Ean13": 15, "Pr_Pack": 3, "Estado": 50},
+    "productos": {"Descripcion": 999, "Pr_Ean13": 15, "Pr_Pack": 3, "Estado": 50, "MarcaDesc": 255, "Pr_CodOrigen": 15},
     "pedidos": {"Letra": 30, "Estado": 50, "Observaciones": 255},
     "detalle": {"Item": 2},
     "marca": {"Mrc_Descripcion": 30},

@@ -109,7 +109,8 @@ def compact(spark: SparkSession, root: str, n: int) -> None:
 
 
 def post_batch(batch: DataFrame, batch_id: int, root: str, clock: Callable[[], dt.datetime],
-               mode: str = "sequential", compact_every: int = COMPACT_EVERY) -> None:
+               mode: str = "sequential", compact_every: int = COMPACT_EVERY,
+               parties: dict[str, DataFrame] | None = None) -> None:
     """Post one micro-batch and write its folders (batch ``batch_id + 1``)."""
     spark = batch.sparkSession
     root = root.rstrip("/")
@@ -121,7 +122,7 @@ def post_batch(batch: DataFrame, batch_id: int, root: str, clock: Callable[[], d
     needed = items.select(F.col("product_id").alias("ID_Producto"))
     last_id = spark.read.parquet(f"{root}/last_id/batch={n - 1}")
     # new ids continue from the one-row last-id table, not from a scan of every order
-    out = post_orders({"productos": stock_state(spark, root, n, needed), "pedidos": last_id},
+    out = post_orders({"productos": stock_state(spark, root, n, needed), "pedidos": last_id} | (parties or {}),
                       headers, items, clock(), mode=mode)
     _write(_conform(out["orders"], "pedidos"), f"{root}/pedidos/batch={n}")
     _write(_conform(out["lines"], "detalle"), f"{root}/detalle/batch={n}")
@@ -139,10 +140,12 @@ def start_order_intake(spark: SparkSession, requests_dir: str, root: str,
                        clock: Callable[[], dt.datetime] | None = None, mode: str = "sequential",
                        available_now: bool = False,
                        max_files_per_trigger: int | None = None,
-                       compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+                       compact_every: int = COMPACT_EVERY,
+                       parties: dict[str, DataFrame] | None = None) -> StreamingQuery:
     """Start the intake stream; returns the running query. ``checkpoint_location`` is
     the stream's own folder in the shared store: a restart with the same one goes on
-    after the last complete batch."""
+    after the last complete batch. ``parties``: the tables ``clientes`` and
+    ``repartidores``, whose ids every request must name."""
     clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0))
     reader = (spark.readStream.schema(REQUEST_DDL + ", _corrupt_record STRING")
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -151,7 +154,7 @@ def start_order_intake(spark: SparkSession, requests_dir: str, root: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(requests_dir)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, i: post_batch(df, i, root, clock, mode, compact_every))
+              .foreachBatch(lambda df, i: post_batch(df, i, root, clock, mode, compact_every, parties))
               .option("checkpointLocation", checkpoint_location))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -1,7 +1,7 @@
 """Order posting: one-by-one simulation of the sequential mode, invariants,
 and the reference's per-request semantics on hand-made rows."""
 import datetime as dt
-from collections import defaultdict
+from collections import Counter, defaultdict
 from decimal import Decimal
 
 import pytest
@@ -13,16 +13,21 @@ from bodega.sources.fixtures import Fixture
 AS_OF = dt.datetime(2001, 8, 1)
 
 
-def simulate(headers, items, products, per_product=False):
+def simulate(headers, items, products, per_product=False, clients=None, drivers=None):
     """Post requests one at a time in request_id order, as the reference does
-    (``per_product``: an order's lines of one product are checked together)."""
+    (``per_product``: an order's lines of one product are checked together; ``clients`` and
+    ``drivers``: the ids that exist). An id sent twice is refused both times."""
     stock = {p["ID_Producto"]: p["Stock"] for p in products}
     by_req = defaultdict(list)
     for it in items:
         by_req[it["request_id"]].append(it)
     accepted, reasons = [], {}
+    sent = Counter(h["request_id"] for h in headers)
     for h in sorted(headers, key=lambda r: r["request_id"]):
         its = sorted(by_req[h["request_id"]], key=lambda r: r["pos"])
+        if sent[h["request_id"]] > 1:
+            reasons[h["request_id"]] = "duplicate_request"
+            continue
         if not h["client_id"] or not its:
             reasons[h["request_id"]] = "missing_data"
             continue
@@ -42,9 +47,13 @@ def simulate(headers, items, products, per_product=False):
                 fail = "unknown_product"
                 break
             q = need[it["product_id"]] if per_product else it["quantity"]
-            if it["quantity"] is not None and stock[it["product_id"]] < q:
+            if it["quantity"] is not None and (stock[it["product_id"]] or 0) < q:
                 fail = "insufficient_stock"
                 break
+        if fail is None and clients is not None and h["client_id"] not in clients:
+            fail = "unknown_client"
+        if fail is None and drivers is not None and h["repartidor_id"] and h["repartidor_id"] not in drivers:
+            fail = "unknown_driver"
         if fail is None and any(it["quantity"] is None for it in its):
             fail = "bad_number"
         if fail:
@@ -71,10 +80,13 @@ def test_sequential_equals_one_by_one(spark, sf, hot_rows):
     else:
         spark.conf.unset("bodega.hotGroupRows")
     fx = Fixture(spark, sf)
-    d = fx.tables("productos", "pedidos", "detalle")
+    d = fx.tables("productos", "pedidos", "detalle", "clientes", "repartidores")
     out = P.post_orders(d, fx.request_headers, fx.request_items, AS_OF, mode="sequential")
     acc, reasons, stock = simulate(_rows(fx.request_headers), _rows(fx.request_items),
-                                   _rows(fx.productos.select("ID_Producto", "Stock")))
+                                   _rows(fx.productos.select("ID_Producto", "Stock")),
+                                   clients={r[0] for r in fx.clientes.select("ID_Cliente").collect()},
+                                   drivers={r[0] for r in fx.repartidores.select("ID_Repartidor").collect()})
+    assert {"duplicate_request", "unknown_client", "insufficient_stock"} <= set(reasons.values())
     got_acc = sorted(r.request_id for r in out["orders"].select("request_id").collect())
     assert got_acc == sorted(acc)
     got_rej = {r.request_id: r.reason for r in out["rejects"].collect()}

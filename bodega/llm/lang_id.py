@@ -8,7 +8,8 @@ the text's own beginning, keeps deciding.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; a table without labelled rows knows no language, so every text
-is ``und``; repeated rows are answered each; other columns are not read.
+is ``und``; a language is learned from its labelled texts whatever their
+length, unless none that is drawn has a letter; repeated rows are answered each; other columns are not read.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from bodega.llm.common import text_columns
 
 SAMPLE_ROWS = 600          # labelled rows per language that may be fetched for the dictionaries
-SAMPLE_ROW_BYTES = 4 << 10  # rows with longer texts are not drawn: many short texts cover more of a language
+SAMPLE_ROW_CHARS = 4 << 10  # of a longer text, so many code points from a hashed place: many texts cover more of a language
 DICT_BYTES = 32 << 10      # dictionary size per language
 LEAST_BYTES = 4 << 10      # dictionaries are cut to the shortest one's size, but not below this
 LEVEL = 6
@@ -39,18 +40,24 @@ def normalise(text: str) -> bytes:
 
 def learn_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS,
                        dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """``labelled``: doc_id, text, lang. A hash of the id draws about ``sample_rows``
-    rows per language; their whole texts, in the hash's order, fill the dictionary
-    until ``dict_bytes``. Languages come in order of their number of rows."""
-    rows = (labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-            .where(F.length("text").between(1, SAMPLE_ROW_BYTES)))
+    """``labelled``: doc_id, text, lang. A hash of the id (of the text, if it is null)
+    draws about ``sample_rows`` rows per language; their texts, of long ones a slice, in
+    the hash's order, fill the dictionary until ``dict_bytes``. Languages come in order
+    of their number of rows."""
+    rows = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").where(F.length("text") > 0)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("dictionary")), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1.0, sample_rows / n) * (1 << 20)))])
+
+    def hashed(label: str):
+        return F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(label))).otherwise(F.xxhash64("doc_id", F.lit(label)))
+
+    u = F.pmod(hashed("dictionary"), F.lit(1 << 20))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, max(1, int(min(1.0, sample_rows / n) * (1 << 20))))])
+    spare = F.greatest(F.length("text") - F.lit(SAMPLE_ROW_CHARS), F.lit(0))
+    part = F.substr("text", (F.pmod(hashed("place"), spare + 1) + 1).cast("int"), F.lit(SAMPLE_ROW_CHARS))
     by_lang: dict[str, list] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
-    for r in rows.where(u < share[F.col("lang")]).select("lang", "text", u.alias("u")).collect():
+    for r in rows.where(u < share[F.col("lang")]).select("lang", part.alias("text"), u.alias("u")).collect():
         by_lang[r["lang"]].append((r["u"], r["text"]))
     out = {}
     for lang, texts in by_lang.items():
@@ -59,7 +66,8 @@ def learn_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS,
             if len(body) >= dict_bytes:
                 break
             body += normalise(text) + b" "
-        if len(body) >= 8:
+        if body.strip():
+            body *= -(-8 // len(body))  # a dictionary has 8 bytes at least
             out[lang] = bytes(body[:dict_bytes])
     size = max(LEAST_BYTES, min(map(len, out.values()), default=0))
     return {lang: body[:size] for lang, body in out.items()}

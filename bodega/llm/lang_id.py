@@ -25,7 +25,6 @@ from bodega.llm.common import text_columns
 SAMPLE_ROWS = 600          # labelled rows per language that may be fetched for the dictionaries
 SAMPLE_ROW_CHARS = 4 << 10  # of a longer text, so many code points from a hashed place: many texts cover more of a language
 DICT_BYTES = 32 << 10      # dictionary size per language
-LEAST_BYTES = 4 << 10      # dictionaries are cut to the shortest one's size, but not below this
 LEVEL = 6
 BLOCK_BYTES = 4 << 10
 MIN_MARGIN = 0.01          # relative size margin below which the answer is marked as rejected
@@ -69,8 +68,7 @@ def learn_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS,
         if body.strip():
             body *= -(-8 // len(body))  # a dictionary has 8 bytes at least
             out[lang] = bytes(body[:dict_bytes])
-    size = max(LEAST_BYTES, min(map(len, out.values()), default=0))
-    return {lang: body[:size] for lang, body in out.items()}
+    return out  # each of its own size: cut to the shortest one's, all languages lose by a rare one
 
 
 def _has_letter(text: str) -> bool:

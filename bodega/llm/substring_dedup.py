@@ -26,7 +26,6 @@ name can clash.
 """
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,7 +111,8 @@ def _merge(payloads: list[bytes]) -> np.ndarray:
     return total
 
 
-def _write_sketch(partials: DataFrame, folder: str) -> None:
+def _write_sketch(partials: DataFrame, folder: str) -> set[str]:
+    """Writes the sketch's files; returns their names."""
     def halfway(t: pa.Table) -> pa.Table:
         total = _merge(t.column("payload").to_pylist())
         at = np.flatnonzero(total)
@@ -123,33 +123,35 @@ def _write_sketch(partials: DataFrame, folder: str) -> None:
         row, block = t.column("row")[0].as_py(), t.column("block")[0].as_py()
         bitmap = np.packbits(_merge(t.column("payload").to_pylist()) > 1, bitorder="little")
         write_file(f"{folder}/sketch-{row}-{block}", bitmap.tobytes())
-        return pa.table({"bits": pa.array([len(bitmap) * 8], pa.int64())})
+        return pa.table({"row": pa.array([row], pa.int32()), "block": pa.array([block], pa.int64())})
 
-    (partials.groupBy("row", "block", "salt").applyInArrow(halfway, "row int, block long, payload binary")
-     .groupBy("row", "block").applyInArrow(finish, "bits long").agg(F.sum("bits")).collect())
+    written = (partials.groupBy("row", "block", "salt").applyInArrow(halfway, "row int, block long, payload binary")
+               .groupBy("row", "block").applyInArrow(finish, "row int, block long").collect())
+    return {f"sketch-{r['row']}-{r['block']}" for r in written}
 
 
-def _write_copies(copies: DataFrame, folder: str) -> None:
-    """Sorted keys of the copies, by the key's last bits."""
+def _write_copies(copies: DataFrame, folder: str) -> set[str]:
+    """Sorted keys of the copies, by the key's last bits; returns the files' names."""
     def save(t: pa.Table) -> pa.Table:
-        keys = np.unique(t.column("key").to_numpy())
-        write_file(f"{folder}/copies-{t.column('part')[0].as_py()}", keys.astype("<i8").tobytes())
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+        keys, part = np.unique(t.column("key").to_numpy()), t.column("part")[0].as_py()
+        write_file(f"{folder}/copies-{part}", keys.astype("<i8").tobytes())
+        return pa.table({"part": pa.array([part], pa.int64())})
 
-    (copies.select("key", F.pmod("key", F.lit(COPY_FILES)).alias("part")).groupBy("part")
-     .applyInArrow(save, "n long").agg(F.sum("n")).collect())
+    written = (copies.select("key", F.pmod("key", F.lit(COPY_FILES)).alias("part")).groupBy("part")
+               .applyInArrow(save, "part long").collect())
+    return {f"copies-{r['part']}" for r in written}
 
 
 class _Prefilter:
-    """A worker's view of the files of the first pass."""
+    """A worker's view of the files of the first pass, of which ``written`` are there:
+    one of them that this worker does not see is an error, not an empty file."""
 
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.files = folder, bits, {}
+    def __init__(self, folder: str, bits: int, written: set[str]):
+        self.folder, self.bits, self.written, self.files = folder, bits, written, {}
 
     def _file(self, name: str, kind: str) -> np.ndarray:
         if name not in self.files:
-            path = f"{self.folder}/{name}"
-            self.files[name] = mapped(path, kind) if os.path.exists(path) else np.empty(0, kind)
+            self.files[name] = mapped(f"{self.folder}/{name}", kind) if name in self.written else np.empty(0, kind)
         return self.files[name]
 
     def is_copy(self, key: int) -> bool:
@@ -175,12 +177,12 @@ class _Prefilter:
         return out
 
 
-def _second_pass(rows: DataFrame, folder: str, window: int, bits: int) -> DataFrame:
+def _second_pass(rows: DataFrame, folder: str, window: int, bits: int, written: set[str]) -> DataFrame:
     """doc_id, key, place and two hashes of every window estimated repeated."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Prefilter(folder, bits)
+        seen = _Prefilter(folder, bits, written)
         for b in batches:
             for doc_id, key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if doc_id is None or seen.is_copy(key):
@@ -247,10 +249,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, unchanged_as_is: bool
     whole = first.where(f"kind = 0 AND doc_id IS NOT NULL AND n_words >= {int(window)}").select("doc_id", "key", "a", "b")
     smallest = whole.groupBy("a", "b").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest")
     copies = stored(whole.join(smallest, ["a", "b"]).where("doc_id > smallest").select("doc_id", "key").distinct(), "substring-copies")
-    _write_copies(copies, folder)
-    _write_sketch(first.where("kind = 1").select("row", "block", "salt", "payload"), folder)
+    written = _write_copies(copies, folder) | _write_sketch(first.where("kind = 1").select("row", "block", "salt", "payload"), folder)
 
-    windows = stored(_second_pass(rows, folder, window, bits), "substring-windows")
+    windows = stored(_second_pass(rows, folder, window, bits, written), "substring-windows")
     repeated = (windows.groupBy("a", "b").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"))
                 .where("smallest < largest").select("a", "b", "smallest"))
     # written first: a join that reuses the grouping's partitions could not split a hot window

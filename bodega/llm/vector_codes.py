@@ -3,8 +3,8 @@
 A vector is cut into equal parts; each part position has a codebook, learned by
 rounds of exact integer k-means. The nearest entry of a part is found as follows.
 For every dimension the entries stand sorted by that coordinate, and beside each
-place of the order stands the mask of the entries before it. A first guess gives
-an upper bound of the distance, the initial radius; per dimension two binary
+place of the order stands the mask of the entries before it. The neighbours in a few
+of the orders give an upper bound of the distance, the initial radius; per dimension two binary
 searches cut the entries within the radius, and the exclusive or of the two prefix
 masks is the set of them. The AND over the dimensions holds every entry that can
 be as near as the guess, and only those are measured, so the answer is exact.
@@ -44,6 +44,7 @@ ROUNDS = 6
 SCALE = 4096
 NARROW = 1 << 28           # components below this have exact 64-bit squared distances
 LIMB = 40
+GUESSES = 4                # dimensions whose neighbours bound the initial radius
 LONGEST = (1 << 63) - 1
 
 
@@ -80,9 +81,9 @@ class Slices:
     ``before[d][j]`` the mask of the first j entries of that order."""
     entries: np.ndarray
     order: list[np.ndarray]
+    places: list[np.ndarray]
     before: np.ndarray
-    lead: int
-    led: np.ndarray
+    guesses: list[int]
 
     @classmethod
     def of(cls, entries: np.ndarray) -> Slices:
@@ -96,9 +97,9 @@ class Slices:
             for j, e in enumerate(at.tolist()):
                 before[d, j + 1] = before[d, j]
                 before[d, j + 1, e >> 6] |= np.uint64(1 << (e & 63))
-        # the guess goes by the dimension in which the entries lie farthest apart
-        lead = int(np.argmax([int(o[-1]) - int(o[0]) for o in order])) if dims else 0
-        return cls(entries, order, before, lead, places[lead] if dims else np.zeros(k, np.int64))
+        # the dimensions in which the entries lie farthest apart
+        spread = sorted(range(dims), key=lambda d: int(order[d][0]) - int(order[d][-1]))
+        return cls(entries, order, places, before, spread[:GUESSES])
 
     def _squared(self, x: np.ndarray, e) -> np.ndarray:
         diff = x - self.entries[e]
@@ -107,8 +108,10 @@ class Slices:
     def candidates(self, x: np.ndarray) -> np.ndarray:
         """Per row of ``x`` the mask (64-bit words) of the entries that may be nearest."""
         k, dims = self.entries.shape
-        guess = self.led[np.minimum(np.searchsorted(self.order[self.lead], x[:, self.lead]), k - 1)] if dims else np.zeros(len(x), int)
-        bound = self._squared(x, guess)
+        bound = self._squared(x, 0)
+        for d in self.guesses:
+            near = self.places[d][np.minimum(np.searchsorted(self.order[d], x[:, d]), k - 1)]
+            bound = np.minimum(bound, self._squared(x, near))
         if bound.dtype == object:
             radius = np.array([math.isqrt(b) for b in bound], object)
         else:

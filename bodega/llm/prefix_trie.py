@@ -367,11 +367,11 @@ m AS MATERIALIZED (SELECT conv_id, d, seq[1:d] AS pre, len(seq) = d AS ends FROM
 n AS MATERIALIZED (SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs,
     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
     (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(pre[d].text) END AS own FROM m GROUP BY pre, d),
-at AS MATERIALIZED (SELECT m.conv_id AS member, m.d, n.conv_id AS node FROM m JOIN n USING (pre, d)),
-p AS (SELECT n.conv_id, n.d, a.node AS parent FROM n JOIN at a ON a.member = n.conv_id AND a.d = n.d - 1),
+place AS MATERIALIZED (SELECT m.conv_id AS member, m.d, n.conv_id AS node FROM m JOIN n USING (pre, d)),
+p AS (SELECT n.conv_id, n.d, a.node AS parent FROM n JOIN place a ON a.member = n.conv_id AND a.d = n.d - 1),
 k AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS children FROM p GROUP BY ALL),
 b AS (SELECT a.node AS conv_id, a.d, sum(n.own) AS saved, count(*) FILTER (WHERE k.children IS NULL) AS leaves
-  FROM n LEFT JOIN k ON k.conv_id = n.conv_id AND k.d = n.d JOIN at a ON a.member = n.conv_id AND a.d <= n.d GROUP BY ALL)
+  FROM n LEFT JOIN k ON k.conv_id = n.conv_id AND k.d = n.d JOIN place a ON a.member = n.conv_id AND a.d <= n.d GROUP BY ALL)
 SELECT n.conv_id, n.d AS depth, p.parent AS parent_conv_id, n.n_convs, coalesce(k.children, 0) AS n_children,
   b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.d = n.d LEFT JOIN k ON k.conv_id = n.conv_id AND k.d = n.d

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bodega.llm import (bpe, decontamination, lang_id, ngram_lm, prefix_trie, quality_rules, simhash, substring_dedup, token_counts, token_ids, toxicity,
-                        vector_codes)
+from bodega.llm import (bpe, decontamination, lang_id, ngram_lm, prefix_trie, quality_rules, rare_features, simhash, substring_dedup,
+                        token_counts, token_ids, toxicity, vector_codes)
 from bodega.llm.common import id_residue, scratch
 
 
@@ -74,11 +74,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_features.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_token_ids, op5_bpe, op6_toxicity,
                                     op7_quality_rules, op8_simhash, op9_ngram_lm,
-                                    op10_decontamination, op11_prefix_trie, op13_vector_codes)}
+                                    op10_decontamination, op11_prefix_trie, op12_rare_features, op13_vector_codes)}
 ORACLE: dict[str, str] = {"op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_vector_codes": vector_codes.oracle_sql()}

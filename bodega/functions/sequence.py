@@ -144,3 +144,30 @@ def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     if start != 1:
         out = out.withColumn(name, F.col(name) + F.lit(start - 1))
     return out
+
+
+def following(df: DataFrame, group: Sequence[str], order_col: str, conds: dict[str, Column],
+              hot_rows: int | None = None) -> DataFrame:
+    """Add, per name in ``conds``, the next value of ``order_col`` in the group at which
+    the condition holds (after the row itself; NULL if none). Groups above the hot-row
+    limit are range-split; a slice then also looks at the first hit of later slices."""
+    group = list(group)
+
+    def hits() -> list[Column]:
+        return [F.when(c, F.col(order_col)).alias(f"_h_{k}") for k, c in conds.items()]
+
+    def ahead(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(1, Window.unboundedFollowing)
+        return rows.select("*", *[F.min(f"_h_{k}").over(w).alias(f"_n_{k}") for k in conds])
+
+    hot = hot_keys(df, group, hot_rows)
+    cold = df if hot is None else df.join(F.broadcast(hot), group, "left_anti")
+    out = ahead(cold.select("*", *hits()), group).select(*df.columns, *[F.col(f"_n_{k}").alias(k) for k in conds])
+    if hot is None:
+        return out
+    staged = stage_ranges(df.join(F.broadcast(hot), group, "left_semi"), group, [order_col]).select("*", *hits())
+    first = staged.groupBy(*group, _PID).agg(*[F.min(f"_h_{k}").alias(f"_f_{k}") for k in conds])
+    later_w = Window.partitionBy(*group).orderBy(_PID).rowsBetween(1, Window.unboundedFollowing)
+    later = first.select(*group, _PID, *[F.min(f"_f_{k}").over(later_w).alias(f"_l_{k}") for k in conds])
+    warm = ahead(staged, [*group, _PID]).join(later, [*group, _PID])
+    return out.unionByName(warm.select(*df.columns, *[F.coalesce(f"_n_{k}", f"_l_{k}").alias(k) for k in conds]))

@@ -82,6 +82,11 @@ def _hot_rows(spark) -> int:
     return int(spark.conf.get("bodega.hotGroupRows", str(HOT_GROUP_ROWS)))
 
 
+def may_have_hot_groups(spark, rows: int) -> bool:
+    """Whether a table of so many rows can hold a group above the limit."""
+    return rows > _hot_rows(spark)
+
+
 def window_sums(df: DataFrame, group: Sequence[str], order_cols: Sequence, values: dict[str, Column],
                 inclusive: bool = True) -> DataFrame:
     """Running sums with a plain window: for groups known not to be hot."""
@@ -147,10 +152,10 @@ def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
 
 
 def following(df: DataFrame, group: Sequence[str], order_col: str, conds: dict[str, Column],
-              hot_rows: int | None = None) -> DataFrame:
+              hot: DataFrame | None = None) -> DataFrame:
     """Add, per name in ``conds``, the next value of ``order_col`` in the group at which
-    the condition holds (after the row itself; NULL if none). Groups above the hot-row
-    limit are range-split; a slice then also looks at the first hit of later slices."""
+    the condition holds (after the row itself; NULL if none). The groups in ``hot`` are
+    range-split; a slice then also looks at the first hit of later slices."""
     group = list(group)
 
     def hits() -> list[Column]:
@@ -160,7 +165,6 @@ def following(df: DataFrame, group: Sequence[str], order_col: str, conds: dict[s
         w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(1, Window.unboundedFollowing)
         return rows.select("*", *[F.min(f"_h_{k}").over(w).alias(f"_n_{k}") for k in conds])
 
-    hot = hot_keys(df, group, hot_rows)
     cold = df if hot is None else df.join(F.broadcast(hot), group, "left_anti")
     out = ahead(cold.select("*", *hits()), group).select(*df.columns, *[F.col(f"_n_{k}").alias(k) for k in conds])
     if hot is None:

@@ -19,25 +19,28 @@ everywhere, rejected if the upper one fails somewhere. The earliest undecided ev
 no undecided one before it, so every round settles some. Rows of rejected events and of
 products that nothing undecided needs are dropped after each round.
 
-What is left after a few rounds falls into groups of orders linked by products. A
-group that fits a task is walked there in log order, all such groups in parallel; a
-larger one goes through another round. So a chain of events that each wait for the one
-before costs one walk, not one round each.
+A log whose rows fit a task (``bodega.walkRows``) is walked there in order, without
+rounds; so is what rounds leave of a larger one. What is still too much after a few
+rounds falls into groups of orders linked by products: groups that fit a task are
+walked, many in parallel, and only a larger one goes through another round. So a chain
+of events that each wait for the one before costs one walk, not one round each.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bodega.functions.groups import connected_groups
-from bodega.functions.sequence import following, hot_keys, prefix_sums_staged, reliable_checkpoint, stage_ranges, window_sums
+from bodega.functions.sequence import (following, hot_keys, may_have_hot_groups, prefix_sums_staged, reliable_checkpoint,
+                                       stage_ranges, window_sums)
 
 BASE_TIME = -(1 << 63)     # when base versions stand: before every event
-ROUNDS_BEFORE_WALK = 2
-WALK_ROWS = 200_000        # version rows that one task walks
+ROUNDS_BEFORE_GROUPS = 3   # looking for groups costs about as much as two rounds
+WALK_ROWS = 1_000_000      # version rows that one task walks, in some 400 MB
 
 ACCEPTED, OPEN = "A", "U"
 
@@ -46,6 +49,22 @@ def _walk_rows(spark) -> int:
     return int(spark.conf.get("bodega.walkRows", str(WALK_ROWS)))
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Groups with very many rows, which are range-split: products, products of one order, orders."""
+    products: DataFrame | None = None
+    held: DataFrame | None = None
+    orders: DataFrame | None = None
+
+    @classmethod
+    def of(cls, versions: DataFrame, events: DataFrame, edited: DataFrame | None) -> Hot:
+        if not may_have_hot_groups(versions.sparkSession, versions.count()):
+            return cls()
+        if edited is None:
+            return cls(hot_keys(versions, ["p"]))
+        return cls(hot_keys(versions, ["p"]), hot_keys(versions.join(edited, "o", "left_semi"), ["o", "p"]), hot_keys(events, ["o"]))
+
+
 def _running(rows: DataFrame, group: list[str], names: list[str], hot: DataFrame | None) -> DataFrame:
     """``rows`` with the sums ``s_<name>`` of what precedes each in its group, by (t, kind)."""
     sums = {f"s_{n}": F.col(n) for n in names}
@@ -58,11 +77,11 @@ def _running(rows: DataFrame, group: list[str], names: list[str], hot: DataFrame
     return cold.select(*rows.columns, *sums).unionByName(warm.select(*rows.columns, *sums))
 
 
-def _steps(versions: DataFrame, events: DataFrame, edits: bool) -> DataFrame:
+def _steps(versions: DataFrame, events: DataFrame, edits: bool, hot: Hot) -> DataFrame:
     """How the bounds of each version's effect change over time: (o, p, t, lo, hi), counted
     after t; and (z_lo, z_hi), the effect once given back, at the version's own time."""
     took, back = -F.col("take"), F.col("give") - F.col("take")
-    v = versions.join(following(events, ["o"], "t", {"sure": F.col("st") == ACCEPTED, "maybe": F.lit(True)}) if edits
+    v = versions.join(following(events, ["o"], "t", {"sure": F.col("st") == ACCEPTED, "maybe": F.lit(True)}, hot.orders) if edits
                       else events.withColumns({"sure": F.lit(None).cast("long"), "maybe": F.lit(None).cast("long")}), ["o", "t"])
     zero = F.when(F.col("st") == OPEN, F.lit(0).cast("long"))  # NULL, skipped by least and greatest, where it is certain
     if not edits:
@@ -81,36 +100,35 @@ def _steps(versions: DataFrame, events: DataFrame, edits: bool) -> DataFrame:
 
 
 def stock_bounds(versions: DataFrame, events: DataFrame, queries: DataFrame, edits: bool, edited: DataFrame | None = None,
-                 hot: DataFrame | None = None, own_hot: DataFrame | None = None) -> DataFrame:
+                 hot: Hot = Hot()) -> DataFrame:
     """``queries`` (o, t, p, ...) with lo, hi: by how much the stock of p has changed, at
     least and at most, when the event at t looks at it with its order's current version
     given back. ``versions``: o, t, p, take, give of the events in ``events`` (o, t, st; base
-    versions at BASE_TIME). ``edited``: the orders (o) that queries may share with versions.
-    ``hot``, ``own_hot``: products, and products of one order, with very many rows."""
+    versions at BASE_TIME). ``edited``: the orders (o) that queries may share with versions."""
     extra = [c for c in queries.columns if c not in ("o", "t", "p")]
     none = F.lit(0).cast("long")
-    steps = _steps(versions, events, edits).withColumn("kind", F.lit(1))
+    steps = _steps(versions, events, edits, hot).withColumn("kind", F.lit(1))
     for c in extra:
         steps = steps.withColumn(c, F.lit(None).cast(queries.schema[c].dataType))
     asked = queries.select("*", F.lit(0).alias("kind"), *[none.alias(c) for c in ("lo", "hi", "z_lo", "z_hi")])
     rows = steps.select(*asked.columns).unionByName(asked)
     if edited is not None:
         many, single = rows.join(edited, "o", "left_semi"), rows.join(edited, "o", "left_anti")
-        own = _running(many, ["o", "p"], ["lo", "hi", "z_lo", "z_hi"], own_hot)
+        own = _running(many, ["o", "p"], ["lo", "hi", "z_lo", "z_hi"], hot.held)
         own = own.select(*rows.columns, (F.col("s_z_lo") - F.col("s_lo")).alias("own_lo"), (F.col("s_z_hi") - F.col("s_hi")).alias("own_hi"))
         rows = own.unionByName(single.select(*rows.columns, none.alias("own_lo"), none.alias("own_hi")))
     else:
         rows = rows.withColumns({"own_lo": none, "own_hi": none})
-    run = _running(rows, ["p"], ["lo", "hi"], hot).where("kind = 0")
+    run = _running(rows, ["p"], ["lo", "hi"], hot.products).where("kind = 0")
     return run.select("o", "t", "p", *extra, (F.col("s_lo") + F.col("own_lo")).alias("lo"), (F.col("s_hi") + F.col("own_hi")).alias("hi"))
 
 
 def _walk(table: pa.Table) -> pa.Table:
-    """One by one through the rows of some groups: o, t, p, st, needs, take, give, found
-    (the stock before t that the rest of the log leaves). An event of which no product
+    """One by one through the rows of some groups: o, t, p, st, needs (rounded up: stock is
+    whole), take, give, found (the stock before t that the rest of the log leaves). An event of which no product
     is needed any more has one row without a product: it still replaces a version."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
-    order = sorted(range(table.num_rows), key=cols["t"].__getitem__)
+    order = sorted(range(table.num_rows), key=lambda r: (cols["t"][r], cols["o"][r]))
     net: dict[int, int] = {}
     current: dict[str, list[tuple[int, int]]] = {}
     made = {o for o in cols["o"] if o[0] == "n"}
@@ -137,51 +155,65 @@ def _walk(table: pa.Table) -> pa.Table:
     return pa.table({"t": pa.array(times, pa.int64()), "passes": pa.array(verdicts, pa.bool_())})
 
 
-def _walk_small_groups(versions: DataFrame, events: DataFrame, edits: bool, limit: int, hot: DataFrame | None) -> DataFrame:
+WALK_COLUMNS = ["o", "t", "p", "st", "take", "give", "needs", "found"]
+
+
+def _walk_all(versions: DataFrame, events: DataFrame) -> DataFrame:
+    """(t, passes) of every undecided event, in one task."""
+    rows = events.join(versions, ["o", "t"], "left").select(
+        "o", "t", "p", "st", "take", "give", F.ceil("need").cast("long").alias("needs"), F.coalesce("stock_open", F.lit(0)).cast("long").alias("found"))
+    return rows.groupBy(F.lit(0).alias("part")).applyInArrow(_walk, "t long, passes boolean")
+
+
+def _walk_small_groups(versions: DataFrame, events: DataFrame, edits: bool, limit: int, hot: Hot) -> DataFrame:
     """(t, passes) of the undecided events in groups of at most ``limit`` rows."""
     spark = versions.sparkSession
-    undecided = events.where(F.col("st") == OPEN)
-    open_orders = undecided.select("o").distinct()
+    open_orders = events.where(F.col("st") == OPEN).select("o").distinct()
     moving = events.join(open_orders, "o", "left_semi").join(versions, ["o", "t"], "left")
     # what orders without an undecided event did is settled: it is the ground the walk stands on
     still = events.join(open_orders, "o", "left_anti")
     ground = stock_bounds(versions.join(still, ["o", "t"], "left_semi"), still,
                           moving.where((F.col("st") == OPEN) & F.col("p").isNotNull()).select("o", "t", "p", "stock_open"), edits, hot=hot)
-    found = ground.select("o", "t", "p", (F.coalesce("stock_open", F.lit(0)) + F.col("lo")).cast("decimal(38,2)").alias("found"))
-    rows = reliable_checkpoint(moving.select("o", "t", "p", "st", "take", "give", F.col("need").alias("needs")).join(found, ["o", "t", "p"], "left"))
-    total = rows.count()
-    if total <= limit:
-        parts = rows.withColumn("part", F.lit(0))
-    else:
-        node = F.xxhash64(F.lit("o"), F.col("o"))  # a clash of hashes joins two groups, which changes nothing but their size
-        groups = connected_groups(rows.where("p IS NOT NULL").select(node.alias("a"), F.xxhash64(F.lit("p"), F.col("p")).alias("b")))
-        grouped = rows.withColumn("node", node).join(groups, "node")
-        small = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("grp")
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // limit)
-        parts = grouped.join(small, "grp", "left_semi").withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int"))
-    return parts.select("part", *rows.columns).groupBy("part").applyInArrow(_walk, "t long, passes boolean")
-
-
-def settle(versions: DataFrame, events: DataFrame, edits: bool, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    found = ground.select("o", "t", "p", (F.coalesce("stock_open", F.lit(0)) + F.col("lo")).cast("long").alias("found"))
+    rows = reliable_checkpoint(moving.select("o", "t", "p", "st", "take", "give", F.ceil("need").cast("long").alias("needs")).join(found, ["o", "t", "p"], "left"))
+    node = F.xxhash64(F.lit("o"), F.col("o"))  # a clash of hashes joins two groups, which changes nothing but their size
+    groups = connected_groups(rows.where("p IS NOT NULL").select(node.alias("a"), F.xxhash64(F.lit("p"), F.col("p")).alias("b")))
+    grouped = rows.withColumn("node", node).join(groups, "node")
+    small = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("grp")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.count() // limit)
+    parts = grouped.join(small, "grp", "left_semi").withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int"))
+    return parts.select("part", *WALK_COLUMNS).groupBy("part").applyInArrow(_walk, "t long, passes boolean")
+
+
+def settle(versions: DataFrame, events: DataFrame, edits: bool, progress: Callable[[int, int, int], None] | None = None) -> DataFrame:
     """The accepted events (o, t) of a log.
 
     ``events``: o, t (unique), st, kind of the events that pass every check but that of
     the stock, with st 'U', and of the base versions of edited orders (BASE_TIME, 'A'). An
     order created in the log has the key 'n' + the t of the event that posts it.
     ``versions``: o, t, p, take, give, need, stock_open, one row per event and product.
-    ``edits``: whether any event may follow another of its order. ``progress`` is told each
-    round's number and the events still undecided."""
-    spark = versions.sparkSession
-    limit = _walk_rows(spark)
-    versions, events = reliable_checkpoint(versions), reliable_checkpoint(events)
-    hot = hot_keys(versions, ["p"])
+    Both are read every round, so they should be checkpointed.
+    ``edits``: whether any event may follow another of its order. ``progress`` is told
+    after every step the rounds so far, the rows it read and the events still undecided."""
+    limit = _walk_rows(versions.sparkSession)
+    undecided = F.col("st") == OPEN
     edited = reliable_checkpoint(events.groupBy("o").count().where("count > 1").select("o")) if edits else None
-    own_hot = hot_keys(versions.join(edited, "o", "left_semi"), ["o", "p"]) if edits else None
-    rounds, left = 0, events.where(F.col("st") == OPEN).count()
+    hot = Hot.of(versions, events, edited)
+    told = progress or (lambda *_: None)
+    rounds, left, size = 0, events.where(undecided).count(), versions.count()
+
+    def walked(passes: DataFrame) -> DataFrame:
+        st = F.when(F.col("passes").isNull(), F.col("st")).when(F.col("passes"), F.lit(ACCEPTED)).otherwise(F.lit("R"))
+        return reliable_checkpoint(events.join(passes, "t", "left").select("o", "t", st.alias("st"), "kind").where(F.col("st") != "R"))
+
     while left:
+        if size <= limit:
+            events = walked(_walk_all(versions, events.select("o", "t", "st")))
+            told(rounds, size, 0)
+            break
         rounds += 1
-        queries = versions.join(events.where(F.col("st") == OPEN).select("o", "t"), ["o", "t"], "left_semi").select("o", "t", "p", "need", "stock_open")
-        before = stock_bounds(versions.join(events, ["o", "t"], "left_semi"), events.select("o", "t", "st"), queries, edits, edited, hot, own_hot)
+        queries = versions.join(events.where(undecided).select("o", "t"), ["o", "t"], "left_semi").select("o", "t", "p", "need", "stock_open")
+        before = stock_bounds(versions, events.select("o", "t", "st"), queries, edits, edited, hot)
         opening = F.coalesce(F.col("stock_open"), F.lit(0))
         verdict = before.groupBy("o", "t").agg(F.bool_and(opening + F.col("lo") >= F.col("need")).alias("ok"),
                                                F.bool_or(opening + F.col("hi") < F.col("need")).alias("bad"))
@@ -196,18 +228,21 @@ def settle(versions: DataFrame, events: DataFrame, edits: bool, progress: Callab
         st = (F.when(F.col("st") == ACCEPTED, F.lit(ACCEPTED)).when(F.col("bad") | (F.col("post_st") == "R"), F.lit("R"))
               .when(F.col("ok") & (F.col("post_st") == ACCEPTED), F.lit(ACCEPTED)).otherwise(F.lit(OPEN)))
         events = reliable_checkpoint(now.select("o", "t", st.alias("st"), "kind").where(F.col("st") != "R"))
-        left = events.where(F.col("st") == OPEN).count()
-        if progress:
-            progress(rounds, left)
-        if not left:
-            break
-        needed = versions.join(events.where(F.col("st") == OPEN).select("o", "t"), ["o", "t"], "left_semi").select("p").distinct()
-        versions = reliable_checkpoint(versions.join(events.select("o", "t"), ["o", "t"], "left_semi").join(needed, "p", "left_semi"))
-        if rounds >= ROUNDS_BEFORE_WALK:
-            walked = reliable_checkpoint(_walk_small_groups(versions, events.select("o", "t", "st"), edits, limit, hot))
-            st = (F.when(F.col("passes").isNull(), F.col("st")).when(F.col("passes"), F.lit(ACCEPTED)).otherwise(F.lit("R")))
-            events = reliable_checkpoint(events.join(walked, "t", "left").select("o", "t", st.alias("st"), "kind").where(F.col("st") != "R"))
-            left = events.where(F.col("st") == OPEN).count()
-            if progress:
-                progress(rounds, left)
+        left = events.where(undecided).count()
+        told(rounds, size, left)
+        if left and rounds % ROUNDS_BEFORE_GROUPS == 0:
+            versions, size = _still_needed(versions, events)
+            if size > limit:
+                events = walked(reliable_checkpoint(_walk_small_groups(versions, events.select("o", "t", "st"), edits, limit, hot)))
+                left = events.where(undecided).count()
+                told(rounds, size, left)
+        if left:
+            versions, size = _still_needed(versions, events)
     return events.where((F.col("st") == ACCEPTED) & (F.col("t") != BASE_TIME)).select("o", "t")
+
+
+def _still_needed(versions: DataFrame, events: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of events that were not rejected, of products that an undecided one needs."""
+    needed = versions.join(events.where(F.col("st") == OPEN).select("o", "t"), ["o", "t"], "left_semi").select("p").distinct()
+    kept = reliable_checkpoint(versions.join(events.select("o", "t"), ["o", "t"], "left_semi").join(needed, "p", "left_semi"))
+    return kept, kept.count()

@@ -13,12 +13,14 @@ and no items changes the state only; any other PUT is a full edit.
 """
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bodega.functions.exprs import (DEFAULT_DELIVERY_DAYS, STATE_PENDING, deposit_flag, falsy_text, shift_days, ts)
-from bodega.functions.sequence import hot_keys, reliable_checkpoint
-from bodega.functions.settlement import ACCEPTED, BASE_TIME, OPEN, settle, stock_bounds
+from bodega.functions.sequence import reliable_checkpoint
+from bodega.functions.settlement import ACCEPTED, BASE_TIME, OPEN, Hot, settle, stock_bounds
 from bodega.operators import posting as P
 from bodega.operators.changes import assign_ids
 
@@ -82,7 +84,8 @@ def decide_log(d: dict, log: DataFrame, items: DataFrame, check: str = "per_line
     versions = _versions(lines, candidates.select("request_id", "o"))
     events = candidates.select("o", F.col("request_id").alias("t"), F.lit(OPEN).alias("st"), "kind")
     if edits:
-        named = candidates.where((F.col("kind") == EDIT) & F.col("o").startswith("o")).select("o", F.substring("o", 2, 30).cast("long").alias("ID_TomaPedido")).distinct()
+        # of edits that fall for another reason too: what they would have found is part of the answer
+        named = keys.where(F.col("o").startswith("o")).select("o", F.substring("o", 2, 30).cast("long").alias("ID_TomaPedido")).distinct()
         versions = versions.unionByName(_base_versions(d["detalle"], d["productos"], named))
         events = events.unionByName(named.select("o", F.lit(BASE_TIME).alias("t"), F.lit(ACCEPTED).alias("st"), F.lit("base").alias("kind")))
     versions, events = reliable_checkpoint(versions), reliable_checkpoint(events)
@@ -93,9 +96,8 @@ def decide_log(d: dict, log: DataFrame, items: DataFrame, check: str = "per_line
     asked = lines.where(F.col("found")).select("request_id", F.col("product_id").alias("p")).distinct().join(keys, "request_id")
     asked = asked.select(F.coalesce("o", F.lit("")).alias("o"), F.col("request_id").alias("t"), "p")
     edited = stocked.where(F.col("kind") == EDIT).select("o").distinct() if edits else None
-    effective = versions.join(live, ["o", "t"], "left_semi")
-    found = stock_bounds(effective.select("o", "t", "p", "take", "give"), live, asked, edits, edited, hot_keys(versions, ["p"]),
-                         hot_keys(versions.join(edited, "o", "left_semi"), ["o", "p"]) if edits else None)
+    found = stock_bounds(versions.join(live, ["o", "t"], "left_semi").select("o", "t", "p", "take", "give"), live, asked, edits, edited,
+                         Hot.of(versions, events, edited))
     lines_found = lines.join(found.select(F.col("t").alias("request_id"), F.col("p").alias("product_id"), "lo"), ["request_id", "product_id"], "left")
     if edits or not v.where(F.col("kind") == STATUS).isEmpty():
         # a request for an order that the log was to create falls with it
@@ -115,14 +117,16 @@ def stock_moves(versions: DataFrame, live: DataFrame) -> DataFrame:
     return held.groupBy(F.col("p").alias("product_id")).agg(F.sum(back - F.col("take")).alias("delta"))
 
 
-def apply_log(d: dict, log: DataFrame, items: DataFrame, as_of, check: str = "per_line", progress=None) -> dict[str, DataFrame]:
+def apply_log(d: dict, log: DataFrame, items: DataFrame, as_of, check: str = "per_line", progress=None) -> Mapping[str, DataFrame]:
     """Apply a log to the tables ``d`` (productos, pedidos, detalle and, to be checked,
     clientes and repartidores).
 
     Returns ``orders`` (the next snapshot: edited, changed and new orders; request_id of
     the POST for new ones), ``kept_lines`` and ``added_lines`` (of the orders whose lines
     the log sets, as their last accepted version has them), ``products``, ``moves``,
-    ``rejects`` (request_id, order_id, reason) and ``decisions`` (every row of the log)."""
+    ``rejects`` (request_id, order_id, reason), ``decisions`` (every row of the log),
+    ``replaced`` (existing orders whose lines changed) and ``posts`` (new ids). The log is
+    decided at once, the outputs are built when asked for."""
     out = decide_log(d, log, items, check, progress)
     dec, lines, live = out["decisions"], out["lines"], out["live"]
     acc = dec.where(F.col("accepted"))
@@ -133,33 +137,45 @@ def apply_log(d: dict, log: DataFrame, items: DataFrame, as_of, check: str = "pe
         F.coalesce(F.col("delivery_date"), shift_days(as_of, DEFAULT_DELIVERY_DAYS)).alias("FechaEntrega"),
         F.col("total").alias("Total"), deposit_flag(F.col("delivery_type")).alias("bDeposito"),
         F.when(P._falsy(stocked, "repartidor_id"), F.lit(None)).otherwise(F.col("repartidor_id")).cast("int").alias("ID_Repartidor"))
-    state = acc.where(F.col("kind") == STATUS).groupBy("o").agg(F.max_by("status", "request_id").alias("_state"))
-    posts = assign_ids(d["pedidos"], acc.where(F.col("kind") == POST).select("request_id", "o", F.lit(None).cast("long").alias("ID_TomaPedido")),
-                       "ID_TomaPedido", ["request_id"])
-    posts = reliable_checkpoint(posts)
-
-    orders = d["pedidos"]
-    old = orders.withColumn("o", F.concat(F.lit("o"), F.col("ID_TomaPedido").cast("string")))
-    given = {"ID_Cliente": "ID_Cliente", "FechaEntrega": "FechaEntrega", "Total": "Total", "Apagar": "Total", "bDeposito": "bDeposito", "ID_Repartidor": "ID_Repartidor"}
-    fresh = current.select("o", "_version", *[F.col(c).alias(f"_{c}") for c in dict.fromkeys(given.values())])
-    j = old.join(fresh.where(F.col("o").startswith("o")), "o", "left").join(state, "o", "left")
-    edited = F.col("_version").isNotNull()
-    kept = j.select(*[F.when(edited, F.col(f"_{given[c]}")).otherwise(F.col(c)).cast(orders.schema[c].dataType).alias(c) if c in given
-                      else F.coalesce("_state", c).alias(c) if c == "Estado" else F.col(c) for c in orders.columns],
-                    F.lit(None).cast("long").alias("request_id"))
-    constant = {"Letra": F.lit("A"), "ID_Comprobante": F.lit(1), "Fecha": ts(as_of), "Dto": F.lit(0), "CtaCte": F.lit(0),
-                "Estado": F.coalesce("_state", F.lit(STATE_PENDING))}
-    n = posts.join(fresh, "o").join(state, "o", "left")
-    new = n.select(*[(F.col(f"_{given[c]}") if c in given else F.col(c) if c == "ID_TomaPedido" else constant.get(c, F.lit(None)))
-                     .cast(orders.schema[c].dataType).alias(c) for c in orders.columns], "request_id")
-    ids = (current.where(F.col("o").startswith("o")).select(F.substring("o", 2, 30).cast("long").alias("ID_TomaPedido"), F.col("_version").alias("request_id"))
-           .unionByName(posts.select("o", "ID_TomaPedido").join(current, "o").select("ID_TomaPedido", F.col("_version").alias("request_id"))))
-    replaced = current.where(F.col("o").startswith("o")).select(F.substring("o", 2, 30).cast("long").alias("ID_TomaPedido"))
-    added = lines.join(ids, "request_id").select(
-        "ID_TomaPedido", "request_id", F.col("product_id").alias("ID_Producto"), F.col("quantity").alias("Cantidad"),
-        F.col("unit_price").alias("PrecioUnitario"), F.col("amount").alias("ImporteconDto"), F.col("vat").alias("IVA"),
-        F.lit(0).cast(P.MONEY).alias("RestoIVA"), F.lit(0).cast(P.MONEY).alias("Dto"), "Item")
-    moves = stock_moves(out["versions"], live)
-    return {"orders": kept.unionByName(new), "kept_lines": d["detalle"].join(replaced, "ID_TomaPedido", "left_anti"), "added_lines": added,
-            "products": P.apply_stock(d["productos"], moves), "moves": moves, "replaced": replaced, "decisions": dec,
-            "rejects": dec.where(~F.col("accepted")).select("request_id", "order_id", "reason")}
+    replaced = current.where(F.col("o").startswith("o")).select(
+        F.substring("o", 2, 30).cast("long").alias("ID_TomaPedido"), F.col("_version").alias("request_id"))
+
+    def posts() -> DataFrame:
+        """The accepted posts (request_id, o) with their new ids."""
+        new = acc.where(F.col("kind") == POST).select("request_id", "o", F.lit(None).cast("long").alias("ID_TomaPedido"))
+        return reliable_checkpoint(assign_ids(d["pedidos"], new, "ID_TomaPedido", ["request_id"]))
+
+    def orders() -> DataFrame:
+        base = d["pedidos"]
+        state = acc.where(F.col("kind") == STATUS).groupBy("o").agg(F.max_by("status", "request_id").alias("_state"))
+        given = {"ID_Cliente": "ID_Cliente", "FechaEntrega": "FechaEntrega", "Total": "Total", "Apagar": "Total",
+                 "bDeposito": "bDeposito", "ID_Repartidor": "ID_Repartidor"}
+        fresh = current.select("o", "_version", *[F.col(c).alias(f"_{c}") for c in dict.fromkeys(given.values())])
+        old = base.withColumn("o", F.concat(F.lit("o"), F.col("ID_TomaPedido").cast("string")))
+        j = old.join(fresh.where(F.col("o").startswith("o")), "o", "left").join(state, "o", "left")
+        edited = F.col("_version").isNotNull()
+        kept = j.select(*[F.when(edited, F.col(f"_{given[c]}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c) if c in given
+                          else F.coalesce("_state", c).alias(c) if c == "Estado" else F.col(c) for c in base.columns],
+                        F.lit(None).cast("long").alias("request_id"))
+        constant = {"Letra": F.lit("A"), "ID_Comprobante": F.lit(1), "Fecha": ts(as_of), "Dto": F.lit(0), "CtaCte": F.lit(0),
+                    "Estado": F.coalesce("_state", F.lit(STATE_PENDING))}
+        n = made["posts"].join(fresh, "o").join(state, "o", "left")
+        new = n.select(*[(F.col(f"_{given[c]}") if c in given else F.col(c) if c == "ID_TomaPedido" else constant.get(c, F.lit(None)))
+                         .cast(base.schema[c].dataType).alias(c) for c in base.columns], "request_id")
+        return kept.unionByName(new)
+
+    def added_lines() -> DataFrame:
+        ids = replaced.unionByName(made["posts"].select("o", "ID_TomaPedido").join(current, "o").select("ID_TomaPedido", F.col("_version").alias("request_id")))
+        return lines.join(ids, "request_id").select(
+            "ID_TomaPedido", "request_id", F.col("product_id").alias("ID_Producto"), F.col("quantity").alias("Cantidad"),
+            F.col("unit_price").alias("PrecioUnitario"), F.col("amount").alias("ImporteconDto"), F.col("vat").alias("IVA"),
+            F.lit(0).cast(P.MONEY).alias("RestoIVA"), F.lit(0).cast(P.MONEY).alias("Dto"), "Item")
+
+    made = P.OnDemand(
+        posts=posts, orders=orders, added_lines=added_lines, decisions=lambda: dec,
+        kept_lines=lambda: d["detalle"].join(made["replaced"], "ID_TomaPedido", "left_anti"),
+        replaced=lambda: replaced.select("ID_TomaPedido"),
+        moves=lambda: stock_moves(out["versions"], live),
+        products=lambda: P.apply_stock(d["productos"], made["moves"]),
+        rejects=lambda: dec.where(~F.col("accepted")).select("request_id", "order_id", "reason"))
+    return made

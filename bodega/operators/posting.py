@@ -19,14 +19,15 @@ Modes for several requests touching the same product:
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from bodega.functions.exprs import (DEFAULT_DELIVERY_DAYS, DELIVERY_ROUTE, MAX_ITEMS, STATE_PENDING, VAT_RATE,
                                     deposit_flag, falsy_number, item_number, shift_days, ts)
-from bodega.functions.sequence import (hot_keys, prefix_sums, prefix_sums_staged, reliable_checkpoint, stage_ranges,
-                                       window_sums)
+from bodega.functions.sequence import reliable_checkpoint
 from bodega.operators.changes import assign_ids
 
 MONEY = "decimal(18,2)"
@@ -183,73 +184,26 @@ def apply_stock(products: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 # ---- P6 -------------------------------------------------------------------
-def _sequential_status(cand: DataFrame) -> DataFrame:
-    """Accept/reject each candidate order as one-by-one posting would.
-
-    ``cand``: one row per (request, product) of the orders that passed every
-    stock-independent check, with ``take`` (net stock taken), ``need`` and
-    ``stock_open``. Each round bounds every undecided order's stock from
-    both sides, with the undecided orders before it counted as taking
-    (worst case) or as not taking (best case): an order passing in the worst
-    case is accepted, one failing in the best case rejected. The earliest
-    undecided order has no undecided predecessor, so each round settles at
-    least one order; in practice a handful of rounds settle all. A stock that
-    is not known counts as 0, so every comparison has an answer. Running
-    sums are skew-safe (``prefix_sums``) and each round's state is
-    checkpointed to the shared folder."""
-    status = cand.select("request_id").distinct().withColumn("st", F.lit("U"))
-    status = reliable_checkpoint(status)
-    # products with very many candidate orders are range-split once (rows never
-    # move between ranges); the others use a plain window per product
-    hot = hot_keys(cand, ["product_id"])
-    cold = cand if hot is None else cand.join(F.broadcast(hot), "product_id", "left_anti")
-    staged = None if hot is None else stage_ranges(cand.join(F.broadcast(hot), "product_id", "left_semi"),
-                                                   ["product_id"], ["request_id"])
-    is_a, is_u = F.col("st") == "A", F.col("st") == "U"
-    zero = F.lit(0).cast("long")
-    sums = {
-        "acc": F.when(is_a, F.col("take")).otherwise(zero),
-        "up": F.when(is_u, F.greatest(F.col("take"), zero)).otherwise(zero),
-        "down": F.when(is_u, F.least(F.col("take"), zero)).otherwise(zero),
-    }
-    undecided = status.count()
-    while undecided:
-        live = status.where(F.col("st") != "R")
-        run = window_sums(cold.join(live, "request_id"), ["product_id"], ["request_id"], sums, inclusive=False)
-        if staged is not None:
-            warm = prefix_sums_staged(staged.join(live, "request_id"), ["product_id"], ["request_id"], sums,
-                                      inclusive=False)
-            run = run.unionByName(warm.select(*run.columns))
-        und = run.where(F.col("st") == "U")
-        opening = F.coalesce(F.col("stock_open"), F.lit(0))
-        worst = opening - (F.col("acc") + F.col("up"))
-        best = opening - (F.col("acc") + F.col("down"))
-        verdict = und.groupBy("request_id").agg(
-            F.bool_and(worst >= F.col("need")).alias("ok"),
-            F.bool_or(best < F.col("need")).alias("bad"))
-        new = verdict.select("request_id", F.when(F.col("ok"), F.lit("A"))
-                             .when(F.col("bad"), F.lit("R")).otherwise(F.lit("U")).alias("nst"))
-        status = status.join(new, "request_id", "left").select(
-            "request_id", F.coalesce("nst", "st").alias("st"))
-        status = reliable_checkpoint(status)
-        undecided = status.where(F.col("st") == "U").count()
-    return status
-
-
-def _stock_before_sequential(lines: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Each line's product stock just before its order, after the accepted
-    orders that precede it."""
-    per = lines.where(F.col("found")).groupBy("request_id", "product_id").agg(
-        F.sum(take(F.col("quantity"))).alias("take"), F.first("stock_open").alias("stock_open"))
-    per = per.join(accepted.select("request_id", F.lit(True).alias("_acc")), "request_id", "left")
-    run = prefix_sums(per, ["product_id"], ["request_id"], {
-        "acc": F.when(F.col("_acc"), F.col("take")).otherwise(F.lit(0).cast("long"))}, inclusive=False)
-    before = run.select("request_id", "product_id", (F.coalesce(F.col("stock_open"), F.lit(0)) - F.col("acc")).alias("stock_before"))
-    return lines.join(before, ["request_id", "product_id"], "left")
+class OnDemand(Mapping):
+    """Named outputs, each built when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
 
 
 def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str = "sequential",
-                check: str = "per_line") -> dict[str, DataFrame]:
+                check: str = "per_line") -> Mapping[str, DataFrame]:
     """Post a batch of order requests.
 
     Returns ``orders`` (new headers with new ids), ``lines`` (their lines),
@@ -257,78 +211,82 @@ def post_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, mode: str
     reason), ``decisions`` (every request with accepted/reason/total),
     ``moves`` (net stock change per product) and ``overdrafts`` (products
     left below zero, where fractional quantities can make the reference's
-    per-line truncation differ from ``ceil``)."""
+    per-line truncation differ from ``ceil``; ``stock.walk_stock`` follows it
+    exactly). Requests are decided at once, the outputs are built when asked for."""
     products = d["productos"]
-    v = check_parties(validate_requests(headers, items), headers, d)
-    lines = _need(price_lines(items, products), check)
     if mode == "sequential":
-        # read by five steps of the sequential path: priced once
-        lines = reliable_checkpoint(lines)
-    if mode == "opening_stock":
-        dec = decide(v, lines, F.col("stock_open"), late="late_reason")
-    elif mode == "sequential":
-        static = decide(v, lines, F.col("need"), late="late_reason")  # enough of everything: the reasons that do not depend on stock
-        static = reliable_checkpoint(static.select("request_id", "reason"))
-        ok = static.where(F.col("reason").isNull()).select("request_id")
-        cand = (lines.join(ok, "request_id", "left_semi").groupBy("request_id", "product_id")
-                .agg(F.sum(take(F.col("quantity"))).alias("take"), F.max("need").alias("need"),
-                     F.first("stock_open").alias("stock_open")))
-        cand = reliable_checkpoint(cand)
-        status = _sequential_status(cand)
-        accepted = status.where(F.col("st") == "A").select("request_id")
-        dec = decide(v, _stock_before_sequential(lines, accepted), F.col("stock_before"), late="late_reason")
+        from bodega.operators.order_log import decide_log
+        log = headers.withColumns({"method": F.lit("POST"), "created_by": F.lit(None).cast("long")})
+        out = decide_log(d, log, items, check)
+        dec, lines = out["decisions"], out["lines"]
+    elif mode == "opening_stock":
+        v = check_parties(validate_requests(headers, items), headers, d)
+        lines = _need(price_lines(items, products), check)
+        dec = reliable_checkpoint(decide(v, lines, F.col("stock_open"), late="late_reason"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    dec = reliable_checkpoint(dec)
     acc = dec.where(F.col("accepted"))
 
-    orders_new = assign_ids(d["pedidos"], acc.select(
-        "request_id", F.lit(None).cast("long").alias("ID_TomaPedido"), "client_id", "delivery_type",
-        "delivery_date", "repartidor_id", "total"), "ID_TomaPedido", ["request_id"])
-    orders = orders_new.select(
-        "ID_TomaPedido", "request_id",
-        F.lit("A").alias("Letra"), F.lit(1).alias("ID_Comprobante"),
-        F.col("client_id").alias("ID_Cliente"),
-        ts(as_of).alias("Fecha"),
-        F.coalesce(F.col("delivery_date"), shift_days(as_of, DEFAULT_DELIVERY_DAYS)).alias("FechaEntrega"),
-        F.lit(0).cast(MONEY).alias("Dto"),
-        F.col("total").alias("Total"), F.col("total").alias("Apagar"),
-        F.lit(0).cast(MONEY).alias("CtaCte"),
-        F.lit(STATE_PENDING).alias("Estado"),
-        deposit_flag(F.col("delivery_type")).alias("bDeposito"),
-        F.when(_falsy(orders_new, "repartidor_id"), F.lit(None)).otherwise(F.col("repartidor_id"))
-         .cast("int").alias("ID_Repartidor"),
-    )
-    ids = orders.select("request_id", "ID_TomaPedido")
-    new_lines = lines.join(ids, "request_id").select(
-        "ID_TomaPedido", "request_id", F.col("product_id").alias("ID_Producto"),
-        F.col("vat").alias("IVA"), F.col("unit_price").alias("PrecioUnitario"),
-        F.col("quantity").alias("Cantidad"),
-        F.lit(0).cast(MONEY).alias("RestoIVA"), F.lit(0).cast(MONEY).alias("Dto"),
-        F.col("amount").alias("ImporteconDto"), "Item")
-    moves = stock_movements(lines.join(acc.select("request_id"), "request_id", "left_semi"))
-    rejects = dec.where(~F.col("accepted")).select("request_id", "reason")
-    new_products = apply_stock(products, moves)
-    # below zero the reference truncates each line's REAL result toward zero,
-    # which ceil(q) matches only for whole quantities: flag those products
-    overdrafts = new_products.join(moves.where(F.col("delta") != 0).select(
-        F.col("product_id").alias("ID_Producto")), "ID_Producto", "left_semi").where(F.col("Stock") < 0)
-    return {"orders": orders, "lines": new_lines, "products": new_products,
-            "rejects": rejects, "decisions": dec, "moves": moves,
-            "overdrafts": overdrafts.select("ID_Producto", "Stock")}
+    def orders() -> DataFrame:
+        new = assign_ids(d["pedidos"], acc.select(
+            "request_id", F.lit(None).cast("long").alias("ID_TomaPedido"), "client_id", "delivery_type",
+            "delivery_date", "repartidor_id", "total"), "ID_TomaPedido", ["request_id"])
+        return new.select(
+            "ID_TomaPedido", "request_id",
+            F.lit("A").alias("Letra"), F.lit(1).alias("ID_Comprobante"),
+            F.col("client_id").alias("ID_Cliente"),
+            ts(as_of).alias("Fecha"),
+            F.coalesce(F.col("delivery_date"), shift_days(as_of, DEFAULT_DELIVERY_DAYS)).alias("FechaEntrega"),
+            F.lit(0).cast(MONEY).alias("Dto"),
+            F.col("total").alias("Total"), F.col("total").alias("Apagar"),
+            F.lit(0).cast(MONEY).alias("CtaCte"),
+            F.lit(STATE_PENDING).alias("Estado"),
+            deposit_flag(F.col("delivery_type")).alias("bDeposito"),
+            F.when(_falsy(new, "repartidor_id"), F.lit(None)).otherwise(F.col("repartidor_id"))
+             .cast("int").alias("ID_Repartidor"))
+
+    def new_lines() -> DataFrame:
+        ids = made["orders"].select("request_id", "ID_TomaPedido")
+        return lines.join(ids, "request_id").select(
+            "ID_TomaPedido", "request_id", F.col("product_id").alias("ID_Producto"),
+            F.col("vat").alias("IVA"), F.col("unit_price").alias("PrecioUnitario"),
+            F.col("quantity").alias("Cantidad"),
+            F.lit(0).cast(MONEY).alias("RestoIVA"), F.lit(0).cast(MONEY).alias("Dto"),
+            F.col("amount").alias("ImporteconDto"), "Item")
+
+    def overdrafts() -> DataFrame:
+        touched = made["moves"].where(F.col("delta") != 0).select(F.col("product_id").alias("ID_Producto"))
+        return made["products"].join(touched, "ID_Producto", "left_semi").where(F.col("Stock") < 0).select("ID_Producto", "Stock")
+
+    made = OnDemand(
+        orders=orders, lines=new_lines, overdrafts=overdrafts, decisions=lambda: dec,
+        moves=lambda: stock_movements(lines.join(acc.select("request_id"), "request_id", "left_semi")),
+        products=lambda: apply_stock(products, made["moves"]),
+        rejects=lambda: dec.where(~F.col("accepted")).select("request_id", "reason"))
+    return made
 
 
 # ---- P7 -------------------------------------------------------------------
-def replace_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, check: str = "per_line") -> dict[str, DataFrame]:
+def replace_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, check: str = "per_line",
+                   mode: str = "sequential") -> Mapping[str, DataFrame]:
     """Full edit of existing orders.
 
-    One edit per order: the latest request; earlier ones for the same order are
-    rejected as ``superseded``, requests without an order id as ``not_found``. Old lines give their stock
-    back, new lines are priced and checked against the opening stock plus
-    the order's own give-back; an accepted edit replaces the lines and
-    updates client, delivery date, totals, delivery type and driver, keeping
-    the date and state; a rejected edit changes nothing. An unknown order
-    id is rejected (its new lines would have no order)."""
+    Old lines give their stock back, new lines are priced and checked; an accepted
+    edit replaces the lines and updates client, delivery date, totals, delivery type
+    and driver, keeping the date and state; a rejected edit changes nothing. An unknown
+    order id is rejected (its new lines would have no order).
+
+    ``sequential``: edits apply one after another in request_id order, any number per
+    order, each checked against the stock the accepted ones before it left plus what
+    its order holds by then. ``opening_stock``: one edit per order, the latest request
+    (earlier ones are rejected as ``superseded``), each checked against the opening stock
+    plus the order's own give-back, whatever the other edits take."""
+    if mode == "sequential":
+        from bodega.operators.order_log import apply_log
+        log = headers.withColumns({"method": F.lit("PUT"), "created_by": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
+        return apply_log(d, log, items, as_of, check)
+    if mode != "opening_stock":
+        raise ValueError(f"unknown mode {mode!r}")
     orders, old_lines, products = d["pedidos"], d["detalle"], d["productos"]
     latest = headers.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.max("request_id").alias("request_id"))
@@ -341,7 +299,9 @@ def replace_orders(d: dict, headers: DataFrame, items: DataFrame, as_of, check:
     back = (old_lines.join(h.select(F.col("order_id").alias("ID_TomaPedido"), "request_id"), "ID_TomaPedido")
             .groupBy("request_id", F.col("ID_Producto").alias("product_id"))
             .agg(F.sum(give_back(F.col("Cantidad"))).alias("back")))
-    lines = _need(price_lines(it, products), check).join(back, ["request_id", "product_id"], "left")
+    # read by the decision, the stock and the new lines
+    back = reliable_checkpoint(back)
+    lines = reliable_checkpoint(_need(price_lines(it, products), check).join(back, ["request_id", "product_id"], "left"))
     dec = decide(v, lines, F.coalesce(F.col("stock_open"), F.lit(0)) + F.coalesce(F.col("back"), F.lit(0)), late="late_reason")
     passed_over = headers.join(latest, ["order_id", "request_id"], "left_anti").select(
         "request_id", "order_id", F.lit(False).alias("accepted"),

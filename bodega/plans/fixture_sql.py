@@ -196,7 +196,7 @@ SELECT l_orderkey AS ID_TomaPedido, l_partkey AS ID_Producto,
 FROM lineitem""")
 
 _cte("request_headers", (), """
-SELECT o_orderkey AS request_id,
+SELECT o_orderkey + away AS request_id,
   CAST(NULL AS BIGINT) AS order_id,
   CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS client_id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'deposito' ELSE 'por reparto' END AS delivery_type,
@@ -204,7 +204,7 @@ SELECT o_orderkey AS request_id,
   CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 9999
     ELSE CAST(o_orderkey % 10 + 1 AS INTEGER) END AS repartidor_id,
   CAST(NULL AS VARCHAR) AS status
-FROM orders, unnest(CASE WHEN o_orderkey % 37 = 0 THEN [1, 2] ELSE [1] END)""")
+FROM orders, unnest(CASE WHEN o_orderkey % 37 = 0 THEN [0, 0] WHEN o_orderkey % 19 = 0 THEN [0, 10000000000] ELSE [0] END) AS s(away)""")
 
 _cte("request_items", (), f"""
 SELECT request_id, pos,
@@ -216,16 +216,29 @@ FROM (
   SELECT l.*, l.l_orderkey AS request_id,
     row_number() OVER (PARTITION BY l.l_orderkey ORDER BY {LINE_ORDER_SQL}) AS pos
   FROM lineitem l
-  WHERE l.l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 19 <> 0)
 )""")
 
 _cte("edit_headers", ("request_headers",),
      """
-SELECT sign * request_id AS request_id, CASE WHEN sign = -1 AND request_id % 41 <> 0 THEN NULL ELSE request_id END AS order_id,
+SELECT sign * request_id AS request_id, CASE WHEN sign = -1 AND request_id % 41 <> 0 THEN NULL ELSE request_id % 10000000000 END AS order_id,
   client_id, delivery_type, delivery_date, repartidor_id, status
 FROM request_headers, unnest(CASE WHEN request_id % 41 = 0 OR request_id % 43 = 0 THEN [1, -1] ELSE [1] END) AS s(sign)""")
 _cte("edit_items", ("request_items",), "SELECT * FROM request_items")
 
+_cte("order_log", ("request_headers",), """
+SELECT request_id * 2 AS request_id, CASE WHEN k % 4 < 2 THEN 'POST' ELSE 'PUT' END AS method,
+  CASE k % 8 WHEN 2 THEN k - 2 WHEN 6 THEN k - 6 END AS order_id,
+  CASE WHEN k % 4 = 3 THEN (k - 3) * 2 END AS created_by, client_id, delivery_type, delivery_date, repartidor_id, status
+FROM (SELECT *, request_id % 10000000000 AS k FROM request_headers)
+UNION ALL
+SELECT o_orderkey * 2 + 1, 'PUT', CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 2 END, NULL, NULL, NULL, NULL, 'Entregado'
+FROM orders WHERE o_orderkey % 5 = 0""")
+_cte("order_log_items", ("request_items",), "SELECT * REPLACE (request_id * 2 AS request_id) FROM request_items")
+_cte("edit_log", ("edit_headers",), """
+SELECT request_id, 'PUT' AS method, order_id, CAST(NULL AS BIGINT) AS created_by, client_id, delivery_type, delivery_date,
+  repartidor_id, CAST(NULL AS VARCHAR) AS status FROM edit_headers""")
+
 
 def _resolve(names) -> list[str]:
     out: list[str] = []
@@ -242,10 +255,10 @@ def _resolve(names) -> list[str]:
     return out
 
 
-def with_tables(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
-    """``WITH <fixture CTEs>, <extra CTEs> <body>``."""
+def with_tables(body: str, *names: str, extra: list[tuple[str, str]] | None = None, once: tuple[str, ...] = ()) -> str:
+    """``WITH <fixture CTEs>, <extra CTEs> <body>``; the extra ones in ``once`` are materialized."""
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in _resolve(names)]
-    parts += [f"{n} AS ({b}\n)" for n, b in (extra or [])]
+    parts += [f"{n} AS {'MATERIALIZED ' if n in once else ''}({b}\n)" for n, b in (extra or [])]
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -250,7 +250,7 @@ EDIT_TABLES = ("edit_headers", "edit_items", "productos", "pedidos", "detalle",
 
 
 def _edit(fx):
-    return P.replace_orders(_fx_tables(fx), fx.edit_headers, fx.edit_items, fx.as_of)
+    return P.replace_orders(_fx_tables(fx), fx.edit_headers, fx.edit_items, fx.as_of, mode="opening_stock")
 
 
 @register("replace_orders", with_tables(f"""

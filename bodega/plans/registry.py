@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from bodega.plans import (q_changes, q_io, q_listings, q_migration,  # noqa: F401
-                              q_posting, q_reports)
+                              q_order_log, q_posting, q_reports)

@@ -21,6 +21,7 @@ AS_OF = dt.datetime(2001, 8, 1, 0, 0, 0)
 UNKNOWN_CLIENT_OFFSET = 1_000_000_000
 UNKNOWN_DRIVER = 9999
 UNKNOWN_PRODUCT_OFFSET = 1_000_000_000
+EMPTY_REQUEST_OFFSET = 10_000_000_000
 VAT_ROWS = [(1, "IVA 21%", 0.21), (2, "IVA 10,5%", 0.105), (3, "IVA 27%", 0.27)]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -329,13 +330,14 @@ class Fixture:
     @cached_property
     def request_headers(self) -> DataFrame:
         """One request per order; some name an unknown client or driver, some arrive
-        twice under one id."""
+        twice under one id, and beside some of them an empty one arrives."""
         o = self.raw("orders")
         k = F.col("o_orderkey")
-        o = o.withColumn("_copy", F.explode(F.when(k % 37 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        own, empty = F.lit(0).cast("long"), F.lit(EMPTY_REQUEST_OFFSET)
+        o = o.withColumn("_offset", F.explode(F.when(k % 37 == 0, F.array(own, own)).when(k % 19 == 0, F.array(own, empty)).otherwise(F.array(own))))
         client = F.when(k % 29 == 0, F.col("o_custkey") + UNKNOWN_CLIENT_OFFSET).otherwise(F.col("o_custkey"))
         return o.select(
-            k.alias("request_id"),
+            (k + F.col("_offset")).alias("request_id"),
             F.lit(None).cast("long").alias("order_id"),
             _null_when(k % 17 == 0, client).alias("client_id"),
             F.when(k % 3 == 0, F.lit("deposito")).otherwise(F.lit("por reparto")).alias("delivery_type"),
@@ -347,9 +349,7 @@ class Fixture:
 
     @cached_property
     def request_items(self) -> DataFrame:
-        heads = self.raw("orders").where(F.col("o_orderkey") % 19 != 0).select(F.col("o_orderkey").alias("l_orderkey"))
-        li = self.raw("lineitem").join(heads, "l_orderkey", "left_semi")
-        numbered = number_rows(li, ["l_orderkey"], LINE_ORDER, "pos")
+        numbered = number_rows(self.raw("lineitem"), ["l_orderkey"], LINE_ORDER, "pos")
         pos = F.col("pos")
         return numbered.select(
             F.col("l_orderkey").alias("request_id"),
@@ -366,7 +366,7 @@ class Fixture:
         """Full edits: every order is re-sent with its own id; some were sent before with
         nothing in them, some without their order's id."""
         k = F.col("request_id")
-        full = self.request_headers.withColumn("order_id", k)
+        full = self.request_headers.withColumn("order_id", k % EMPTY_REQUEST_OFFSET)
         early = full.where(k % 41 == 0).withColumn("request_id", -k)
         lost = full.where((k % 43 == 0) & (k % 41 != 0)).withColumn("request_id", -k).withColumn(
             "order_id", F.lit(None).cast("long"))
@@ -375,3 +375,26 @@ class Fixture:
     @cached_property
     def edit_items(self) -> DataFrame:
         return self.request_items
+
+    # ---- a log of posts, edits and status changes (request_id is its order) ----
+    @cached_property
+    def order_log(self) -> DataFrame:
+        """Every request, half of them posted, the others edits: of orders that exist
+        (some twice) or that a request before them creates; and status changes."""
+        h = self.request_headers.withColumn("k", F.col("request_id") % EMPTY_REQUEST_OFFSET)
+        k, r = F.col("k"), F.col("request_id")
+        main = h.withColumns({
+            "method": F.when(k % 4 < 2, F.lit("POST")).otherwise(F.lit("PUT")),
+            "order_id": F.when(k % 8 == 2, k - 2).when(k % 8 == 6, k - 6),
+            "created_by": F.when(k % 4 == 3, (k - 3) * 2),
+            "request_id": r * 2})
+        state = self.raw("orders").select(F.col("o_orderkey").alias("k")).where(k % 5 == 0)
+        status = state.select(
+            (k * 2 + 1).alias("request_id"), F.lit("PUT").alias("method"), F.when(k % 2 == 1, k).alias("order_id"),
+            F.when(k % 2 == 0, k * 2).alias("created_by"), F.lit("Entregado").alias("status"))
+        cols = ["request_id", "method", "order_id", "created_by", "client_id", "delivery_type", "delivery_date", "repartidor_id", "status"]
+        return main.select(*cols).unionByName(status, allowMissingColumns=True)
+
+    @cached_property
+    def order_log_items(self) -> DataFrame:
+        return self.request_items.withColumn("request_id", F.col("request_id") * 2)

@@ -94,6 +94,40 @@ def test_fingerprint_links_through_tree(spark, leaf):
     assert len(set(zip(mine, want))) == len(set(want)) == len(set(mine))
 
 
+def test_rows_dealt_grow_with_the_input():
+    """One leaf per tree, whatever the number of leaves; pairs within 3 bits share one."""
+    rnd = np.random.default_rng(5)
+    fps = np.unique(rnd.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    near = fps ^ np.array([sum(1 << int(k) for k in rnd.choice(64, 3, replace=False)) for _ in fps], np.uint64)
+    met = np.zeros(len(fps), bool)
+    for mask in simhash.masks(3):
+        tree = simhash.VantageTree.build(fps[::7], 20, mask)
+        assert tree.leaves > 50
+        (i, a), (j, b) = tree.visits(fps, 0), tree.visits(near, 0)
+        assert len(i) == len(j) == len(fps)
+        met |= (a[np.argsort(i)] == b[np.argsort(j)]) & (((fps ^ near) & np.uint64(mask)) == 0)
+    assert met.all()
+
+
+@pytest.mark.parametrize("leaf", [50, 6000])
+def test_crowd_is_linked_array_wise(leaf):
+    """20,000 neighbours in one set: one link per member."""
+    crowd = np.uint64(0xABCD << 48) ^ np.arange(20_000, dtype=np.uint64)
+    links = simhash.leaf_links(crowd, 0xFFFF << 48, 3, leaf if leaf > 50 else 2000)
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for u, v in links.tolist():
+        assert (u ^ v).bit_count() <= 3
+        parent[root(u)] = root(v)
+    assert len({root(int(v)) for v in crowd}) == 1
+
+
 # ---------------------------------------------------------------- repeated passages
 
 def test_op2(spark, rows):

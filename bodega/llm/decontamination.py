@@ -11,7 +11,8 @@ those words, so no text moves. Items of fewer words than a window are one
 window each and are matched as a whole, by the hash of as many words.
 
 Defined cases: a null text or item has no words and matches nothing; an item
-without words is no item; equal items count each by its own id; null doc_ids
+without words is no item; equal items count each by its own id; the words of an item
+with a null id count as hit and name no item; null doc_ids
 and repeated rows are answered each; an empty benchmark leaves every document
 clean; an empty table gives an empty result. Other columns are not read.
 """
@@ -79,7 +80,8 @@ def benchmark_prints(items: DataFrame, window: int = WINDOW, k: int = K) -> Data
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL")
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    # the ids without nulls: an item without an id counts in what is hit, and names none
     return (rows.mapInArrow(run, "item_id string, hash long, n int, lead int, words string")
             .groupBy("hash", "n", "lead", "words").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
 

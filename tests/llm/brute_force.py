@@ -75,8 +75,8 @@ def contamination(rows, items, window=10):
     for item, text in items:
         words = ITEM_WORD.findall((text or "").translate(ASCII_LOWER))
         n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n and item is not None else 0):
-            by_size.setdefault(n, {}).setdefault(tuple(words[i:i + n]), set()).add(str(item))
+        for i in range(len(words) - n + 1 if n else 0):
+            by_size.setdefault(n, {}).setdefault(tuple(words[i:i + n]), set()).update([] if item is None else [str(item)])
     out = []
     for doc_id, text in rows:
         words = ITEM_WORD.findall((text or "").translate(ASCII_LOWER))
@@ -84,7 +84,7 @@ def contamination(rows, items, window=10):
         for n, windows in by_size.items():
             for i in range(len(words) - n + 1):
                 got = windows.get(tuple(words[i:i + n]))
-                if got:
+                if got is not None:
                     hit[i:i + n] = [True] * n
                     found |= got
         out.append((doc_id, len(words), sum(hit), sorted(found)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bodega.operators import posting as P
+from bodega.operators.stock import walk_stock
 from bodega.operators.listings import decimals_to_double
 from bodega.plans.fixture_sql import AS_OF_SQL, with_tables
 from bodega.plans.registry import register
@@ -347,3 +348,16 @@ PER_PRODUCT_CHAIN = [(n, b.replace("quantity AS need FROM pl",
 def check_stock_per_product(fx):
     dec = P.check_stock(fx.request_headers, fx.request_items, fx.productos, parties=_parties(fx), check="per_product")
     return dec.select("request_id", "accepted", "reason")
+
+
+# ---- P5 exact below zero -------------------------------------------------------
+@register("stock_walk", with_tables("""
+SELECT p.ID_Producto, CAST(coalesce(w.after, p.Stock) AS INTEGER) AS Stock FROM productos p LEFT JOIN (
+  SELECT ID_Producto, list_reduce(list_prepend(CAST(Stock AS DOUBLE), qs), lambda s, q: trunc(s - q)) AS after
+  FROM productos JOIN (SELECT ID_Producto, list(CAST(Cantidad AS DOUBLE) ORDER BY ID_TomaPedido, Hoja, Cantidad) AS qs
+                       FROM detalle_frac GROUP BY ID_Producto) USING (ID_Producto)
+  WHERE Stock IS NOT NULL) w ON w.ID_Producto = p.ID_Producto""", "productos", "detalle_frac"))
+def stock_walk(fx):
+    """P5 line by line: every order line, many fractional, taken from the opening stock."""
+    lines = fx.detalle_frac.select(F.col("ID_Producto").alias("product_id"), F.col("Cantidad").alias("quantity"), "ID_TomaPedido", "Hoja")
+    return walk_stock(fx.productos, lines, ["ID_TomaPedido", "Hoja"]).select("ID_Producto", "Stock")

@@ -303,3 +303,76 @@ def cascade_delete_lines(fx):
     done = fx.pedidos.where(F.col("Estado") == "F").select("ID_TomaPedido")
     _, lines = W.cascade_delete(fx.pedidos, fx.detalle, done)
     return decimals_to_double(lines)
+
+
+# ---- W1-W7 as one ordered change log --------------------------------------------
+LOG_FIELDS = ["Descripcion", "PrecioFinalUni", "Stock", "idMarca", "Estado", "PermiteDescuento"]
+_LOG_LIST = ", ".join(LOG_FIELDS)
+# (change, op, which keys): 1 to 3 are the derived changes, the others follow on the base keys
+_LOG_OP = """CASE WHEN change_seq % 10 = 3 AND ID_Producto % 2 = 0 THEN 'insert'
+  WHEN change_seq % 10 = 2 OR (change_seq % 10 = 1 AND ID_Producto % 3 = 0) THEN 'partial' ELSE 'replace' END"""
+_LOG_MORE = [(4, "delete", "ID_Producto % 11 = 0"), (5, "insert", "ID_Producto % 22 = 0"), (6, "insert", "ID_Producto % 33 = 0"),
+             (7, "partial", "ID_Producto % 12 = 0"), (8, "replace", "ID_Producto % 55 = 0")]
+
+
+def _log_more(values: str) -> str:
+    """The later changes: an insert or replacement brings the base's values, a partial update nothing."""
+    rows = []
+    for v, op, which in _LOG_MORE:
+        cols = ", ".join(c if op in ("insert", "replace") else f"NULL AS {c}" for c in LOG_FIELDS)
+        rows.append(f"SELECT ID_Producto, CAST(ID_Producto * 10 + {v} AS BIGINT) AS change_seq, '{op}' AS op, {cols} FROM {values} WHERE {which}")
+    return " UNION ALL ".join(rows)
+
+
+def product_log(fx):
+    first = change_table(fx.productos, "productos").selectExpr("ID_Producto", "change_seq", f"{_LOG_OP} AS op", *LOG_FIELDS)
+    base = fx.productos
+    more = [base.where(which).selectExpr("ID_Producto", f"CAST(ID_Producto * 10 + {v} AS BIGINT) AS change_seq", f"'{op}' AS op",
+                                         *[c if op in ("insert", "replace") else f"CAST(NULL AS {base.schema[c].dataType.simpleString()}) AS {c}" for c in LOG_FIELDS])
+            for v, op, which in _LOG_MORE]
+    for m in more:
+        first = first.unionByName(m)
+    return first
+
+
+_PACK = "struct_pack(" + ", ".join(f"{c} := {{t}}.{c}" for c in LOG_FIELDS) + ")"
+_MERGE = "struct_pack(" + ", ".join(f"{c} := coalesce(o.{c}, st.s.{c})" for c in LOG_FIELDS) + ")"
+LOG_STEPS = [
+    ("log", f"SELECT ID_Producto, change_seq, {_LOG_OP} AS op, {_LOG_LIST} FROM productos_changes UNION ALL {_log_more('productos')}"),
+    ("ops", f"""SELECT *, row_number() OVER (PARTITION BY ID_Producto ORDER BY change_seq) AS i FROM log
+WHERE NOT (op = 'partial' AND coalesce({", ".join(f"CAST({c} AS VARCHAR)" for c in LOG_FIELDS)}) IS NULL)"""),
+    ("st", f"""SELECT k.ID_Producto, CAST(0 AS BIGINT) AS i, b.ID_Producto IS NOT NULL AS there, {_PACK.format(t="b")} AS s, false AS made,
+  CAST(NULL AS BIGINT) AS change_seq, CAST(NULL AS VARCHAR) AS reason
+FROM (SELECT ID_Producto FROM productos UNION SELECT ID_Producto FROM ops) k LEFT JOIN productos b USING (ID_Producto)
+UNION ALL
+SELECT o.ID_Producto, o.i, CASE o.op WHEN 'insert' THEN true WHEN 'delete' THEN false ELSE st.there END,
+  CASE WHEN o.op = 'insert' AND NOT st.there OR o.op = 'replace' AND st.there THEN {_PACK.format(t="o")}
+       WHEN o.op = 'partial' AND st.there THEN {_MERGE} ELSE st.s END,
+  st.made OR (o.op = 'insert' AND NOT st.there), o.change_seq,
+  CASE WHEN o.op = 'insert' AND st.there THEN 'exists' WHEN o.op <> 'insert' AND NOT st.there THEN 'not_found' END
+FROM st JOIN ops o ON o.ID_Producto = st.ID_Producto AND o.i = st.i + 1"""),
+]
+
+
+def _log_sql(body: str) -> str:
+    return "WITH RECURSIVE" + with_tables(body, "productos", "productos_changes", extra=LOG_STEPS, once=("log", "ops"))[len("WITH"):]
+
+
+@register("product_log", _log_sql(f"""
+SELECT f.ID_Producto, {", ".join(_out(c, f"f.s.{c}") for c in LOG_FIELDS)}, CASE WHEN f.made THEN NULL ELSE b.Pr_Pack END AS Pr_Pack
+FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY ID_Producto ORDER BY i DESC) = 1) f LEFT JOIN productos b USING (ID_Producto)
+WHERE f.there"""))
+def product_log_snapshot(fx):
+    """W1-W7 in order: the products after inserts, replacements, partial updates and deletes."""
+    snap, _ = W.apply_change_log(fx.productos, product_log(fx), "ID_Producto", LOG_FIELDS)
+    return decimals_to_double(snap.select("ID_Producto", *LOG_FIELDS, "Pr_Pack"))
+
+
+@register("product_log_rejects", _log_sql("""
+SELECT ID_Producto, change_seq, reason FROM st WHERE reason IS NOT NULL
+UNION ALL
+SELECT ID_Producto, change_seq, 'nothing_to_update' FROM log ANTI JOIN ops USING (ID_Producto, change_seq)"""))
+def product_log_rejects(fx):
+    """W1-W7 in order: the changes rejected, and why."""
+    _, rejects = W.apply_change_log(fx.productos, product_log(fx), "ID_Producto", LOG_FIELDS)
+    return rejects

@@ -16,7 +16,9 @@ FALLBACKS = {  # foreign key -> (dimension, its key, value when the target is mi
     "idMarca": ("marca", "Id_Marca", None),
     "IdAlicIva": ("alicuotas", "id_alicuota", None),
 }
-RECENT_ORDERS = 1000
+RECENT_ORDERS = 1000       # what the reference's script loads
+MERGED_LIMIT = 1000        # rows that one task merges, and that are broadcast
+KEY_RANGES = 1024
 STOCK_RANGE = 500
 # One step of the classic linear congruential generator, applied to the key:
 # repeatable, cheap, and expressible in plain SQL.
@@ -59,24 +61,53 @@ def synthetic_stock(df: DataFrame, key: str = "ID_Producto", upper: int = STOCK_
     return df.withColumn("Stock", F.pmod(mixed, F.lit(upper)).cast("int"))
 
 
-def load_recent_orders(orders: DataFrame, clients: DataFrame, terms: DataFrame,
-                       n: int = RECENT_ORDERS) -> DataFrame:
-    """The newest ``n`` orders by id whose client exists; unknown payment
-    terms become NULL. Top-n keeps n rows per partition, then merges."""
+def newest(rows: DataFrame, key: str, n: int | None) -> DataFrame:
+    """The ``n`` rows with the largest ``key`` (a whole number; None: all rows). NULL keys
+    come last.
+
+    Up to ``MERGED_LIMIT`` rows are a limit, which one task merges. Beyond, the n-th
+    largest key is found first: rows are counted per range of keys, the range that holds
+    it is divided again, and so on (a few passes, at most ``KEY_RANGES`` counts each to the
+    driver). What lies above it is then a filter, and only the ties at the key itself are cut."""
+    if n is None:
+        return rows
+    if n <= MERGED_LIMIT:
+        return rows.orderBy(F.col(key).desc()).limit(n)
+    k = F.col(key).cast("long")
+    lo, hi, total = rows.agg(F.min(k), F.max(k), F.count(k)).first()
+    if total <= n:
+        # whatever is missing are rows without a key, all alike
+        return rows.where(k.isNotNull()).unionByName(rows.where(k.isNull()).limit(n - total)) if total < n else rows.where(k.isNotNull())
+    above = 0
+    while lo < hi:
+        width = -(-(hi - lo + 1) // KEY_RANGES)
+        counts = rows.where(k.between(lo, hi)).groupBy(F.floor((k - lo) / F.lit(width)).alias("r")).count().collect()
+        for r in sorted(counts, key=lambda r: -r["r"]):
+            if above + r["count"] >= n:
+                lo, hi = lo + r["r"] * width, min(hi, lo + (r["r"] + 1) * width - 1)
+                break
+            above += r["count"]
+    return rows.where(k > lo).unionByName(rows.where(k == lo).limit(n - above))
+
+
+def load_recent_orders(orders: DataFrame, clients: DataFrame, terms: DataFrame, n: int | None) -> DataFrame:
+    """The newest ``n`` orders by id (None: all) whose client exists; unknown
+    payment terms become NULL."""
     known = orders.join(clients.select("ID_Cliente"), "ID_Cliente", "left_semi")
     tk = terms.select(F.col("ID_CondicionPago").alias("_term")).distinct()
     known = known.join(tk, known["ID_Condicion"] == tk["_term"], "left")
     known = known.withColumn("ID_Condicion", F.when(F.col("_term").isNotNull(), F.col("ID_Condicion"))
                              .cast("int")).drop("_term")
-    return known.select(*ORDER_COLS).orderBy(F.col("ID_TomaPedido").desc()).limit(n)
+    return newest(known.select(*ORDER_COLS), "ID_TomaPedido", n)
 
 
-def load_order_lines(lines: DataFrame, loaded_orders: DataFrame, loaded_products: DataFrame) -> DataFrame:
+def load_order_lines(lines: DataFrame, loaded_orders: DataFrame, loaded_products: DataFrame, n: int | None) -> DataFrame:
     """Lines whose order and product were both loaded.
 
-    The loaded orders are at most ``n`` rows, a proven bound, so they are
-    broadcast; products are joined as the planner sees fit."""
-    out = lines.join(F.broadcast(loaded_orders.select("ID_TomaPedido")), "ID_TomaPedido", "left_semi")
+    Up to ``MERGED_LIMIT`` loaded orders are broadcast, a proven bound; beyond, both
+    sides are joined as the planner sees fit."""
+    keys = loaded_orders.select("ID_TomaPedido")
+    out = lines.join(F.broadcast(keys) if n is not None and n <= MERGED_LIMIT else keys, "ID_TomaPedido", "left_semi")
     return out.join(loaded_products.select("ID_Producto"), "ID_Producto", "left_semi").select(*lines.columns)
 
 
@@ -94,14 +125,15 @@ def load_products(src_products: DataFrame, dst: dict) -> DataFrame:
     return synthetic_stock(repair_references(src_products, rules))
 
 
-def migrate(src: dict, dst: dict, n: int = RECENT_ORDERS) -> dict[str, DataFrame]:
-    """Brands, VAT rates, products, recent orders and their lines, in order."""
+def migrate(src: dict, dst: dict, n: int | None) -> dict[str, DataFrame]:
+    """Brands, VAT rates, products, the newest ``n`` orders (None: all) and their
+    lines, in order."""
     marca = copy_table(src["marca"])
     alicuotas = copy_table(src["alicuotas"])
     dims = dict(dst, marca=marca, alicuotas=alicuotas)
     productos = load_products(src["productos"], dims)
     pedidos = load_recent_orders(src["pedidos"], dst["clientes"], dst["condicion_pago"], n)
-    detalle = load_order_lines(src["detalle"], pedidos, productos)
+    detalle = load_order_lines(src["detalle"], pedidos, productos, n)
     return {"marca": marca, "alicuotas": alicuotas, "productos": productos,
             "pedidos": pedidos, "detalle": detalle}
 

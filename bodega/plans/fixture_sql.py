@@ -31,8 +31,9 @@ _cte("marca", (), """
 SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS Id_Marca, p_brand AS Mrc_Descripcion FROM part""")
 
 _cte("alicuotas", (), """
-SELECT * FROM (VALUES (1, 'IVA 21%', CAST(0.21 AS REAL)), (2, 'IVA 10,5%', CAST(0.105 AS REAL)),
-                      (3, 'IVA 27%', CAST(0.27 AS REAL))) AS t(id_alicuota, Alic_descripcion, Alicuota)""")
+SELECT CAST(row_number() OVER (ORDER BY l_tax) AS INTEGER) AS id_alicuota,
+  'IVA ' || CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR) || '%' AS Alic_descripcion, CAST(l_tax AS REAL) AS Alicuota
+FROM (SELECT DISTINCT l_tax FROM lineitem)""")
 
 _cte("condicion_pago", (), """
 SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) AS INTEGER) AS ID_CondicionPago,

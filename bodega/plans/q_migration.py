@@ -92,7 +92,7 @@ FROM newest p WHERE nth <= 1000""", "pedidos_src", "clientes", "condicion_pago",
 
 @register("load_recent_orders", RECENT_SQL)
 def load_recent_orders(fx):
-    return decimals_to_double(M.load_recent_orders(fx.pedidos_src, fx.clientes, fx.condicion_pago))
+    return decimals_to_double(M.load_recent_orders(fx.pedidos_src, fx.clientes, fx.condicion_pago, M.RECENT_ORDERS))
 
 
 LINE_COLS = [c.split(" ")[0] for c in S.DDL["detalle"].split(", ")]
@@ -106,7 +106,7 @@ FROM detalle_items d SEMI JOIN (SELECT ID_TomaPedido FROM newest WHERE nth <= 10
 
 @register("load_order_lines", LINES_SQL)
 def load_order_lines(fx):
-    loaded = M.migrate(_src(fx), fx.tables(*DST))
+    loaded = M.migrate(_src(fx), fx.tables(*DST), M.RECENT_ORDERS)
     return decimals_to_double(loaded["detalle"])
 
 
@@ -123,7 +123,7 @@ UNION ALL SELECT 'detalle', count(*) FROM detalle_items
 
 @register("load_report", REPORT_SQL)
 def load_report(fx):
-    return M.load_report(M.migrate(_src(fx), fx.tables(*DST)))
+    return M.load_report(M.migrate(_src(fx), fx.tables(*DST), M.RECENT_ORDERS))
 
 
 @register("ensure_column", with_tables(
@@ -176,3 +176,22 @@ def check_constraints(fx):
 def orphan_products(fx):
     """E9 detail: the source products whose provider does not exist."""
     return decimals_to_double(C.orphans(fx.productos_src, "ID_Proveedor", fx.proveedores, "ID_Proveedor"))
+
+
+# ---- E3/E4 beyond the newest thousand -------------------------------------------
+@register("load_all_orders", RECENT_SQL.replace("WHERE nth <= 1000", ""))
+def load_all_orders(fx):
+    """E3 over every order whose client exists."""
+    return decimals_to_double(M.load_recent_orders(fx.pedidos_src, fx.clientes, fx.condicion_pago, None))
+
+
+@register("load_newest_orders", RECENT_SQL.replace("nth <= 1000", "nth <= 5000"))
+def load_newest_orders(fx):
+    """E3 with the newest 5,000 orders, found by counts per range of ids."""
+    return decimals_to_double(M.load_recent_orders(fx.pedidos_src, fx.clientes, fx.condicion_pago, 5000))
+
+
+@register("load_all_order_lines", LINES_SQL.replace("WHERE nth <= 1000", ""))
+def load_all_order_lines(fx):
+    """E4 over the lines of every loaded order."""
+    return decimals_to_double(M.migrate(_src(fx), fx.tables(*DST), None)["detalle"])

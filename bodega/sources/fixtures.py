@@ -22,7 +22,6 @@ UNKNOWN_CLIENT_OFFSET = 1_000_000_000
 UNKNOWN_DRIVER = 9999
 UNKNOWN_PRODUCT_OFFSET = 1_000_000_000
 EMPTY_REQUEST_OFFSET = 10_000_000_000
-VAT_ROWS = [(1, "IVA 21%", 0.21), (2, "IVA 10,5%", 0.105), (3, "IVA 27%", 0.27)]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -69,7 +68,7 @@ class Fixture:
         return {n: getattr(self, n) for n in names}
 
     # ---- dimensions -------------------------------------------------------
-    # The two ranked catalogs below number the *distinct* values of a category
+    # The ranked catalogs below number the *distinct* values of a category
     # column (a handful of rows, bounded by the domain, not by the data), so
     # their unpartitioned window sees only that small set.
     @cached_property
@@ -86,9 +85,11 @@ class Fixture:
 
     @cached_property
     def alicuotas(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            VAT_ROWS, "id_alicuota int, Alic_descripcion string, Alicuota double"
-        ).select("id_alicuota", "Alic_descripcion", F.col("Alicuota").cast("float").alias("Alicuota"))
+        """A rate per different tax of the order lines."""
+        rates = self.raw("lineitem").select(F.col("l_tax").alias("rate")).distinct()
+        return rates.select(F.row_number().over(Window.orderBy("rate")).cast("int").alias("id_alicuota"),
+                            F.concat(F.lit("IVA "), F.round(F.col("rate") * 100).cast("int").cast("string"), F.lit("%")).alias("Alic_descripcion"),
+                            F.col("rate").cast("float").alias("Alicuota"))
 
     @cached_property
     def condicion_pago(self) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 """The reference's semantics on hand-made rows: reports, listings,
 maintenance and migration."""
 import datetime as dt
@@ -118,7 +119,7 @@ def test_migration_repairs_and_loads_without_orphans(spark, fx):
     src = {"productos": fx.productos_src, "pedidos": fx.pedidos_src, "detalle": fx.detalle_items,
            "marca": fx.marca, "alicuotas": fx.alicuotas}
     dst = fx.tables("proveedores", "rubros", "marca", "alicuotas", "clientes", "condicion_pago")
-    out = M.migrate(src, dst)
+    out = M.migrate(src, dst, 1000)
     report = C.check_constraints({"productos": out["productos"], "pedidos": out["pedidos"],
                                   "detalle": out["detalle"], **{k: v for k, v in dst.items()}})
     fk = {(r.table_name, r.columns): r.violations for r in report.collect() if r.rule.startswith("foreign_key")}
@@ -155,3 +156,45 @@ def test_rows_without_a_key_are_answered(spark):
     new = spark.createDataFrame([("n1", None, 1), ("n2", None, 2), ("n3", 5, 3), ("n4", 6, 4), ("n5", 6, 5)], "name string, dni int, _seq int").withColumnRenamed("_seq", W.SEQ)
     _, inserted = W.insert_if_absent(base, new, ["dni"], "id")
     assert sorted(r.name for r in inserted.collect()) == ["n1", "n2", "n4"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 1000, 1001, 1500, 2400, 2500, 2600, 2610, 9000, None])
+def test_newest_by_ranges(spark, n):
+    """The n largest keys: ties cut to the number asked for, rows without a key last."""
+    from bodega.operators.migration import newest
+    keys = [i * 7919 % 100_003 - 50_000 for i in range(2400)] + [5] * 150 + [10 ** 15] * 50 + [None] * 10
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    got = [r.k for r in newest(df, "k", n).collect()]
+    want = sorted(keys, key=lambda k: (k is not None, k or 0), reverse=True)[:n]
+    assert sorted(got, key=lambda k: (k is not None, k or 0)) == sorted(want, key=lambda k: (k is not None, k or 0))
+
+
+def test_change_log_equals_one_by_one(spark):
+    import random
+    from bodega.operators.changes import apply_change_log
+    rnd = random.Random(2)
+    base = {k: (f"a{k}", k, "x") for k in range(30)}
+    log = [(rnd.choice([None, *range(40), 7, 7, 7]), s, rnd.choice(["insert", "replace", "partial", "delete", "merge"]),
+            rnd.choice([None, f"n{s}"]), rnd.choice([None, s])) for s in rnd.sample(range(-500, 500), 400)]
+    state, rejects = dict(base), set()
+    for k, s, op, a, b in sorted(log, key=lambda r: r[1]):
+        why = ("missing_key" if k is None else "unknown_op" if op == "merge" else "nothing_to_update" if op == "partial" and a is None and b is None
+               else "exists" if op == "insert" and k in state else "not_found" if op != "insert" and k not in state else None)
+        if why:
+            rejects.add((k, s, why))
+        elif op == "delete":
+            del state[k]
+        elif op == "insert":
+            state[k] = (a, b, None)
+        else:
+            old = state[k]
+            state[k] = (a, b, old[2]) if op == "replace" else (old[0] if a is None else a, old[1] if b is None else b, old[2])
+    for hot in ("1000000", "5"):
+        spark.conf.set("bodega.hotGroupRows", hot)
+        try:
+            snap, bad = apply_change_log(spark.createDataFrame([(k, *v) for k, v in base.items()], "k long, a string, b long, c string"),
+                                         spark.createDataFrame(log, "k long, change_seq long, op string, a string, b long"), "k", ["a", "b"])
+            assert {r.k: (r.a, r.b, r.c) for r in snap.collect()} == state
+            assert {tuple(r) for r in bad.collect()} == rejects
+        finally:
+            spark.conf.unset("bodega.hotGroupRows")

@@ -63,7 +63,7 @@ FROM (SELECT CAST(n_nationkey + 1 AS INTEGER) AS rid, n_name FROM nation)""")
 
 _cte("clientes", (), """
 SELECT c_custkey AS ID_Cliente,
-  rpad(c_name, 50, ' ') AS Nombre,
+  CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE rpad(c_name, 50, ' ') END AS Nombre,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS Apellido,
   'Razon Social ' || CAST(c_custkey AS VARCHAR) AS RazonSocial,
   rpad('Calle ' || CAST(c_custkey % 97 AS VARCHAR), 30, ' ') AS Direccion,

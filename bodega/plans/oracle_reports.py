@@ -27,7 +27,7 @@ def _client_report(order_amount: str) -> str:
     per_client = ("per_client", f"""SELECT client, count(*) AS orders, sum({order_amount}) AS amount, sum(qty) AS qty
 FROM per_order GROUP BY client""")
     return with_tables("""
-SELECT client AS id, concat(Nombre || ' ', Apellido) AS name, Telefono AS phone, correo AS email, orders AS order_count,
+SELECT client AS id, Nombre || ' ' || coalesce(Apellido, '') AS name, Telefono AS phone, correo AS email, orders AS order_count,
   CAST(amount AS DOUBLE) AS total_amount, CAST(qty AS DOUBLE) AS total_items
 FROM per_client JOIN clientes ON clientes.ID_Cliente = client
 ORDER BY total_amount DESC, id""", "clientes", "pedidos", "detalle", extra=[RECENT, SOLD, PER_ORDER, per_client])

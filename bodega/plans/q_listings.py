@@ -12,20 +12,20 @@ from bodega.plans.registry import register
 
 # ---- L1-L4 ----------------------------------------------------------------
 # The list oracles look names up per key: one small lookup per dimension, keyed by
-# the list's own key column, joined with USING.
+# the list's own key column, joined with USING in the order of the keys.
 ORDER_LIST_SQL = with_tables("""
 SELECT id, order_type, client_id, client_name, client_direccion, client_numero, client_telefono, created_at,
   delivery_date, total_amount, status, discount, notes, delivery_type, repartidor_id, repartidor_name
 FROM head LEFT JOIN who USING (client_id) LEFT JOIN driver USING (repartidor_id)
 ORDER BY created_at DESC, id""", "pedidos", "clientes", "repartidores", extra=[
-    ("who", """SELECT ID_Cliente AS client_id, concat(Nombre || ' ', Apellido) AS client_name,
-  rtrim(Telefono) AS client_telefono, rtrim(Direccion) AS client_direccion, rtrim(Numero) AS client_numero FROM clientes"""),
+    ("head", """SELECT ID_TomaPedido AS id, 'client' AS order_type, ID_Cliente AS client_id, Fecha AS created_at,
+  FechaEntrega AS delivery_date, CAST(Total AS DOUBLE) AS total_amount, Estado AS status, CAST(Dto AS DOUBLE) AS discount,
+  Observaciones AS notes, CASE WHEN bDeposito = 1 THEN 'deposito' ELSE 'por reparto' END AS delivery_type,
+  ID_Repartidor AS repartidor_id FROM pedidos"""),
+    ("who", """SELECT ID_Cliente AS client_id, Nombre || ' ' || coalesce(Apellido, '') AS client_name,
+  rtrim(Direccion) AS client_direccion, rtrim(Numero) AS client_numero, rtrim(Telefono) AS client_telefono FROM clientes"""),
     ("driver", """SELECT ID_Repartidor AS repartidor_id,
-  concat(rtrim(Nombre) || ' ', rtrim(Apellido)) AS repartidor_name FROM repartidores"""),
-    ("head", """SELECT ID_TomaPedido AS id, 'client' AS order_type, ID_Cliente AS client_id,
-  ID_Repartidor AS repartidor_id, if(coalesce(bDeposito, 0) = 1, 'deposito', 'por reparto') AS delivery_type,
-  Fecha AS created_at, FechaEntrega AS delivery_date, Estado AS status, Observaciones AS notes,
-  CAST(Total AS DOUBLE) AS total_amount, CAST(Dto AS DOUBLE) AS discount FROM pedidos""")])
+  rtrim(Nombre) || ' ' || coalesce(rtrim(Apellido), '') AS repartidor_name FROM repartidores""")])
 
 
 @register("order_list", ORDER_LIST_SQL)
@@ -90,7 +90,7 @@ SELECT ID_Producto AS id, Descripcion AS name, Pr_Ean13 AS sku, CAST(PrecioFinal
   COLUMNS(['Costo', 'CostoUnit', 'margen', 'PrecioFinalPack', 'PrecioNetoPack', 'PrecioNetoUni', 'MontoIVA'])::DOUBLE,
   PMR, Pr_Pack, Pr_UniXPack, Estado, OcultarApp, SinStockApp, PermiteDescuento AS permite_descuento
 FROM (SELECT *, ID_Proveedor AS provider_id, ID_Rubro AS rubro_id, idMarca AS marca_id FROM productos)
-  LEFT JOIN brand USING (marca_id) LEFT JOIN category USING (rubro_id) LEFT JOIN provider USING (provider_id)
+  LEFT JOIN provider USING (provider_id) LEFT JOIN category USING (rubro_id) LEFT JOIN brand USING (marca_id)
 ORDER BY id""", "productos", "proveedores", "rubros", "marca", extra=[
     ("provider", "SELECT ID_Proveedor AS provider_id, RazonSocial AS provider_name FROM proveedores"),
     ("category", "SELECT ID_Rubro AS rubro_id, Descripcion AS rubro_name FROM rubros"),
@@ -132,14 +132,13 @@ PLACE_NAMES = [
 CLIENT_LIST_SQL = with_tables("""
 SELECT id, razon_social, apellido, nombre, direccion, numero, telefono, cuit, correo, id_barrio, barrio_nombre,
   id_localidad, localidad_nombre, id_zona, zona_nombre, id_condicion, condicion_pago, estado
-FROM own LEFT JOIN terms USING (id_condicion) LEFT JOIN zone USING (id_zona)
-  LEFT JOIN town USING (id_localidad) LEFT JOIN district USING (id_barrio)
+FROM own LEFT JOIN district USING (id_barrio) LEFT JOIN town USING (id_localidad)
+  LEFT JOIN zone USING (id_zona) LEFT JOIN terms USING (id_condicion)
 ORDER BY id DESC""", "clientes", "barrios", "localidad", "zona", "condicion_pago", extra=PLACE_NAMES + [
     ("zone", "SELECT ID_Zona AS id_zona, rtrim(Descripcion) AS zona_nombre FROM zona"),
-    ("own", """SELECT ID_Cliente AS id, ID_Barrio AS id_barrio, ID_Localidad AS id_localidad, ID_Zona AS id_zona, id_condicion,
-  rtrim(Nombre) AS nombre, rtrim(Apellido) AS apellido, rtrim(RazonSocial) AS razon_social, rtrim(CUIT) AS cuit,
-  rtrim(correo) AS correo, rtrim(Telefono) AS telefono, rtrim(Direccion) AS direccion, rtrim(Numero) AS numero,
-  rtrim(Estado) AS estado FROM clientes""")])
+    ("own", """SELECT ID_Cliente AS id, rtrim(RazonSocial) AS razon_social, rtrim(Apellido) AS apellido, rtrim(Nombre) AS nombre,
+  rtrim(Direccion) AS direccion, rtrim(Numero) AS numero, rtrim(Telefono) AS telefono, rtrim(CUIT) AS cuit, rtrim(correo) AS correo,
+  ID_Barrio AS id_barrio, ID_Localidad AS id_localidad, ID_Zona AS id_zona, id_condicion, rtrim(Estado) AS estado FROM clientes""")])
 
 CLIENT_DIMS = ("clientes", "barrios", "localidad", "zona", "condicion_pago")
 
@@ -170,11 +169,11 @@ PROVIDER_DIMS = ("proveedores", "condicion_pago", "barrios", "localidad")
 PROVIDER_LIST_SQL = with_tables("""
 SELECT id, razon_social, direccion, numero, telefono, cuit, correo, id_condicion, condicion_pago, id_barrio,
   barrio_nombre, id_localidad, localidad_nombre, estado
-FROM own LEFT JOIN town USING (id_localidad) LEFT JOIN district USING (id_barrio) LEFT JOIN terms USING (id_condicion)
+FROM own LEFT JOIN terms USING (id_condicion) LEFT JOIN district USING (id_barrio) LEFT JOIN town USING (id_localidad)
 ORDER BY id DESC""", *PROVIDER_DIMS, extra=PLACE_NAMES + [
-    ("own", """SELECT ID_Proveedor AS id, Barrio AS id_barrio, Localidad AS id_localidad, ID_Condicion AS id_condicion,
-  rtrim(RazonSocial) AS razon_social, rtrim(CUIT) AS cuit, rtrim(Correo) AS correo, rtrim(Telefono) AS telefono,
-  rtrim(Direccion) AS direccion, rtrim(Numero) AS numero, rtrim(Estado) AS estado FROM proveedores""")])
+    ("own", """SELECT ID_Proveedor AS id, rtrim(RazonSocial) AS razon_social, rtrim(Direccion) AS direccion, rtrim(Numero) AS numero,
+  rtrim(Telefono) AS telefono, rtrim(CUIT) AS cuit, rtrim(Correo) AS correo, ID_Condicion AS id_condicion, Barrio AS id_barrio,
+  Localidad AS id_localidad, rtrim(Estado) AS estado FROM proveedores""")])
 
 
 @register("provider_list", PROVIDER_LIST_SQL)

@@ -141,7 +141,7 @@ class Fixture:
         k = _s("c_custkey")
         return c.select(
             F.col("c_custkey").alias("ID_Cliente"),
-            F.rpad("c_name", 50, " ").alias("Nombre"),
+            _null_when(F.col("c_custkey") % 23 == 0, F.rpad("c_name", 50, " ")).alias("Nombre"),
             _null_when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).alias("Apellido"),
             F.concat(F.lit("Razon Social "), k).alias("RazonSocial"),
             F.rpad(F.concat(F.lit("Calle "), (F.col("c_custkey") % 97).cast("string")), 30, " ").alias("Direccion"),

@@ -1,7 +1,8 @@
 """Sales reports over a moving window.
 
 Plan shape, at any scale: the date predicate goes to the order scan (it
-reaches Parquet as a pushed filter), lines are semi-joined to the orders of
+reaches Parquet as a pushed filter), the window's smallest and largest order id
+go to the line scan the same way, lines are semi-joined to the orders of
 the window, aggregated per key with map-side partial aggregation (so a hot
 product or client is combined before the shuffle), and only then joined to
 the dimension for its names: one row per key crosses that join, not one
@@ -24,9 +25,21 @@ def orders_in_window(pedidos: DataFrame, as_of: dt.datetime, days: int = DEFAULT
     return pedidos.where(F.col("Fecha") >= shift_days(as_of, -days))
 
 
+def lines_near(detalle: DataFrame, recent: DataFrame) -> DataFrame:
+    """The lines whose order id lies between the smallest and largest of ``recent``: two
+    scalar subqueries, whose values reach the line scan as pushed filters. Where ids
+    rise with time, as identities do, a window reads its own files and row groups only;
+    the exact join to ``recent`` still follows.
+
+    Written as sorted limits: Spark would merge a minimum and a maximum into one
+    subquery of two fields, and a field of a subquery is not pushed."""
+    key, ids = F.col("ID_TomaPedido"), recent.select("ID_TomaPedido")
+    return detalle.where((key >= ids.orderBy("ID_TomaPedido").limit(1).scalar()) & (key <= ids.orderBy(F.desc("ID_TomaPedido")).limit(1).scalar()))
+
+
 def _lines_in_window(d: dict, as_of, days) -> DataFrame:
     recent = orders_in_window(d["pedidos"], as_of, days).select("ID_TomaPedido")
-    return d["detalle"].join(recent, "ID_TomaPedido", "left_semi")
+    return lines_near(d["detalle"], recent).join(recent, "ID_TomaPedido", "left_semi")
 
 
 def _top(df: DataFrame, by: str, key: str, n: int | None) -> DataFrame:
@@ -79,7 +92,7 @@ def top_providers(d: dict, as_of, days: int = DEFAULT_REPORT_DAYS, n: int | None
 
 def _client_report(d: dict, as_of, days, n, exact: bool) -> DataFrame:
     recent = orders_in_window(d["pedidos"], as_of, days).select("ID_TomaPedido", "ID_Cliente", "Total")
-    lines = d["detalle"].join(recent.select("ID_TomaPedido"), "ID_TomaPedido", "left_semi")
+    lines = lines_near(d["detalle"], recent).join(recent.select("ID_TomaPedido"), "ID_TomaPedido", "left_semi")
     per_order_lines = lines.groupBy("ID_TomaPedido").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("Cantidad").alias("q"))
     # inner join: orders without lines drop out, as in the reference
@@ -117,7 +130,7 @@ def client_products(d: dict, client_ids: DataFrame | None, as_of, days: int = DE
     recent = orders_in_window(d["pedidos"], as_of, days).select("ID_TomaPedido", "ID_Cliente")
     if client_ids is not None:
         recent = recent.join(client_ids.select("ID_Cliente"), "ID_Cliente", "left_semi")
-    lines = d["detalle"].join(recent, "ID_TomaPedido")
+    lines = lines_near(d["detalle"], recent).join(recent, "ID_TomaPedido")
     per = lines.groupBy("ID_Cliente", "ID_Producto").agg(
         F.sum("Cantidad").alias("q"), F.sum(F.col("Cantidad") * F.col("PrecioUnitario")).alias("a"))
     prod = d["productos"].select("ID_Producto", "Descripcion", "Pr_Ean13")

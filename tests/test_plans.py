@@ -30,3 +30,26 @@ def test_report_window_reaches_the_scan(spark):
     line_schema = [ln for ln in plan.splitlines() if "ReadSchema: struct<l_orderkey" in ln][0]
     assert "l_shipdate" not in line_schema and "l_comment" not in line_schema
     assert "partial_sum" in plan            # map-side combining before the shuffle
+
+
+def test_window_bounds_reach_the_line_scan(spark, tmp_path):
+    """Lines laid out by order id: a report reads the row groups of its window only."""
+    import datetime as dt
+
+    from bodega.operators import reports
+    orders = spark.range(40_000).selectExpr("id AS ID_TomaPedido", "timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(0, id) AS Fecha")
+    path = str(tmp_path / "lines")
+    spark.range(40_000).selectExpr("id AS ID_TomaPedido", "id % 7 AS ID_Producto").repartitionByRange(16, "ID_TomaPedido").write.parquet(path)
+    lines = spark.read.parquet(path)
+    recent = reports.orders_in_window(orders, dt.datetime(2001, 1, 1) + dt.timedelta(hours=40_000), 30).select("ID_TomaPedido")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plan node hides the scan's metrics
+    try:
+        df = reports.lines_near(lines, recent)
+        assert len(df.collect()) == 720
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        scan = next(leaves.apply(i) for i in range(leaves.size()) if "parquet" in leaves.apply(i).toString())
+        assert "Subquery" in scan.toString().split("DataFilters")[1].split("Format")[0]
+        read = scan.longMetric("numOutputRows").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 720 <= read < 8000  # of 40,000: the other files' statistics rule them out

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bodega.sources.schemas import PRIMARY_KEY
+from bodega.sources.tables import append_batch, ensure_table, read_appended
+
 # Fixed values of the migration.
 FALLBACKS = {  # foreign key -> (dimension, its key, value when the target is missing)
     "ID_Proveedor": ("proveedores", "ID_Proveedor", 1),
@@ -138,6 +141,28 @@ def migrate(src: dict, dst: dict, n: int | None) -> dict[str, DataFrame]:
             "pedidos": pedidos, "detalle": detalle}
 
 
+def migrate_into(src: dict, dst: dict, root: str, batch: str, n: int | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """E6 into the tables under ``root``, which may hold earlier loads: each table is
+    written once as ``batch``, and later steps read the written table instead of working it
+    out again. -> (E7's report: table_name, rows_loaded as observed by each write; the
+    refused rows of each table)."""
+    spark = src["pedidos"].sparkSession
+    counts, refused, held = [], {}, {}
+
+    def put(name: str, df: DataFrame) -> None:
+        ensure_table(spark, root, name)
+        rows, refused[name] = append_batch(df, root, name, batch, PRIMARY_KEY[name])
+        counts.append((name, rows))
+        held[name] = read_appended(spark, root, name, df.schema)
+
+    put("marca", copy_table(src["marca"]))
+    put("alicuotas", copy_table(src["alicuotas"]))
+    put("productos", load_products(src["productos"], dst | held))
+    put("pedidos", load_recent_orders(src["pedidos"], dst["clientes"], dst["condicion_pago"], n))
+    put("detalle", load_order_lines(src["detalle"], held["pedidos"], held["productos"], None))
+    return spark.createDataFrame(counts, "table_name string, rows_loaded long"), refused
+
+
 def load_report(loaded: dict[str, DataFrame]) -> DataFrame:
     """Rows written per table (true counts, one small aggregate each)."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows_loaded"))

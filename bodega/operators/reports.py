@@ -54,6 +54,11 @@ def top_products(d: dict, as_of, days: int = DEFAULT_REPORT_DAYS, n: int | None
                  .agg(F.sum("Cantidad").alias("q"), F.sum(F.col("Cantidad") * F.col("PrecioUnitario")).alias("a")))
     per_product = per_order.groupBy("ID_Producto").agg(
         F.sum("q").alias("q"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("order_count"))
+    return named_products(per_product, d, n)
+
+
+def named_products(per_product: DataFrame, d: dict, n: int | None) -> DataFrame:
+    """R1's rows from its totals (ID_Producto, q, a, order_count)."""
     prod = d["productos"].select("ID_Producto", "Descripcion", "Pr_Ean13")
     out = per_product.join(prod, "ID_Producto").select(
         F.col("ID_Producto").alias("id"),
@@ -74,6 +79,11 @@ def top_providers(d: dict, as_of, days: int = DEFAULT_REPORT_DAYS, n: int | None
     lines = _lines_in_window(d, as_of, days)
     per_product = lines.groupBy("ID_Producto").agg(
         F.sum(F.col("Cantidad") * F.col("PrecioUnitario")).alias("a"), F.sum("Cantidad").alias("q"))
+    return named_providers(per_product, d, n)
+
+
+def named_providers(per_product: DataFrame, d: dict, n: int | None) -> DataFrame:
+    """R2's rows from totals per product (ID_Producto, q, a)."""
     prod = d["productos"].select("ID_Producto", "ID_Proveedor")
     per_provider = per_product.join(prod, "ID_Producto").groupBy("ID_Proveedor").agg(
         F.count(F.lit(1)).alias("product_count"), F.sum("a").alias("a"), F.sum("q").alias("q"))
@@ -100,6 +110,11 @@ def _client_report(d: dict, as_of, days, n, exact: bool) -> DataFrame:
     total = F.col("Total") if exact else F.col("Total") * F.col("n_lines")
     per_client = per_order.groupBy("ID_Cliente").agg(
         F.count(F.lit(1)).alias("order_count"), F.sum(total).alias("t"), F.sum("q").alias("q"))
+    return named_clients(per_client, d, n)
+
+
+def named_clients(per_client: DataFrame, d: dict, n: int | None) -> DataFrame:
+    """R3's rows from its totals (ID_Cliente, order_count, t, q)."""
     cli = d["clientes"].select("ID_Cliente", "Nombre", "Apellido", "Telefono", "correo")
     out = per_client.join(cli, "ID_Cliente").select(
         F.col("ID_Cliente").alias("id"),
@@ -133,6 +148,11 @@ def client_products(d: dict, client_ids: DataFrame | None, as_of, days: int = DE
     lines = lines_near(d["detalle"], recent).join(recent, "ID_TomaPedido")
     per = lines.groupBy("ID_Cliente", "ID_Producto").agg(
         F.sum("Cantidad").alias("q"), F.sum(F.col("Cantidad") * F.col("PrecioUnitario")).alias("a"))
+    return named_client_products(per, d)
+
+
+def named_client_products(per: DataFrame, d: dict) -> DataFrame:
+    """R4's rows from its totals (ID_Cliente, ID_Producto, q, a)."""
     prod = d["productos"].select("ID_Producto", "Descripcion", "Pr_Ean13")
     out = per.join(prod, "ID_Producto").select(
         F.col("ID_Cliente").alias("client_id"),

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from bodega.operators.listings import decimals_to_double
+from bodega.operators.posting import validate_requests
 from bodega.plans.fixture_sql import with_tables
 from bodega.plans.registry import register
 from bodega.session import ensure_checkpoint_dir
@@ -57,3 +58,32 @@ def json_requests_roundtrip(fx):
     return flat.select("request_id", "pos", "product_id",
                        F.col("quantity").try_cast("decimal(18,2)").cast("double").alias("quantity"),
                        F.col("unit_price").try_cast("decimal(18,2)").cast("double").alias("unit_price"))
+
+
+@register("malformed_requests", with_tables("""
+SELECT CAST(NULL AS BIGINT) AS request_id, 'malformed' AS reason, '{"request_id":' || request_id || ',"del' AS body
+FROM request_headers WHERE request_id % 11 = 3
+UNION ALL SELECT request_id, CASE WHEN client_id IS NULL OR client_id = 0 THEN 'missing_data'
+  WHEN delivery_type = 'por reparto' AND (repartidor_id IS NULL OR repartidor_id = 0) THEN 'missing_driver' END, NULL
+FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS sent FROM request_headers WHERE request_id % 11 <> 3)
+WHERE sent = 1 AND request_id IN (SELECT request_id FROM request_items)
+UNION ALL SELECT request_id, CASE WHEN sent > 1 THEN 'duplicate_request' ELSE 'missing_data' END, NULL
+FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS sent FROM request_headers WHERE request_id % 11 <> 3)
+WHERE sent > 1 OR request_id NOT IN (SELECT request_id FROM request_items)""", "request_headers", "request_items"))
+def malformed_requests(fx):
+    """E11 then P1 over request bodies of which some are cut off: every body is answered,
+    the whole ones with the first rule they fail (or none)."""
+    items = fx.request_items.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
+        "pos", "product_id", F.col("quantity").cast("string").alias("quantity"),
+        F.col("unit_price").cast("string").alias("unit_price")))).alias("items"))
+    bodies = fx.request_headers.drop("order_id", "status").join(items, "request_id", "left").select(
+        "request_id", F.to_json(F.struct("request_id", "delivery_type", "client_id", "repartidor_id",
+                                         F.expr("transform(items, x -> named_struct('product_id', x.product_id, 'quantity', "
+                                                "x.quantity, 'unit_price', x.unit_price))").alias("items"))).alias("body"))
+    cut = F.substring_index("body", "ivery_type", 1)
+    path = _scratch(fx.spark)
+    bodies.select(F.when(F.col("request_id") % 11 == 3, F.substring("body", F.lit(1), F.length(cut))).otherwise(F.col("body")).alias("value")).write.text(path)
+    good, bad = T.split_malformed(T.read_requests(fx.spark, path))
+    headers, flat = T.flatten_requests(good)
+    answered = validate_requests(headers, flat).select("request_id", F.col("reject_reason").alias("reason"), F.lit(None).cast("string").alias("body"))
+    return bad.unionByName(answered)

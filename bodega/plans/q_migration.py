@@ -6,12 +6,16 @@ clean dimension tables.
 """
 from __future__ import annotations
 
+import uuid
+
 from bodega.operators import constraints as C
 from bodega.operators import migration as M
 from bodega.operators.listings import decimals_to_double
 from bodega.plans.fixture_sql import with_tables
 from bodega.plans.registry import register
+from bodega.session import ensure_checkpoint_dir
 from bodega.sources import schemas as S
+from bodega.sources import tables as T
 
 DST = ("proveedores", "rubros", "marca", "alicuotas", "clientes", "condicion_pago")
 
@@ -195,3 +199,39 @@ def load_newest_orders(fx):
 def load_all_order_lines(fx):
     """E4 over the lines of every loaded order."""
     return decimals_to_double(M.migrate(_src(fx), fx.tables(*DST), None)["detalle"])
+
+
+# ---- appends into filled tables, counted by their writes ------------------------
+def _fresh_root(fx) -> str:
+    return f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/bodega-loads/{uuid.uuid4().hex}"
+
+
+@register("load_report_observed", REPORT_SQL)
+def load_report_observed(fx):
+    """E6 written table by table, E7 as the writes observed it."""
+    report, _ = M.migrate_into(_src(fx), fx.tables(*DST), _fresh_root(fx), "first", M.RECENT_ORDERS)
+    return report
+
+
+def _append_orders(fx):
+    """The newest thousand orders, then all of them, the second load run twice."""
+    root = _fresh_root(fx)
+    T.ensure_table(fx.spark, root, "pedidos")
+    refused = None
+    for batch, n in (("first", M.RECENT_ORDERS), ("second", None), ("second", None)):
+        orders = M.load_recent_orders(fx.pedidos_src, fx.clientes, fx.condicion_pago, n)
+        _, refused = T.append_batch(orders, root, "pedidos", batch, S.PRIMARY_KEY["pedidos"])
+    return T.read_appended(fx.spark, root, "pedidos", orders.schema), refused
+
+
+@register("append_orders", RECENT_SQL.replace("\nFROM newest", ",\n  CASE WHEN nth <= 1000 THEN 'first' ELSE 'second' END AS batch\nFROM newest")
+          .replace("WHERE nth <= 1000", ""))
+def append_orders(fx):
+    """E3 as an append into a filled table, read back with the batch of each order."""
+    return decimals_to_double(_append_orders(fx)[0])
+
+
+@register("append_orders_refused", RECENT_SQL)
+def append_orders_refused(fx):
+    """The orders of the second load whose ids the first one had brought."""
+    return decimals_to_double(_append_orders(fx)[1])

@@ -2,7 +2,7 @@
 versioned snapshots for the maintenance jobs."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bodega.sources.schemas import DDL, REQUEST_DDL
@@ -58,7 +58,19 @@ def flatten_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return headers, items
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def split_malformed(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``read_requests`` read -> (whole requests, answers to the others).
+
+    A body that is not JSON, or whose fields are not of the declared types, is answered
+    'malformed' with the body as it came; its ``request_id`` is whatever could be read."""
+    corrupt = F.col("_corrupt_record")
+    good = requests.where(corrupt.isNull()).drop("_corrupt_record")
+    return good, requests.where(corrupt.isNotNull()).select(
+        "request_id", F.lit("malformed").alias("reason"), corrupt.alias("body"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the shared store holds ``path``."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -69,7 +81,7 @@ def ensure_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet"
     schema when ``root/name`` is absent; leave an existing one alone.
     Returns True when it created the table."""
     path = f"{root.rstrip('/')}/{name}"
-    if _exists(spark, path):
+    if exists(spark, path):
         return False
     spark.createDataFrame([], DDL[name]).write.format(fmt).save(path)
     return True
@@ -80,6 +92,33 @@ def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "error
     df.write.mode(mode).format(fmt).save(path)
 
 
+def read_appended(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
+    """Every row of an appended table, with the ``batch`` that brought it."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return spark.read.schema(f"{fields}, batch STRING").parquet(f"{root.rstrip('/')}/{table}")
+
+
+def append_batch(df: DataFrame, root: str, table: str, batch: str, key: list[str]) -> tuple[int, DataFrame]:
+    """``INSERT ... SELECT`` into a table that may be filled: -> (rows written, refused rows).
+
+    The rows go to ``root/table/batch=<batch>``. A batch that is loaded again replaces its
+    own folder only and never compares itself with what it wrote before, so twice is once
+    (one loader at a time). Refused are rows whose key another batch holds, rows that share
+    a key within the batch, and rows without a whole key; where a primary key would end the
+    whole statement, the other rows are kept here. The number written is observed by the
+    write itself. Keys are counted with map-side combining before they meet the rows, so a
+    key shared by very many rows is one row there."""
+    spark, cols = df.sparkSession, df.columns
+    if not exists(spark, f"{root.rstrip('/')}/{table}"):
+        raise FileNotFoundError(f"{root}/{table}: an append needs an existing table (ensure_table)")
+    held = read_appended(spark, root, table, df.schema).where(F.col("batch") != batch).select(*key)
+    fresh = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n").join(held, key, "left_anti"))
+    seen = Observation()
+    df.join(fresh, key, "left_semi").select(*cols).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(
+        "overwrite").parquet(f"{root.rstrip('/')}/{table}/batch={batch}")
+    return seen.get["rows"], df.join(fresh, key, "left_anti").select(*cols)
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, version: int) -> str:
     """Write a new version of a table beside the old ones and return its path.
 

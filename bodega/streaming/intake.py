@@ -12,6 +12,7 @@ Store layout under ``root`` (shared storage):
                                     at start (0) and by every compaction
   rejects/batch=N                   rejected requests of batch N
   last_id/batch=N                   one row: the highest order id after batch N
+  batch_time/batch=N                one row: the moment batch N is posted at
 
 A batch never rewrites the product table and never scans every order: it
 reads the stock of just the products its items mention (base snapshot plus
@@ -32,7 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bodega.operators.posting import apply_stock, post_orders
 from bodega.sources.schemas import DDL, REQUEST_DDL
-from bodega.sources.tables import flatten_requests, latest_version
+from bodega.sources.tables import exists, flatten_requests, latest_version, split_malformed
 
 COMPACT_EVERY = 100
 
@@ -108,6 +109,15 @@ def compact(spark: SparkSession, root: str, n: int) -> None:
     _write(stock_state(spark, root, n + 1), f"{root.rstrip('/')}/productos/version={n}")
 
 
+def batch_time(spark: SparkSession, root: str, n: int, clock: Callable[[], dt.datetime]) -> dt.datetime:
+    """The moment batch ``n`` is posted at: read from the clock once and written down
+    before anything is posted, so that a retried batch gets the same dates."""
+    path = f"{root}/batch_time/batch={n}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        _write(spark.createDataFrame([(clock(),)], "as_of timestamp_ntz"), path)
+    return spark.read.parquet(path).first()["as_of"]
+
+
 def post_batch(batch: DataFrame, batch_id: int, root: str, clock: Callable[[], dt.datetime],
                mode: str = "sequential", compact_every: int = COMPACT_EVERY,
                parties: dict[str, DataFrame] | None = None) -> None:
@@ -115,20 +125,18 @@ def post_batch(batch: DataFrame, batch_id: int, root: str, clock: Callable[[], d
     spark = batch.sparkSession
     root = root.rstrip("/")
     n = batch_id + 1
-    good = batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    malformed = batch.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("request_id"), F.lit("malformed").alias("reason"))
+    good, malformed = split_malformed(batch)
     headers, items = flatten_requests(good)
     needed = items.select(F.col("product_id").alias("ID_Producto"))
     last_id = spark.read.parquet(f"{root}/last_id/batch={n - 1}")
     # new ids continue from the one-row last-id table, not from a scan of every order
     out = post_orders({"productos": stock_state(spark, root, n, needed), "pedidos": last_id} | (parties or {}),
-                      headers, items, clock(), mode=mode)
+                      headers, items, batch_time(spark, root, n, clock), mode=mode)
     _write(_conform(out["orders"], "pedidos"), f"{root}/pedidos/batch={n}")
     _write(_conform(out["lines"], "detalle"), f"{root}/detalle/batch={n}")
     _write(out["moves"].select(F.col("product_id").alias("ID_Producto"), F.col("delta").cast("long")),
            f"{root}/stock_moves/batch={n}")
-    _write(out["rejects"].unionByName(malformed), f"{root}/rejects/batch={n}")
+    _write(out["rejects"].unionByName(malformed.drop("body")), f"{root}/rejects/batch={n}")
     _write(last_id.unionByName(out["orders"].select("ID_TomaPedido"))
            .agg(F.max("ID_TomaPedido").alias("ID_TomaPedido")), f"{root}/last_id/batch={n}")
     if n % compact_every == 0:

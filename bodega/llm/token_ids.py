@@ -35,6 +35,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20     # a shard is closed at the first document end after so many ids
 GROUP_BYTES = 8 << 20      # texts encoded at a time
 SAMPLE = 256               # one select sample per so many numbers
+READ_DOCS = 16 * SAMPLE    # documents whose ends are selected at a time
 
 
 class EliasFano:
@@ -97,6 +98,19 @@ class EliasFano:
             step *= 4
         return (pos - i) << self.low_bits | int(self._low(i, i + 1)[0])
 
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """Numbers i to j - 1: the unary part between the samples around them is read."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.empty(0, np.uint64)
+        first, last = i // SAMPLE, -(-j // SAMPLE)
+        a = int(self.samples[first])
+        b = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.high)
+        ones = a + np.flatnonzero(np.unpackbits(self.high[a // 8:-(-b // 8)], bitorder="little")[a % 8:])
+        pos = ones[i - first * SAMPLE:j - first * SAMPLE]
+        return ((pos - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i, j)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
         return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(0, self.n)
@@ -175,10 +189,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50
             return pa.RecordBatch.from_pylist([_shard_row(part, seq, start, doc_ids, arrays, kind)], schema=schema)
 
         for b in batches:
-            raw = b.column(1)
-            keys = b.column(0).to_pylist()
-            for i, j in groups_by_bytes([x.as_py() for x in raw], GROUP_BYTES):
-                texts = pool.cut_all([(raw[k].as_py() or b"").decode("utf-8", "replace") for k in range(i, j)])
+            keys, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in groups_by_bytes(raw, GROUP_BYTES):
+                texts = pool.cut_all([(x or b"").decode("utf-8", "replace") for x in raw[i:j]])
                 for key, units in zip(keys[i:j], texts):
                     ids = np.concatenate([pool.run(units), end])
                     doc_ids.append(key)
@@ -210,15 +223,21 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                ends = EliasFano.from_bytes(r["ends"]).all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                known = EliasFano.from_bytes(r["doc_ids"]).all().view(np.int64) + r["id_base"]
-                crc = [zlib.crc32(ids[i:j]) for i, j in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([None] * r["n_null"] + known.tolist(), pa.int64()),
-                    pa.array(starts + (base[r["part"]] + r["start_in_part"])), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    schema=schema)
+                ids = np.frombuffer(r["ids"], f"<u{r['width']}")
+                ends, known = EliasFano.from_bytes(r["ends"]), EliasFano.from_bytes(r["doc_ids"])
+                nulls, last = r["n_null"], 0
+                for i in range(0, len(ends), READ_DOCS):
+                    j = min(i + READ_DOCS, len(ends))
+                    to = ends.select_range(i, j).astype(np.int64)
+                    at = np.concatenate([[last], to[:-1]])
+                    part = ids[last:to[-1]].astype("<u4")
+                    crc = [zlib.crc32(part[x:y]) for x, y in zip(at - last, to - last)]
+                    keys = (known.select_range(max(i - nulls, 0), max(j - nulls, 0)).view(np.int64) + r["id_base"]).tolist()
+                    last = int(to[-1])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([None] * (j - i - len(keys)) + keys, pa.int64()),
+                        pa.array(at + (base[r["part"]] + r["start_in_part"])), pa.array(to - at), pa.array(crc, pa.int64())],
+                        schema=schema)
 
     return (shards.select("part", "start_in_part", "n_null", "id_base", "width", "ids", "ends", "doc_ids")
             .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))

@@ -84,12 +84,24 @@ def test_token_ids(spark, docs):
     assert [r[:2] for r in sorted(got, key=lambda r: r[2])] == sorted(r[:2] for r in got)
 
 
+def test_token_ids_are_read_in_ranges(spark, docs, monkeypatch):
+    """Ends and ids are selected a few documents at a time; null ids lie in several ranges."""
+    path = scratch(spark, "ranges")
+    token_ids.write_token_shards(docs.unionByName(docs), path)
+    whole = sorted(map(str, token_ids.read_token_shards(spark, path).collect()))
+    monkeypatch.setattr(token_ids, "READ_DOCS", 3)
+    assert sorted(map(str, token_ids.read_token_shards(spark, path).collect())) == whole
+
+
 def test_elias_fano():
     rnd = random.Random(1)
     for values in ([], [0], [5], [0, 0, 0], [2**63, 2**63 + 5], sorted(rnd.randrange(10**9) for _ in range(3000)), list(range(2000)), [7] * 600 + [10**12]):
         ef = token_ids.EliasFano.from_bytes(token_ids.EliasFano.encode(np.array(values, np.uint64)).to_bytes())
         assert [int(x) for x in ef.all()] == values
         assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7]
+        for i, j in [(0, len(values)), (len(values), len(values)), (len(values) // 3, len(values) // 2), (256, 512), (255, 1025)]:
+            i, j = min(i, len(values)), min(j, len(values))
+            assert [int(x) for x in ef.select_range(i, j)] == values[i:j]
     ends = np.cumsum(np.full(10_000, 700))
     assert len(token_ids.EliasFano.encode(ends).to_bytes()) < 10_000 * 14 / 8  # against 80,000 bytes as a table
 

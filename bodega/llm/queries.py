@@ -46,7 +46,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_residue("doc_id", 3) == 1
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted",
+                                                         F.lit(model.n_swaps).cast("long").alias("swaps_penalised"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

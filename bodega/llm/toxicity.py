@@ -11,6 +11,12 @@ per term, and each count weighs the squared changes to the term's
 alternatives. A term that occurs in more toxic sentences by chance of the
 sample thus gains no weight of its own.
 
+The groups are the given ones (``IDENTITY_GROUPS``) and pairs found in the labelled
+sentences: words that texts of both labels use, that do not themselves speak clearly
+for toxicity, and that stand between the same neighbours more alike than with any
+other word. A text's language or subject thus brings its own neutral mentions. The
+model tells how many sentence swaps it was penalised for (``n_swaps``).
+
 Learning uses a bounded, documented sample of the labelled rows
 (``SAMPLE_ROWS`` per label); every row is scored over its whole text.
 
@@ -28,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bodega.llm.common import stored, text_columns
@@ -41,6 +47,11 @@ THRESHOLD = 0.7
 L2 = 2e-5
 COUNTERFACTUAL = 1.0
 STEPS = 600
+TERMS = 200                # words that are looked at for interchangeable pairs
+TERM_CONTEXTS = 64         # and their most frequent contexts, each
+LEAST_EACH = 8             # a found term occurs in so many sampled texts of either label
+MOST_SHARE = 0.75          # and its toxic share, both labels weighing alike, is no higher
+LEAST_SHARED = 3           # a pair stands between so many same neighbours
 PREFIXES = (4, 5, 6)
 MOST = 2                   # a feature counts twice at most
 
@@ -67,6 +78,8 @@ class ToxicityModel:
     weights: dict[int, float] = field(default_factory=dict)
     bias: float = 0.0
     fitted: bool = False
+    groups: tuple = ()
+    n_swaps: int = 0       # sentences that hold a term, times its alternatives
 
     def scorer(self):
         """text -> score; a word's active features are remembered, most words have none."""
@@ -111,6 +124,59 @@ def _text_features(raw: bytes | None) -> tuple[Counter, Counter]:
     return words, count
 
 
+def _sentences(raw: bytes | None) -> list[list[bytes]]:
+    return [s.translate(_FOLD).split() for s in _SENTENCE.split(raw or b"")]
+
+
+def find_groups(sampled: DataFrame, counts: dict[int, int], given=IDENTITY_GROUPS) -> tuple:
+    """Pairs of interchangeable words, each the other's most alike, outside the given
+    groups. Spark counts words per label and neighbours per word over the sample; at most
+    ``TERMS`` words with ``TERM_CONTEXTS`` contexts each reach the driver."""
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for x, y in zip(b.column(0), b.column(1).to_pylist()):
+                count[y].update(set((x.as_py() or b"").translate(_FOLD).split()))
+            seen = sorted(count[0].keys() | count[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array([count[1][w] for w in seen], pa.int64()),
+                                              pa.array([count[0][w] for w in seen], pa.int64())], names=["word", "pos", "neg"])
+
+    taken = [t.encode() for g in given for t in g]
+    pos, neg = F.col("pos") / counts[1], F.col("neg") / counts[0]
+    found = (sampled.select("text", "toxic").mapInArrow(words, "word binary, pos long, neg long")
+             .groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+             .where((F.col("pos") >= LEAST_EACH) & (F.col("neg") >= LEAST_EACH) & (pos <= MOST_SHARE * (pos + neg)) & ~F.col("word").isin(taken))
+             .orderBy(F.least(pos, neg).desc(), "word").limit(TERMS).select("word"))
+    terms = {bytes(r["word"]) for r in found.collect()}
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: Counter = Counter()
+            for x in b.column(0):
+                for s in _sentences(x.as_py()):
+                    count.update((w, zlib.crc32(left + b" " + right)) for left, w, right in zip(s, s[1:], s[2:]) if w in terms)
+            keys = sorted(count)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int64()),
+                                              pa.array([count[k] for k in keys], pa.int64())], names=["word", "context", "n"])
+
+    near = sampled.select("text").mapInArrow(contexts, "word binary, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    shared = near.groupBy("context").agg(F.count(F.lit(1)).alias("words")).where("words > 1").select("context")
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "context"))
+    rows = near.join(shared, "context").withColumn("rank", rank).where(F.col("rank") <= TERM_CONTEXTS).select("word", "context", "n").collect()
+
+    names, places = sorted({bytes(r["word"]) for r in rows}), sorted({r["context"] for r in rows})
+    at, col = {w: i for i, w in enumerate(names)}, {c: i for i, c in enumerate(places)}
+    table = np.zeros((len(names), len(places)))
+    for r in rows:
+        table[at[bytes(r["word"])], col[r["context"]]] = np.log1p(r["n"])
+    held = (table > 0).astype(np.float64)
+    length = np.sqrt((table**2).sum(1))
+    alike = np.where(held @ held.T >= LEAST_SHARED, table @ table.T / np.maximum(np.outer(length, length), 1e-12), 0.0)
+    np.fill_diagonal(alike, 0.0)
+    best = alike.argmax(1) if len(names) else np.empty(0, int)
+    return tuple((names[i].decode("utf-8", "replace"), names[j].decode("utf-8", "replace")) for i, j in enumerate(best) if i < j and best[j] == i and alike[i, j] > 0)
+
+
 def choose_features(sampled: DataFrame, n: int, n_pos: int, groups=IDENTITY_GROUPS, vocabulary: int = VOCABULARY) -> list[int]:
     """The ``vocabulary`` features that speak most for toxicity (chi square), and those
     of the identity terms; counted by Spark."""
@@ -193,6 +259,7 @@ def fit(rows: list, chosen: list[int], groups=IDENTITY_GROUPS, strength: float =
                             line[at[f]] = -1
                     swaps.append(line)
                     share.append(sentences[t] / total / (len(g) - 1))
+    n_swaps = sum(sentences[t] * (len(g) - 1) for g in groups for t in g)
     swap = np.array(swaps).reshape(len(swaps), k)
     weight = np.array(share)
 
@@ -209,13 +276,14 @@ def fit(rows: list, chosen: list[int], groups=IDENTITY_GROUPS, strength: float =
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         w, bias = w - move[:-1], bias - move[-1]
-    return ToxicityModel({int(f): float(x) for f, x in zip(ids, w)}, float(bias), True)
+    return ToxicityModel({int(f): float(x) for f, x in zip(ids, w)}, float(bias), True, tuple(groups), n_swaps)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, groups=IDENTITY_GROUPS,
-          strength: float = COUNTERFACTUAL) -> ToxicityModel:
+          strength: float = COUNTERFACTUAL, find: bool = True) -> ToxicityModel:
     """``labels``: doc_id, toxic (0 or 1). The sampled label rows (at most a little over
-    ``sample_rows`` per label) are broadcast to the texts."""
+    ``sample_rows`` per label) are broadcast to the texts. ``groups``: the given groups of
+    terms; ``find`` adds the pairs found in the sample."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     sample = _sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -223,6 +291,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, gr
     counts = {r["toxic"]: r["n"] for r in sampled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return ToxicityModel()
+    if find:
+        groups = tuple(groups) + find_groups(sampled, counts, groups)
     chosen = choose_features(sampled, sum(counts.values()), counts[1], groups)
     return fit(collect_features(sampled, chosen, groups), chosen, groups, strength)
 

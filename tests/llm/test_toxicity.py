@@ -1,8 +1,13 @@
 """Operator 6: held-out accuracy, the counterfactual penalty and defined cases."""
+import math
 import random
+import re
+
+import numpy as np
 
 from bodega.llm import queries, toxicity
 
+SMALL = "/root/testdata/sf0.001"
 MID = "/root/testdata/sf0.01"
 
 
@@ -44,6 +49,43 @@ def test_swapping_identity_terms_changes_little(spark):
     assert min(calls) > 0.8
 
 
+def test_found_groups_on_the_table(spark):
+    """Interchangeable words are found in the labelled sentences, their swaps are penalised,
+    and the score changes less when one stands for the other."""
+    docs = queries.table(spark, MID, "documents")
+    labels = queries.table(spark, MID, "labels").where(toxicity_train())
+    gaps = []
+    for strength in (0.0, toxicity.COUNTERFACTUAL, 50.0):
+        model = toxicity.learn(docs, labels, strength=strength)
+        score = model.scorer()
+        found = [g for g in model.groups if g not in toxicity.IDENTITY_GROUPS]
+        assert found and model.n_swaps > 0
+        logit = lambda t: np.log(score(t.encode()) / (1 - score(t.encode())))
+        gaps.append(np.mean([abs(logit(a) - logit(b)) for a, b in found]))
+    assert gaps[0] > gaps[1] > gaps[2]
+    assert queries.op6_toxicity(spark, MID).where("swaps_penalised > 0").count() == docs.count()
+
+
+def toxicity_train():
+    from bodega.llm.common import id_residue
+    return id_residue("doc_id", 3) != 1
+
+
+def test_plain_version(spark):
+    """Scores of every row against a plain sum over the model's weights."""
+    docs = queries.table(spark, SMALL, "documents")
+    model = toxicity.learn(docs, queries.table(spark, SMALL, "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in toxicity.score_toxicity(docs, model).collect():
+        words = re.sub(rb"[^a-z\x80-\xff]", b" ", texts[r.doc_id].translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))).split()
+        z, count = model.bias, {}
+        for w in words:
+            for f in toxicity.word_features(w):
+                count[f] = count.get(f, 0) + 1
+        z += sum(x * min(count.get(f, 0), 2) for f, x in model.weights.items())
+        assert abs(r.score - (1 / (1 + math.exp(-max(-30, min(30, z)))) if model.fitted else 0)) < 1e-9
+
+
 def test_defined_cases(spark):
     rows = sentences()
     docs = spark.createDataFrame([(r[0], r[1], "x") for r in rows], "doc_id long, text string, toxic string")

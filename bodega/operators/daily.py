@@ -21,34 +21,53 @@ rules out files and row groups.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bodega.functions.exprs import DEFAULT_REPORT_DAYS
+from bodega.functions.sequence import stored
 from bodega.operators import reports
 
 KEYS = {"product_day": ["ID_Producto"], "client_day": ["ID_Cliente"], "client_product_day": ["ID_Cliente", "ID_Producto"]}
 
 
-def day_totals(orders: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
-    """The totals of whole orders (``lines`` are joined to them). Orders without a line
+TASK_ROWS = 500_000  # lines of a task, whatever the size of the input
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000 + 1), rows // TASK_ROWS)
+
+
+def _per_order(orders: DataFrame, lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Per order and product: q, a, n (lines) and total, and sign 1. Orders without a line
     count nowhere, as in the reports; orders without a date are in no window."""
     dated = orders.where(F.col("Fecha").isNotNull()).select("ID_TomaPedido", "ID_Cliente", "Total", F.to_date("Fecha").alias("day"))
     amount = F.col("Cantidad") * F.col("PrecioUnitario")
-    sold = lines.select("ID_TomaPedido", "ID_Producto", "Cantidad", amount.alias("amount")).join(dated, "ID_TomaPedido")
-    per_order = sold.groupBy("day", "ID_Cliente", "ID_TomaPedido", "ID_Producto").agg(
-        F.sum("Cantidad").alias("q"), F.sum("amount").alias("a"), F.count(F.lit(1)).alias("n"), F.first("Total").alias("total"))
-    whole = per_order.groupBy("day", "ID_Cliente", "ID_TomaPedido").agg(F.sum("q").alias("q"), F.sum("n").alias("n"), F.first("total").alias("total"))
-    return {
-        "product_day": per_order.groupBy("day", "ID_Producto").agg(
-            F.sum("q").alias("q"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("orders")),
-        "client_day": whole.groupBy("day", "ID_Cliente").agg(
-            F.count(F.lit(1)).alias("orders"), F.sum("total").alias("t"),
-            F.sum(F.col("total") * F.col("n")).alias("t_lines"), F.sum("q").alias("q")),
-        "client_product_day": per_order.groupBy("day", "ID_Cliente", "ID_Producto").agg(
-            F.sum("q").alias("q"), F.sum("a").alias("a"), F.sum("n").alias("lines")),
-    }
+    sold = lines.select("ID_TomaPedido", "ID_Producto", "Cantidad", amount.alias("amount"))
+    if tasks:
+        sold, dated = sold.repartition(tasks, "ID_TomaPedido"), dated.repartition(tasks, "ID_TomaPedido")
+    return sold.join(dated, "ID_TomaPedido").groupBy("day", "ID_Cliente", "ID_TomaPedido", "ID_Producto").agg(
+        F.sum("Cantidad").alias("q"), F.sum("amount").alias("a"), F.count(F.lit(1)).alias("n"), F.first("Total").alias("total"), F.lit(1).alias("sign"))
+
+
+def _totals(name: str, per: DataFrame) -> DataFrame:
+    """The totals of one kind. What is taken off has sign -1 and q, a, n below zero."""
+    if name == "product_day":
+        return per.groupBy("day", "ID_Producto").agg(F.sum("q").alias("q"), F.sum("a").alias("a"), F.sum("sign").alias("orders"))
+    if name == "client_product_day":
+        return per.groupBy("day", "ID_Cliente", "ID_Producto").agg(F.sum("q").alias("q"), F.sum("a").alias("a"), F.sum("n").alias("lines"))
+    whole = per.groupBy("day", "ID_Cliente", "ID_TomaPedido", "sign").agg(F.sum("q").alias("q"), F.sum("n").alias("n"), F.first("total").alias("total"))
+    return whole.groupBy("day", "ID_Cliente").agg(
+        F.sum("sign").alias("orders"), F.sum(F.when(F.col("sign") < 0, -F.col("total")).otherwise(F.col("total"))).alias("t"),
+        F.sum(F.col("total") * F.col("n")).alias("t_lines"), F.sum("q").alias("q"))
+
+
+def day_totals(orders: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """The totals of whole orders (``lines`` are joined to them)."""
+    per = _per_order(orders, lines)
+    return {name: _totals(name, per) for name in KEYS}
 
 
 def _add(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,17 +84,21 @@ def _stored(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def append_days(root: str, batch: int, added: tuple[DataFrame, DataFrame],
                 taken: tuple[DataFrame, DataFrame] | None = None) -> None:
-    """Store one batch: ``added`` and ``taken`` are (orders, lines) of whole orders."""
-    plus = day_totals(*added)
-    minus = day_totals(*taken) if taken else {}
+    """Store one batch: ``added`` and ``taken`` are (orders, lines) of whole orders. They are
+    joined once; the order rows are then dealt by day and key, where the totals and their
+    layout need no further shuffle."""
+    spark = added[0].sparkSession
+    sides = []
+    for sign, (orders, lines) in ((1, added), *(((-1, taken),) if taken else ())):
+        per = _per_order(orders, lines, _tasks(spark, lines.count()))
+        if sign < 0:
+            per = per.select(*[(-F.col(c)).cast(per.schema[c].dataType).alias(c) if c in ("q", "a", "n", "sign") else F.col(c) for c in per.columns])
+        sides.append(stored(per))
+    per = reduce(DataFrame.unionByName, sides)
+    tasks = _tasks(spark, per.count())
     for name, keys in KEYS.items():
-        out = _stored(plus[name], keys)
-        if name in minus:
-            less = _stored(minus[name], keys)
-            out = out.unionByName(less.select("day", *keys, *[(-F.col(c)).cast(less.schema[c].dataType).alias(c) for c in less.columns if c not in ("day", *keys)]))
-            out = _stored(_add(out, ["day", *keys]), keys)
-        (out.repartitionByRange("day", *keys).sortWithinPartitions("day").write.mode("overwrite")
-         .parquet(f"{root.rstrip('/')}/{name}/batch={batch}"))
+        out = _stored(_totals(name, per.repartitionByRange(tasks, "day", *keys)), keys)
+        out.sortWithinPartitions("day").write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch={batch}")
 
 
 def compact(spark: SparkSession, root: str, target: str, upto: int) -> None:

@@ -43,3 +43,15 @@ def test_window_cuts_a_day_and_orders_vanish(spark, tmp_path):
     daily.append_days(root, 2, (orders.limit(0), lines), (orders, lines))
     daily.append_days(root, 2, (orders.limit(0), lines), (orders, lines))
     assert rows(dt.datetime(2020, 1, 2)) == []
+
+
+def test_a_batch_is_joined_once_and_dealt_by_its_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(daily, "TASK_ROWS", 4)
+    calls, per_order = [], daily._per_order
+    monkeypatch.setattr(daily, "_per_order", lambda *a: calls.append(a) or per_order(*a))
+    orders = spark.range(80).selectExpr("id AS ID_TomaPedido", "id AS ID_Cliente", "TIMESTAMP_NTZ'2020-01-01 00:00:00' AS Fecha", "CAST(3 AS DECIMAL(18,2)) AS Total")
+    lines = spark.range(80).selectExpr("id AS ID_TomaPedido", "id AS ID_Producto", "CAST(1 AS DECIMAL(18,2)) AS Cantidad", "CAST(2 AS DECIMAL(18,2)) AS PrecioUnitario")
+    daily.append_days(str(tmp_path / "s"), 1, (orders, lines))
+    assert len(calls) == 1
+    for name in daily.KEYS:
+        assert len(list((tmp_path / "s" / name / "batch=1").glob("*.parquet"))) > int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -145,3 +145,23 @@ def test_mixed_log_equals_one_by_one(spark, conf, seed, walk, hot):
 @pytest.mark.parametrize("kind", ["edit", "post"])
 def test_one_kind(spark, kind):
     compare(spark, random_log(8, 80, mostly=kind))
+
+
+def test_edits_of_one_product_take_one_round(spark, conf):
+    """Every edit gives back as much as it takes: none has to wait for the one before it."""
+    conf(walkRows=1)
+    n, rounds = 40, []
+    log = [(r, "PUT", r, None, 1, "deposito", None, None, None) for r in range(n)]
+    data = (log, [(r, 1, 1, D(5), D("1.00")) for r in range(n)], {1: 3}, [(o, 1) for o in range(n)], [(o, 1, D(5)) for o in range(n)])
+    compare(spark, data, progress=lambda r, size, left: rounds.append((r, left)))
+    assert rounds == [(1, 0)]
+
+
+def test_posts_waiting_for_each_other_at_one_product(spark, conf):
+    """Whether a post passes at product 1 hangs on the one before, at product 1 alone."""
+    conf(walkRows=1)
+    n, rounds = 30, []
+    log = [(r, "POST", None, None, 1, "deposito", None, None, None) for r in range(n)]
+    data = (log, [(r, 1, 1, D(1 + r % 7), D("1.00")) for r in range(n)], {1: 40}, [(0, 1)], [])
+    compare(spark, data, progress=lambda r, size, left: rounds.append((r, left)))
+    assert rounds[-1][1] == 0 and rounds[-1][0] <= 2

@@ -43,3 +43,18 @@ def test_scale_conf_sizes_partitions():
     assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert int(scale_conf(10 << 20, executors_cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_stored_keeps_rows_in_less_space_than_a_checkpoint(spark):
+    from pathlib import Path
+
+    from bodega.functions.sequence import reliable_checkpoint, stored
+    from bodega.session import ensure_checkpoint_dir
+    df = spark.range(0, 20000, 1, 2).selectExpr("id", "CAST(id % 9 AS DECIMAL(18,4)) AS q", "CAST(NULL AS STRING) AS s", "if(id % 2 = 0, 'n' || id, NULL) AS o")
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+    at = [size()]
+    for keep in (reliable_checkpoint, stored):
+        assert sorted(map(tuple, keep(df).collect()))[:50] == sorted(map(tuple, df.collect()))[:50]
+        at.append(size())
+    assert 2 * (at[2] - at[1]) < at[1] - at[0]

@@ -165,3 +165,26 @@ def test_posts_waiting_for_each_other_at_one_product(spark, conf):
     data = (log, [(r, 1, 1, D(1 + r % 7), D("1.00")) for r in range(n)], {1: 40}, [(0, 1)], [])
     compare(spark, data, progress=lambda r, size, left: rounds.append((r, left)))
     assert rounds[-1][1] == 0 and rounds[-1][0] <= 2
+
+
+def test_posts_waiting_for_each_other_across_products(spark, conf):
+    """Rounds settle events that wait for others at several products, not a few at a time."""
+    conf(walkRows=1)
+    rnd, n, products, rounds = random.Random(5), 400, 60, []
+    log = [(r, "POST", None, None, 1, "deposito", None, None, None) for r in range(n)]
+    items = [(r, i + 1, p, D(rnd.randrange(1, 50)), D("1.00")) for r in range(n) for i, p in enumerate(rnd.sample(range(products), 4))]
+    data = (log, items, {p: rnd.randrange(3, 450) for p in range(products)}, [(0, 1)], [])
+    compare(spark, data, progress=lambda r, size, left: rounds.append((r, size, left)))
+    assert rounds[-1][2] == 0 and rounds[-1][0] <= 16
+    assert rounds[-1][1] < rounds[0][1]  # only what may change is walked again
+
+
+def test_edits_waiting_for_each_other_across_products(spark, conf):
+    conf(walkRows=1)
+    rnd, n, products, rounds = random.Random(6), 200, 40, []
+    log = [(r, "PUT", rnd.randrange(80), None, 1, "deposito", None, None, None) for r in range(n)]
+    items = [(r, i + 1, p, D(rnd.randrange(1, 50)), D("1.00")) for r in range(n) for i, p in enumerate(rnd.sample(range(products), 3))]
+    held = [(o, p, D(rnd.randrange(1, 50))) for o in range(80) for p in rnd.sample(range(products), 3)]
+    data = (log, items, {p: rnd.randrange(3, 150) for p in range(products)}, [(o, 1) for o in range(80)], held)
+    compare(spark, data, progress=lambda r, size, left: rounds.append((r, size, left)))
+    assert rounds[-1][2] == 0 and rounds[-1][0] <= 16

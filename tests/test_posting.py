@@ -234,3 +234,23 @@ def test_unknown_stock_sells_nothing(spark, fx, mode):
     out = P.post_orders(blank, fx.request_headers, fx.request_items, AS_OF, mode=mode)
     assert out["orders"].count() == 0
     assert "insufficient_stock" in {r.reason for r in out["rejects"].collect()}
+
+
+def test_opening_stock_edits_store_narrow_rows_and_give_back_once(spark, monkeypatch):
+    """Lines are stored as what amounts follow from, the old lines' give-back with them;
+    several lines of a product in one edit give it back once."""
+    kept, store = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df: kept.append(df.columns) or store(df))
+    products = _products(spark, [(1, Decimal("10"), 2), (2, Decimal("10"), 9), (3, Decimal("10"), 5)])
+    orders = spark.createDataFrame([(i, 1, "P") for i in (7, 8)], "ID_TomaPedido long, ID_Cliente long, Estado string").withColumns({
+        "Fecha": F.lit(AS_OF), "FechaEntrega": F.lit(AS_OF), **{c: F.lit(0).cast("decimal(18,2)") for c in ("Total", "Apagar", "Dto", "CtaCte")},
+        "bDeposito": F.lit(0).cast("smallint"), "ID_Repartidor": F.lit(None).cast("int")})
+    old = spark.createDataFrame([(7, 1, 3), (7, 3, 2), (7, None, 4), (8, 2, 1)], "ID_TomaPedido long, ID_Producto long, q int").select(
+        "ID_TomaPedido", "ID_Producto", F.col("q").cast("decimal(18,2)").alias("Cantidad"))
+    heads = _headers(spark, [(i, i + 6, 1, "deposito", None, None, None) for i in (1, 2)])
+    items = _items(spark, [(1, 1, 1, "5", None), (1, 2, 1, "2", None), (1, 3, 2, "1", None), (2, 1, 3, "6", None)])
+    out = P.replace_orders({"productos": products, "pedidos": orders, "detalle": old}, heads, items, AS_OF, mode="opening_stock")
+    assert {r.ID_Producto: r.Stock for r in out["products"].collect()} == {1: 2 + 3 - 7, 2: 9 - 1, 3: 5 + 2}
+    assert [(r.request_id, r.reason) for r in out["rejects"].collect()] == [(2, "insufficient_stock")]
+    assert sorted((r.ID_TomaPedido, r.ID_Producto, int(r.Cantidad)) for r in out["added_lines"].collect()) == [(7, 1, 2), (7, 1, 5), (7, 2, 1)]
+    assert len(kept) == 3 and not any({"amount", "vat", "Item"} & set(c) for c in kept)

@@ -71,7 +71,7 @@ class PreTokens:
         return [p.translate(self.back).encode("latin-1").decode() for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
 
     def make(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        number = self.number
+        number, units = self.number, sorted(units)  # like ones side by side, as they are stored compressed
         return units, *ragged([[number.setdefault(p, len(number)) for p in self.pieces(u)] for u in units])
 
 

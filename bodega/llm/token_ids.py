@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bodega.llm.common import text_columns
-from bodega.llm.tokens import UnitPool, groups_by_bytes, load_tokenizer, ragged
+from bodega.llm.tokens import UnitPool, load_tokenizer, ragged, slices_by_bytes
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20     # a shard is closed at the first document end after so many ids
@@ -127,7 +128,9 @@ def encode_units(name: str):
         size[i] = len(text)  # one character per byte; special strings are ASCII
 
     def make(units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        plain = [u for u in units if u[0] == " " and u.isprintable() and len(u) > 1 and " " not in u[1:]]
+        plain, rest = [], []
+        for u in units:
+            (plain if u[0] == " " and u.isprintable() and len(u) > 1 and u.rfind(" ") == 0 else rest).append(u)
         lens, flats = [], []
         for a in range(0, len(plain), 2000):
             part = plain[a:a + 2000]
@@ -136,8 +139,6 @@ def encode_units(name: str):
             at = np.searchsorted(np.cumsum(size[ids]), want) + 1
             lens.append(np.diff(at, prepend=0))
             flats.append(ids)
-        kept = set(plain)
-        rest = [u for u in units if u not in kept]
         more, flat = ragged([e.ids for e in tok.encode_batch_fast(rest, add_special_tokens=False)])
         return plain + rest, np.concatenate([*lens, more]), np.concatenate([*flats, flat])
 
@@ -189,11 +190,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50
             return pa.RecordBatch.from_pylist([_shard_row(part, seq, start, doc_ids, arrays, kind)], schema=schema)
 
         for b in batches:
-            keys, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in groups_by_bytes(raw, GROUP_BYTES):
-                texts = pool.cut_all([(x or b"").decode("utf-8", "replace") for x in raw[i:j]])
-                for key, units in zip(keys[i:j], texts):
-                    ids = np.concatenate([pool.run(units), end])
+            keys, sizes = b.column(0).to_pylist(), pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for i, j in slices_by_bytes(sizes, GROUP_BYTES):
+                for key, run_ in zip(keys[i:j], pool.runs(b.column(1).slice(i, j - i))):
+                    ids = np.concatenate([run_, end])
                     doc_ids.append(key)
                     arrays.append(ids.astype(kind))
                     held += len(ids)

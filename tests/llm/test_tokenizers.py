@@ -144,3 +144,22 @@ def test_empty_tables(spark, odd):
     assert token_ids.read_token_shards(spark, path).collect() == []
     assert token_counts.count_tokens(none).collect() == []
     assert bpe.decode(bpe.encode(none)).collect() == []
+
+
+def test_pool_takes_a_column_and_looks_at_each_different_piece_once():
+    """Runs of a column of bytes equal the library's ids of whole texts, also where pieces
+    begin or end with white space, and no text is cut in Python that need not be."""
+    import pyarrow as pa
+    from bodega.llm import token_ids, tokens
+    raw = [None, b"", b" ", b" a b", b"a b ", b"a  b", b"a \tb", b"a\n b c", b"x. y, x. y,", "日本 語".encode(), b"\xe1\x80 a \xff b", b"<|endoftext|> a", b"a " * 500 + b"a"]
+    name = "byte_bpe_50k.json"
+    pool, tok = token_ids.UnitPool(token_ids.encode_units(name), marks=dict(token_ids._pool(name).marks)), tokens.load_tokenizer(name)
+    seen, keep = [], tokens.cut
+    tokens.cut = lambda t: seen.append(t) or keep(t)
+    try:
+        got = pool.runs(pa.array([None, *raw], pa.binary()).slice(1))
+    finally:
+        tokens.cut = keep
+    assert [g.tolist() for g in got] == [tok.encode((x or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for x in raw]
+    assert seen == [" ", "a b ", "a  b", "a \tb", "a\n b c"]
+    assert pool.runs(pa.array([], pa.binary())) == []

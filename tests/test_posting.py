@@ -254,3 +254,26 @@ def test_opening_stock_edits_store_narrow_rows_and_give_back_once(spark, monkeyp
     assert [(r.request_id, r.reason) for r in out["rejects"].collect()] == [(2, "insufficient_stock")]
     assert sorted((r.ID_TomaPedido, r.ID_Producto, int(r.Cantidad)) for r in out["added_lines"].collect()) == [(7, 1, 2), (7, 1, 5), (7, 2, 1)]
     assert len(kept) == 3 and not any({"amount", "vat", "Item"} & set(c) for c in kept)
+
+
+def test_opening_stock_edits_join_in_place_and_read_their_lines_once(spark, fx, monkeypatch):
+    """The lines cross no shuffle of their own to meet what the old ones give back, and the
+    stock follows from one pass over both; the session's setting is as before."""
+    key, plans, store = "spark.sql.requireAllClusterKeysForCoPartition", [], P.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(P, "stored", seen)
+    before, limit = spark.conf.get(key), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = fx.tables("productos", "pedidos", "detalle", "clientes", "repartidores")
+        out = P.replace_orders(d, fx.edit_headers, fx.edit_items, AS_OF, mode="opening_stock")
+        moves = out["moves"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert spark.conf.get(key) == before
+    assert not [x for x in plans[1].splitlines() if "Exchange hashpartitioning(request_id" in x and "product_id" in x]
+    assert moves.count("FileScan") == 2  # the lines and the decisions

@@ -188,3 +188,59 @@ def test_edits_waiting_for_each_other_across_products(spark, conf):
     data = (log, items, {p: rnd.randrange(3, 150) for p in range(products)}, [(o, 1) for o in range(80)], held)
     compare(spark, data, progress=lambda r, size, left: rounds.append((r, size, left)))
     assert rounds[-1][2] == 0 and rounds[-1][0] <= 16
+
+
+def test_outputs_join_stored_rows_without_sending_them_to_every_task(spark):
+    """A stored table is small as a file and large as rows: sides that grow with the log are
+    not sent to all tasks by the size of their files."""
+    out = run(spark, *random_log(11, 60))
+    for name in ("orders", "kept_lines", "added_lines", "moves"):
+        assert "BroadcastHashJoin" not in out[name]._jdf.queryExecution().sparkPlan().toString(), name
+
+
+def test_stored_rows_are_joined_by_measured_size(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from bodega.functions import sequence
+    names, seen = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), []
+    before, write = [spark.conf.get(n, None) for n in names], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: (seen.append([spark.conf.get(n, None) for n in names]), write(*a, **k))[1])
+    assert sequence.stored(spark.range(5)).count() == 5
+    assert seen == [["-1", before[0] if before[1] is None else before[1]]]
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_log_stores_lines_without_what_follows_from_them(spark, monkeypatch):
+    stored, kept = L.stored, []
+    monkeypatch.setattr(L, "stored", lambda df: (kept.append(df.columns), stored(df))[1])
+    run(spark, *random_log(12, 40))["added_lines"].count()
+    assert kept and not any({"vat", "Item"} & set(c) for c in kept)
+
+
+def test_products_are_walked_as_one_by_one():
+    """Rows of one event at one product are joined; rows that fail elsewhere move nothing."""
+    import pyarrow as pa
+
+    from bodega.functions.settlement import _replay
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(4), rnd.randrange(30), rnd.choice([None, -4, -1, 2]), rnd.randrange(3), rnd.randrange(3), rnd.randrange(4)) for _ in range(160)]
+    goes = {(p, t): (rnd.random() < 0.5, rnd.random() < 0.5) for p, t, *_ in rows}
+
+    def walk(give, which):
+        net, here = Counter(), {}
+        for p, t in sorted(goes):
+            own = [r for r in rows if r[:2] == (p, t)]
+            asks = [r[2] for r in own if r[2] is not None]
+            back = sum(r[give] for r in own)
+            here[p, t] = not asks or net[p] + back >= max(asks)
+            if here[p, t] and goes[p, t][which]:
+                net[p] += back - sum(r[5] for r in own)
+        return here
+
+    table = pa.table({**{c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("p", "t", "n", "a", "a0", "b"))},
+                      "go": [goes[r[:2]][0] for r in rows], "go0": [goes[r[:2]][1] for r in rows]})
+    now, before = walk(3, 0), walk(4, 1)
+    for first, old in ((False, before), (True, dict.fromkeys(goes, True))):
+        got = {(r["p"], r["t"]): r["d"] for r in _replay(table, first).to_pylist()}
+        assert got == {k: 1 if old[k] else -1 for k in goes if now[k] != old[k]}
+    assert _replay(table.slice(0, 0)).num_rows == 0

@@ -244,3 +244,16 @@ def test_products_are_walked_as_one_by_one():
         got = {(r["p"], r["t"]): r["d"] for r in _replay(table, first).to_pylist()}
         assert got == {k: 1 if old[k] else -1 for k in goes if now[k] != old[k]}
     assert _replay(table.slice(0, 0)).num_rows == 0
+
+
+def test_a_product_that_repeats_is_checked_line_by_line(spark):
+    """With two rows of a product a line meets both: it takes twice, and is checked against
+    what is left in each."""
+    log = [(r, "POST", None, None, 1, "deposito", None, None, None) for r in range(3)]
+    items = [(r, 1, 1, D(2), D("1.00")) for r in range(3)]
+    out = run(spark, log, items, {1: 5}, [(0, 1)], [])
+    assert [r.reason for r in out["rejects"].collect()] == ["insufficient_stock"]
+    d = {"productos": spark.createDataFrame([(1, 5, D("2.00"))] * 2, "ID_Producto long, Stock int, PrecioFinalUni decimal(18,2)"),
+         "pedidos": spark.createDataFrame([(0, 1, AS_OF, AS_OF, D(1), D(1), D(0), D(0), "P", 0, None, "A", 1)], ORDERS), "detalle": spark.createDataFrame([], HELD)}
+    twice = L.apply_log(d, spark.createDataFrame(log, LOG), spark.createDataFrame(items, ITEMS), AS_OF)
+    assert sorted(r.request_id for r in twice["decisions"].where("NOT accepted").collect()) == [1, 2]
